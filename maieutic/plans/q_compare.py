@@ -1 +1,89 @@
-"""Catalogue entries (filled in as operators land)."""
+"""Catalogue: pairwise comparison.
+
+Trained outputs = ``documents`` (id ``doc_id``), baseline outputs =
+``benchmark`` (id ``item_id``): both whole tables, paired on the id.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from maieutic.functions import text_rules as tr
+from maieutic.operators.compare import f1_summary, pair_outputs, pairwise_f1, unpaired_counts
+from maieutic.plans import oracle as o
+from maieutic.plans.catalog import register
+from maieutic.plans.inputs import table
+
+
+def _sides(spark, sf_dir):
+    trained = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("output"))
+    baseline = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("output"))
+    return trained, baseline
+
+
+_W = o.unicode_patterns()["word"]
+_PAIRS_SQL = """SELECT d.doc_id AS id, d.text AS trained_output, b.text AS baseline_output
+FROM documents d JOIN benchmark b ON d.doc_id = b.item_id"""
+_SCORED_SQL = f"""WITH pairs AS ({_PAIRS_SQL}),
+ws AS (SELECT id, list_distinct(regexp_extract_all(lower(coalesce(trained_output, '')), '{_W}')) AS pw,
+              list_distinct(regexp_extract_all(lower(coalesce(baseline_output, '')), '{_W}')) AS rw FROM pairs),
+cnt AS (SELECT id, CAST(len(pw) AS BIGINT) AS p, CAST(len(rw) AS BIGINT) AS r,
+               CAST(len(list_intersect(pw, rw)) AS BIGINT) AS c FROM ws),
+scored AS (SELECT id,
+  CASE WHEN p = 0 AND r = 0 THEN CAST(1 AS DOUBLE) WHEN p = 0 OR r = 0 THEN CAST(0 AS DOUBLE)
+       ELSE {o.round_ratio_half_even_sql('c', 'p')} END AS precision,
+  CASE WHEN p = 0 AND r = 0 THEN CAST(1 AS DOUBLE) WHEN p = 0 OR r = 0 THEN CAST(0 AS DOUBLE)
+       ELSE {o.round_ratio_half_even_sql('c', 'r')} END AS recall,
+  CASE WHEN p = 0 AND r = 0 THEN CAST(1 AS DOUBLE) WHEN p = 0 OR r = 0 THEN CAST(0 AS DOUBLE)
+       WHEN c = 0 THEN CAST(0 AS DOUBLE)
+       ELSE {o.round_ratio_half_even_sql('2 * c', 'p + r')} END AS f1
+  FROM cnt)"""
+
+
+@register("j1_pair_outputs", f"{_PAIRS_SQL}")
+def q_pair_outputs(spark, sf_dir):
+    trained, baseline = _sides(spark, sf_dir)
+    return pair_outputs(trained, baseline, "id", "output")
+
+
+@register(
+    "j1_unpaired_counts",
+    """SELECT (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)) AS trained_only,
+              (SELECT count(*) FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM documents)) AS baseline_only""",
+)
+def q_unpaired(spark, sf_dir):
+    trained, baseline = _sides(spark, sf_dir)
+    return unpaired_counts(trained, baseline, "id")
+
+
+@register("t19_pairwise_f1", f"{_SCORED_SQL} SELECT id, precision, recall, f1 FROM scored")
+def q_pairwise_f1(spark, sf_dir):
+    trained, baseline = _sides(spark, sf_dir)
+    return pairwise_f1(pair_outputs(trained, baseline, "id", "output")).select("id", "precision", "recall", "f1")
+
+
+@register(
+    "a15_f1_summary",
+    f"""{_SCORED_SQL}, agg AS (SELECT count(*) AS n_pairs, sum(CAST(round(f1 * 10000) AS BIGINT)) AS sq,
+        min(f1) AS min_f1, max(f1) AS max_f1 FROM scored)
+SELECT n_pairs, {o.round_ratio_half_even_sql('sq', 'n_pairs', 0)} / 10000.0 AS mean_f1, min_f1, max_f1
+FROM agg WHERE n_pairs > 0""",
+)
+def q_f1_summary(spark, sf_dir):
+    trained, baseline = _sides(spark, sf_dir)
+    return f1_summary(pairwise_f1(pair_outputs(trained, baseline, "id", "output")))
+
+
+@register(
+    "t18_word_sets",
+    f"""SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(lower(text), '{_W}'))) AS BIGINT) AS n_distinct_words,
+  array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '{_W}'))), ' ') AS words
+FROM documents""",
+)
+def q_word_sets(spark, sf_dir):
+    ws = tr.word_set(F.col("text"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.size(ws).cast("bigint").alias("n_distinct_words"),
+        F.array_join(F.array_sort(ws), " ").alias("words"),
+    )
