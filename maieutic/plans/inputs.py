@@ -46,16 +46,17 @@ END"""
 RESPONSE_STEP_SQL = "CAST((o_orderkey % 10) * 50 AS INT)"
 RESPONSE_RUN_SQL = "'run-' || CAST(o_custkey % 3 AS STRING)"
 
-RESPONSES_SELECT_SQL = f"""SELECT o_orderkey AS response_id, o_orderpriority AS priority,
+RESPONSES_SELECT_SQL = f"""SELECT o_orderkey AS response_id, o_custkey AS prompt_id, o_orderpriority AS priority,
   o_orderstatus AS status, {RESPONSE_RUN_SQL} AS run_id, {RESPONSE_STEP_SQL} AS step,
   {RESPONSE_TEXT_SQL} AS text
 FROM orders"""
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(response_id, priority, status, run_id, step, text)``, one row per order."""
+    """``(response_id, prompt_id, priority, status, run_id, step, text)``, one row per order."""
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("response_id"),
+        F.col("o_custkey").alias("prompt_id"),
         F.col("o_orderpriority").alias("priority"),
         F.col("o_orderstatus").alias("status"),
         F.expr(RESPONSE_RUN_SQL).alias("run_id"),
