@@ -1 +1,107 @@
-"""Catalogue entries (filled in as operators land)."""
+"""Catalogue: sources and sinks as round trips through the shared checkpoint folder.
+
+Each query writes data Spark derives from a driver table, reads it back with
+the library's reader and returns what was read; the oracle states the same
+rows directly in SQL.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+from pyspark.sql import functions as F
+
+from maieutic.operators.compare import f1_summary, pair_outputs, pairwise_f1
+from maieutic.plans import oracle as o
+from maieutic.plans.catalog import register
+from maieutic.plans.inputs import table
+from maieutic.plans.q_compare import _SCORED_SQL, _sides
+from maieutic.plans.q_stream import EVERY, PREFIXED_SQL, q_prefixed_rows
+from maieutic.session import scratch_path
+from maieutic.sources import io
+
+_STRIP = o.unicode_patterns()["strip"]
+
+
+def _path(spark, sf_dir, name):
+    tag = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
+    return scratch_path(spark, f"fixtures/{name}-{tag}")
+
+
+@register("s3_json_lines_roundtrip", "SELECT conv_id, turn, role, text FROM conversations")
+def q_json_roundtrip(spark, sf_dir):
+    path = _path(spark, sf_dir, "conversations-jsonl")
+    table(spark, sf_dir, "conversations").write.mode("overwrite").json(path)
+    back = io.read_json_records(spark, path, "auto", "conv_id bigint, turn bigint, role string, text string")
+    return back.select("conv_id", "turn", "role", "text")
+
+
+def _write_prompt_lines(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    rows = c.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
+        F.when(F.col("role") == "assistant",
+               F.when(F.col("turn") % 4 == 3, F.lit("   ")).otherwise(F.col("text")))
+        .when(F.col("role") == "user", F.lit("")).alias("prompt"),
+        F.when(F.col("role") == "user", F.col("text")).alias("question"),
+    )
+    path = _path(spark, sf_dir, "prompts-jsonl")
+    rows.write.mode("overwrite").json(path)
+    return path
+
+
+def _read_prompt_rows(spark, path):
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    items = lines.select(F.from_json("value", io.PROMPT_SCHEMA).alias("o"))
+    picked = io.pick_prompt(F.col("o.prompt"), F.col("o.question"))
+    return items.select(F.col("o.id").alias("prompt_id"), picked.alias("prompt"))
+
+
+_PICKED_SQL = """coalesce(nullif(CASE WHEN role = 'assistant' THEN (CASE WHEN turn % 4 = 3 THEN '   ' ELSE text END)
+    WHEN role = 'user' THEN '' END, ''), nullif(CASE WHEN role = 'user' THEN text END, ''))"""
+
+
+@register(
+    "s4_p4_prompts_jsonl",
+    f"""SELECT conv_id * 1000 + turn AS prompt_id, regexp_replace({_PICKED_SQL}, '{_STRIP}', '', 'g') AS prompt
+FROM conversations WHERE {_PICKED_SQL} IS NOT NULL""",
+)
+def q_prompts_jsonl(spark, sf_dir):
+    rows = _read_prompt_rows(spark, _write_prompt_lines(spark, sf_dir))
+    return rows.where(F.col("prompt").isNotNull())
+
+
+@register(
+    "p5_prompt_rejects",
+    f"SELECT conv_id * 1000 + turn AS prompt_id FROM conversations WHERE {_PICKED_SQL} IS NULL",
+)
+def q_prompt_rejects(spark, sf_dir):
+    rows = _read_prompt_rows(spark, _write_prompt_lines(spark, sf_dir))
+    return rows.where(F.col("prompt").isNull()).select("prompt_id")
+
+
+@register(
+    "s5_report_roundtrip",
+    f"""{_SCORED_SQL}, agg AS (SELECT count(*) AS n_pairs, sum(CAST(round(f1 * 10000) AS BIGINT)) AS sq,
+        min(f1) AS min_f1, max(f1) AS max_f1 FROM scored)
+SELECT n_pairs, {o.round_ratio_half_even_sql('sq', 'n_pairs', 0)} / 10000.0 AS mean_f1, min_f1, max_f1
+FROM agg WHERE n_pairs > 0""",
+)
+def q_report_roundtrip(spark, sf_dir):
+    trained, baseline = _sides(spark, sf_dir)
+    scored = pairwise_f1(pair_outputs(trained, baseline, "id", "output"))
+    path = _path(spark, sf_dir, "report")
+    io.write_comparison_report(scored, f1_summary(scored), path, {"trained_model": "documents",
+                                                                    "baseline_model": "benchmark"})
+    back = spark.read.schema("n_pairs bigint, mean_f1 double, min_f1 double, max_f1 double").json(f"{path}/summary")
+    return back
+
+
+@register("s6_metric_log_roundtrip", PREFIXED_SQL)
+def q_metric_log(spark, sf_dir):
+    path = _path(spark, sf_dir, "metric-log")
+    io.write_metric_log(q_prefixed_rows(spark, sf_dir), path, ("run_id",), mode="overwrite")
+    return spark.read.parquet(path).select("run_id", "step", "metric", "value")
+
+
+__all__ = ["EVERY"]

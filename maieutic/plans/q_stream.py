@@ -46,13 +46,13 @@ _METRICS = ["withhold_violation_rate", "numeric_violation_rate", "question_rate"
             "p95_response_length_tokens", "step_list_rate", "contains_imperative_rate"]
 
 
-@register(
-    "x5_prefixed_metric_rows",
-    f"""WITH s AS ({_STEP_SQL})
+PREFIXED_SQL = f"""WITH s AS ({_STEP_SQL})
 SELECT run_id, step, 'custom/' || metric AS metric, value FROM (
   UNPIVOT (SELECT run_id, step, {', '.join(f'CAST({m} AS DOUBLE) AS {m}' for m in _METRICS)} FROM s)
-  ON {', '.join(_METRICS)} INTO NAME metric VALUE value) u""",
-)
+  ON {', '.join(_METRICS)} INTO NAME metric VALUE value) u"""
+
+
+@register("x5_prefixed_metric_rows", PREFIXED_SQL)
 def q_prefixed_rows(spark, sf_dir):
     return prefixed_metric_rows(step_metrics(responses(spark, sf_dir), EVERY))
 
