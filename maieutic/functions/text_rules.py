@@ -13,6 +13,8 @@ characters in Java, not in Python).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,8 +76,25 @@ def java_regex(pattern: str) -> str:
     return _JAVA_FLAGS + pattern
 
 
-# One alternation instead of fifteen searches: same truth value, one pass.
-WITHHOLD_PHRASES_REGEX = java_regex("(?i)(?:" + "|".join(WITHHOLD_PHRASE_PATTERNS) + ")")
+def _phrase_alternation(patterns: list[str]) -> str:
+    r"""One search instead of fifteen, with the shared leading ``\b`` tested once.
+
+    Every phrase starts with ``\b``; it is factored out of the alternation.  A
+    trailing ``\w+\b`` only asks for one word character (the greedy run can
+    always end at a boundary), so it is shortened to ``\w``.  The truth value
+    of the search is unchanged; the engine does far less work per position.
+    """
+    alts = []
+    for p in patterns:
+        assert p.startswith(r"\b")
+        body = p[2:]
+        if body.endswith(r"\w+\b"):
+            body = body[: -len(r"\w+\b")] + r"\w"
+        alts.append(body)
+    return r"(?i)\b(?:" + "|".join(alts) + ")"
+
+
+WITHHOLD_PHRASES_REGEX = java_regex(_phrase_alternation(WITHHOLD_PHRASE_PATTERNS))
 FINAL_FORMAT_REGEX = java_regex(FINAL_FORMAT_PATTERN)
 STEP_LINE_REGEX = java_regex(STEP_LINE_PATTERN)
 NUMBER_WITH_UNIT_REGEX = java_regex(NUMBER_WITH_UNIT_PATTERN)
@@ -191,19 +210,36 @@ def joined_lower_words(text) -> Column:
 
 
 def interrogative_hits(text) -> Column:
-    """How many distinct cue strings occur as substrings of the joined words."""
-    joined = joined_lower_words(text)
-    hits = [F.when(joined.contains(cue), 1).otherwise(0) for cue in INTERROGATIVES]
-    total = hits[0]
-    for h in hits[1:]:
-        total = total + h
-    return total.cast("bigint")
+    """How many distinct cue strings occur as substrings of the space-joined lowercase words.
+
+    Computed on ``lower(text)`` without building the joined string: a one-word
+    cue has no space, so it occurs in the joined words exactly when it occurs
+    in the lowercase text (any occurrence consists of word characters); a
+    two-word cue ``a b`` occurs there exactly when ``a\\W+b`` matches the
+    lowercase text (the joined form puts one space where the text has a run
+    of non-word characters).
+    """
+    low = F.lower(_c(text))
+    total = None
+    for cue in INTERROGATIVES:
+        if " " in cue:
+            first, second = cue.split(" ", 1)
+            hit = low.rlike(java_regex(re.escape(first) + r"\W+" + re.escape(second)))
+        else:
+            hit = low.contains(cue)
+        term = hit.cast("bigint")
+        total = term if total is None else total + term
+    return total
 
 
 def interrogative_ratio(text) -> Column:
-    """Cue hits over word count; NULL for text without words."""
+    """Cue hits over word count; NULL for text without words.
+
+    No conditional branch around the terms, so the shared ``lower(text)`` is
+    evaluated once per row (subexpression elimination).
+    """
     n = word_count(F.lower(_c(text)))
-    return F.when(n > 0, interrogative_hits(text) / n)
+    return interrogative_hits(text) / F.nullif(n, F.lit(0).cast("bigint"))
 
 
 # T14-T16 -------------------------------------------------------------------
