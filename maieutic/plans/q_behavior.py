@@ -11,27 +11,37 @@ from maieutic.plans.catalog import register
 from maieutic.plans.inputs import RESPONSES_SELECT_SQL, responses, table
 
 
-def _rule_columns(t):
-    return [
+def _rule_frame(df, id_col, t):
+    """All rules per row.  Sub-rules are projected once; the two combined rules
+    are derived from those columns in a second projection (each regex runs
+    once per row).  Phrase and ``Final:`` tests give the same truth value on
+    the stripped and the raw text, so only the step count needs the strip."""
+    base = df.select(
+        id_col,
         tr.count_questions(t).alias("n_questions"),
         tr.count_step_lines(t).alias("n_step_lines"),
         tr.count_sentence_marks(t).alias("n_sentence_marks"),
         tr.is_mostly_questions(t).alias("mostly_questions"),
         tr.has_answer_phrase(t).alias("answer_phrase"),
         tr.has_final_format(t).alias("final_format"),
-        tr.is_withhold_violation(t).alias("withhold_violation"),
+        tr.count_step_lines(tr.strip_text(t)).alias("_stripped_steps"),
         tr.has_number_with_unit(t).alias("number_with_unit"),
         tr.has_numeric_range(t).alias("numeric_range"),
         tr.has_comparison(t).alias("comparison"),
         tr.has_prescription(t).alias("prescription"),
-        tr.is_numeric_violation(t).alias("numeric_violation"),
         tr.interrogative_ratio(t).alias("interrogative_ratio"),
         tr.contains_imperative(t).alias("contains_imperative"),
         tr.char_length(t).alias("n_chars"),
         tr.whitespace_token_count(t).alias("n_tokens"),
         tr.strip_text(t).alias("stripped"),
         tr.is_blank(t).alias("blank"),
-    ]
+    )
+    c = F.col
+    withhold = ~c("blank") & (c("answer_phrase") | c("final_format")
+                              | ((c("_stripped_steps") >= tr.STEP_LIST_MIN_LINES) & ~c("mostly_questions")))
+    numeric = ~c("blank") & (c("number_with_unit") | c("numeric_range") | c("comparison") | c("prescription"))
+    return base.select("*", withhold.alias("withhold_violation"), numeric.alias("numeric_violation")).drop(
+        "_stripped_steps")
 
 
 def _rule_columns_sql(unicode: bool) -> str:
@@ -68,8 +78,7 @@ SELECT {id_col}, {cols} FROM g"""
     _features_sql(RESPONSES_SELECT_SQL, "response_id", unicode=False),
 )
 def q_response_rules(spark, sf_dir):
-    r = responses(spark, sf_dir)
-    return r.select("response_id", *_rule_columns(F.col("text")))
+    return _rule_frame(responses(spark, sf_dir), "response_id", F.col("text"))
 
 
 # --- per-row rules on whole documents (Unicode prose in four languages) ------
@@ -78,8 +87,7 @@ def q_response_rules(spark, sf_dir):
     _features_sql("SELECT doc_id, text FROM documents", "doc_id", unicode=True),
 )
 def q_document_rules(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", *_rule_columns(F.col("text")))
+    return _rule_frame(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
 
 
 # --- A11: the flagship metric set ---------------------------------------------
