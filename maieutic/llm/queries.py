@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maieutic.llm import decontaminate, mixing, token_count, url_rules
+from maieutic.llm import decontaminate, mixing, quality_rules, token_count, url_rules
 
 
 def tokenizer_path(name: str) -> str:
@@ -57,6 +57,37 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(VOCABULARY), limit=2048)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge_quality(table(spark, sf_dir, "documents"), min_words=20, min_repeat=8, max_repeat_pct=30)
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+# The longest repeat exceeds 15 % of the words if some run of max(8, floor(15 % of the words) + 1) words is repeated.
+OP4_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT doc_id, w, len(w) AS n, list_sum(list_transform(w, lambda x: length(x))) AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 7], ' ')) AS k FROM (
+  SELECT doc_id, w, unnest(range(1, n - 6)) AS i FROM m WHERE n >= 8)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat FROM (
+  SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
+lw AS (SELECT doc_id, w, n, greatest(8, n * 15 // 100 + 1) AS z FROM m JOIN r USING (doc_id)),
+lg AS (SELECT doc_id, md5(array_to_string(w[i:i + z - 1], ' ')) AS k FROM (
+  SELECT doc_id, w, z, unnest(range(1, n - z + 2)) AS i FROM lw WHERE n >= z)),
+l AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, k FROM lg GROUP BY doc_id, k HAVING count(*) > 1)),
+f AS (SELECT m.doc_id, n AS n_words, coalesce(word_chars, 0) AS word_chars, n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words,
+  n < 20 OR 100 * coalesce(n_repeat, 0) > 30 * n AS base_failed, l.doc_id IS NOT NULL AS long_repeat
+  FROM m LEFT JOIN r USING (doc_id) LEFT JOIN l ON l.doc_id = m.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT long_repeat AS kept FROM f
+"""
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), max_epochs=3, seed=17)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "passes", "part")
@@ -92,10 +123,11 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
+    "op4_quality_rules": op4_quality_rules,
     "op7_source_mix": op7_source_mix,
     "op9_decontamination": op9_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL, "op9_decontamination": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL, "op4_quality_rules": OP4_SQL, "op9_decontamination": OP9_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
