@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maieutic.llm import decontaminate, mixing, quality_rules, token_count, url_rules
+from maieutic.llm import binary_records, decontaminate, mixing, quality_rules, token_count, url_rules
+
+from maieutic.llm.common import fresh_path
 
 
 def tokenizer_path(name: str) -> str:
@@ -120,12 +122,20 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(t.
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "op10-records")
+    binary_records.write_records(table(spark, sf_dir, "documents"), path, tokenizer_path(VOCABULARY), end_id=2)
+    index = binary_records.write_index(spark, path)
+    return index.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32", "shard", "offset", "length")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
     "op4_quality_rules": op4_quality_rules,
     "op7_source_mix": op7_source_mix,
     "op9_decontamination": op9_decontamination,
+    "op10_binary_records": op10_binary_records,
 }
 ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL, "op4_quality_rules": OP4_SQL, "op9_decontamination": OP9_SQL}
 
