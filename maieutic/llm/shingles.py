@@ -83,9 +83,6 @@ def shingle_sets(words: list[list[bytes]], size: int) -> tuple[np.ndarray, np.nd
             acc = mix(acc * _STEP + h[pos + k])
     if short.any():
         acc = np.where(short, mix(acc + counts[owner].astype(np.uint64)), acc)
-    order = np.lexsort((acc, owner))
-    acc, owner = acc[order], owner[order]
-    keep = np.ones(len(acc), bool)
-    keep[1:] = (acc[1:] != acc[:-1]) | (owner[1:] != owner[:-1])
-    acc, owner = acc[keep], owner[keep]
-    return acc, np.bincount(owner, minlength=n_texts).astype(np.int64)
+    sets = [np.unique(acc[a:b]) for a, b in zip(first, first[1:])]
+    sizes = np.fromiter(map(len, sets), np.int64, n_texts)
+    return (np.concatenate(sets) if sets else acc), sizes
