@@ -35,12 +35,11 @@ from pyspark.sql import functions as F
 
 from maieutic.llm.common import text_slices, written
 from maieutic.llm.components import components
-from maieutic.llm.shingles import lower_words, shingle_sets
+from maieutic.llm.linking import BASE, RATE, TOP, link_buckets
+from maieutic.llm.shingles import shingle_sets
 
-BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2  # sketch base b, rate a and largest register q
 BAND_ROWS = 4  # registers of 2 bytes: a band is one 64-bit key
 SLICE_BYTES = 1 << 20
-TILE = 256
 
 
 def multipliers(registers: int) -> np.ndarray:
@@ -64,44 +63,13 @@ def sketch(shingles: np.ndarray, counts: np.ndarray, registers: int) -> np.ndarr
     return out
 
 
-def _p(x: np.ndarray) -> np.ndarray:
-    return -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
-
-
-def plausible(n1: np.ndarray, n2: np.ndarray, less: np.ndarray, more: np.ndarray, registers: int, threshold: float) -> np.ndarray:
-    """Whether the joint likelihood leaves the similarity at ``threshold`` or more.
-
-    ``less`` / ``more``: registers in which the first sketch is below / above the second;
-    ``n1``, ``n2``: exact set sizes.  Pairs whose sizes alone rule the threshold out are not plausible; others
-    unless the likelihood ratio against the best estimate is beyond 36 (six standard deviations).
-    """
-    u, v = n1 / (n1 + n2), n2 / (n1 + n2)
-    top = np.minimum(n1, n2) / np.maximum(n1, n2)
-    equal = registers - less - more
-
-    def log_likelihood(j):
-        up, down = _p(u - v * j), _p(v - u * j)
-        tiny = 1e-12
-        return more * np.log(up + tiny) + less * np.log(down + tiny) + equal * np.log(np.maximum(1 - up - down, tiny))
-
-    best = np.full(len(n1), -np.inf)
-    high = np.full(len(n1), -np.inf)
-    for share in np.linspace(0, 1, 41):
-        j = top * share
-        value = log_likelihood(j)
-        best = np.maximum(best, value)
-        high = np.where(j >= threshold, np.maximum(high, value), high)
-    high = np.where(top >= threshold, np.maximum(high, log_likelihood(np.minimum(top, threshold))), high)
-    return (top >= threshold - 1e-9) & (2 * (best - high) <= 36)
-
-
 def sketch_documents(docs: DataFrame, shingle: int, registers: int, id_col: str, text_col: str) -> DataFrame:
     """``(id, n, cls, regs)``: ``cls`` is the 128-bit hash of the set, null (like ``regs``) for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch, "text", SLICE_BYTES):
-                values, counts = shingle_sets([t.lower().split() for t in texts], shingle)
+                values, counts = shingle_sets(texts, shingle)
                 regs = sketch(values, counts, registers)
                 edges = np.concatenate([[0], np.cumsum(counts)])
                 cls = [xxhash.xxh3_128_digest(values[a:b].tobytes()) if b > a else None for a, b in zip(edges, edges[1:])]
@@ -133,7 +101,7 @@ def _sets_of(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch, "text", SLICE_BYTES):
-                values, counts = shingle_sets([t.lower().split() for t in texts], shingle)
+                values, counts = shingle_sets(texts, shingle)
                 edges = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 cls = pa.array([xxhash.xxh3_128_digest(values[a:b].tobytes()) for a, b in zip(edges, edges[1:])], pa.binary())
                 same = pa.array([a == b for a, b in zip(cls.to_pylist(), part.column("cls").to_pylist())])
@@ -143,90 +111,6 @@ def _sets_of(shingle: int):
     return run
 
 
-def _plausible_pairs(registers: int, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, registers) for c in ("regs", "hub_regs")
-            )
-            n1, n2 = (batch.column(c).to_numpy().astype(float) for c in ("n", "hub_n"))
-            keep = plausible(n1, n2, (a < b).sum(1), (a > b).sum(1), registers, threshold)
-            yield pa.record_batch([batch.column("cls"), batch.column("hub"), pa.array(keep)], names=["cls", "hub", "maybe"])
-
-    return run
-
-
-def _overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum()) if len(b) else 0
-
-
-def _tile_links(registers: int, threshold_pct: int):
-    """Rows of one tile lie together (sorted): leftovers and cluster members; new links come out.
-
-    A link between two members that earlier links of the tile already connect is
-    not needed for the components and is not tested.
-    """
-
-    def compare(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        left = [r for r in rows if r[0]]
-        root = {r[1]: r[1] for r in rows}
-        settled: bytes | None = None  # members linked to the hub are connected to each other
-        for is_left, cls, linked, *_ in rows:
-            if linked:
-                settled = settled or cls
-                root[cls] = settled
-
-        def find(x):
-            while root[x] != x:
-                x = root[x]
-            return x
-
-        others = {r[1]: r for r in rows}
-        names = list(others)
-        regs = np.frombuffer(b"".join(others[x][4] for x in names), "<u2").reshape(-1, registers)
-        sizes = np.array([others[x][3] for x in names], float)
-        sets = [others[x][5] for x in names]
-        place = {x: i for i, x in enumerate(names)}
-        for row in left:
-            i = place[row[1]]
-            less, more = (regs[i] < regs).sum(1), (regs[i] > regs).sum(1)
-            maybe = np.flatnonzero(plausible(np.full(len(names), sizes[i]), sizes, less, more, registers, threshold_pct / 100))
-            for j in maybe:
-                if i == j or find(names[i]) == find(names[j]):
-                    continue
-                both = _overlap(sets[i], sets[j])
-                if 100 * both >= threshold_pct * (sizes[i] + sizes[j] - both):
-                    root[find(names[i])] = find(names[j])
-                    yield names[i], names[j]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(rows):
-            found = list(compare(rows))
-            a, b = zip(*found) if found else ((), ())
-            return pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-        tile, rows = None, []
-        for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("hub", "lb", "yb")))
-            plain = [batch.column(c).to_pylist() for c in ("is_left", "cls", "linked", "n", "regs")]
-            shingles = batch.column("shingles")
-            for i, (key, *row) in enumerate(zip(keys, *plain)):
-                if key != tile:
-                    if rows:
-                        yield flush(rows)
-                    tile, rows = key, []
-                rows.append((*row, shingles[i].values.to_numpy().view(np.uint64)))
-        if rows:
-            yield flush(rows)
-
-    return run
-
-
 def near_duplicates(
     docs: DataFrame,
     shingle: int = 5,
@@ -254,21 +138,6 @@ def near_duplicates(
     banded = classes.select("cls", "regs").mapInArrow(_band_keys(bands), "band int, key bigint, cls binary")
     shared = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(banded.join(shared, ["band", "key"]), "near-members")
-    central = members.groupBy("cls").agg(F.sum("size").alias("score"))
-    hubs = (
-        members.join(central, "cls")
-        .groupBy("band", "key")
-        .agg(F.max(F.struct("score", "cls"))["cls"].alias("hub"))
-    )
-    pairs = members.join(hubs, ["band", "key"]).where("cls <> hub").select("cls", "hub").distinct()
-    known = classes.select("cls", "n", "regs")
-    as_hub = known.select(F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("regs").alias("hub_regs"))
-    judged = written(
-        pairs.join(known, "cls").join(as_hub, "hub").select("cls", "hub", "n", "regs", "hub_n", "hub_regs")
-        .mapInArrow(_plausible_pairs(registers, threshold_pct / 100), "cls binary, hub binary, maybe boolean"),
-        "near-pairs",
-    )
-
     # Full sets of the classes that share a band with another, from one document each.
     wanted = members.select("cls").distinct().join(classes.select("cls", "first_id", "n"), "cls")
     texts = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
@@ -279,37 +148,7 @@ def near_duplicates(
         "near-sets",
     )
 
-    hub_sets = sets.select(F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("shingles").alias("hub_shingles"))
-    both = F.size(F.array_intersect("shingles", "hub_shingles")).cast("long")
-    verified = (
-        judged.where("maybe").join(sets, "cls").join(hub_sets, "hub")
-        .select("cls", "hub", (both * 100 >= (F.col("n") + F.col("hub_n") - both) * threshold_pct).alias("linked"))
-    )
-    star = written(verified.unionByName(judged.where("NOT maybe").select("cls", "hub", F.lit(False).alias("linked"))), "near-star")
-
-    # Leftovers of a hub's cluster against the cluster, in tiles of about TILE rows a side.
-    sizes = star.groupBy("hub").agg(
-        F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"),
-        F.ceil(F.count_if(~F.col("linked")) / TILE).cast("int").alias("left_blocks"),
-        F.count(F.lit(1)).alias("members"),
-    ).where("left_blocks > 0 AND members > 1")
-    cluster = star.join(sizes, "hub")
-    block = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = cluster.where("NOT linked").select(
-        "hub", "cls", "linked", block("left_blocks").alias("lb"), every("blocks").alias("yb"), F.lit(True).alias("is_left")
-    )
-    right = cluster.select(
-        "hub", "cls", "linked", every("left_blocks").alias("lb"), block("blocks").alias("yb"), F.lit(False).alias("is_left")
-    )
-    tiles = left.unionByName(right).groupBy("hub", "lb", "yb", "cls", "linked").agg(F.max("is_left").alias("is_left"))
-    full = sets.join(classes.select("cls", "regs"), "cls")
-    tiled = tiles.join(full, "cls").select("hub", "lb", "yb", "is_left", "cls", "linked", "n", "regs", "shingles")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiled = tiled.repartition(n, "hub", "lb", "yb").sortWithinPartitions("hub", "lb", "yb")
-    extra = tiled.mapInArrow(_tile_links(registers, threshold_pct), "a binary, b binary")
-
-    links = star.where("linked").select(F.col("cls").alias("a"), F.col("hub").alias("b")).unionByName(extra)
+    links = link_buckets(members, ["band", "key"], sets.join(classes.select("cls", "regs"), "cls"), threshold_pct, registers)
     labels = components(links)
     rooted = classes.select("cls", "first_id").join(labels, F.col("cls") == F.col("node"), "left")
     rooted = written(rooted.select("cls", "first_id", F.coalesce("root", "cls").alias("root")), "near-roots")

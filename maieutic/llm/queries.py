@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maieutic.llm import binary_records, decontaminate, mixing, near_dup, quality_rules, substring_dedup, token_count, url_rules
+from maieutic.llm import binary_records, decontaminate, mixing, near_dup, paragraph_dedup, quality_rules, substring_dedup, token_count, url_rules
 
 from maieutic.llm.common import fresh_path
 
@@ -90,6 +90,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = paragraph_dedup.remove_paragraphs(table(spark, sf_dir, "documents"), shingle=5, threshold_pct=80, min_words=10)
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", "removed_bytes", F.sha2("kept", 256).alias("kept_sha256"), "first_ids"
+    )
+
+
 def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -162,6 +169,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
     "op4_quality_rules": op4_quality_rules,
+    "op5_paragraph_dedup": op5_paragraph_dedup,
     "op6_repeated_substrings": op6_repeated_substrings,
     "op7_source_mix": op7_source_mix,
     "op8_near_duplicates": op8_near_duplicates,

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maieutic.llm.common import text_slices, written
+from maieutic.llm.shingles import mix, power_tables, running_sums
 
 GRAM = 64
 PARTS = 4
@@ -40,20 +41,6 @@ PIECE = 4 << 20  # bytes hashed at once; a longer text is worked in overlapping
 BLOCK_BYTES = 2 << 20
 BLOCK_RUNS = 2000
 _POSITION = np.uint64((1 << 24) - 1)
-_MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd multiplier and of its inverse modulo 2**64, at least ``n`` of them."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, PIECE + (1 << 16))
-        for name, base in (("up", _MULTIPLIER), ("down", pow(_MULTIPLIER, -1, 1 << 64))):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[name] = np.multiply.accumulate(table)
-    return _powers["up"], _powers["down"]
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -61,14 +48,9 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     n = len(data) - gram + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    h = (sums[gram:] - sums[:-gram]) * down[:n]
-    h ^= h >> np.uint64(33)
-    h *= np.uint64(0xFF51AFD7ED558CCD)
-    h ^= h >> np.uint64(29)
-    return h
+    sums = running_sums(data)
+    _, down = power_tables(len(data))
+    return mix((sums[gram:] - sums[:-gram]) * down[:n])
 
 
 def anchors(pieces: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -106,7 +88,7 @@ def anchors(pieces: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ..
     return who, at[begin] - starts[who], window[begin] - starts[who], window[end] - starts[who], h[at[begin]]
 
 
-def _row_key(id_col: Column, text_col: Column) -> Column:
+def row_key(id_col: Column, text_col: Column) -> Column:
     """128 bits by which a row is found again; repeated rows share it, as they share their result."""
     return F.unhex(F.md5(F.concat_ws("|", F.coalesce(id_col.cast("string"), F.lit("")), F.coalesce(text_col, F.lit("")))))
 
@@ -341,7 +323,7 @@ def remove_repeats(
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).select(
-        "id", "text", _row_key(F.col("id"), F.col("text")).alias("k")
+        "id", "text", row_key(F.col("id"), F.col("text")).alias("k")
     )
     fields = "k binary, at bigint, s int, e int, fp bigint, sk bigint"
     found = written(keyed.select("k", "text").mapInArrow(_anchor_rows(length, gram), fields), "sub-anchors")
