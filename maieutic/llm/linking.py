@@ -80,14 +80,33 @@ def _plausible_pairs(registers: int, threshold: float):
     return run
 
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
+class Jaccard:
+    """Sets (sorted 64-bit shingles) at a Jaccard similarity of ``threshold_pct`` percent or more."""
 
+    payload = "array<bigint>"
 
-def _tile_links(registers: int, threshold_pct: int):
+    def __init__(self, threshold_pct: int):
+        self.threshold_pct = threshold_pct
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        both = F.size(F.array_intersect("payload", "hub_payload")).cast("long")
+        linked = both * 100 >= (F.col("n") + F.col("hub_n") - both) * self.threshold_pct
+        return pairs.select("cls", "hub", linked.alias("linked"))
+
+    def near_sizes(self, sizes: np.ndarray, n: float) -> np.ndarray:
+        return np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * self.threshold_pct
+
+    def load(self, value) -> np.ndarray:
+        return np.sort(value.values.to_numpy())
+
+    def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
+        at = np.searchsorted(b, a)
+        at[at == len(b)] = 0
+        both = int((b[at] == a).sum())
+        return 100 * both >= self.threshold_pct * (len(a) + len(b) - both)
+
+
+def _tile_links(test, registers: int):
     """Rows of one tile lie together (sorted); links that connect something new come out."""
 
     def compare(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
@@ -106,24 +125,19 @@ def _tile_links(registers: int, threshold_pct: int):
             return x
 
         sizes = np.array([r[3] for r in rows], float)
-        sets = [r[5] for r in rows]
+        bodies = [r[5] for r in rows]
         if registers:
             regs = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(-1, registers)
         for i, (is_left, *_) in enumerate(rows):
             if not is_left:
                 continue
-            maybe = np.minimum(sizes, sizes[i]) * 100 >= np.maximum(sizes, sizes[i]) * threshold_pct
+            maybe = np.flatnonzero(test.near_sizes(sizes, sizes[i]))
             if registers:
-                at = np.flatnonzero(maybe)
-                less, more = (regs[i] < regs[at]).sum(1), (regs[i] > regs[at]).sum(1)
-                maybe = at[plausible(np.full(len(at), sizes[i]), sizes[at], less, more, registers, threshold_pct / 100)]
-            else:
-                maybe = np.flatnonzero(maybe)
+                less, more = (regs[i] < regs[maybe]).sum(1), (regs[i] > regs[maybe]).sum(1)
+                one = np.full(len(maybe), sizes[i])
+                maybe = maybe[plausible(one, sizes[maybe], less, more, registers, test.threshold_pct / 100)]
             for j in maybe.tolist():
-                if find(names[i]) == find(names[j]):
-                    continue
-                both = _overlap(sets[i], sets[j])
-                if 100 * both >= threshold_pct * (sizes[i] + sizes[j] - both):
+                if find(names[i]) != find(names[j]) and test.linked(bodies[i], bodies[j]):
                     root[find(names[i])] = find(names[j])
                     yield names[i], names[j]
 
@@ -137,25 +151,25 @@ def _tile_links(registers: int, threshold_pct: int):
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in ("hub", "lb", "yb")))
             plain = [batch.column(c).to_pylist() for c in ("is_left", "cls", "linked", "n", "regs")]
-            shingles = batch.column("shingles")
+            payload = batch.column("payload")
             for i, (key, *row) in enumerate(zip(keys, *plain)):
                 if key != tile:
                     if rows:
                         yield flush(rows)
                     tile, rows = key, []
-                rows.append((*row, np.sort(shingles[i].values.to_numpy())))
+                rows.append((*row, test.load(payload[i])))
         if rows:
             yield flush(rows)
 
     return run
 
 
-def link_buckets(members: DataFrame, by: list[str], sets: DataFrame, threshold_pct: int, registers: int = 0) -> DataFrame:
+def link_buckets(members: DataFrame, by: list[str], items: DataFrame, test, registers: int = 0) -> DataFrame:
     """Links ``(a, b)`` of the items.
 
     ``members``: (the bucket columns ``by``, cls binary, size: items of the bucket, above 1), without repeated
-    rows; ``sets``: (cls, n, shingles array<bigint> without repeats, regs binary where ``registers`` is not 0), one row
-    per item that has a bucket.
+    rows; ``items``: (cls, n, payload, regs binary where ``registers`` is not 0), one row per item that has a
+    bucket; ``test`` says which pairs link (see ``Jaccard``), from the payloads and the sizes ``n``.
     """
     spark = members.sparkSession
     central = members.groupBy("cls").agg(F.sum("size").alias("score"))
@@ -165,22 +179,18 @@ def link_buckets(members: DataFrame, by: list[str], sets: DataFrame, threshold_p
     )
     pairs = members.select(*by, "cls").join(hubs, by).where("cls <> hub").select("cls", "hub").distinct()
     if registers:
-        known = sets.select("cls", "n", "regs")
+        known = items.select("cls", "n", "regs")
         as_hub = known.select(F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("regs").alias("hub_regs"))
         pairs = (
             pairs.join(known, "cls").join(as_hub, "hub").select("cls", "hub", "n", "regs", "hub_n", "hub_regs")
-            .mapInArrow(_plausible_pairs(registers, threshold_pct / 100), "cls binary, hub binary, maybe boolean")
+            .mapInArrow(_plausible_pairs(registers, test.threshold_pct / 100), "cls binary, hub binary, maybe boolean")
         )
     else:
         pairs = pairs.withColumn("maybe", F.lit(True))
     pairs = written(pairs, "link-pairs")
-    own = sets.select("cls", "n", "shingles")
-    hub_sets = own.select(F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("shingles").alias("hub_shingles"))
-    both = F.size(F.array_intersect("shingles", "hub_shingles")).cast("long")
-    verified = (
-        pairs.where("maybe").join(own, "cls").join(hub_sets, "hub")
-        .select("cls", "hub", (both * 100 >= (F.col("n") + F.col("hub_n") - both) * threshold_pct).alias("linked"))
-    )
+    own = items.select("cls", "n", "payload")
+    of_hub = own.select(F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("payload").alias("hub_payload"))
+    verified = test.verified(pairs.where("maybe").join(own, "cls").join(of_hub, "hub"))
     star = written(verified.unionByName(pairs.where("NOT maybe").select("cls", "hub", F.lit(False).alias("linked"))), "link-star")
 
     # Leftovers of a hub's cluster against the cluster, in tiles of about TILE rows a side.
@@ -200,9 +210,9 @@ def link_buckets(members: DataFrame, by: list[str], sets: DataFrame, threshold_p
     )
     tiles = left.unionByName(right).groupBy("hub", "lb", "yb", "cls", "linked").agg(F.max("is_left").alias("is_left"))
     regs = F.col("regs") if registers else F.lit(None).cast("binary").alias("regs")
-    full = tiles.join(sets.select("cls", "n", "shingles", regs), "cls")
+    full = tiles.join(items.select("cls", "n", "payload", regs), "cls")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tiled = full.select("hub", "lb", "yb", "is_left", "cls", "linked", "n", "regs", "shingles")
+    tiled = full.select("hub", "lb", "yb", "is_left", "cls", "linked", "n", "regs", "payload")
     tiled = tiled.repartition(n, "hub", "lb", "yb").sortWithinPartitions("hub", "lb", "yb")
-    extra = tiled.mapInArrow(_tile_links(registers, threshold_pct), "a binary, b binary")
+    extra = tiled.mapInArrow(_tile_links(test, registers), "a binary, b binary")
     return written(star.where("linked").select(F.col("cls").alias("a"), F.col("hub").alias("b")).unionByName(extra), "link-links")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from maieutic.llm.common import text_slices, written
 from maieutic.llm.components import components
-from maieutic.llm.linking import BASE, RATE, TOP, link_buckets
+from maieutic.llm.linking import BASE, RATE, TOP, Jaccard, link_buckets
 from maieutic.llm.shingles import shingle_sets
 
 BAND_ROWS = 4  # registers of 2 bytes: a band is one 64-bit key
@@ -148,7 +148,8 @@ def near_duplicates(
         "near-sets",
     )
 
-    links = link_buckets(members, ["band", "key"], sets.join(classes.select("cls", "regs"), "cls"), threshold_pct, registers)
+    items = sets.select("cls", "n", F.col("shingles").alias("payload")).join(classes.select("cls", "regs"), "cls")
+    links = link_buckets(members, ["band", "key"], items, Jaccard(threshold_pct), registers)
     labels = components(links)
     rooted = classes.select("cls", "first_id").join(labels, F.col("cls") == F.col("node"), "left")
     rooted = written(rooted.select("cls", "first_id", F.coalesce("root", "cls").alias("root")), "near-roots")

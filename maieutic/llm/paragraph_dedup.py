@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from maieutic.llm.common import text_slices, written
 from maieutic.llm.components import components
-from maieutic.llm.linking import link_buckets
+from maieutic.llm.cutting import bodies_of, classes_of, cut_repeats, keyed_texts
+from maieutic.llm.linking import Jaccard, link_buckets
 from maieutic.llm.near_dup import multipliers
 from maieutic.llm.shingles import Words, find_words, mix, shingle_hashes
-from maieutic.llm.substring_dedup import row_key
 
 SLICE_BYTES = 1 << 20
 _ENDS = np.zeros(256, bool)
@@ -128,30 +128,12 @@ def _unit_sets(shingle: int):
                 yield pa.record_batch(
                     [part.column("cls"), pa.array([len(s) for s in sets], pa.int64()),
                      pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(sets)))],
-                    names=["cls", "n", "shingles"],
+                    names=["cls", "n", "payload"],
                 )
 
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, texts in text_slices(batch, "text", SLICE_BYTES):
-            kept, counts, gone, firsts = [], [], [], []
-            for text, found in zip(texts, part.column("gone").to_pylist()):
-                spans = sorted((x["start"], x["stop"]) for x in found or ())
-                edges = [0, *(x for s in spans for x in s), len(text)]
-                kept.append(b"".join(text[a:b] for a, b in zip(edges[0::2], edges[1::2])))
-                counts.append(len(spans))
-                gone.append(len(text) - len(kept[-1]))
-                firsts.append(sorted({x["first_id"] for x in found or () if x["first_id"] is not None}))
-            yield pa.record_batch(
-                [part.column("id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64()),
-                 pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))],
-                names=["id", "n_bytes", "n_removed", "removed_bytes", "kept", "first_ids"],
-            )
-
-
 def remove_paragraphs(
     docs: DataFrame,
     shingle: int = 5,
@@ -171,10 +153,8 @@ def remove_paragraphs(
     when the first occurrence is chosen.  An empty table gives an empty table.
     """
     bands, rows = tune_bands(threshold_pct / 100, recall, most_bands)
-    keyed = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text")).select(
-        "id", "text", row_key(F.col("id"), F.col("text")).alias("k")
-    )
-    units = written(keyed.select("k", "id", "text").mapInArrow(_unit_rows(shingle, min_words, bands, rows), _UNIT), "para-units")
+    keyed = keyed_texts(docs, id_col, text_col)
+    units = written(keyed.select("k", F.col("id").cast("bigint").alias("id"), "text").mapInArrow(_unit_rows(shingle, min_words, bands, rows), _UNIT), "para-units")
 
     # Bands that hold at least two different paragraphs; only their members go on.
     banded = units.select("c1", "c2", F.explode("band_keys").alias("key"))
@@ -186,30 +166,8 @@ def remove_paragraphs(
     members = shared.join(sizes, "key")
 
     # Their full sets, each from one occurrence.
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "k", "start", "stop")
-    classes = units.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("seen"), F.min(place).alias("at"))
-    classes = written(classes.withColumn("cls", cls), "para-classes")
-    wanted = classes.join(shared.select("cls").distinct(), "cls").select("cls", "at.k", "at.start", "at.stop")
-    wanted = wanted.groupBy("k").agg(F.collect_list(F.struct("cls", "start", "stop")).alias("cuts"))
-    texts = keyed.select("k", F.col("text").cast("binary").alias("text")).join(wanted, "k").dropDuplicates(["k"])
-    bodies = texts.select("text", F.explode("cuts").alias("c")).select(
-        "c.cls", F.substring("text", F.col("c.start").cast("int") + 1, (F.col("c.stop") - F.col("c.start")).cast("int")).alias("body")
-    )
-    sets = written(bodies.mapInArrow(_unit_sets(shingle), "cls binary, n bigint, shingles array<bigint>"), "para-sets")
-
-    labels = components(link_buckets(members, ["key"], sets, threshold_pct))
-    rooted = classes.join(labels, F.col("cls") == F.col("node"), "left").where("seen > 1 OR root IS NOT NULL")
-    rooted = rooted.select("c1", "c2", "at", F.coalesce("root", "cls").alias("root"))
-    rooted = written(rooted, "para-roots")
-    stays = rooted.groupBy("root").agg(F.min("at").alias("stays"))
-    decided = rooted.join(stays, "root").select("c1", "c2", "stays")
-    gone = (
-        units.select("k", "id", "start", "stop", "c1", "c2").join(decided, ["c1", "c2"])
-        .where((F.col("k") != F.col("stays.k")) | (F.col("start") != F.col("stays.start")))
-        .select("k", F.struct("start", "stop", F.col("stays.id").alias("first_id")).alias("g"))
-    )
-    per_row = written(gone.groupBy("k").agg(F.collect_set("g").alias("gone")), "para-gone")
-    out = keyed.join(per_row, "k", "left").select("id", "text", "gone").mapInArrow(
-        _cut, "id bigint, n_bytes bigint, n_removed bigint, removed_bytes bigint, kept binary, first_ids array<bigint>"
-    )
-    return out.withColumnRenamed("id", id_col)
+    classes = written(classes_of(units).withColumn("cls", cls), "para-classes")
+    bodies = bodies_of(keyed, classes.join(shared.select("cls").distinct(), "cls"))
+    sets = written(bodies.mapInArrow(_unit_sets(shingle), "cls binary, n bigint, payload array<bigint>"), "para-sets")
+    labels = components(link_buckets(members, ["key"], sets, Jaccard(threshold_pct)))
+    return cut_repeats(keyed, units, classes, labels).withColumnRenamed("id", id_col)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maieutic.llm import binary_records, decontaminate, mixing, near_dup, paragraph_dedup, quality_rules, substring_dedup, token_count, url_rules
+from maieutic.llm import binary_records, decontaminate, line_dedup, mixing, near_dup, paragraph_dedup, quality_rules, substring_dedup, token_count, url_rules
 
 from maieutic.llm.common import fresh_path
 
@@ -59,6 +59,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(VOCABULARY), limit=2048)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_lines(table(spark, sf_dir, "documents"), max_edits=2, min_bytes=20)
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", "removed_bytes", F.sha2("kept", 256).alias("kept_sha256"), "first_ids"
+    )
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge_quality(table(spark, sf_dir, "documents"), min_words=20, min_repeat=8, max_repeat_pct=30)
     return judged.select(
@@ -168,6 +175,7 @@ def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
+    "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_paragraph_dedup": op5_paragraph_dedup,
     "op6_repeated_substrings": op6_repeated_substrings,

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maieutic.llm.common import text_slices, written
+from maieutic.llm.cutting import keyed_texts
 from maieutic.llm.shingles import mix, power_tables, running_sums
 
 GRAM = 64
@@ -88,11 +89,6 @@ def anchors(pieces: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ..
     return who, at[begin] - starts[who], window[begin] - starts[who], window[end] - starts[who], h[at[begin]]
 
 
-def row_key(id_col: Column, text_col: Column) -> Column:
-    """128 bits by which a row is found again; repeated rows share it, as they share their result."""
-    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(id_col.cast("string"), F.lit("")), F.coalesce(text_col, F.lit("")))))
-
-
 def _middle_parts(length: int, gram: int) -> list[Column]:
     """Hashes of the part that all windows of a reach range share (null where the run has no such window)."""
     reach = length - gram
@@ -322,9 +318,7 @@ def remove_repeats(
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).select(
-        "id", "text", row_key(F.col("id"), F.col("text")).alias("k")
-    )
+    keyed = keyed_texts(docs, id_col, text_col)
     fields = "k binary, at bigint, s int, e int, fp bigint, sk bigint"
     found = written(keyed.select("k", "text").mapInArrow(_anchor_rows(length, gram), fields), "sub-anchors")
 
