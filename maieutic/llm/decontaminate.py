@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maieutic.llm.common import written
+from maieutic.llm.cutting import keyed_texts, row_key
 from maieutic.llm.url_rules import ascii_lower
 
 # Fixed value: what separates words (ASCII other than letters and digits).
@@ -38,27 +39,12 @@ def item_windows(benchmark: DataFrame, window: int, item_col: str, text_col: str
     return items.select("item", F.explode(F.transform(starts, lambda i: F.slice("words", i, window))).alias("words")).distinct()
 
 
-def decontaminate(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    window: int = 10,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-) -> DataFrame:
-    """``(<id_col>, n_words, n_hit, n_items, items, contaminated)``, one row per input row.
-
-    ``n_hit`` counts the words inside any occurrence of any window, ``items``
-    are the sorted ids (as strings) of the items with an occurring window.  A
-    null or empty text has no words and no hit; an item without words, or with a
-    null id, has no window; equal windows of several items count for each; repeated
-    rows each get their row.  Empty documents give an empty table, an
-    empty benchmark leaves every row clean.
-    """
+def _hits(
+    docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, item_col: str, item_text_col: str
+) -> tuple[DataFrame, DataFrame]:
+    """(rows: id, row, words; found: row, n_hit, items of the rows with a hit)."""
     # A row is found again by id and text, so equal ids with other texts stay apart.
-    token = F.xxhash64(F.col(id_col), F.col(text_col))
-    split = docs.select(F.col(id_col).alias("id"), token.alias("row"), words_of(F.col(text_col)).alias("words"))
+    split = keyed_texts(docs, id_col, text_col).select("id", F.col("k").alias("row"), words_of(F.col("text")).alias("words"))
     windows = item_windows(benchmark, window, item_col, item_text_col)
 
     # Number of each benchmark word in the documents; words that no document has are rarest.
@@ -108,7 +94,28 @@ def decontaminate(
         ),
         lambda acc: acc["covered"],
     )
-    found = found.select("row", step.alias("n_hit"), "items")
+    return split, found.select("row", step.alias("n_hit"), "items")
+
+
+def decontaminate(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = 10,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """``(<id_col>, n_words, n_hit, n_items, items, contaminated)``, one row per input row.
+
+    ``n_hit`` counts the words inside any occurrence of any window, ``items``
+    are the sorted ids (as strings) of the items with an occurring window.  A
+    null or empty text has no words and no hit; an item without words, or with a
+    null id, has no window; equal windows of several items count for each; repeated
+    rows each get their row.  Empty documents give an empty table, an
+    empty benchmark leaves every row clean.
+    """
+    split, found = _hits(docs, benchmark, window, id_col, text_col, item_col, item_text_col)
     return (
         split.select("id", "row", F.size("words").cast("long").alias("n_words"))
         .join(found, "row", "left")
@@ -121,3 +128,13 @@ def decontaminate(
             F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
         )
     )
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no window of any item (edge cases as in ``decontaminate``)."""
+    _, found = _hits(docs, benchmark, window, id_col, text_col, "item_id", "text")
+    key = row_key(F.col(id_col), F.col(text_col))
+    found = found.select(F.col("row").alias("__row"))
+    return docs.join(found, key == F.col("__row"), "left_anti")

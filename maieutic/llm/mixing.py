@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maieutic.llm.common import written
+from maieutic.llm.cutting import row_key
 
 RANGES = 1024
 
@@ -78,7 +79,7 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """``(<id_col>, size, source, source_size, target, passes, part, taken)``, one row per input row.
+    """``(<id_col>, row_key, size, source, source_size, target, passes, part, taken)``, one row per input row.
 
     ``passes`` whole repetitions and ``part`` words of one more (0, the whole
     document, or for one document of a source the words that were still
@@ -88,14 +89,15 @@ def mix(
 
     Null text has size 0 and takes nothing; a null source is a source of its
     own; rows with equal ids sit next to each other in the hash order and are
-    told apart by size, so repeated rows give the same multiset on every run.
+    told apart by ``row_key`` (see ``cutting``), so repeated rows give the same multiset on every run.
     A source of size 0 has target 0.  An empty table gives an empty table.
     """
     unit = F.xxhash64(F.lit(seed), F.col("id").cast("string"))
     rows = written(
         docs.select(
-            F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
-        ).select("id", "source", "size", unit.alias("h")),
+            F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+            row_key(F.col(id_col), F.col(text_col)).alias("row_key"),
+        ).select("id", "row_key", "source", "size", unit.alias("h")),
         "mix-sizes",
     )
     high, low = F.shiftrightunsigned("h", 54), F.shiftrightunsigned("h", 44).bitwiseAND(F.lit(RANGES - 1))
@@ -134,9 +136,9 @@ def mix(
     before = (F.col("high") < F.col("high_at")) | ((F.col("high") == F.col("high_at")) & (F.col("low") < F.col("low_at")))
     on_edge = (F.col("high") == F.col("high_at")) & (F.col("low") == F.col("low_at"))
     order = (
-        Window.partitionBy("source").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy("source").orderBy("h", "id", "row_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    columns = ["id", "size", "source", "source_size", "target", "passes"]
+    columns = ["id", "row_key", "size", "source", "source_size", "target", "passes"]
     edge = placed.where(F.coalesce(on_edge, F.lit(False))).withColumn("upto", F.sum("size").over(order)).select(
         *columns,
         F.greatest(F.lit(0), F.least(F.col("size"), F.col("low_rest") - F.col("upto") + F.col("size"))).alias("part"),
@@ -148,3 +150,20 @@ def mix(
         F.col("id").alias(id_col), *columns[1:], "part",
         (F.col("passes") * F.col("size") + F.col("part")).alias("taken"),
     )
+
+
+def mixed_documents(
+    docs: DataFrame, max_epochs: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it in whole.
+
+    The one document of a source that the mix would take in part is taken in whole if at
+    least half of it is due.
+    """
+    plan = mix(docs, max_epochs=max_epochs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col)
+    half = (F.col("part") > 0) & (F.col("part") * 2 >= F.col("size"))
+    times = plan.groupBy("row_key").agg(F.sum(F.col("passes") + F.when(half, 1).otherwise(0)).alias("__times"))
+    times = times.where("__times > 0").withColumnRenamed("row_key", "__row")
+    keyed = docs.withColumn("__key", row_key(F.col(id_col), F.col(text_col))).dropDuplicates(["__key"])
+    taken = keyed.join(times, F.col("__key") == F.col("__row"))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*[taken[c] for c in docs.columns])

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from maieutic.llm.common import text_slices, written
 from maieutic.llm.components import components
+from maieutic.llm.cutting import keyed_texts
 from maieutic.llm.linking import BASE, RATE, TOP, Jaccard, link_buckets
 from maieutic.llm.shingles import shingle_sets
 
@@ -64,7 +65,7 @@ def sketch(shingles: np.ndarray, counts: np.ndarray, registers: int) -> np.ndarr
 
 
 def sketch_documents(docs: DataFrame, shingle: int, registers: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, n, cls, regs)``: ``cls`` is the 128-bit hash of the set, null (like ``regs``) for an empty set."""
+    """``(id, k, n, cls, regs)``: ``k`` is the row's key, ``cls`` is the 128-bit hash of the set, null (like ``regs``) for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,12 +76,12 @@ def sketch_documents(docs: DataFrame, shingle: int, registers: int, id_col: str,
                 cls = [xxhash.xxh3_128_digest(values[a:b].tobytes()) if b > a else None for a, b in zip(edges, edges[1:])]
                 rows = [r.tobytes() if n else None for r, n in zip(regs, counts)]
                 yield pa.record_batch(
-                    [part.column("id"), pa.array(counts), pa.array(cls, pa.binary()), pa.array(rows, pa.binary())],
-                    names=["id", "n", "cls", "regs"],
+                    [part.column("id"), part.column("k"), pa.array(counts), pa.array(cls, pa.binary()), pa.array(rows, pa.binary())],
+                    names=["id", "k", "n", "cls", "regs"],
                 )
 
-    rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, "id bigint, n bigint, cls binary, regs binary")
+    rows = keyed_texts(docs, id_col, text_col).select(F.col("id").cast("bigint").alias("id"), "k", "text")
+    return rows.mapInArrow(run, "id bigint, k binary, n bigint, cls binary, regs binary")
 
 
 def _band_keys(bands: int):
@@ -119,19 +120,21 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``(<id_col>, n_shingles, component_id, kept)``, one row per input row.
+    """``(<id_col>, n_shingles, component_id, kept, row_key, stays)``, one row per input row.
 
     Words are A-Z lower-cased runs other than ASCII blanks; a text of fewer than
     ``shingle`` words is one shingle, and one without words (or null) has none, links
     with nothing and is kept.  Rows are linked if the Jaccard similarity of their
     sets is ``threshold_pct`` percent or more; ``component_id`` is the smallest id that links reach, and
     ``kept`` says whether the row has that id (rows that repeat it are all kept; rows with a null id count as
-    kept only if no row they reach has an id).  An empty table gives an empty table.
+    kept only if no row they reach has an id).  ``row_key`` (see ``cutting.row_key``) finds the row again, and ``stays`` is
+    true for one row key of each component: the smallest id, then the smallest key.  An empty table gives an empty table.
     """
     registers = bands * BAND_ROWS
     rows = written(sketch_documents(docs, shingle, registers, id_col, text_col), "near-sketch")
     classes = rows.where("n > 0").groupBy("cls").agg(
-        F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("regs").alias("regs")
+        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k")).alias("at"),
+        F.first("n").alias("n"), F.first("regs").alias("regs"),
     )
     classes = written(classes, "near-classes")
 
@@ -139,9 +142,9 @@ def near_duplicates(
     shared = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(banded.join(shared, ["band", "key"]), "near-members")
     # Full sets of the classes that share a band with another, from one document each.
-    wanted = members.select("cls").distinct().join(classes.select("cls", "first_id", "n"), "cls")
-    texts = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
-    sources = texts.join(wanted, F.col("id").eqNullSafe(F.col("first_id"))).select("cls", "text")
+    wanted = members.select("cls").distinct().join(classes.select("cls", "at"), "cls").select("cls", "at.k")
+    texts = keyed_texts(docs, id_col, text_col).select("k", "text")
+    sources = texts.join(wanted, "k").select("cls", "text")
     sets = written(
         sources.mapInArrow(_sets_of(shingle), "cls binary, shingles array<bigint>").dropDuplicates(["cls"])
         .join(classes.select("cls", "n"), "cls"),
@@ -151,16 +154,18 @@ def near_duplicates(
     items = sets.select("cls", "n", F.col("shingles").alias("payload")).join(classes.select("cls", "regs"), "cls")
     links = link_buckets(members, ["band", "key"], items, Jaccard(threshold_pct), registers)
     labels = components(links)
-    rooted = classes.select("cls", "first_id").join(labels, F.col("cls") == F.col("node"), "left")
-    rooted = written(rooted.select("cls", "first_id", F.coalesce("root", "cls").alias("root")), "near-roots")
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = rooted.join(least, "root").select("cls", "component_id")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
+    rooted = classes.select("cls", "at").join(labels, F.col("cls") == F.col("node"), "left")
+    rooted = written(rooted.select("cls", "at", F.coalesce("root", "cls").alias("root")), "near-roots")
+    least = rooted.groupBy("root").agg(F.min("at").alias("first"))
+    of_class = rooted.join(least, "root").select("cls", "first")
+    alone = F.col("n") == 0
+    component = F.when(alone, F.col("id")).otherwise(F.col("first.id"))
     return (
-        rows.select("id", "n", "cls")
+        rows.select("id", "k", "n", "cls")
         .join(of_class, "cls", "left")
         .select(
             F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-            F.col("id").eqNullSafe(component).alias("kept"),
+            F.col("id").eqNullSafe(component).alias("kept"), F.col("k").alias("row_key"),
+            (alone | F.col("k").eqNullSafe(F.col("first.k"))).alias("stays"),
         )
     )

@@ -119,7 +119,8 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, threshold_pct=80, bands=24)
+    found = near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, threshold_pct=80, bands=24)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP8_SQL = """
