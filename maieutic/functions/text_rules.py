@@ -3,12 +3,13 @@
 Each function takes a string ``Column`` and returns a ``Column``; nothing leaves
 the JVM, so a projection of all features stays in one whole-stage-codegen span.
 
-Regex dialect.  The rules are defined with Python ``re`` semantics (Unicode
-``\\w \\d \\s \\b``, Unicode case folding, only ``\\n`` ends a line).  Java's
-``(?U)`` (Unicode classes and case) plus ``(?d)`` (Unix lines) gives the same
-matches; the two known residual differences are control characters
-U+001C-U+001F (whitespace in Python, not in Java) and combining marks (word
-characters in Java, not in Python).
+Regex dialect.  The rules are defined with Python ``re`` semantics.  Java's own
+Unicode classes differ from Python's (``\\w`` there takes in combining marks and
+joiners and leaves out ``²`` or ``½``), so ``java_regex`` writes the classes out:
+a word character is a letter, a number of any kind or ``_``; a digit is a
+decimal digit; a blank is one of the characters of ``BLANKS``; ``\\b`` is a change
+between word and other characters.  Case folding is Unicode, and only ``\\n``
+ends a line.
 """
 
 from __future__ import annotations
@@ -68,12 +69,48 @@ IMPERATIVE_PATTERN = r"(?i)(?:^|[.!?]\s+)(do|use|set|place|connect|remove|add)\b
 STEP_LIST_MIN_LINES = 3
 # ---------------------------------------------------------------------------
 
-_JAVA_FLAGS = "(?Ud)"
+# The characters that Python's ``str.isspace`` accepts, as ranges.
+BLANK_RANGES = [
+    (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+    (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
+]
+BLANKS = "".join(chr(c) for low, high in BLANK_RANGES for c in range(low, high + 1))
+
+_JAVA_FLAGS = "(?ud)"
+_WORD_MEMBERS = r"\p{L}\p{N}_"
+_BLANK_MEMBERS = "".join(
+    f"\\x{{{low:x}}}" if low == high else f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in BLANK_RANGES
+)
+_MEMBERS = {"w": _WORD_MEMBERS, "s": _BLANK_MEMBERS, "d": r"\p{Nd}"}
+_BOUNDARY = f"(?:(?<![{_WORD_MEMBERS}])(?=[{_WORD_MEMBERS}])|(?<=[{_WORD_MEMBERS}])(?![{_WORD_MEMBERS}]))"
+
+
+def expand_classes(pattern: str, members: dict[str, str], boundary: str) -> str:
+    """Write the shorthand classes and boundaries of a pattern out, inside and outside of brackets."""
+    out, in_set, i = [], False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            kind = pattern[i + 1]
+            i += 2
+            if kind in members:
+                out.append(members[kind] if in_set else f"[{members[kind]}]")
+            elif kind.lower() in members and not in_set:
+                out.append(f"[^{members[kind.lower()]}]")
+            elif kind == "b" and not in_set:
+                out.append(boundary)
+            else:
+                out.append("\\" + kind)
+            continue
+        in_set = c == "[" or (in_set and c != "]")
+        out.append(c)
+        i += 1
+    return "".join(out)
 
 
 def java_regex(pattern: str) -> str:
-    """Prefix a Python-style pattern with the Java flags that give its semantics."""
-    return _JAVA_FLAGS + pattern
+    """A Python-style pattern as the Java pattern with the same matches."""
+    return _JAVA_FLAGS + expand_classes(pattern, _MEMBERS, _BOUNDARY)
 
 
 def _phrase_alternation(patterns: list[str]) -> str:
@@ -104,9 +141,7 @@ UNIT_ANYWHERE_REGEX = java_regex("(?i)(?:" + UNITS_PATTERN + ")")
 PRESCRIPTION_REGEX = java_regex(PRESCRIPTION_PATTERN)
 IMPERATIVE_REGEX = java_regex(IMPERATIVE_PATTERN)
 WORD_REGEX = java_regex(r"\w+")
-NON_WORD_RUN_REGEX = java_regex(r"\W+")
 NON_SPACE_RUN_REGEX = java_regex(r"\S+")
-STRIP_REGEX = java_regex(r"^\s+|\s+\z")
 NON_SPACE_REGEX = java_regex(r"\S")
 
 
@@ -121,8 +156,8 @@ def _char_count(text: Column, chars: str) -> Column:
 
 # T17 -----------------------------------------------------------------------
 def strip_text(text) -> Column:
-    """Unicode ``str.strip()``; Spark's ``trim`` removes only spaces."""
-    return F.regexp_replace(_c(text), STRIP_REGEX, "")
+    """Python's ``str.strip()``: a linear trim of its blanks (Spark's plain ``trim`` removes only spaces)."""
+    return F.btrim(_c(text), F.lit(BLANKS))
 
 
 def is_blank(text) -> Column:
@@ -162,13 +197,12 @@ def has_final_format(text) -> Column:
 def is_withhold_violation(text) -> Column:
     """Gives the answer away: phrase, ``Final:`` line, or a step list that is not mostly questions.
 
-    Evaluated on the stripped text; blank text is never a violation.
+    Blank text is never a violation.  Phrases and ``Final:`` lines are found in the raw text exactly when they are
+    found in the stripped one, so only the step count takes the strip.
     """
-    s = strip_text(text)
-    steps = (count_step_lines(s) >= STEP_LIST_MIN_LINES) & ~is_mostly_questions(s)
-    return F.when(is_blank(text), F.lit(False)).otherwise(
-        has_answer_phrase(s) | has_final_format(s) | steps
-    )
+    t = _c(text)
+    steps = (count_step_lines(strip_text(t)) >= STEP_LIST_MIN_LINES) & ~is_mostly_questions(t)
+    return ~is_blank(t) & (has_answer_phrase(t) | has_final_format(t) | steps)
 
 
 # T8-T12 --------------------------------------------------------------------
@@ -204,11 +238,6 @@ def word_count(text) -> Column:
     return F.regexp_count(_c(text), F.lit(WORD_REGEX)).cast("bigint")
 
 
-def joined_lower_words(text) -> Column:
-    """``' '.join(re.findall(r'\\b\\w+\\b', text.lower()))`` without building an array."""
-    return F.trim(F.regexp_replace(F.lower(_c(text)), NON_WORD_RUN_REGEX, " "))
-
-
 def interrogative_hits(text) -> Column:
     """How many distinct cue strings occur as substrings of the space-joined lowercase words.
 
@@ -266,9 +295,10 @@ def word_set(text) -> Column:
 def round_ratio_half_even(num: Column, den: Column, places: int = 4) -> Column:
     """``num/den`` rounded half-to-even to ``places`` decimals, in exact integer math.
 
-    Recorded difference: Python rounds the binary double, so an exact decimal
-    tie (e.g. 1/32 at 4 places) can go the other way there; integer math is
-    the same on every engine and every partitioning.
+    Recorded difference: rounding the binary double instead (as the definition
+    does) gives another last digit where the double lies on the other side of a
+    decimal tie, for about one in a thousand ratios of small integers.  The
+    unrounded columns do not depend on this.
     """
     scale = 10**places
     scaled = num.cast("bigint") * F.lit(scale)
@@ -281,23 +311,23 @@ def round_ratio_half_even(num: Column, den: Column, places: int = 4) -> Column:
 def set_f1(pred_words, ref_words, places: int = 4) -> Column:
     """Precision / recall / F1 of two word sets as a struct.
 
+    ``raw_precision``, ``raw_recall`` and ``raw_f1`` are the unrounded quotients and the
+    primary result; ``precision``, ``recall`` and ``f1`` are rounded to ``places``.
     Both empty -> 1,1,1; one empty -> 0,0,0.  F1 of sets reduces to
     ``2c / (|p| + |r|)`` with ``c`` the intersection size, so all three values
-    are ratios of integers and are rounded exactly.
+    are ratios of integers.
     """
     p = F.size(_c(pred_words)).cast("bigint")
     r = F.size(_c(ref_words)).cast("bigint")
     c = F.size(F.array_intersect(_c(pred_words), _c(ref_words))).cast("bigint")
-    one, zero = F.lit(1.0), F.lit(0.0)
     both_empty = (p == 0) & (r == 0)
     one_empty = (p == 0) | (r == 0)
 
     def pick(value: Column) -> Column:
-        return F.when(both_empty, one).when(one_empty, zero).otherwise(value)
+        return F.when(both_empty, F.lit(1.0)).when(one_empty, F.lit(0.0)).otherwise(value)
 
-    f1_value = F.when(c == 0, zero).otherwise(round_ratio_half_even(2 * c, p + r, places))
+    ratios = {"precision": (c, p), "recall": (c, r), "f1": (2 * c, p + r)}
     return F.struct(
-        pick(round_ratio_half_even(c, p, places)).alias("precision"),
-        pick(round_ratio_half_even(c, r, places)).alias("recall"),
-        pick(f1_value).alias("f1"),
+        *(pick(round_ratio_half_even(num, den, places)).alias(name) for name, (num, den) in ratios.items()),
+        *(pick(num / den).alias(f"raw_{name}") for name, (num, den) in ratios.items()),
     )

@@ -2,18 +2,23 @@
 
 The oracle restates each operator in plain SQL over the same parquet views.
 DuckDB's RE2 has ASCII ``\\w \\d \\s \\b``; on ASCII text the rule patterns
-are used verbatim.  For Unicode text the ``U_*`` classes below spell out the
-Java ``(?U)`` classes, and word boundaries are written as explicit
-neighbour-character tests (valid for the boolean "search" rules only).
+are used verbatim.  For Unicode text the classes below are written out from
+the definition (Python ``re``: letters, numbers of any kind and ``_`` are word
+characters; ``str.isspace`` characters are blanks), and word boundaries are
+explicit neighbour-character tests (valid for the boolean "search" rules only).
+Phrases, verbs and units come from the one block of fixed values by substitution.
 """
 
 from __future__ import annotations
 
+import re
+
 from maieutic.functions import text_rules as tr
 
-# Java (?U) classes written out for RE2.
-U_WORD = r"\p{L}\p{Nl}\p{Nd}\p{Mn}\p{Mc}\p{Me}\p{Pc}\x{200C}\x{200D}"
-U_SPACE = r"\t\n\x0B\f\r\x{85}\p{Z}"
+U_WORD = r"\p{L}\p{N}_"
+U_SPACE = (
+    r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+)
 W = f"[{U_WORD}]"
 NW = f"[^{U_WORD}]"
 S = f"[{U_SPACE}]"
@@ -51,7 +56,7 @@ def _units_then_boundary() -> str:
 
 
 def unicode_patterns() -> dict[str, str]:
-    """RE2 patterns equal to the rules under Java ``(?U)`` semantics (search truth values).
+    """RE2 patterns equal to the rules on any text (search truth values).
 
     ``\\b`` before/after a word character becomes "start or non-word" /
     "non-word or end" on the neighbour; that consumes the neighbour, which
@@ -59,22 +64,16 @@ def unicode_patterns() -> dict[str, str]:
     """
     lb, rb = f"(?:^|{NW})", f"(?:$|{NW})"
     num = f"{D}+(?:\\.{D}+)?"
-    phrases = [
-        "the answer is", "answer:", "therefore", "in summary", "to conclude", "you should",
-        "the fix is", "the solution is", f"do{S}+{W}", f"use{S}+{W}", "recommended",
-        "set it to", f"choose{S}+{W}", f"place{S}+{W}", f"connect{S}+{W}",
-    ]
-    # Each phrase is wrapped in the boundary tests its ends need: every phrase
-    # starts with a word character; it ends in a word character except
-    # "answer:", whose trailing boundary needs a word character next.
+    # Every phrase starts with a word character.  One that ends in ``\\w+`` needs a
+    # word character there; "answer:" needs one behind it; the others need the word to end.
     alts = []
-    for p in phrases:
-        if p == "answer:":
-            alts.append(f"{lb}answer:{W}")
-        elif p.endswith(W):
-            alts.append(f"{lb}{p}")
-        else:
-            alts.append(f"{lb}{p}{rb}")
+    for phrase in tr.WITHHOLD_PHRASE_PATTERNS:
+        body = phrase.removeprefix(r"\b").removesuffix(r"\b")
+        end = W if body.endswith(":") else "" if body.endswith(r"\w+") else rb
+        alts.append(lb + body.replace(r"\w+", W).replace(r"\s", S) + end)
+    prescribed, commanded = (
+        re.search(r"\(([a-z|]+)\)", p)[1] for p in (tr.PRESCRIPTION_PATTERN, tr.IMPERATIVE_PATTERN)
+    )
     nwd = f"[^{U_WORD}.]"
     units_b = _units_then_boundary()
     return {
@@ -85,8 +84,8 @@ def unicode_patterns() -> dict[str, str]:
         "range": f"(?i){lb}{num}{S}*(?:-|{S}+to{S}+){S}*{D}+(?:\\.{D}+)?(?:{rb}|{S}*{units_b}|{S}+{W})",
         "comparison": f"(?:<=|>=|<|>){S}*{D}",
         "unit_any": "(?i)(?:" + tr.UNITS_PATTERN + ")",
-        "prescription": f"(?i){lb}(?:set|use|choose|pick|select|configure|bias|limit){nwd}(?:[^.]*{nwd})?{num}{rb}",
-        "imperative": f"(?i)(?:^|[.!?]{S}+)(?:do|use|set|place|connect|remove|add){rb}",
+        "prescription": f"(?i){lb}(?:{prescribed}){nwd}(?:[^.]*{nwd})?{num}{rb}",
+        "imperative": f"(?i)(?:^|[.!?]{S}+)(?:{commanded}){rb}",
         "word": f"{W}+",
         "nonword_run": f"{NW}+",
         "nonspace_run": f"{NS}+",
