@@ -39,8 +39,9 @@ from maieutic.llm.shingles import mix, power_tables, running_sums
 GRAM = 64
 PARTS = 4
 PIECE = 4 << 20  # bytes hashed at once; a longer text is worked in overlapping pieces
-BLOCK_BYTES = 2 << 20
-BLOCK_RUNS = 2000
+SLICE_BYTES = 512 << 10
+BLOCK_BYTES = 512 << 10  # an index holds about 100 bytes per byte of its block
+BLOCK_RUNS = 800
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -106,7 +107,7 @@ def _anchor_rows(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_slices(batch, "text", PIECE // 4):
+            for part, texts in text_slices(batch, "text", SLICE_BYTES):
                 pieces, keys, bases = [], [], []
                 for key, text in zip(part.column("k").to_pylist(), texts):
                     for base in range(0, max(len(text) - length + 1, 0), PIECE):
@@ -166,15 +167,18 @@ def suffix_ranks(symbols: np.ndarray) -> list[np.ndarray]:
         rank[a] = f + shift
         return rank, a[~(part & np.append(part[1:], True))]
 
+    def kept(rank: np.ndarray) -> np.ndarray:
+        return rank.astype(np.int32) if n < 1 << 31 else rank
+
     dense = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
     rank, active = refine(np.arange(n), np.zeros(n, np.int64), dense)
-    levels, h = [rank], 1
+    levels, h = [kept(rank)], 1
     while len(active):
         second = np.zeros(len(active), np.int64)
         inside = active + h < n
         second[inside] = rank[active[inside] + h] + 1
         rank, active = refine(active, rank, second)
-        levels.append(rank)
+        levels.append(kept(rank))
         h *= 2
     return levels
 
