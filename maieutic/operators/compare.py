@@ -3,7 +3,7 @@
 The outputs of the two models are two tables keyed by prompt id.  Pairing is
 an equi-join on that id (Catalyst picks broadcast or sort-merge from the
 sizes; AQE splits a skewed id partition).  Ids present on one side only are
-counted by two anti-joins instead of being dropped silently.
+counted by a full outer join instead of being dropped silently.
 """
 
 from __future__ import annotations
@@ -32,15 +32,16 @@ def pair_outputs(
 
 def unpaired_counts(trained: DataFrame, baseline: DataFrame, id_col: str = "id") -> DataFrame:
     """One row: how many ids only one side has (``zip`` would drop them silently)."""
-    t = trained.select(id_col)
-    b = baseline.select(id_col)
-    only_t = t.join(b, id_col, "left_anti").agg(F.count(F.lit(1)).alias("trained_only"))
-    only_b = b.join(t, id_col, "left_anti").agg(F.count(F.lit(1)).alias("baseline_only"))
-    return only_t.crossJoin(only_b)  # two one-row aggregates
+    t = trained.select(F.col(id_col).alias("_t"))
+    b = baseline.select(F.col(id_col).alias("_b"))
+    both = t.join(b, F.col("_t") == F.col("_b"), "full_outer")
+    return both.agg(
+        F.count_if(F.col("_b").isNull()).alias("trained_only"), F.count_if(F.col("_t").isNull()).alias("baseline_only")
+    )
 
 
 def pairwise_f1(pairs: DataFrame, pred_col: str = "trained_output", ref_col: str = "baseline_output") -> DataFrame:
-    """Add word-set precision / recall / F1 (4 decimals) of each pair."""
+    """Add word-set precision / recall / F1 of each pair, rounded to 4 decimals and raw."""
     m = tr.set_f1(tr.word_set(F.coalesce(F.col(pred_col), F.lit(""))),
                   tr.word_set(F.coalesce(F.col(ref_col), F.lit(""))))
     return pairs.withColumn("f1_metrics", m).select(
@@ -48,6 +49,9 @@ def pairwise_f1(pairs: DataFrame, pred_col: str = "trained_output", ref_col: str
         F.col("f1_metrics.precision").alias("precision"),
         F.col("f1_metrics.recall").alias("recall"),
         F.col("f1_metrics.f1").alias("f1"),
+        F.col("f1_metrics.raw_precision").alias("raw_precision"),
+        F.col("f1_metrics.raw_recall").alias("raw_recall"),
+        F.col("f1_metrics.raw_f1").alias("raw_f1"),
     )
 
 

@@ -21,10 +21,14 @@ def perplexity(loss: Column) -> Column:
 
 def weighted_loss(df: DataFrame, loss_col: str = "loss", tokens_col: str = "n_tokens", group_cols=(),
                   round_digits: int | None = 9) -> DataFrame:
-    """``eval_loss = sum(loss * n) / sum(n)`` (NaN without tokens) and its perplexity."""
+    """``eval_loss = sum(loss * n) / sum(n)`` (NaN without tokens) and its perplexity.
+
+    A batch without a loss or a token count is left out, weight and all.
+    """
+    known = df.where(F.col(loss_col).isNotNull() & F.col(tokens_col).isNotNull())
     n = F.sum(F.col(tokens_col).cast("bigint"))
     num = F.sum(F.col(loss_col) * F.col(tokens_col).cast("bigint"))
-    agg = df.groupBy(*group_cols).agg(n.alias("n_tokens"), num.alias("_num"))
+    agg = known.groupBy(*group_cols).agg(n.alias("n_tokens"), num.alias("_num"))
     loss = F.when(F.coalesce(F.col("n_tokens"), F.lit(0)) == 0, F.lit(float("nan"))).otherwise(
         F.col("_num") / F.col("n_tokens"))
     out = agg.withColumn("eval_loss", loss).withColumn("perplexity", perplexity(F.col("eval_loss")))

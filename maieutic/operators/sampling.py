@@ -5,21 +5,20 @@ Random choices are replaced by **key-hash order**: rows are ordered by
 order does not depend on partitioning or file order and is reproducible in any
 SQL engine.
 
-Exact positions without a global sort or a single-partition window: rows are
-counted per hash bucket (the first ``bucket_hex`` hex digits of the hash, at
-most 16**4 = 65,536 buckets per group), prefix sums over that bounded
-histogram give each bucket's offset, and the histogram is broadcast back (its
-size is bounded by the bucket count times the number of groups, which must be
-small, e.g. splits).  Selecting the first ``k`` rows then only needs a
-``row_number`` inside the one boundary bucket; a full rank needs a
-``row_number`` per bucket, which spreads evenly over 65,536 partitions.
-
-Keys must identify rows: equal keys share a hash and therefore a bucket.
+Exact positions without a global sort: rows are counted per hash bucket (the first
+``bucket_hex`` hex digits of the hash, at most 16**4 = 65,536 buckets per
+group), and prefix sums over that bounded histogram tell in which bucket the
+``k``-th row lies and how many rows come before it.  The k-th row's order key is then the
+threshold (one row per group), found among the rows of that one bucket; the
+selection itself is a comparison with the threshold, so the data is not shuffled.
+A full rank needs a ``row_number`` per bucket, which spreads evenly.
+
+Rows with equal keys are ordered by the hash of all their columns; rows equal in every
+column cannot be told apart and are taken or left together.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,20 +33,28 @@ def hash_order_key(key_cols: Sequence[str], seed: int = DEFAULT_SEED) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_cols]))
 
 
-def _with_buckets(df, key_cols, seed, partition_cols, bucket_hex):
-    x = df.withColumn("_h", hash_order_key(key_cols, seed))
-    x = x.withColumn("_b", F.conv(F.substring("_h", 1, bucket_hex), 16, 10).cast("int"))
-    hist = x.groupBy(*partition_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*partition_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("bigint")).withColumn(
-        "_total", F.sum("_n").over(Window.partitionBy(*partition_cols)).cast("bigint")
+def order_key(df: DataFrame, key_cols: Sequence[str], seed: int = DEFAULT_SEED) -> Column:
+    """What rows are ordered by: key hash, keys, then the hash of the whole row for repeated keys."""
+    return F.struct(
+        hash_order_key(key_cols, seed).alias("h"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(key_cols)],
+        F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
     )
-    return x, hist
 
 
-def _bucket_row_number(df, key_cols, partition_cols) -> Column:
-    w = Window.partitionBy(*partition_cols, "_b").orderBy("_h", *key_cols)
-    return F.row_number().over(w)
+def _bucket(hex_hash: Column, bucket_hex: int) -> Column:
+    return F.conv(F.substring(hex_hash, 1, bucket_hex), 16, 10).cast("int")
+
+
+def _histogram(df: DataFrame, key_cols, seed, partition_cols, bucket_hex) -> DataFrame:
+    """``(groups, _b, _n, _before, _total)``: at most 16**bucket_hex rows per group, from a scan of the keys."""
+    b = _bucket(hash_order_key(key_cols, seed), bucket_hex).alias("_b")
+    hist = df.select(*partition_cols, b).groupBy(*partition_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*partition_cols)
+    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return hist.withColumns({
+        "_before": F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("bigint"),
+        "_total": F.sum("_n").over(group).cast("bigint"),
+    })
 
 
 def hash_rank(
@@ -59,10 +66,11 @@ def hash_rank(
     bucket_hex: int = BUCKET_HEX,
 ) -> DataFrame:
     """Add the 1-based position of each row in hash order (per ``partition_cols`` group)."""
-    x, hist = _with_buckets(df, key_cols, seed, partition_cols, bucket_hex)
-    x = x.join(F.broadcast(hist.select(*partition_cols, "_b", "_before")), [*partition_cols, "_b"])
-    x = x.withColumn(rank_col, F.col("_before") + _bucket_row_number(x, key_cols, partition_cols))
-    return x.drop("_h", "_b", "_before")
+    hist = _histogram(df, key_cols, seed, partition_cols, bucket_hex)
+    x = df.withColumn("_o", order_key(df, key_cols, seed)).withColumn("_b", _bucket(F.col("_o.h"), bucket_hex))
+    x = x.join(hist.select(*partition_cols, "_b", "_before"), [*partition_cols, "_b"])
+    place = F.row_number().over(Window.partitionBy(*partition_cols, "_b").orderBy("_o"))
+    return x.withColumn(rank_col, F.col("_before") + place).select(*df.columns, rank_col)
 
 
 def seeded_shuffle(df: DataFrame, key_cols: Sequence[str], seed: int = DEFAULT_SEED) -> DataFrame:
@@ -70,18 +78,26 @@ def seeded_shuffle(df: DataFrame, key_cols: Sequence[str], seed: int = DEFAULT_S
     return df.orderBy(hash_order_key(key_cols, seed), *key_cols)
 
 
-def _flag_first_k(x: DataFrame, hist: DataFrame, key_cols, partition_cols, k: Column, flag_col: str) -> DataFrame:
-    """Mark the first ``k`` rows of each group in hash order; ``k`` may use ``_total``."""
-    h = hist.withColumn("_k", k.cast("bigint"))
-    x = x.join(F.broadcast(h.select(*partition_cols, "_b", "_before", "_n", "_k")), [*partition_cols, "_b"])
-    inside = F.col("_before") + F.col("_n") <= F.col("_k")
-    outside = F.col("_before") >= F.col("_k")
-    settled = x.where(inside | outside).withColumn(flag_col, inside)
-    boundary = x.where(~(inside | outside))
-    boundary = boundary.withColumn(
-        flag_col, F.col("_before") + _bucket_row_number(boundary, key_cols, partition_cols) <= F.col("_k")
-    )
-    return settled.unionByName(boundary).drop("_h", "_b", "_before", "_n", "_k")
+def first_k_threshold(
+    df: DataFrame,
+    k: Column,
+    key_cols: Sequence[str],
+    seed: int = DEFAULT_SEED,
+    partition_cols: Sequence[str] = (),
+    bucket_hex: int = BUCKET_HEX,
+) -> DataFrame:
+    """``(groups, limit)``: the order key of each group's ``k``-th row (``k`` may use ``_total``).
+
+    A group with fewer rows has the order key of its last one, a group with ``k <= 0`` has no row.
+    """
+    hist = _histogram(df, key_cols, seed, partition_cols, bucket_hex)
+    hist = hist.withColumn("_k", F.least(k.cast("bigint"), F.col("_total")))
+    at = hist.where((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_n")))
+    keys = df.select(*partition_cols, order_key(df, key_cols, seed).alias("limit"))
+    keys = keys.withColumn("_b", _bucket(F.col("limit.h"), bucket_hex))
+    inside = keys.join(at.select(*partition_cols, "_b", "_before", "_k"), [*partition_cols, "_b"])
+    place = F.row_number().over(Window.partitionBy(*partition_cols).orderBy("limit"))
+    return inside.withColumn("_p", F.col("_before") + place).where("_p = _k").select(*partition_cols, "limit")
 
 
 def sample_n(
@@ -93,9 +109,21 @@ def sample_n(
     bucket_hex: int = BUCKET_HEX,
 ) -> DataFrame:
     """Exactly ``min(n, count)`` rows per group, chosen by hash order (K2 shuffled, K4)."""
-    x, hist = _with_buckets(df, key_cols, seed, partition_cols, bucket_hex)
-    flagged = _flag_first_k(x, hist, key_cols, partition_cols, F.lit(n), "_keep")
-    return flagged.where("_keep").drop("_keep")
+    limit = first_k_threshold(df, F.lit(n), key_cols, seed, partition_cols, bucket_hex)
+    own = order_key(df, key_cols, seed)
+    if not partition_cols:
+        return df.where(own <= limit.scalar())
+    held = limit.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(partition_cols)], "limit")
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(partition_cols)]
+    kept = df.withColumn("_own", own).join(held, _all(same))
+    return kept.where(F.col("_own") <= F.col("limit")).select(*df.columns)
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
 
 
 def exact_split(
@@ -107,20 +135,21 @@ def exact_split(
     bucket_hex: int = BUCKET_HEX,
 ) -> DataFrame:
     """Label every row ``test`` or ``train``; exactly ``ceil(test_size * n)`` test rows (K3)."""
-    x, hist = _with_buckets(df, key_cols, seed, (), bucket_hex)
     k = F.ceil(F.lit(float(test_size)) * F.col("_total"))
-    flagged = _flag_first_k(x, hist, key_cols, (), k, "_test")
-    return flagged.withColumn(split_col, F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
+    limit = first_k_threshold(df, k, key_cols, seed, (), bucket_hex)
+    is_test = F.coalesce(order_key(df, key_cols, seed) <= limit.scalar(), F.lit(False))
+    return df.withColumn(split_col, F.when(is_test, "test").otherwise("train"))
 
 
 def take_first(df: DataFrame, n: int, order_cols: Sequence[str]) -> DataFrame:
-    """First ``n`` rows in file/key order (K2 for unshuffled splits).
+    """First ``n`` rows in key order (K2 for unshuffled splits).
 
-    ``orderBy().limit()`` plans as ``TakeOrderedAndProject``: each task keeps
-    its own top ``n`` and the final merge sees ``n x tasks`` rows.  Meant for
-    the per-split sample caps of a training config (hundreds to thousands).
+    Only the keys are ordered (each task keeps its own first ``n``); the rows are then
+    compared with the ``n``-th key.  Rows that repeat that key are all taken.
     """
-    return df.orderBy(*order_cols).limit(n)
+    keys = df.select(F.struct(*order_cols).alias("limit"))
+    last = keys.orderBy("limit").limit(n).agg(F.max("limit"))
+    return df.where(F.struct(*order_cols) <= last.scalar())
 
 
 def per_split_limits(
@@ -135,20 +164,22 @@ def per_split_limits(
 
     Splits in ``shuffle_splits`` are sampled in hash order, the others keep
     their first rows in key order; a cap of ``None`` keeps the whole split.
-    A split that is not configured, or not present, yields nothing.
+    A split that is not configured, or not present, yields nothing.  All splits are kept in one
+    pass over the data; each cap costs a narrow scan of its split's keys.
     """
-    parts = []
+    own, first = order_key(df, key_cols, seed), F.struct(*key_cols)
+    keep = F.lit(False)
     for split, cap in limits.items():
-        s = df.where(F.col(split_col) == split)
-        if cap is not None:
-            s = sample_n(s, cap, key_cols, seed) if split in shuffle_splits else take_first(s, cap, key_cols)
-        parts.append(s)
-    if not parts:
-        return df.limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        here = F.col(split_col) == split
+        rows = df.where(here)
+        if cap is None:
+            keep = keep | here
+        elif split in shuffle_splits:
+            keep = keep | (here & (own <= first_k_threshold(rows, F.lit(cap), key_cols, seed).scalar()))
+        else:
+            last = rows.select(first.alias("limit")).orderBy("limit").limit(cap).agg(F.max("limit"))
+            keep = keep | (here & (first <= last.scalar()))
+    return df.where(F.coalesce(keep, F.lit(False)))
 
 
 def assign_batches(
@@ -163,7 +194,3 @@ def assign_batches(
     ranked = hash_rank(df, key_cols, seed, partition_cols, "_rank")
     return ranked.withColumn(batch_col, F.floor((F.col("_rank") - 1) / batch_size).cast("bigint")).drop("_rank")
 
-
-def exact_test_count(n: int, test_size: float = 0.2) -> int:
-    """``ceil(test_size * n)``, the test size of ``exact_split`` for ``n`` rows."""
-    return math.ceil(test_size * n)

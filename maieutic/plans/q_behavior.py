@@ -87,7 +87,7 @@ def q_response_rules(spark, sf_dir):
     _features_sql("SELECT doc_id, text FROM documents", "doc_id", unicode=True),
 )
 def q_document_rules(spark, sf_dir):
-    return _rule_frame(table(spark, sf_dir, "documents", spread=True), "doc_id", F.col("text"))
+    return _rule_frame(table(spark, sf_dir, "documents", spread="doc_id"), "doc_id", F.col("text"))
 
 
 # --- A11: the flagship metric set ---------------------------------------------
@@ -114,7 +114,7 @@ def q_behavior_metrics_by_priority(spark, sf_dir):
     f"{o.behavior_metric_select(('lang',))} FROM f GROUP BY lang",
 )
 def q_behavior_metrics_documents(spark, sf_dir):
-    return behavior_metrics(table(spark, sf_dir, "documents", spread=True), "text", group_cols=["lang"])
+    return behavior_metrics(table(spark, sf_dir, "documents", spread="doc_id"), "text", group_cols=["lang"])
 
 
 @register(
@@ -123,7 +123,7 @@ def q_behavior_metrics_documents(spark, sf_dir):
     f"{o.behavior_metric_select(('role',))} FROM f GROUP BY role",
 )
 def q_behavior_metrics_conversations(spark, sf_dir):
-    return behavior_metrics(table(spark, sf_dir, "conversations", spread=True), "text", group_cols=["role"])
+    return behavior_metrics(table(spark, sf_dir, "conversations", spread="conv_id"), "text", group_cols=["role"])
 
 
 __all__ = ["behavior_features"]

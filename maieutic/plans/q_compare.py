@@ -16,7 +16,7 @@ from maieutic.plans.inputs import table
 
 
 def _sides(spark, sf_dir):
-    trained = table(spark, sf_dir, "documents", spread=True).select(F.col("doc_id").alias("id"), F.col("text").alias("output"))
+    trained = table(spark, sf_dir, "documents", spread="doc_id").select(F.col("doc_id").alias("id"), F.col("text").alias("output"))
     baseline = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("output"))
     return trained, baseline
 
@@ -82,7 +82,7 @@ FROM documents""",
 )
 def q_word_sets(spark, sf_dir):
     ws = tr.word_set(F.col("text"))
-    return table(spark, sf_dir, "documents", spread=True).select(
+    return table(spark, sf_dir, "documents", spread="doc_id").select(
         "doc_id",
         F.size(ws).cast("bigint").alias("n_distinct_words"),
         F.array_join(F.array_sort(ws), " ").alias("words"),

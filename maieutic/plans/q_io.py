@@ -7,8 +7,6 @@ rows directly in SQL.
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import functions as F
 
 from maieutic.operators.compare import f1_summary, pair_outputs, pairwise_f1
@@ -16,21 +14,16 @@ from maieutic.plans import oracle as o
 from maieutic.plans.catalog import register
 from maieutic.plans.inputs import table
 from maieutic.plans.q_compare import _SCORED_SQL, _sides
-from maieutic.plans.q_stream import EVERY, PREFIXED_SQL, q_prefixed_rows
+from maieutic.plans.q_stream import PREFIXED_SQL, q_prefixed_rows
 from maieutic.session import scratch_path
 from maieutic.sources import io
 
 _STRIP = o.unicode_patterns()["strip"]
 
 
-def _path(spark, sf_dir, name):
-    tag = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
-    return scratch_path(spark, f"fixtures/{name}-{tag}")
-
-
 @register("s3_json_lines_roundtrip", "SELECT conv_id, turn, role, text FROM conversations")
 def q_json_roundtrip(spark, sf_dir):
-    path = _path(spark, sf_dir, "conversations-jsonl")
+    path = scratch_path(spark, "conversations-jsonl")
     table(spark, sf_dir, "conversations").write.mode("overwrite").json(path)
     back = io.read_json_records(spark, path, "auto", "conv_id bigint, turn bigint, role string, text string")
     return back.select("conv_id", "turn", "role", "text")
@@ -45,7 +38,7 @@ def _write_prompt_lines(spark, sf_dir):
         .when(F.col("role") == "user", F.lit("")).alias("prompt"),
         F.when(F.col("role") == "user", F.col("text")).alias("question"),
     )
-    path = _path(spark, sf_dir, "prompts-jsonl")
+    path = scratch_path(spark, "prompts-jsonl")
     rows.write.mode("overwrite").json(path)
     return path
 
@@ -90,7 +83,7 @@ FROM agg WHERE n_pairs > 0""",
 def q_report_roundtrip(spark, sf_dir):
     trained, baseline = _sides(spark, sf_dir)
     scored = pairwise_f1(pair_outputs(trained, baseline, "id", "output"))
-    path = _path(spark, sf_dir, "report")
+    path = scratch_path(spark, "report")
     io.write_comparison_report(scored, f1_summary(scored), path, {"trained_model": "documents",
                                                                     "baseline_model": "benchmark"})
     back = spark.read.schema("n_pairs bigint, mean_f1 double, min_f1 double, max_f1 double").json(f"{path}/summary")
@@ -99,9 +92,7 @@ def q_report_roundtrip(spark, sf_dir):
 
 @register("s6_metric_log_roundtrip", PREFIXED_SQL)
 def q_metric_log(spark, sf_dir):
-    path = _path(spark, sf_dir, "metric-log")
+    path = scratch_path(spark, "metric-log")
     io.write_metric_log(q_prefixed_rows(spark, sf_dir), path, ("run_id",), mode="overwrite")
     return spark.read.parquet(path).select("run_id", "step", "metric", "value")
 
-
-__all__ = ["EVERY"]

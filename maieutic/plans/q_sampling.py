@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from maieutic.operators import sampling as sp
 from maieutic.plans.catalog import register
 from maieutic.plans.inputs import table
+from maieutic.session import scratch_path
 
 
 def _h(key: str) -> str:
@@ -23,11 +25,24 @@ FROM ({_ORDERS_RANK_SQL}) r"""
     "k1_seeded_shuffle",
     f"SELECT o_orderkey, rk AS shuffle_rank FROM ({_ORDERS_RANK_SQL}) r",
 )
-def q_seeded_shuffle(spark, sf_dir):
+def q_shuffle_rank(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey")
     return sp.hash_rank(o, ["o_orderkey"], rank_col="shuffle_rank").select("o_orderkey", "shuffle_rank")
 
 
+@register("k1_shuffled_rows", f"SELECT o_orderkey, rk AS shuffle_rank FROM ({_ORDERS_RANK_SQL}) r")
+def q_seeded_shuffle(spark, sf_dir):
+    """The shuffled rows written in order, and their places read back from the files' order."""
+    o = sp.seeded_shuffle(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
+    path = scratch_path(spark, "shuffled")
+    o.select("o_orderkey", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")).write.parquet(path)
+    back = spark.read.parquet(path)
+    sizes = back.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = back.join(sizes.select("part", "first", before.alias("before")), "part")
+    return placed.select("o_orderkey", (F.col("before") + F.col("at") - F.col("first") + 1).alias("shuffle_rank"))
+
+
 @register("k3_exact_split", f"SELECT o_orderkey, split FROM ({_SPLIT_SQL}) s")
 def q_exact_split(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey")
@@ -77,5 +92,3 @@ def q_batches_per_lang(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return sp.assign_batches(d, 8, ["doc_id"], partition_cols=["lang"]).select("doc_id", "lang", "batch")
 
-
-__all__ = ["F"]

@@ -26,7 +26,7 @@ QA_MAX_LENGTH = 64
 
 
 def _logits(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings", spread=True)
+    e = table(spark, sf_dir, "embeddings", spread="vec_id")
     v = F.col("embedding").cast("array<double>")
     return e.select(
         F.col("vec_id").alias("example_id"), v.alias("start_logits"), F.reverse(v).alias("end_logits"),
@@ -128,7 +128,7 @@ def q_span_report(spark, sf_dir):
 
 # --- W6-W8: answer token labels on documents ---------------------------------------------------
 def _doc_qa(spark, sf_dir):
-    d = table(spark, sf_dir, "documents", spread=True)
+    d = table(spark, sf_dir, "documents", spread="doc_id")
     toks = tk.token_offsets(d, "doc_id")
     counts = toks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tok"))
     docs = d.join(counts, "doc_id", "left").select(

@@ -67,11 +67,11 @@ SELECT doc_id, CAST(pos AS INTEGER) AS pos, lower(tok) AS token, CAST(e - length
   CAST(e AS INTEGER) AS "end" FROM r""",
 )
 def q_token_offsets(spark, sf_dir):
-    return tk.token_offsets(table(spark, sf_dir, "documents", spread=True), "doc_id")
+    return tk.token_offsets(table(spark, sf_dir, "documents", spread="doc_id"), "doc_id")
 
 
 def _doc_vocab(spark, sf_dir):
-    d = table(spark, sf_dir, "documents", spread=True)
+    d = table(spark, sf_dir, "documents", spread="doc_id")
     return tk.build_vocab(d.select(tk.word_tokens(F.col("text")).alias("tokens")), size=DOC_VOCAB)
 
 
@@ -84,7 +84,7 @@ def q_vocab(spark, sf_dir):
 
 
 def _doc_ids(spark, sf_dir):
-    d = table(spark, sf_dir, "documents", spread=True)
+    d = table(spark, sf_dir, "documents", spread="doc_id")
     toks = d.select("doc_id", tk.word_tokens(F.col("text")).alias("tokens"))
     return tk.encode(toks, "doc_id", "tokens", _doc_vocab(spark, sf_dir), "ids")
 
@@ -252,7 +252,7 @@ SELECT doc_id, CAST(block AS INTEGER) AS block,
 FROM b""",
 )
 def q_clm_blocks(spark, sf_dir):
-    d = table(spark, sf_dir, "documents", spread=True)
+    d = table(spark, sf_dir, "documents", spread="doc_id")
     vocab = _doc_vocab(spark, sf_dir)
     src = tk.encode(d.select("doc_id", tk.word_tokens(F.col("source")).alias("t")), "doc_id", "t", vocab, "q")
     txt = tk.encode(d.select("doc_id", tk.word_tokens(F.col("text")).alias("t")), "doc_id", "t", vocab, "a")

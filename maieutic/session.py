@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +20,8 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def get_session(
     master: str | None = None,
@@ -42,26 +44,27 @@ def get_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and streaming state.
+    """The shared folder for checkpoints, streaming state and written tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; that value always wins.
-    Only when it is unset (local tests) a fresh folder under the system temp
-    directory is created and recorded in the session.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a
+    local session (tests) gets a temp folder of its own; on a cluster, whose
+    machines do not share one, this is an error.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="maieutic-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="maieutic-")
+    return _LOCAL_FOLDERS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written tables."""
-    return os.path.join(checkpoint_dir(spark), name)
+    """A new path in the shared folder; no two calls give the same one."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -8,8 +8,7 @@ events ``(run_id, step, prompt_id, response_id, text[, ts])``:
   a stream with event time, ``dropDuplicatesWithinWatermark`` bounds state.
 * X3 metrics per ``(run_id, step)``: the A11 aggregate (partial + final).
 * X4 a fixed evaluation subset: chosen by key hash (stable across
-  micro-batches, no cache), applied as a broadcast left-semi join; its size is
-  bounded by ``max_samples``.
+  micro-batches, no cache), applied as a left-semi join.
 * X5 metric rows under a ``custom/`` prefix, written by ``foreachBatch``; in
   complete mode every trigger rewrites the table, so replays are idempotent.
 """
@@ -46,8 +45,8 @@ def eval_subset_ids(prompts: DataFrame, max_samples: int, key: str = "prompt_id"
 
 
 def restrict_to_subset(df: DataFrame, subset_ids: DataFrame, key: str = "prompt_id") -> DataFrame:
-    """Keep rows whose prompt is in the subset (bounded -> broadcast semi-join)."""
-    return df.join(F.broadcast(subset_ids.select(key)), key, "left_semi")
+    """Keep rows whose prompt is in the subset (a semi-join; Spark broadcasts a small subset by itself)."""
+    return df.join(subset_ids.select(key), key, "left_semi")
 
 
 def step_metrics(df: DataFrame, every: int, text_col: str = "text",
