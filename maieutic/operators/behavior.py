@@ -8,7 +8,7 @@ whatever the number of responses or the skew of the group keys.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,22 +41,25 @@ FEATURE_COLUMNS = [
 ]
 
 
-def token_count(text: Column, tokenizer: str = "whitespace") -> Column:
+def token_count(text: Column, tokenizer: str | Callable[[Column], Column] = "whitespace") -> Column:
     """Length of a response in tokens.
 
     ``whitespace`` is ``len(text.split())``; ``word`` counts the word /
-    punctuation tokens of the built-in word tokenizer (see ``operators.tokens``).
+    punctuation tokens of the built-in word tokenizer (see ``operators.tokens``); a function from a text column to
+    a token array column (for example ``tokens.pandas_tokenizer(fn)``) counts its tokens.
     """
+    if callable(tokenizer):
+        return F.size(tokenizer(text)).cast("bigint")
     if tokenizer == "whitespace":
         return tr.whitespace_token_count(text)
     if tokenizer == "word":
         from maieutic.operators.tokens import WORD_TOKEN_REGEX
 
         return F.regexp_count(text, F.lit(WORD_TOKEN_REGEX)).cast("bigint")
-    raise ValueError(f"unknown tokenizer {tokenizer!r}; use 'whitespace' or 'word'")
+    raise ValueError(f"unknown tokenizer {tokenizer!r}; use 'whitespace', 'word' or a function")
 
 
-def behavior_features(df: DataFrame, text_col: str = "text", tokenizer: str = "whitespace") -> DataFrame:
+def behavior_features(df: DataFrame, text_col: str = "text", tokenizer: str | Callable[[Column], Column] = "whitespace") -> DataFrame:
     """Add the per-response features (T1-T16) as columns; NULL text counts as ''."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     return df.select(
@@ -110,7 +113,7 @@ def behavior_metrics(
     df: DataFrame,
     text_col: str = "text",
     group_cols: Sequence[str] = (),
-    tokenizer: str = "whitespace",
+    tokenizer: str | Callable[[Column], Column] = "whitespace",
     round_digits: int | None = 9,
 ) -> DataFrame:
     """All ten behaviour metrics in one pass (A11), per group when ``group_cols`` is given.

@@ -2,10 +2,10 @@
 
 Long form ``(conv_id, turn, role, text)`` is the compute shape; ``turn`` is
 the 0-based position of the message in its conversation (``explode_dialogue``
-produces it from the nested form).  Nothing here uses a window partitioned by
-conversation: adjacency is an equi-join on ``(conv_id, turn)`` and per
-conversation results are partial aggregates, so one huge conversation is
-spread over many tasks instead of landing in one.
+produces it from the nested form).  Messages are adjacent in the order of their turns, whatever gaps the
+turn numbers have (dropped roles leave some).  A conversation is cut into chunks of
+``turn div 256``; pairs inside a chunk are found in-row, and only one summary row per
+chunk is ordered per conversation, so no task sorts a whole conversation.
 
 Ordered concatenation (rendering, re-nesting) is done in two levels: first per
 ``(conv_id, turn div chunk)``, then per conversation over the chunk results,
@@ -14,9 +14,9 @@ so no task sorts more than ``chunk`` turns of a conversation.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maieutic.functions import text_rules as tr
@@ -88,6 +88,20 @@ def map_roles_eval(df: DataFrame, role_map: Mapping[str, str] = DEFAULT_ROLE_MAP
     return df.withColumn("role", F.coalesce(_mapped_role(F.col("role"), role_map), F.lit("user")))
 
 
+def nested_messages(turns: Column, system: Column | None = None, role_map: Mapping[str, str] = DEFAULT_ROLE_MAP,
+                    role_field: str = "role", content_field: str = "content") -> Column:
+    """``array<struct<role, content>>`` with mapped roles, others dropped, the system message first (P9, P12 in-row)."""
+    message = lambda role, content: F.struct(role.alias("role"), content.alias("content"))
+    known = F.filter(F.coalesce(turns, F.array()), lambda m: m[role_field].isin(list(role_map)))
+    mapped = F.transform(known, lambda m: message(_mapped_role(m[role_field], role_map), m[content_field]))
+    return mapped if system is None else F.concat(F.array(message(F.lit("system"), system)), mapped)
+
+
+def record_messages(messages: Column, turns: Column) -> Column:
+    """Per record: its ``messages`` if that is a non-empty list, else its ``turns`` (evaluation input)."""
+    return F.when(F.size(F.coalesce(messages, F.array())) > 0, messages).otherwise(turns)
+
+
 def policy_system_prompt(withhold, avoid_numeric) -> Column:
     """System prompt of a policy (P11); flags are tested by truthiness (NULL = off)."""
     w = F.coalesce(F.col(withhold) if isinstance(withhold, str) else withhold, F.lit(False))
@@ -127,28 +141,37 @@ def training_messages(
 
 def last_exchange(
     turns: DataFrame,
-    user_role: str = "user",
-    assistant_role: str = "assistant",
+    user_role: str | Sequence[str] = "user",
+    assistant_role: str | Sequence[str] = "assistant",
     id_col: str = "conv_id",
+    chunk: int = DEFAULT_CHUNK,
 ) -> DataFrame:
     """Last adjacent (user -> assistant) pair per conversation.
 
-    ``(id_col, last_user_turn)``; conversations without such a pair have no row.
-    The adjacency test is an equi-join on (conversation, turn), the "last" a
-    partial max aggregate: both spread a hot conversation over many tasks.
+    ``(id_col, last_user_turn, target_turn)``; conversations without such a pair have no row.
+    Adjacent means next in turn order: turn numbers may have gaps.
     """
-    users = turns.where(F.col("role") == user_role).select(id_col, F.col("turn"))
-    assistants = turns.where(F.col("role") == assistant_role).select(
-        id_col, (F.col("turn") - 1).alias("turn")
+    users, assistants = ([r] if isinstance(r, str) else list(r) for r in (user_role, assistant_role))
+    kind = F.when(F.col("role").isin(users), 1).when(F.col("role").isin(assistants), 2).otherwise(0)
+    part = F.floor(F.col("turn") / chunk).alias("_chunk")
+    parts = turns.select(id_col, part, F.struct(F.col("turn"), kind.alias("kind")).alias("m"))
+    parts = parts.groupBy(id_col, "_chunk").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    after = F.lead(F.element_at("m", 1)).over(Window.partitionBy(id_col).orderBy("_chunk"))
+    parts = parts.select(id_col, "m", after.alias("after"))
+    following = F.concat(F.slice("m", F.lit(2), F.size("m")), F.array("after"))
+    pairs = F.filter(
+        F.zip_with("m", following, lambda a, b: F.struct(a["turn"].alias("u"), a["kind"].alias("ak"), b["turn"].alias("t"), b["kind"].alias("bk"))),
+        lambda p: (p["ak"] == 1) & (p["bk"] == 2),
     )
-    pairs = users.join(assistants, [id_col, "turn"], "inner")
-    return pairs.groupBy(id_col).agg(F.max("turn").alias("last_user_turn"))
+    last = parts.select(id_col, F.element_at(F.when(F.size(pairs) > 0, pairs), -1).alias("p")).where("p IS NOT NULL")
+    best = last.groupBy(id_col).agg(F.max(F.struct("p.u", "p.t")).alias("p"))
+    return best.select(id_col, F.col("p.u").alias("last_user_turn"), F.col("p.t").alias("target_turn"))
 
 
 def split_prompt_target(
     turns: DataFrame,
-    user_role: str = "user",
-    assistant_role: str = "assistant",
+    user_role: str | Sequence[str] = "user",
+    assistant_role: str | Sequence[str] = "assistant",
     id_col: str = "conv_id",
 ) -> tuple[DataFrame, DataFrame]:
     """Prompt turns (all turns up to the last user turn) and the target message.
@@ -158,11 +181,11 @@ def split_prompt_target(
     """
     last = last_exchange(turns, user_role, assistant_role, id_col)
     prompt_turns = (
-        turns.join(last, id_col, "inner").where(F.col("turn") <= F.col("last_user_turn")).drop("last_user_turn")
+        turns.join(last, id_col, "inner").where(F.col("turn") <= F.col("last_user_turn")).drop("last_user_turn", "target_turn")
+    )
+    targets = turns.join(last.select(id_col, F.col("target_turn").alias("turn")), [id_col, "turn"], "inner").select(
+        id_col, F.col("turn").alias("target_turn"), F.coalesce(F.col("text"), F.lit("")).alias("target")
     )
-    targets = turns.join(
-        last.select(id_col, (F.col("last_user_turn") + 1).alias("turn")), [id_col, "turn"], "inner"
-    ).select(id_col, F.col("turn").alias("target_turn"), F.coalesce(F.col("text"), F.lit("")).alias("target"))
     return prompt_turns, targets
 
 
@@ -253,7 +276,7 @@ def eval_examples(
     elif mode == "turns":
         users = [k for k, v in role_map.items() if v == "user"]
         assistants = [k for k, v in role_map.items() if v == "assistant"]
-        prompt_turns, targets = split_prompt_target(turns, users[0], assistants[0], id_col)
+        prompt_turns, targets = split_prompt_target(turns, users, assistants, id_col)
         system = targets.select(id_col, F.lit(EVAL_SYSTEM_PROMPT).alias("text"))
         prompt_turns = prepend_system(map_roles_eval(prompt_turns, role_map), system, id_col)
     else:

@@ -2,28 +2,31 @@
 
 The built-in tokenizer is a word/punctuation splitter (``\\w+`` runs and single
 other non-space characters) with character offsets, a vocabulary built from
-the data and lookup joins; a subword tokenizer can be plugged in through
-``tokenize_with`` (a vectorised pandas UDF).
+the data and lookup joins.  Operators that tokenise take a ``tokenizer`` argument, a
+function from a text column to an array-of-strings column; a user's own one (for
+example a subword tokenizer) is wrapped by ``pandas_tokenizer`` as an Arrow-batched UDF.
 
 Scale notes
-* Offsets (W5) explode tokens and take a running sum of piece lengths per
-  document: one shuffle by document id, each window bounded by the length of
-  one document.
-* The vocabulary is the top ``size`` tokens by count: a map-side combined
-  count, a top-k, then ids over at most ``size`` rows.  Its size is bounded by
-  ``size``, which is what makes broadcasting it safe.
+* Token streams are exploded after the raw rows were dealt out by their id, so
+  the exchange carries each text once and the regrouping needs no further one.
+* The vocabulary is a map-side combined count of all tokens.  Ids follow (count
+  descending, md5, token): places come from sums per count and hash bucket, so no task
+  orders the whole vocabulary.  The lookup is a plain join; Spark broadcasts a small
+  vocabulary by itself and shuffles a large one.
 * Everything after ids (labels, padding, masks, spans, checks) is in-row
   array work with higher-order functions: no shuffle.
+* Row ids must be unique where tokens are regrouped by them; a repeated id stops the query with an error
+  instead of mixing two rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maieutic.functions.text_rules import java_regex
+from maieutic.functions.text_rules import BLANKS, java_regex
 
 # ---------------------------------------------------------------------------
 # Label sentinel and block size of the causal-LM chunking.
@@ -42,6 +45,11 @@ PAD_ID, UNK_ID, CLS_ID, SEP_ID, EOS_ID = range(5)
 ROLE_TAG_IDS = {role: SPECIAL_TOKENS.index(tag) for role, tag in ROLE_TAGS.items()}
 
 
+def _dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Raw rows by the hash of their id, before anything is exploded."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 # --- W5: tokens with character offsets ---------------------------------------
 def token_offsets(df: DataFrame, id_col: str, text_col: str = "text", lower: bool = True) -> DataFrame:
     """``(id, pos, token, start, end)``: one row per token, offsets in code points.
@@ -49,24 +57,25 @@ def token_offsets(df: DataFrame, id_col: str, text_col: str = "text", lower: boo
     ``end`` is the running sum of the matched piece lengths (leading
     whitespace included); ``start = end - length(token)``.
     """
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    pieces = F.arrays_zip(
-        F.regexp_extract_all(t, F.lit(WORD_TOKEN_REGEX), 0).alias("piece"),
-        F.regexp_extract_all(t, F.lit(WORD_TOKEN_REGEX), 1).alias("tok"),
-    )
-    ex = df.select(id_col, F.posexplode(pieces).alias("pos", "_p"))
-    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.length("_p.piece")).over(w).cast("int")
-    tok = F.col("_p.tok")
+    pieces = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD_TOKEN_REGEX), 0)
+    ex = _dealt(df.select(id_col, text_col), [id_col]).select(id_col, F.posexplode(pieces).alias("pos", "_p"))
+    order = Window.partitionBy(id_col).orderBy("pos")
+    end = F.sum(F.length("_p")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
+    token = F.ltrim(F.col("_p"), F.lit(BLANKS))
+    once = F.when(F.row_number().over(order) == F.col("pos") + 1, F.col("pos")).otherwise(_repeated_id(id_col))
     return ex.select(
         id_col,
-        F.col("pos").cast("int").alias("pos"),
-        (F.lower(tok) if lower else tok).alias("token"),
-        (end - F.length(tok)).cast("int").alias("start"),
+        once.cast("int").alias("pos"),
+        (F.lower(token) if lower else token).alias("token"),
+        (end - F.length(token)).cast("int").alias("start"),
         end.alias("end"),
     )
 
 
+def _repeated_id(*keys: str) -> Column:
+    return F.raise_error(F.lit(f"two rows share one id ({', '.join(keys)}); token operators need unique ids")).cast("int")
+
+
 def word_tokens(text: Column, lower: bool = True) -> Column:
     """Token strings of a text as an array, in order (no offsets, no shuffle)."""
     t = F.coalesce(text, F.lit(""))
@@ -75,53 +84,86 @@ def word_tokens(text: Column, lower: bool = True) -> Column:
     return F.regexp_extract_all(t, F.lit(WORD_TOKEN_REGEX), 1)
 
 
+def pandas_tokenizer(fn) -> Callable[[Column], Column]:
+    """A user tokenizer (``pandas.Series`` of texts -> ``Series`` of token lists) for the ``tokenizer`` arguments."""
+    return F.pandas_udf(fn, "array<string>")
+
+
 # --- J6: vocabulary and ids ---------------------------------------------------
-def build_vocab(token_arrays: DataFrame, tokens_col: str = "tokens", size: int = 30000) -> DataFrame:
-    """``(token, id, is_special)``: specials first, then the ``size`` most frequent tokens.
+def build_vocab(token_arrays: DataFrame, tokens_col: str = "tokens", size: int | None = None) -> DataFrame:
+    """``(token, id, is_special)``: specials first, then all tokens, or the ``size`` most frequent ones.
 
-    Order of frequent tokens: count descending, then token.  At most
-    ``len(SPECIAL_TOKENS) + size`` rows.
+    Tokens are ordered by count (descending), then md5, then token.
     """
-    counts = token_arrays.select(F.explode(tokens_col).alias("token")).groupBy("token").count()
-    top = counts.orderBy(F.desc("count"), F.asc("token")).limit(size)
-    ranked = top.withColumn(
-        "id", (F.row_number().over(Window.orderBy(F.desc("count"), F.asc("token"))) + len(SPECIAL_TOKENS) - 1)
+    counts = token_arrays.select(F.explode(tokens_col).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+    counts = counts.select("token", "count", F.md5("token").alias("_h")).withColumn("_b", F.substring("_h", 1, 3))
+    per_bucket = counts.groupBy("count", "_b").agg(F.count(F.lit(1)).alias("n"))
+    per_count = per_bucket.groupBy("count").agg(F.sum("n").alias("n"))
+    so_far = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per_count = per_count.select("count", so_far(Window.orderBy(F.desc("count"))).alias("_above"))
+    per_bucket = per_bucket.select("count", "_b", so_far(Window.partitionBy("count").orderBy("_b")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("count", "_b").orderBy("_h", "token"))
+    ranked = (
+        counts.join(per_bucket.join(per_count, "count"), ["count", "_b"])
+        .select("token", (F.col("_above") + F.col("_before") + place - 1 + len(SPECIAL_TOKENS)).cast("int").alias("id"))
     )
+    if size is not None:
+        ranked = ranked.where(F.col("id") < size + len(SPECIAL_TOKENS))
     spark = token_arrays.sparkSession
     specials = spark.createDataFrame([(t, i, True) for i, t in enumerate(SPECIAL_TOKENS)], "token string, id int, is_special boolean")
-    words = ranked.select("token", F.col("id").cast("int"), F.lit(False).alias("is_special"))
-    return specials.unionByName(words)
+    return specials.unionByName(ranked.select("token", "id", F.lit(False).alias("is_special")))
 
 
-def encode(df: DataFrame, id_col, tokens_col: str, vocab: DataFrame, out_col: str = "ids") -> DataFrame:
+def _in_order(exploded: DataFrame, keys: Sequence[str], value: str, out: Column) -> DataFrame:
+    """Collect ``value`` per row in position order; ``out`` maps the ordered array ``_v``."""
+    entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", value))
+    rows = exploded.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(entry)).alias("_e"), F.max("_pos").alias("_last"), F.count(F.lit(1)).alias("_n")
+    )
+    fine = F.col("_n") == F.coalesce(F.col("_last") + 1, F.lit(1))
+    values = F.transform("_e", lambda x: x[value])
+    checked = F.when(fine, values).otherwise(F.array(_repeated_id(*keys).cast("string")).cast(_array_of(exploded, value)))
+    return rows.select(*keys, checked.alias("_v")).select(*keys, out)
+
+
+def _array_of(df: DataFrame, column: str) -> str:
+    return f"array<{df.schema[column].dataType.simpleString()}>"
+
+
+def encode(df: DataFrame, id_col, tokens_col, vocab: DataFrame, out_col="ids") -> DataFrame:
     """Token arrays to id arrays with UNK fallback.
 
-    Explode, left-join the (bounded, broadcast) vocabulary, re-collect in
-    position order per row.  Rows with no token get an empty array.
+    ``tokens_col`` and ``out_col`` may be lists of the same length: all parts of an
+    example are then encoded in one pass.  Rows with no token get empty arrays.
     """
-    v = F.broadcast(vocab.where(~F.col("is_special")).select("token", F.col("id").alias("_id")))
-    # posexplode_outer keeps rows without tokens (NULL position) so that no
-    # join back to the input is needed; collect_list skips their NULL entry.
     keys = [id_col] if isinstance(id_col, str) else list(id_col)
-    ex = df.select(*keys, F.posexplode_outer(tokens_col).alias("_pos", "token"))
-    looked = ex.join(v, "token", "left")
-    entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_id", F.lit(UNK_ID)).alias("_id")))
-    return looked.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["_id"]).alias(out_col)
-    )
+    parts = [tokens_col] if isinstance(tokens_col, str) else list(tokens_col)
+    outs = [out_col] if isinstance(out_col, str) else list(out_col)
+    v = vocab.where(~F.col("is_special")).select("token", F.col("id").alias("_id"))
+    sizes = [F.size(p).alias(f"_s{i}") for i, p in enumerate(parts)]
+    rows = _dealt(df.select(*keys, *parts), keys).select(*keys, F.array(*sizes).alias("_sizes"), F.concat(*parts).alias("_t"))
+    ex = rows.select(*keys, "_sizes", F.posexplode_outer("_t").alias("_pos", "token"))
+    looked = ex.join(v, "token", "left").withColumn("_id", F.coalesce("_id", F.lit(UNK_ID)))
+    cuts, before = [], F.lit(0)
+    for i, name in enumerate(outs):
+        cuts.append(F.slice("_v", before + 1, F.col("_sizes")[i]).alias(name))
+        before = before + F.col("_sizes")[i]
+    whole = _in_order(looked, [*keys, "_sizes"], "_id", F.col("_v"))
+    return whole.select(*keys, *cuts)
 
 
 def decode(df: DataFrame, id_col: str, ids_col: str, vocab: DataFrame, out_col: str = "text",
            skip_special: bool = True) -> DataFrame:
-    """Id arrays back to space-joined text (J5); special tokens dropped when asked."""
-    v = vocab if not skip_special else vocab.where(~F.col("is_special"))
-    v = F.broadcast(v.select(F.col("id").alias("_id"), "token"))
-    ex = df.select(id_col, F.posexplode_outer(ids_col).alias("_pos", "_id"))
+    """Id arrays back to space-joined text.
+
+    An id that the vocabulary lacks reads as UNK; special tokens (UNK too) are dropped when asked.
+    """
+    v = vocab.select(F.col("id").alias("_id"), "token", "is_special")
+    ex = _dealt(df.select(id_col, ids_col), [id_col]).select(id_col, F.posexplode_outer(ids_col).alias("_pos", "_id"))
     looked = ex.join(v, "_id", "left")
-    entry = F.when(F.col("token").isNotNull(), F.struct("_pos", "token"))
-    return looked.groupBy(id_col).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["token"]), " ").alias(out_col)
-    )
+    dropped = F.coalesce("is_special", F.lit(True)) if skip_special else F.lit(False)
+    looked = looked.withColumn("_token", F.when(~dropped, F.coalesce("token", F.lit(UNK))))
+    return _in_order(looked, [id_col], "_token", F.array_join(F.array_compact("_v"), " ").alias(out_col))
 
 
 # --- R1-R7: labels, truncation, padding, masks ---------------------------------
@@ -134,6 +176,11 @@ def truncate(arr: Column, n: int) -> Column:
     return F.slice(arr, 1, n)
 
 
+def char_prefix(text: Column, n: int) -> Column:
+    """First ``n`` characters (code points) of a text (K8)."""
+    return F.substring(text, 1, n)
+
+
 def pad_right(arr: Column, n: int, value: int) -> Column:
     """Right-pad to ``n`` with ``value`` (R4); longer arrays stay as they are."""
     return F.concat(arr, lit_int_array(F.lit(n) - F.size(arr), value))
@@ -212,25 +259,31 @@ def supervision_counts(ids: Column, labels: Column, unk_id: int = UNK_ID, pad_id
 
 
 # --- R8-R11: pair encoding for span QA --------------------------------------------------
-def encode_pair(q_ids: Column, ctx_ids: Column, max_length: int) -> Column:
-    """``[CLS] q [SEP] ctx [SEP]``, context truncated to fit, padded to ``max_length``.
+def encode_pair(q_ids: Column, ctx_ids: Column, max_length: int | None = None) -> Column:
+    """``[CLS] q [SEP] ctx [SEP]`` (R10, R11); with ``max_length`` the context is cut to fit and all is padded to it.
 
     The context starts at position ``size(q) + 2`` and keeps
-    ``max_length - size(q) - 3`` tokens; a question that leaves no room for
-    context gives NULL (the row is rejected downstream).
+    ``max_length - size(q) - 3`` tokens.  NULL for a question that leaves no room for context
+    (see ``no_room``).
     """
-    room = F.lit(max_length) - F.size(q_ids) - 3
-    ctx = F.slice(ctx_ids, 1, F.greatest(room, F.lit(1)).cast("int"))
+    room = (F.lit(max_length) if max_length is not None else F.size(q_ids) + F.size(ctx_ids) + 3) - F.size(q_ids) - 3
+    ctx = F.slice(ctx_ids, 1, F.greatest(room, F.lit(0)).cast("int"))
     ids = F.concat(F.array(F.lit(CLS_ID)), q_ids, F.array(F.lit(SEP_ID)), ctx, F.array(F.lit(SEP_ID)))
-    return F.when(
-        room > 0,
-        F.struct(
-            pad_right(ids, max_length, PAD_ID).alias("input_ids"),
-            pad_right(lit_int_array(F.size(ids), 1), max_length, 0).alias("attention_mask"),
-            (F.size(q_ids) + 2).cast("int").alias("context_start"),
-            F.size(ctx).cast("int").alias("context_len"),
-        ),
+    mask = lit_int_array(F.size(ids), 1)
+    if max_length is not None:
+        ids, mask = pad_right(ids, max_length, PAD_ID), pad_right(mask, max_length, 0)
+    pair = F.struct(
+        ids.alias("input_ids"),
+        mask.alias("attention_mask"),
+        (F.size(q_ids) + 2).cast("int").alias("context_start"),
+        F.size(ctx).cast("int").alias("context_len"),
     )
+    return pair if max_length is None else F.when(room > 0, pair)
+
+
+def no_room(q_ids: Column, max_length: int) -> Column:
+    """Whether a question leaves no room for any context (the row's ``encode_pair`` is NULL)."""
+    return F.size(q_ids) + 3 >= max_length
 
 
 def first_index(arr: Column, value: int) -> Column:
@@ -238,17 +291,6 @@ def first_index(arr: Column, value: int) -> Column:
     return (F.array_position(arr, F.lit(value)) - 1).cast("int")
 
 
-def tokenize_with(df: DataFrame, text_col: str, fn, out_col: str = "ids") -> DataFrame:
-    """Apply a user tokenizer as an Arrow-batched pandas UDF.
-
-    ``fn`` maps a ``pandas.Series`` of strings to a ``Series`` of int lists.
-    """
-    from pyspark.sql.functions import pandas_udf
-
-    udf = pandas_udf(fn, "array<int>")
-    return df.withColumn(out_col, udf(F.col(text_col)))
-
-
 def sequence_counts(df: DataFrame, ids_col: str = "input_ids", labels_col: str = "labels") -> DataFrame:
     """Corpus totals of the supervision counts (A16, A17), one row."""
     s = supervision_counts(F.col(ids_col), F.col(labels_col))
@@ -264,9 +306,6 @@ def sequence_counts(df: DataFrame, ids_col: str = "input_ids", labels_col: str =
     )
 
 
-__all__: Sequence[str] = [n for n in dir() if not n.startswith("_")]
-
-
 # --- R12: assistant-only labels over a whole dialogue -------------------------------------
 def assistant_only_labels(
     turn_ids: DataFrame,

@@ -49,9 +49,17 @@ _POLICY_PROMPT_SQL = f"""CASE WHEN withhold_final_answer OR avoid_numeric_rules_
        ELSE {sql_str(dl.POLICY_AVOID_NUMERIC_TEXT)} END || '.'
   ELSE {sql_str(dl.POLICY_BASE_PROMPT + dl.POLICY_DEFAULT_TEXT)} END"""
 
-_LAST_SQL = """SELECT u.conv_id, max(u.turn) AS last_user_turn
-FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
-WHERE u.role = 'user' AND a.role = 'assistant' GROUP BY u.conv_id"""
+def last_sql(source: str = "conversations") -> str:
+    """The last pair by turn order, from the definition: a message and the next one present."""
+    return f"""SELECT conv_id, max(turn) AS last_user_turn, max(next_turn) AS target_turn FROM (
+  SELECT conv_id, turn, role, lead(turn) OVER w AS next_turn, lead(role) OVER w AS next_role FROM {source}
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) n
+WHERE role = 'user' AND next_role = 'assistant' GROUP BY conv_id"""
+
+
+_LAST_SQL = last_sql()
+# Conversations with messages taken out, so that turn numbers have gaps.
+GAPS = "(conv_id * 7 + turn * 3) % 4 <> 1"
 
 _PLAIN_SEG = f"upper(coalesce(role, 'user')) || ':' || {NL} || coalesce(text, '')"
 
@@ -61,13 +69,24 @@ def q_last_exchange(spark, sf_dir):
     return dl.last_exchange(_turns(spark, sf_dir))
 
 
+@register("w1_last_exchange_with_gaps", last_sql(f"(SELECT * FROM conversations WHERE {GAPS}) g"))
+def q_last_exchange_gaps(spark, sf_dir):
+    return dl.last_exchange(_turns(spark, sf_dir).where(GAPS))
+
+
 _EVAL_SQL = f"""WITH last AS ({_LAST_SQL}),
 pt AS (SELECT c.* FROM conversations c JOIN last l ON c.conv_id = l.conv_id WHERE c.turn <= l.last_user_turn),
 r AS (SELECT conv_id, string_agg({_PLAIN_SEG}, {NL} || {NL} ORDER BY turn) AS j FROM pt GROUP BY conv_id)
 SELECT r.conv_id, regexp_replace(j, '{_STRIP}', '', 'g') || {sql_str(dl.ASSISTANT_HEADER)} AS prompt,
-  l.last_user_turn + 1 AS target_turn, coalesce(c.text, '') AS target
+  l.target_turn, coalesce(c.text, '') AS target
 FROM r JOIN last l ON r.conv_id = l.conv_id
-JOIN conversations c ON c.conv_id = l.conv_id AND c.turn = l.last_user_turn + 1"""
+JOIN conversations c ON c.conv_id = l.conv_id AND c.turn = l.target_turn"""
+
+
+@register("w2_eval_prompts_with_gaps", f"WITH g AS (SELECT * FROM conversations WHERE {GAPS})," +
+          _EVAL_SQL.replace("conversations", "g").removeprefix("WITH"))
+def q_eval_prompts_gaps(spark, sf_dir):
+    return dl.eval_examples(_turns(spark, sf_dir).where(GAPS), mode="messages")
 
 
 @register("w2_eval_prompts", _EVAL_SQL)
@@ -79,10 +98,13 @@ def q_eval_prompts(spark, sf_dir):
     "p16_nonempty_targets",
     f"""WITH last AS ({_LAST_SQL})
 SELECT c.conv_id, c.turn AS target_turn FROM conversations c JOIN last l
-  ON c.conv_id = l.conv_id AND c.turn = l.last_user_turn + 1 WHERE coalesce(c.text, '') <> ''""",
+  ON c.conv_id = l.conv_id AND c.turn = l.target_turn
+WHERE coalesce(CASE WHEN c.conv_id % 3 = 0 THEN '' WHEN c.conv_id % 3 = 1 THEN c.text END, '') <> ''""",
 )
 def q_nonempty_targets(spark, sf_dir):
-    _, targets = dl.split_prompt_target(_turns(spark, sf_dir))
+    """Every third conversation has empty texts, every third has none."""
+    text = F.expr("CASE WHEN conv_id % 3 = 0 THEN '' WHEN conv_id % 3 = 1 THEN text END")
+    _, targets = dl.split_prompt_target(_turns(spark, sf_dir).withColumn("text", text))
     return dl.nonempty_targets(targets).select("conv_id", "target_turn")
 
 
@@ -139,7 +161,18 @@ def q_training_messages(spark, sf_dir):
     return dl.training_messages(_turns(spark, sf_dir), _policies(spark, sf_dir), CHAT_ROLES)
 
 
-@register("p12_training_messages_nested")
+# Nested form, rendered as one string per conversation (system message first, then the messages in order).
+@register(
+    "p12_training_messages_nested",
+    f"""WITH m AS (SELECT conv_id, string_agg('|' || role || '=' || coalesce(text, ''), '' ORDER BY turn) AS body
+  FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id)
+SELECT p.conv_id, 'system=' || {_POLICY_PROMPT_SQL} || coalesce(m.body, '') AS rendered
+FROM ({_POLICIES_SQL}) p LEFT JOIN m ON m.conv_id = p.conv_id""",
+)
 def q_training_messages_nested(spark, sf_dir):
-    msgs = dl.training_messages(_turns(spark, sf_dir), _policies(spark, sf_dir), CHAT_ROLES)
-    return dl.to_messages(msgs)
+    nested = dl.to_messages(_turns(spark, sf_dir))
+    joined = nested.join(_policies(spark, sf_dir), "conv_id")
+    system = dl.policy_system_prompt("withhold_final_answer", "avoid_numeric_rules_of_thumb")
+    messages = dl.nested_messages(F.col("messages"), system, CHAT_ROLES)
+    shown = F.transform(messages, lambda m: F.concat(m["role"], F.lit("="), F.coalesce(m["content"], F.lit(""))))
+    return joined.select("conv_id", F.array_join(shown, "|").alias("rendered"))

@@ -2,10 +2,11 @@
 
 Logits come from ``embeddings``: the 64-long vector is the start logits, the
 reversed vector the end logits, ``label`` the true start and ``label + 2``
-the true end; position 0 stands for the CLS token (no offset).  LM logits for
+the true end; position 0 stands for the CLS token (no offset), and every tenth
+example has no offsets at all, so its span comes from the fallback.  LM logits for
 A18 group eight consecutive vectors into one example (vocabulary = the first
 64 ids of the ``documents`` vocabulary).  The answer-label fixture (W6-W8)
-uses ``documents`` as contexts with a three-token answer.
+uses whole ``documents`` as contexts with a three-token answer.
 """
 
 from __future__ import annotations
@@ -16,15 +17,12 @@ from maieutic.operators import span_qa as sq
 from maieutic.operators import tokens as tk
 from maieutic.operators.behavior import behavior_metrics
 from maieutic.operators.dialogue import ordered_concat
-from maieutic.functions.text_rules import strip_text
+from maieutic.functions.text_rules import BLANKS, strip_text
 from maieutic.plans import oracle as o
 from maieutic.plans.catalog import register
 from maieutic.plans.inputs import table
 from maieutic.plans.q_tokens import _DOC_VOCAB_SQL, P, _doc_vocab
 
-QA_MAX_LENGTH = 64
-
-
 def _logits(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings", spread="vec_id")
     v = F.col("embedding").cast("array<double>")
@@ -38,7 +36,7 @@ def _offsets(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     offs = F.transform(
         F.sequence(F.lit(0), F.size("embedding") - 1),
-        lambda i: F.when(i > 0, F.struct((i * 5).alias("s"), (i * 5 + 4).alias("e"))),
+        lambda i: F.when((i > 0) & (F.col("vec_id") % 10 != 0), F.struct((i * 5).alias("s"), (i * 5 + 4).alias("e"))),
     )
     return e.select(F.col("vec_id").alias("example_id"), offs.alias("offset_mapping"))
 
@@ -57,7 +55,7 @@ _DECODE_SQL = f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS st, l
 {_ranked_sql('st', 'sr')},
 {_ranked_sql('en', 'er')},
 c AS (SELECT a.vec_id, a.pos AS ps, b.pos AS pe, a.v + b.v AS score, a.rk AS sk, b.rk AS ek FROM sr a JOIN er b
-  ON a.vec_id = b.vec_id WHERE a.rk <= {sq.N_BEST_SIZE} AND b.rk <= {sq.N_BEST_SIZE} AND a.pos >= 1 AND b.pos >= 1
+  ON a.vec_id = b.vec_id WHERE a.rk <= {sq.N_BEST_SIZE} AND b.rk <= {sq.N_BEST_SIZE} AND a.pos >= 1 AND b.pos >= 1 AND a.vec_id % 10 <> 0
   AND b.pos >= a.pos AND b.pos - a.pos + 1 <= {sq.MAX_ANSWER_LENGTH}),
 b AS (SELECT vec_id, ps, pe, score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, sk, ek)
   AS r FROM c) x WHERE r = 1),
@@ -128,30 +126,21 @@ def q_span_report(spark, sf_dir):
 
 # --- W6-W8: answer token labels on documents ---------------------------------------------------
 def _doc_qa(spark, sf_dir):
-    d = table(spark, sf_dir, "documents", spread="doc_id")
-    toks = tk.token_offsets(d, "doc_id")
-    counts = toks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tok"))
-    docs = d.join(counts, "doc_id", "left").select(
-        "doc_id", "text", F.coalesce("n_tok", F.lit(0)).alias("n_tok"),
-        F.size(tk.word_tokens(F.concat(F.lit("What does the "), F.col("source"), F.lit(" passage say?"))))
-        .alias("q_len"),
-    )
-    docs = docs.withColumn("_a0", F.when(F.col("doc_id") % 2 == 1, F.col("n_tok") - 3).otherwise(F.lit(2)))
-    span = toks.join(docs.select("doc_id", "_a0"), "doc_id").groupBy("doc_id").agg(
-        F.min(F.when(F.col("pos") == F.col("_a0"), F.col("start"))).alias("_s0"),
-        F.max(F.when(F.col("pos") == F.col("_a0") + 2, F.col("end"))).alias("_e2"),
-    )
-    ex = docs.join(span, "doc_id", "left")
-    has = F.col("n_tok") >= 5
-    room = F.lit(QA_MAX_LENGTH) - F.col("q_len") - 3
-    ex = ex.select(
-        "doc_id",
-        F.when(has, F.col("_s0")).alias("answer_start"),
-        F.when(has, F.substring(F.col("text"), F.col("_s0") + 1, F.col("_e2") - F.col("_s0"))).alias("answer_text"),
-        (F.col("q_len") + 2).alias("context_start"),
-        F.least(F.col("n_tok"), room).alias("context_len"),
+    """Examples with a three-token answer, found in-row from the text's token pieces."""
+    d = table(spark, sf_dir, "documents")
+    pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(tk.WORD_TOKEN_REGEX), 0)
+    question = F.concat(F.lit("What does the "), F.col("source"), F.lit(" passage say?"))
+    rows = d.select("doc_id", "text", pieces.alias("_p"), F.size(tk.word_tokens(question)).alias("q_len"))
+    rows = rows.withColumn("_a0", F.when(F.col("doc_id") % 2 == 1, F.size("_p") - 3).otherwise(F.lit(2)))
+    upto = lambda n: F.length(F.array_join(F.slice("_p", F.lit(1), n), ""))
+    has = F.size("_p") >= 5
+    start = upto(F.col("_a0") + 1) - F.length(F.ltrim(F.get("_p", F.col("_a0")), F.lit(BLANKS)))
+    rows = rows.withColumn("answer_start", F.when(has, start)).withColumn("_e2", F.when(has, upto(F.col("_a0") + 3)))
+    return rows.select(
+        "doc_id", "answer_start",
+        F.substring(F.col("text"), F.col("answer_start") + 1, F.col("_e2") - F.col("answer_start")).alias("answer_text"),
+        (F.col("q_len") + 2).alias("context_start"), F.size("_p").alias("context_len"),
     )
-    return tk, toks, ex
 
 
 _DOC_QA_SQL = f"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{P}', 0) AS pieces,
@@ -169,7 +158,7 @@ sp AS (SELECT d2.doc_id, min(CASE WHEN tok.pos = d2.a0 THEN tok.s END) AS s0,
     max(CASE WHEN tok.pos = d2.a0 + 2 THEN tok.e END) AS e2 FROM tok JOIN d2 ON tok.doc_id = d2.doc_id GROUP BY d2.doc_id),
 ex AS (SELECT d2.doc_id, CASE WHEN n_tok >= 5 THEN s0 END AS answer_start,
     CASE WHEN n_tok >= 5 THEN s0 + length(substring(text, CAST(s0 + 1 AS BIGINT), CAST(e2 - s0 AS BIGINT))) END AS answer_end,
-    q_len + 2 AS context_start, least(n_tok, {QA_MAX_LENGTH} - q_len - 3) AS context_len
+    q_len + 2 AS context_start, n_tok AS context_len
   FROM d2 LEFT JOIN sp ON d2.doc_id = sp.doc_id),
 fd AS (SELECT ex.doc_id, max(CASE WHEN tok.s <= ex.answer_start THEN tok.pos END) AS fs,
     min(CASE WHEN tok.e >= ex.answer_end THEN tok.pos END) AS fe
@@ -184,8 +173,8 @@ FROM ex LEFT JOIN fd ON ex.doc_id = fd.doc_id"""
 
 @register("w6_w8_answer_positions", _DOC_QA_SQL)
 def q_answer_positions(spark, sf_dir):
-    _, toks, ex = _doc_qa(spark, sf_dir)
-    return sq.answer_positions(toks, ex, "doc_id")
+    toks = tk.token_offsets(table(spark, sf_dir, "documents"), "doc_id")
+    return sq.answer_positions(toks, _doc_qa(spark, sf_dir), "doc_id")
 
 
 # --- A18: behaviour metrics of LM predictions --------------------------------------------------
@@ -200,7 +189,7 @@ def _lm_texts(spark, sf_dir):
     nxt = lm.select("example_id", (F.col("pos") - 1).alias("pos"), F.col("label").alias("next_label"))
     preds = lm.join(nxt, ["example_id", "pos"]).where(F.col("next_label") != tk.IGNORE_INDEX).select(
         "example_id", "pos", sq.argmax(F.col("logits")).alias("pred"))
-    vocab = F.broadcast(_doc_vocab(spark, sf_dir).where(~F.col("is_special")).select(F.col("id").alias("pred"), "token"))
+    vocab = _doc_vocab(spark, sf_dir).where(~F.col("is_special")).select(F.col("id").alias("pred"), "token")
     words = preds.join(vocab, "pred", "inner")
     texts = ordered_concat(words, ["example_id"], "pos", "token", " ", "text")
     examples = preds.select("example_id").distinct()

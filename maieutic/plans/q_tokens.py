@@ -1,9 +1,10 @@
 """Catalogue: token operators.
 
-Token ids come from vocabularies built by Spark over the whole tables
-(``documents``: 5,000 words; ``conversations``: 2,000 words).  QA examples
-are the last exchange of each conversation (question = last user message,
-answer = the assistant reply).  Arrays are rendered as space-joined strings
+Token ids come from the full vocabularies of the whole tables (for conversations: of the
+user messages, so the other roles have unknown words).  QA examples are all
+adjacent message pairs of every conversation (question = the message, answer = the
+next one), with an empty question for every seventh and an empty answer for
+every fifth pair, so that the supervision checks have something to find.  Arrays are rendered as space-joined strings
 so that both engines compare plain values.
 """
 
@@ -17,7 +18,7 @@ from maieutic.plans import oracle as o
 from maieutic.plans.catalog import register
 from maieutic.plans.inputs import table
 
-DOC_VOCAB, CONV_VOCAB, QA_MAX_LENGTH, DIALOGUE_MAX_LENGTH = 5000, 2000, 256, 4096
+QA_MAX_LENGTH, DIALOGUE_MAX_LENGTH = 256, 4096
 # Fixed value: the long-form QA prompt format.
 QA_PROMPT_PREFIX, QA_PROMPT_SUFFIX = "Question: ", "\nAnswer:"
 
@@ -29,17 +30,17 @@ def arr_str(c):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
 
 
-def vocab_sql(texts_sql: str, size: int) -> str:
+def vocab_sql(texts_sql: str) -> str:
     specials = " UNION ALL ".join(
         f"SELECT '{t}' AS token, {i} AS id, true AS is_special" for i, t in enumerate(tk.SPECIAL_TOKENS)
     )
     n = len(tk.SPECIAL_TOKENS)
     return f"""SELECT token, CAST(id AS INTEGER) AS id, is_special FROM ({specials}) sp
 UNION ALL SELECT token, CAST(id AS INTEGER) AS id, false AS is_special FROM (
-  SELECT token, row_number() OVER (ORDER BY cnt DESC, token) + {n - 1} AS id FROM (
+  SELECT token, row_number() OVER (ORDER BY cnt DESC, md5(token), token) + {n - 1} AS id FROM (
     SELECT token, count(*) AS cnt FROM (
       SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '{P}', 1)) AS token FROM ({texts_sql}) s0) s1
-    GROUP BY token) c ORDER BY cnt DESC, token LIMIT {size}) t"""
+    GROUP BY token) c) t"""
 
 
 def id_lists_sql(src: str, keys: str, text_expr: str, vocab: str, name: str) -> str:
@@ -67,15 +68,15 @@ SELECT doc_id, CAST(pos AS INTEGER) AS pos, lower(tok) AS token, CAST(e - length
   CAST(e AS INTEGER) AS "end" FROM r""",
 )
 def q_token_offsets(spark, sf_dir):
-    return tk.token_offsets(table(spark, sf_dir, "documents", spread="doc_id"), "doc_id")
+    return tk.token_offsets(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def _doc_vocab(spark, sf_dir):
-    d = table(spark, sf_dir, "documents", spread="doc_id")
-    return tk.build_vocab(d.select(tk.word_tokens(F.col("text")).alias("tokens")), size=DOC_VOCAB)
+    d = table(spark, sf_dir, "documents")
+    return tk.build_vocab(d.select(tk.word_tokens(F.col("text")).alias("tokens")))
 
 
-_DOC_VOCAB_SQL = vocab_sql("SELECT text FROM documents", DOC_VOCAB)
+_DOC_VOCAB_SQL = vocab_sql("SELECT text FROM documents")
 
 
 @register("j6_vocab_documents", _DOC_VOCAB_SQL)
@@ -84,7 +85,7 @@ def q_vocab(spark, sf_dir):
 
 
 def _doc_ids(spark, sf_dir):
-    d = table(spark, sf_dir, "documents", spread="doc_id")
+    d = table(spark, sf_dir, "documents")
     toks = d.select("doc_id", tk.word_tokens(F.col("text")).alias("tokens"))
     return tk.encode(toks, "doc_id", "tokens", _doc_vocab(spark, sf_dir), "ids")
 
@@ -121,38 +122,44 @@ def q_decode(spark, sf_dir):
     return tk.decode(_doc_ids(spark, sf_dir), "doc_id", "ids", _doc_vocab(spark, sf_dir), "text")
 
 
-# --- QA examples over the last exchange of each conversation -------------------------------
+# --- QA examples over all adjacent messages of every conversation ---------------------------
+def _user_vocab(turns):
+    """All tokens of the user messages; a word that only other roles say is unknown to it."""
+    users = turns.where(F.col("role") == "user")
+    return tk.build_vocab(users.select(tk.word_tokens(F.col("text")).alias("tokens")))
+
+
+_USER_VOCAB_SQL = vocab_sql("SELECT text FROM conversations WHERE role = 'user'")
+
+
 def _qa_examples(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
-    last = dl.last_exchange(turns)
-    users = turns.join(last, "conv_id").where(F.col("turn") == F.col("last_user_turn"))
-    q = users.select("conv_id", F.concat(F.lit(QA_PROMPT_PREFIX), F.coalesce("text", F.lit("")),
-                                         F.lit(QA_PROMPT_SUFFIX)).alias("q_text"))
-    _, targets = dl.split_prompt_target(turns)
-    ex = q.join(targets.select("conv_id", F.col("target").alias("a_text")), "conv_id")
-    vocab = tk.build_vocab(turns.select(tk.word_tokens(F.col("text")).alias("tokens")), size=CONV_VOCAB)
-    q_ids = tk.encode(ex.select("conv_id", tk.word_tokens(F.col("q_text")).alias("t")), "conv_id", "t", vocab, "q_ids")
-    a_ids = tk.encode(ex.select("conv_id", tk.word_tokens(F.col("a_text")).alias("t")), "conv_id", "t", vocab, "a_ids")
-    both = q_ids.join(a_ids, "conv_id")
-    return both.select("conv_id", tk.prompt_answer_example(F.col("q_ids"), F.col("a_ids"), QA_MAX_LENGTH).alias("x"))
-
-
-_LAST_SQL = """SELECT u.conv_id, max(u.turn) AS last_user_turn
-FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
-WHERE u.role = 'user' AND a.role = 'assistant' GROUP BY u.conv_id"""
-_QA_CTES = f"""last AS ({_LAST_SQL}),
-ex AS (SELECT l.conv_id, 'Question: ' || coalesce(u.text, '') || chr(10) || 'Answer:' AS q_text,
-    coalesce(a.text, '') AS a_text FROM last l
-  JOIN conversations u ON u.conv_id = l.conv_id AND u.turn = l.last_user_turn
-  JOIN conversations a ON a.conv_id = l.conv_id AND a.turn = l.last_user_turn + 1),
-cvocab AS ({vocab_sql('SELECT text FROM conversations', CONV_VOCAB)}),
-{id_lists_sql('SELECT conv_id, q_text FROM ex', 'conv_id', 'q_text', 'cvocab', 'qids')},
-{id_lists_sql('SELECT conv_id, a_text FROM ex', 'conv_id', 'a_text', 'cvocab', 'aids')},
-parts AS (SELECT q.conv_id, list_slice(q.ids, 1, {QA_MAX_LENGTH}) AS q, list_slice(a.ids, 1, {QA_MAX_LENGTH}) AS a
-  FROM qids q JOIN aids a ON q.conv_id = a.conv_id),
-raw AS (SELECT conv_id, list_slice(list_concat(q, a), 1, {QA_MAX_LENGTH}) AS ids,
+    after = turns.select(F.col("conv_id").alias("_c"), (F.col("turn") - 1).alias("_t"), F.col("text").alias("_next"))
+    pairs = turns.join(after, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")))
+    no_q, no_a = F.expr("(conv_id + turn) % 7 = 0"), F.expr("(conv_id + turn) % 5 = 0")
+    prompt = F.concat(F.lit(QA_PROMPT_PREFIX), F.coalesce("text", F.lit("")), F.lit(QA_PROMPT_SUFFIX))
+    ex = pairs.select(
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("pair_id"),
+        tk.word_tokens(F.when(no_q, F.lit("")).otherwise(prompt)).alias("q"),
+        tk.word_tokens(F.when(no_a, F.lit("")).otherwise(F.col("_next"))).alias("a"),
+    )
+    vocab = _user_vocab(turns)
+    both = tk.encode(ex, "pair_id", ["q", "a"], vocab, ["q_ids", "a_ids"])
+    return both.select("pair_id", tk.prompt_answer_example(F.col("q_ids"), F.col("a_ids"), QA_MAX_LENGTH).alias("x"))
+
+
+_QA_CTES = f"""ex AS (SELECT u.conv_id * 1000000 + u.turn AS pair_id, CASE WHEN (u.conv_id + u.turn) % 7 = 0 THEN '' ELSE
+    'Question: ' || coalesce(u.text, '') || chr(10) || 'Answer:' END AS q_text,
+    CASE WHEN (u.conv_id + u.turn) % 5 = 0 THEN '' ELSE coalesce(a.text, '') END AS a_text
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1),
+cvocab AS ({_USER_VOCAB_SQL}),
+{id_lists_sql('SELECT pair_id, q_text FROM ex', 'pair_id', 'q_text', 'cvocab', 'qids')},
+{id_lists_sql('SELECT pair_id, a_text FROM ex', 'pair_id', 'a_text', 'cvocab', 'aids')},
+parts AS (SELECT q.pair_id, list_slice(q.ids, 1, {QA_MAX_LENGTH}) AS q, list_slice(a.ids, 1, {QA_MAX_LENGTH}) AS a
+  FROM qids q JOIN aids a ON q.pair_id = a.pair_id),
+raw AS (SELECT pair_id, list_slice(list_concat(q, a), 1, {QA_MAX_LENGTH}) AS ids,
   list_slice(list_concat(list_resize({EMPTY}, len(q), -100), a), 1, {QA_MAX_LENGTH}) AS labels FROM parts),
-qa AS (SELECT conv_id, list_resize(ids, {QA_MAX_LENGTH}, {tk.PAD_ID}) AS input_ids,
+qa AS (SELECT pair_id, list_resize(ids, {QA_MAX_LENGTH}, {tk.PAD_ID}) AS input_ids,
   list_resize(list_resize({EMPTY}, len(ids), 1), {QA_MAX_LENGTH}, 0) AS attention_mask,
   list_resize(labels, {QA_MAX_LENGTH}, -100) AS labels FROM raw)"""
 
@@ -160,47 +167,32 @@ qa AS (SELECT conv_id, list_resize(ids, {QA_MAX_LENGTH}, {tk.PAD_ID}) AS input_i
 @register(
     "r1_r5_qa_examples",
     f"""WITH {_QA_CTES}
-SELECT conv_id, array_to_string(input_ids, ' ') AS input_ids, array_to_string(attention_mask, ' ') AS attention_mask,
+SELECT pair_id, array_to_string(input_ids, ' ') AS input_ids, array_to_string(attention_mask, ' ') AS attention_mask,
   array_to_string(labels, ' ') AS labels FROM qa""",
 )
 def q_qa_examples(spark, sf_dir):
     x = _qa_examples(spark, sf_dir)
-    return x.select("conv_id", arr_str(F.col("x.input_ids")).alias("input_ids"),
+    return x.select("pair_id", arr_str(F.col("x.input_ids")).alias("input_ids"),
                     arr_str(F.col("x.attention_mask")).alias("attention_mask"), arr_str(F.col("x.labels")).alias("labels"))
 
 
 @register(
     "r6_r7_label_views",
     f"""WITH {_QA_CTES}
-SELECT conv_id, array_to_string(list_filter(labels, lambda x: x <> -100), ' ') AS answer_labels,
+SELECT pair_id, array_to_string(list_filter(labels, lambda x: x <> -100), ' ') AS answer_labels,
   array_to_string(list_transform(range(len(input_ids)), lambda i: CASE WHEN labels[i + 1] <> -100 THEN input_ids[i + 1]
     ELSE {tk.PAD_ID} END), ' ') AS masked_ids FROM qa""",
 )
 def q_label_views(spark, sf_dir):
     x = _qa_examples(spark, sf_dir)
-    return x.select("conv_id", arr_str(tk.answer_labels(F.col("x.labels"))).alias("answer_labels"),
+    return x.select("pair_id", arr_str(tk.answer_labels(F.col("x.labels"))).alias("answer_labels"),
                     arr_str(tk.masked_view(F.col("x.input_ids"), F.col("x.labels"))).alias("masked_ids"))
 
 
-@register(
-    "w3_target_spans",
-    f"""WITH {_QA_CTES},
-sp AS (SELECT conv_id, list_filter(range(len(labels)), lambda i: labels[i + 1] <> -100 AND (i = 0 OR labels[i] = -100)) AS st,
-  list_filter(range(len(labels)), lambda i: labels[i + 1] <> -100 AND (i = len(labels) - 1 OR labels[i + 2] = -100)) AS en
-  FROM qa)
-SELECT conv_id, CAST(len(st) AS BIGINT) AS n_spans,
-  array_to_string(list_transform(range(len(st)), lambda k: CAST(st[k + 1] AS VARCHAR) || ':' || CAST(en[k + 1] + 1 AS VARCHAR)), ' ')
-  AS spans FROM sp""",
-)
-def q_target_spans(spark, sf_dir):
-    x = _qa_examples(spark, sf_dir)
-    spans = tk.target_spans(F.col("x.labels"))
-    return x.select(
-        "conv_id",
-        F.size(spans).cast("bigint").alias("n_spans"),
-        F.array_join(F.transform(spans, lambda s: F.concat(s["start"].cast("string"), F.lit(":"),
-                                                           s["end"].cast("string"))), " ").alias("spans"),
-    )
+def _unpadded(x):
+    """Examples without their padding (as long as the attention mask says)."""
+    n = F.size(F.filter("x.attention_mask", lambda m: m == 1))
+    return x.select("pair_id", F.slice("x.input_ids", F.lit(1), n).alias("input_ids"), F.slice("x.labels", F.lit(1), n).alias("labels"))
 
 
 _CHECK_SQL = """CAST(len(input_ids) AS BIGINT) AS total_tokens,
@@ -209,35 +201,36 @@ _CHECK_SQL = """CAST(len(input_ids) AS BIGINT) AS total_tokens,
 
 @register(
     "p13_a16_a17_supervision_checks",
-    f"""WITH {_QA_CTES}, c AS (SELECT conv_id, {_CHECK_SQL},
+    f"""WITH {_QA_CTES}, un AS (SELECT pair_id, list_slice(input_ids, 1, list_sum(attention_mask)) AS input_ids,
+  list_slice(labels, 1, list_sum(attention_mask)) AS labels FROM qa), c AS (SELECT pair_id, {_CHECK_SQL},
   CAST(len(list_filter(input_ids, lambda x: x = {tk.UNK_ID})) AS BIGINT) AS unk_full,
   CAST(len(list_filter(list_transform(range(len(input_ids)), lambda i: CASE WHEN labels[i + 1] <> -100 THEN input_ids[i + 1]
-    ELSE {tk.PAD_ID} END), lambda x: x = {tk.UNK_ID})) AS BIGINT) AS unk_masked FROM qa)
-SELECT conv_id, total_tokens, target_tokens, total_tokens - target_tokens AS masked_tokens, unk_full, unk_masked,
+    ELSE {tk.PAD_ID} END), lambda x: x = {tk.UNK_ID})) AS BIGINT) AS unk_masked FROM un)
+SELECT pair_id, total_tokens, target_tokens, total_tokens - target_tokens AS masked_tokens, unk_full, unk_masked,
   CASE WHEN total_tokens = 0 THEN '0 tokens' WHEN target_tokens = 0 THEN 'no target tokens'
        WHEN target_tokens >= total_tokens THEN 'all tokens are targets' END AS reason,
   NOT (total_tokens = 0 OR target_tokens = 0 OR target_tokens >= total_tokens) AS valid FROM c""",
 )
 def q_supervision_checks(spark, sf_dir):
-    x = _qa_examples(spark, sf_dir)
-    s = tk.supervision_counts(F.col("x.input_ids"), F.col("x.labels"))
-    return x.select("conv_id", s.alias("s")).select("conv_id", "s.*")
+    x = _unpadded(_qa_examples(spark, sf_dir))
+    s = tk.supervision_counts(F.col("input_ids"), F.col("labels"))
+    return x.select("pair_id", s.alias("s")).select("pair_id", "s.*")
 
 
 @register(
     "a16_a17_corpus_counts",
-    f"""WITH {_QA_CTES}, c AS (SELECT {_CHECK_SQL},
+    f"""WITH {_QA_CTES}, un AS (SELECT pair_id, list_slice(input_ids, 1, list_sum(attention_mask)) AS input_ids,
+  list_slice(labels, 1, list_sum(attention_mask)) AS labels FROM qa), c AS (SELECT {_CHECK_SQL},
   CAST(len(list_filter(input_ids, lambda x: x = {tk.UNK_ID})) AS BIGINT) AS unk_full,
   CAST(len(list_filter(list_transform(range(len(input_ids)), lambda i: CASE WHEN labels[i + 1] <> -100 THEN input_ids[i + 1]
-    ELSE {tk.PAD_ID} END), lambda x: x = {tk.UNK_ID})) AS BIGINT) AS unk_masked FROM qa)
+    ELSE {tk.PAD_ID} END), lambda x: x = {tk.UNK_ID})) AS BIGINT) AS unk_masked FROM un)
 SELECT count(*) AS n_examples, sum(total_tokens) AS total_tokens, sum(target_tokens) AS target_tokens,
   sum(total_tokens - target_tokens) AS masked_tokens, sum(unk_full) AS unk_full, sum(unk_masked) AS unk_masked,
   CAST(sum(CASE WHEN total_tokens = 0 OR target_tokens = 0 OR target_tokens >= total_tokens THEN 1 ELSE 0 END) AS BIGINT)
   AS n_invalid FROM c""",
 )
 def q_corpus_counts(spark, sf_dir):
-    x = _qa_examples(spark, sf_dir)
-    return tk.sequence_counts(x.select(F.col("x.input_ids").alias("input_ids"), F.col("x.labels").alias("labels")))
+    return tk.sequence_counts(_unpadded(_qa_examples(spark, sf_dir)))
 
 
 # --- W4: causal-LM blocks over documents (title = source, answer = text) -----------------
@@ -252,19 +245,15 @@ SELECT doc_id, CAST(block AS INTEGER) AS block,
 FROM b""",
 )
 def q_clm_blocks(spark, sf_dir):
-    d = table(spark, sf_dir, "documents", spread="doc_id")
-    vocab = _doc_vocab(spark, sf_dir)
-    src = tk.encode(d.select("doc_id", tk.word_tokens(F.col("source")).alias("t")), "doc_id", "t", vocab, "q")
-    txt = tk.encode(d.select("doc_id", tk.word_tokens(F.col("text")).alias("t")), "doc_id", "t", vocab, "a")
-    ids = src.join(txt, "doc_id").select("doc_id", F.concat("q", "a").alias("ids"))
+    d = table(spark, sf_dir, "documents")
+    rows = d.select("doc_id", tk.word_tokens(F.col("source")).alias("s"), tk.word_tokens(F.col("text")).alias("t"))
+    ids = tk.encode(rows.select("doc_id", F.concat("s", "t").alias("t")), "doc_id", "t", _doc_vocab(spark, sf_dir), "ids")
     blocks = ids.select("doc_id", F.posexplode(tk.clm_blocks(F.col("ids"))).alias("block", "b"))
     return blocks.select("doc_id", F.col("block").cast("int"), arr_str(F.col("b")).alias("input_ids"))
 
 
 # --- R12: assistant-only labels over whole dialogues --------------------------------------
-@register(
-    "r12_assistant_labels",
-    f"""WITH cvocab AS ({vocab_sql('SELECT text FROM conversations', CONV_VOCAB)}),
+_DIALOGUE_CTES = f"""cvocab AS ({_USER_VOCAB_SQL}),
 {id_lists_sql('SELECT conv_id, turn, role, text FROM conversations', 'conv_id, turn, role', 'text', 'cvocab', 'tids')},
 seg AS (SELECT conv_id, turn,
   CASE role WHEN 'system' THEN list_concat([{tk.ROLE_TAG_IDS['system']}], ids)
@@ -274,14 +263,42 @@ seg AS (SELECT conv_id, turn,
        WHEN role IN ('system', 'user') THEN list_resize({EMPTY}, len(ids) + 1, -100) ELSE {EMPTY} END AS sl
   FROM tids),
 agg AS (SELECT conv_id, list_concat(flatten(list(si ORDER BY turn)), [{tk.EOS_ID}]) AS ids,
-  list_concat(flatten(list(sl ORDER BY turn)), [-100]) AS labels FROM seg GROUP BY conv_id)
+  list_concat(flatten(list(sl ORDER BY turn)), [-100]) AS labels FROM seg GROUP BY conv_id)"""
+
+
+@register(
+    "r12_assistant_labels",
+    f"""WITH {_DIALOGUE_CTES}
 SELECT conv_id, array_to_string(list_slice(ids, 1, {DIALOGUE_MAX_LENGTH}), ' ') AS input_ids,
   array_to_string(list_slice(labels, 1, {DIALOGUE_MAX_LENGTH}), ' ') AS labels FROM agg""",
 )
 def q_assistant_labels(spark, sf_dir):
+    out = _dialogue_examples(spark, sf_dir)
+    return out.select("conv_id", arr_str(F.col("input_ids")).alias("input_ids"), arr_str(F.col("labels")).alias("labels"))
+
+
+def _dialogue_examples(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
-    vocab = tk.build_vocab(turns.select(tk.word_tokens(F.col("text")).alias("tokens")), size=CONV_VOCAB)
     ids = tk.encode(turns.select("conv_id", "turn", "role", tk.word_tokens(F.col("text")).alias("t")),
-                    ["conv_id", "turn", "role"], "t", vocab, "ids")
-    out = tk.assistant_only_labels(ids, "conv_id", "ids", DIALOGUE_MAX_LENGTH)
-    return out.select("conv_id", arr_str(F.col("input_ids")).alias("input_ids"), arr_str(F.col("labels")).alias("labels"))
+                    ["conv_id", "turn", "role"], "t", _user_vocab(turns), "ids")
+    return tk.assistant_only_labels(ids, "conv_id", "ids", DIALOGUE_MAX_LENGTH)
+
+
+@register(
+    "w3_target_spans",
+    f"""WITH {_DIALOGUE_CTES},
+cut AS (SELECT conv_id, list_slice(labels, 1, {DIALOGUE_MAX_LENGTH}) AS labels FROM agg),
+sp AS (SELECT conv_id, list_filter(range(len(labels)), lambda i: labels[i + 1] <> -100 AND (i = 0 OR labels[i] = -100)) AS st,
+  list_filter(range(len(labels)), lambda i: labels[i + 1] <> -100 AND (i = len(labels) - 1 OR labels[i + 2] = -100)) AS en
+  FROM cut)
+SELECT conv_id, CAST(len(st) AS BIGINT) AS n_spans,
+  array_to_string(list_transform(range(len(st)), lambda k: CAST(st[k + 1] AS VARCHAR) || ':' || CAST(en[k + 1] + 1 AS VARCHAR)), ' ')
+  AS spans FROM sp""",
+)
+def q_target_spans(spark, sf_dir):
+    """One run of supervised labels per assistant message that has tokens."""
+    spans = tk.target_spans(F.col("labels"))
+    shown = F.transform(spans, lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["end"].cast("string")))
+    return _dialogue_examples(spark, sf_dir).select(
+        "conv_id", F.size(spans).cast("bigint").alias("n_spans"), F.array_join(shown, " ").alias("spans")
+    )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maieutic.operators import dialogue as dl
@@ -16,58 +16,87 @@ from maieutic.operators import span_qa as sq
 from maieutic.operators import tokens as tk
 
 
-def _ids(df, id_col, text, vocab, out):
-    return tk.encode(df.select(id_col, tk.word_tokens(text).alias("_t")), id_col, "_t", vocab, out)
+Tokenizer = Callable[[Column], Column]
 
 
-def eli5_qa(df: DataFrame, vocab: DataFrame, max_length: int = 512, id_col: str = "id",
-            title_col: str = "title", answers_col: str = "answers") -> DataFrame:
+def _first_answer_text(answers_col: str) -> Column:
+    return F.coalesce(F.get(F.col(f"{answers_col}.text"), 0), F.lit(""))
+
+
+def eli5_qa(df: DataFrame, vocab: DataFrame, max_length: int = 512, id_col: str = "id", title_col: str = "title",
+            answers_col: str = "answers", tokenizer: Tokenizer = tk.word_tokens) -> DataFrame:
     """Long-form QA for a causal LM: loss on the answer only."""
     q = F.concat(F.lit("Question: "), F.coalesce(F.col(title_col), F.lit("")), F.lit("\nAnswer:"))
-    a = F.coalesce(F.get(F.col(f"{answers_col}.text"), 0), F.lit(""))
-    base = df.select(id_col, q.alias("_q"), a.alias("_a"))
-    both = _ids(base, id_col, F.col("_q"), vocab, "_qi").join(_ids(base, id_col, F.col("_a"), vocab, "_ai"), id_col)
+    rows = df.select(id_col, tokenizer(q).alias("_q"), tokenizer(_first_answer_text(answers_col)).alias("_a"))
+    both = tk.encode(rows, id_col, ["_q", "_a"], vocab, ["_qi", "_ai"])
     x = tk.prompt_answer_example(F.col("_qi"), F.col("_ai"), max_length)
     return both.select(id_col, x.alias("x")).select(id_col, "x.*")
 
 
 def eli5_clm(df: DataFrame, vocab: DataFrame, block_size: int = tk.CLM_BLOCK_SIZE, id_col: str = "id",
-             title_col: str = "title", answers_col: str = "answers") -> DataFrame:
+             title_col: str = "title", answers_col: str = "answers", tokenizer: Tokenizer = tk.word_tokens) -> DataFrame:
     """Title + first answer ids cut into whole blocks; labels copy the ids."""
-    a = F.coalesce(F.get(F.col(f"{answers_col}.text"), 0), F.lit(""))
-    base = df.select(id_col, F.coalesce(F.col(title_col), F.lit("")).alias("_q"), a.alias("_a"))
-    both = _ids(base, id_col, F.col("_q"), vocab, "_qi").join(_ids(base, id_col, F.col("_a"), vocab, "_ai"), id_col)
-    blocks = both.select(id_col, F.posexplode(tk.clm_blocks(F.concat("_qi", "_ai"), block_size)).alias("block", "ids"))
+    title = tokenizer(F.coalesce(F.col(title_col), F.lit("")))
+    rows = df.select(id_col, F.concat(title, tokenizer(_first_answer_text(answers_col))).alias("_t"))
+    ids = tk.encode(rows, id_col, "_t", vocab, "_ids")
+    blocks = ids.select(id_col, F.posexplode(tk.clm_blocks(F.col("_ids"), block_size)).alias("block", "ids"))
     return blocks.select(id_col, "block", F.col("ids").alias("input_ids"),
                          tk.lit_int_array(F.size("ids"), 1).alias("attention_mask"), F.col("ids").alias("labels"))
 
 
 def socratic(df: DataFrame, id_col: str = "conv_id", policy_col: str = "policy", turns_col: str = "turns") -> DataFrame:
-    """Nested dialogue -> ``messages`` with the policy system prompt, unknown roles dropped."""
-    turns = dl.explode_dialogue(df, id_col, turns_col)
-    policies = df.select(id_col, F.col(f"{policy_col}.withhold_final_answer").alias("withhold_final_answer"),
-                         F.col(f"{policy_col}.avoid_numeric_rules_of_thumb").alias("avoid_numeric_rules_of_thumb"))
-    return dl.to_messages(dl.training_messages(turns, policies, dl.DEFAULT_ROLE_MAP, id_col), id_col)
+    """Nested dialogue -> ``messages`` with the policy system prompt, unknown roles dropped.
+
+    In-row work on the nested array; nothing is exploded.
+    """
+    system = dl.policy_system_prompt(F.col(f"{policy_col}.withhold_final_answer"),
+                                     F.col(f"{policy_col}.avoid_numeric_rules_of_thumb"))
+    return df.select(id_col, dl.nested_messages(F.col(turns_col), system).alias("messages"))
+
+
+NO_ROOM = "the question leaves no room for context"
 
 
-def squad(df: DataFrame, vocab: DataFrame, max_length: int = 384, id_col: str = "id") -> DataFrame:
-    """Span-QA encoding with answer token labels.
+def squad(df: DataFrame, vocab: DataFrame, max_length: int = 384, id_col: str = "id",
+          tokenizer: Tokenizer = tk.word_tokens) -> DataFrame:
+    """Span-QA encoding with answer token labels (R8, R10, R11, W5-W8, P6, P7), one row per input row.
 
-    Output: ``input_ids, attention_mask, context_start, context_len,
-    start_positions, end_positions`` (labels NULL without an answer).
+    Output: ``input_ids, attention_mask, context, context_start, context_len,
+    offset_mapping, start_positions, end_positions, reject_reason``.
+    ``offset_mapping`` has a ``(start, end)`` for the positions of context tokens and NULL elsewhere.
+    Labels are NULL without an answer and 0 (CLS) if the answer was cut off.  A row whose question leaves no room for
+    context has a ``reject_reason`` and NULL in the encoded columns; it is not dropped.
+    Context tokens come from the built-in tokenizer, which knows their offsets; ``tokenizer`` cuts the question.
     """
-    q_ids = _ids(df, id_col, F.col("question"), vocab, "_qi")
-    c_ids = _ids(df, id_col, F.col("context"), vocab, "_ci")
-    enc = q_ids.join(c_ids, id_col).select(id_col, tk.encode_pair(F.col("_qi"), F.col("_ci"), max_length).alias("e"))
-    enc = enc.where(F.col("e").isNotNull()).select(id_col, "e.*")
-    first = sq.first_answer(F.col("answers"))
-    ans = df.select(id_col, F.when(sq.has_answers(F.col("answers")), first).alias("a")).select(
-        id_col, F.col("a.start").alias("answer_start"), F.col("a.text").alias("answer_text"))
-    ex = enc.join(ans, id_col)
-    toks = tk.token_offsets(df.select(id_col, F.col("context").alias("text")), id_col)
-    labels = sq.answer_positions(toks, ex.select(id_col, "answer_start", "answer_text", "context_start", "context_len"),
-                                 id_col)
-    return ex.join(labels, id_col).drop("answer_start", "answer_text")
+    rows = df.select(id_col, tokenizer(F.col("question")).alias("_q"), tk.word_tokens(F.col("context")).alias("_c"))
+    ids = tk.encode(rows, id_col, ["_q", "_c"], vocab, ["_qi", "_ci"])
+    spans = tk.token_offsets(df.select(id_col, F.col("context").alias("text")), id_col)
+    spans = spans.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end"))).alias("_o"))
+    answer = F.when(sq.has_answers(F.col("answers")), sq.first_answer(F.col("answers")))
+    source = df.select(id_col, "context", answer.alias("_a"))
+    x = ids.join(source, id_col).join(spans, id_col, "left").withColumn("_e", tk.encode_pair(F.col("_qi"), F.col("_ci"), max_length))
+    # Positions ascend in both ends, so the last start at or before the answer's and the first end at or behind
+    # its end are counts.
+    x = x.withColumn("_kept", F.slice(F.coalesce("_o", F.array()), F.lit(1), F.coalesce("_e.context_len", F.lit(0))))
+    start, stop = F.col("_a.start"), F.col("_a.start") + F.length("_a.text")
+    first = F.size(F.filter("_kept", lambda o: o["start"] <= start)) - 1
+    last = F.size("_kept") - F.size(F.filter("_kept", lambda o: o["end"] >= stop))
+    inside = (first >= 0) & (last < F.size("_kept"))
+    label = lambda p: F.when(
+        F.col("_a").isNotNull() & F.col("_e").isNotNull(), F.when(inside, p + F.col("_e.context_start")).otherwise(F.lit(0))
+    ).cast("int")
+    blank = F.lit(None).cast("struct<start:int,end:int>")
+    mapping = F.concat(
+        F.array_repeat(blank, F.col("_e.context_start")),
+        F.transform("_kept", lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end"))),
+        F.array_repeat(blank, F.size("_e.input_ids") - F.col("_e.context_start") - F.size("_kept")),
+    )
+    return x.select(
+        id_col, "_e.input_ids", "_e.attention_mask", "context", "_e.context_start", "_e.context_len",
+        F.when(F.col("_e").isNotNull(), mapping).alias("offset_mapping"),
+        label(first).alias("start_positions"), label(last).alias("end_positions"),
+        F.when(tk.no_room(F.col("_qi"), max_length), F.lit(NO_ROOM)).alias("reject_reason"),
+    )
 
 
 PREPROCESSORS: dict[str, Callable[..., DataFrame]] = {
