@@ -40,6 +40,7 @@ def _load_all() -> None:
         q_dialogue,
         q_io,
         q_loss,
+        q_registry,
         q_sampling,
         q_span_qa,
         q_stream,
