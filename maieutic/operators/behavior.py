@@ -122,6 +122,11 @@ def behavior_metrics(
     the ungrouped form.  ``n_responses`` is the group size.
     """
     feats = behavior_features(df.select(*group_cols, text_col), text_col, tokenizer)
+    return feature_metrics(feats, group_cols, round_digits)
+
+
+def feature_metrics(feats: DataFrame, group_cols: Sequence[str] = (), round_digits: int | None = 9) -> DataFrame:
+    """The aggregate of ``behavior_metrics`` over rows that already have their features."""
     out = feats.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n_responses"), *metric_aggregates(round_digits))
     if not group_cols:
         out = out.where(F.col("n_responses") > 0)

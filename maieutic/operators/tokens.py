@@ -114,16 +114,17 @@ def build_vocab(token_arrays: DataFrame, tokens_col: str = "tokens", size: int |
     return specials.unionByName(ranked.select("token", "id", F.lit(False).alias("is_special")))
 
 
-def _in_order(exploded: DataFrame, keys: Sequence[str], value: str, out: Column) -> DataFrame:
-    """Collect ``value`` per row in position order; ``out`` maps the ordered array ``_v``."""
+def _in_order(exploded: DataFrame, keys: Sequence[str], value: str, out: list[Column], carry: Sequence[str] = ()) -> DataFrame:
+    """Collect ``value`` per row in position order; ``out`` is made of the ordered array ``_v`` and the carried columns."""
     entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", value))
     rows = exploded.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(entry)).alias("_e"), F.max("_pos").alias("_last"), F.count(F.lit(1)).alias("_n")
+        F.array_sort(F.collect_list(entry)).alias("_e"), F.max("_pos").alias("_last"), F.count(F.lit(1)).alias("_n"),
+        *[F.first(c).alias(c) for c in carry],
     )
     fine = F.col("_n") == F.coalesce(F.col("_last") + 1, F.lit(1))
     values = F.transform("_e", lambda x: x[value])
     checked = F.when(fine, values).otherwise(F.array(_repeated_id(*keys).cast("string")).cast(_array_of(exploded, value)))
-    return rows.select(*keys, checked.alias("_v")).select(*keys, out)
+    return rows.select(*keys, *carry, checked.alias("_v")).select(*keys, *out)
 
 
 def _array_of(df: DataFrame, column: str) -> str:
@@ -148,8 +149,7 @@ def encode(df: DataFrame, id_col, tokens_col, vocab: DataFrame, out_col="ids") -
     for i, name in enumerate(outs):
         cuts.append(F.slice("_v", before + 1, F.col("_sizes")[i]).alias(name))
         before = before + F.col("_sizes")[i]
-    whole = _in_order(looked, [*keys, "_sizes"], "_id", F.col("_v"))
-    return whole.select(*keys, *cuts)
+    return _in_order(looked, keys, "_id", cuts, ["_sizes"])
 
 
 def decode(df: DataFrame, id_col: str, ids_col: str, vocab: DataFrame, out_col: str = "text",
@@ -163,7 +163,7 @@ def decode(df: DataFrame, id_col: str, ids_col: str, vocab: DataFrame, out_col:
     looked = ex.join(v, "_id", "left")
     dropped = F.coalesce("is_special", F.lit(True)) if skip_special else F.lit(False)
     looked = looked.withColumn("_token", F.when(~dropped, F.coalesce("token", F.lit(UNK))))
-    return _in_order(looked, [id_col], "_token", F.array_join(F.array_compact("_v"), " ").alias(out_col))
+    return _in_order(looked, [id_col], "_token", [F.array_join(F.array_compact("_v"), " ").alias(out_col)])
 
 
 # --- R1-R7: labels, truncation, padding, masks ---------------------------------

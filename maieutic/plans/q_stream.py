@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from maieutic.operators.behavior import METRIC_COLUMNS
 from maieutic.plans import oracle as o
 from maieutic.plans.catalog import register
 from maieutic.plans.inputs import RESPONSES_SELECT_SQL, responses, table
@@ -9,7 +10,6 @@ from maieutic.streaming.asof import attach_next_log
 from maieutic.streaming.step_metrics import (
     eval_subset_ids,
     prefixed_metric_rows,
-    restrict_to_subset,
     step_metrics,
 )
 
@@ -21,7 +21,13 @@ _STEP_SQL = (f"WITH {o.behavior_features_ctes(_EVAL_ROWS)}\n"
 
 @register("x1_x3_step_metrics", _STEP_SQL)
 def q_step_metrics(spark, sf_dir):
-    return step_metrics(responses(spark, sf_dir), EVERY)
+    return step_metrics(_repeated(spark, sf_dir), EVERY)
+
+
+def _repeated(spark, sf_dir):
+    """Every third response is reported twice; the oracle has each once."""
+    r = responses(spark, sf_dir)
+    return r.unionByName(r.where("response_id % 3 = 0"))
 
 
 _SUBSET_SQL = f"""SELECT prompt_id FROM (SELECT prompt_id, row_number() OVER (ORDER BY
@@ -36,14 +42,11 @@ _SUBSET_ROWS = f"SELECT * FROM ({_EVAL_ROWS}) e WHERE prompt_id IN ({_SUBSET_SQL
     "GROUP BY run_id, step",
 )
 def q_subset_step_metrics(spark, sf_dir):
-    r = responses(spark, sf_dir)
-    subset = eval_subset_ids(r, MAX_SAMPLES, "prompt_id")
-    return step_metrics(restrict_to_subset(r, subset, "prompt_id"), EVERY)
+    subset = eval_subset_ids(responses(spark, sf_dir), MAX_SAMPLES, "prompt_id")
+    return step_metrics(_repeated(spark, sf_dir), EVERY, subset_ids=subset)
 
 
-_METRICS = ["withhold_violation_rate", "numeric_violation_rate", "question_rate", "avg_questions_per_response",
-            "avg_interrogative_ratio", "avg_response_length_chars", "avg_response_length_tokens",
-            "p95_response_length_tokens", "step_list_rate", "contains_imperative_rate"]
+_METRICS = METRIC_COLUMNS
 
 
 PREFIXED_SQL = f"""WITH s AS ({_STEP_SQL})
@@ -54,7 +57,7 @@ SELECT run_id, step, 'custom/' || metric AS metric, value FROM (
 
 @register("x5_prefixed_metric_rows", PREFIXED_SQL)
 def q_prefixed_rows(spark, sf_dir):
-    return prefixed_metric_rows(step_metrics(responses(spark, sf_dir), EVERY))
+    return prefixed_metric_rows(step_metrics(_repeated(spark, sf_dir), EVERY))
 
 
 @register(

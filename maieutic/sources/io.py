@@ -1,8 +1,7 @@
 """Readers and writers (S1-S6) and input validation.
 
 Large inputs go through Spark's splittable readers (Parquet, JSON Lines,
-text).  Files whose meaning depends on line order (prompt lists, a JSON
-array) are read whole, one file per task: they are prompt files, not corpora.
+text).  Only a JSON array is read one file per task, as its syntax demands.
 """
 
 from __future__ import annotations
@@ -14,9 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from maieutic.functions.text_rules import strip_text
-
-PROMPT_SCHEMA = "id bigint, prompt string, question string, answer string"
-
+from maieutic.operators.compare import f1_summary
 
 class InputError(ValueError):
     """Raised for rejected input in strict mode (P5)."""
@@ -37,28 +34,27 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: Str
 
 # --- S2, S3 ----------------------------------------------------------------------------
 def detect_json_layout(spark: SparkSession, path: str) -> str:
-    """``array`` when the first non-blank character is ``[``, else ``lines``; ``empty`` for blank files."""
-    first = (
-        spark.read.text(path)
-        .select(F.substring(strip_text(F.col("value")), 1, 1).alias("c"))
-        .where(F.col("c") != "")
-        .limit(1)
-        .collect()
-    )
-    if not first:
+    """``array`` or ``lines`` by the first non-blank character of each file; ``mixed`` if files differ, ``empty`` if all are blank."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), strip_text("value").alias("t"))
+    first = lines.where("t <> ''").groupBy("file").agg(F.min_by(F.substring("t", 1, 1), "at").alias("c"))
+    found = first.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c") == "[").alias("arrays")).first()
+    if not found["n"]:
         return "empty"
-    return "array" if first[0]["c"] == "[" else "lines"
+    return "lines" if not found["arrays"] else "array" if found["arrays"] == found["n"] else "mixed"
 
 
 def read_json_records(spark: SparkSession, path: str, layout: str = "auto",
                       schema: StructType | str | None = None) -> DataFrame:
-    """Records from a JSON array file or JSON Lines (S2, S3); blank input -> no rows.
+    """Records from JSON array files or JSON Lines (S2, S3); blank input -> no rows.
 
-    ``auto`` peeks at the first non-blank character (one small read).  Lines
+    ``auto`` looks at the first non-blank character of every file; a folder that
+    mixes both layouts is an error, because one reader would lose rows of the other.  Lines
     are split by ``\\n`` only; blank lines are skipped by the reader.
     """
     if layout == "auto":
         layout = detect_json_layout(spark, path)
+    if layout == "mixed":
+        raise InputError("the folder mixes JSON arrays and JSON Lines; read them apart")
     if layout == "empty":
         if schema is None:
             return spark.createDataFrame([], "value string").limit(0)
@@ -74,9 +70,13 @@ def read_json_records(spark: SparkSession, path: str, layout: str = "auto",
 
 
 # --- S4, P3, P4, P5 ----------------------------------------------------------------------
-def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.option("wholetext", True).text(path)
-    return whole.select(F.posexplode(F.split(F.col("value"), "\n")).alias("line_no", "line"))
+BAD_JSON, NOT_A_LIST = "not valid JSON", "the file is not a JSON array"
+WRONG_TYPE, NO_FIELD = "neither a text nor an object", "neither a prompt nor a question"
+
+
+def drop_blank_lines(lines: DataFrame, col: str = "line") -> DataFrame:
+    """Lines with something other than blanks."""
+    return lines.where(F.length(strip_text(F.col(col))) > 0)
 
 
 def pick_prompt(prompt, question):
@@ -89,66 +89,74 @@ def pick_prompt(prompt, question):
 
 
 def read_prompts(spark: SparkSession, path: str, fmt: str | None = None, strict: bool = True):
-    """Prompts of a ``.txt`` / ``.jsonl`` / ``.json`` file as ``(prompt_id, prompt)``.
+    """Prompts of ``.txt`` / ``.jsonl`` / ``.json`` files as ``(prompt_id, prompt)``.
 
     * txt: one prompt per line, stripped, blank lines dropped (P3).
     * jsonl: one object per line, ``prompt`` or else ``question`` (P4).
-    * json: an array of strings or of such objects.
-    Rows without a usable field are rejects (P5): ``strict`` raises
-    ``InputError``; otherwise ``(prompts, rejects)`` is returned, rejects with a
-    ``reason``.  An input without any prompt is an error in strict mode.
+    * json: an array of strings or of such objects (one file per task).
+    Lines are read by the splittable text reader; ``prompt_id`` ascends in file order but is not
+    dense.  Anything else is a reject (P5): ``strict`` raises ``InputError``; otherwise ``(prompts,
+    rejects)`` is returned, rejects with a ``reason``.  An input without any prompt is an
+    error in strict mode.
     """
     fmt = fmt or path.rsplit(".", 1)[-1].lower()
-    if fmt == "txt":
-        lines = _numbered_lines(spark, path)
-        good = lines.select(F.col("line_no").alias("prompt_id"), strip_text(F.col("line")).alias("prompt"))
-        good = good.where(F.length("prompt") > 0)
-        bad = good.limit(0).withColumn("reason", F.lit(None).cast("string"))
-    elif fmt in ("jsonl", "json"):
+    if fmt not in ("txt", "jsonl", "json"):
+        raise ValueError(f"prompts are read from txt, jsonl and json files, not {fmt!r}")
+    at = F.monotonically_increasing_id().alias("prompt_id")
+    text_of = lambda v, name: F.when(
+        F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")) == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
+    if fmt == "json":
+        whole = spark.read.option("multiLine", True).option("singleVariantColumn", "v").json(path).select(at, "v")
+        is_list = F.coalesce(F.schema_of_variant("v").startswith("ARRAY"), F.lit(False))
+        items = whole.where(is_list).select(
+            F.col("prompt_id").alias("file"), F.posexplode(F.col("v").cast("array<variant>")).alias("pos", "v")
+        ).select(F.struct("file", "pos").alias("prompt_id"), "v")
+        items = items.select((F.col("prompt_id.file") + F.col("prompt_id.pos")).alias("prompt_id"), "v")
+        outer = whole.where(~is_list).select(
+            "prompt_id", F.when(F.col("v").isNull(), F.lit(BAD_JSON)).otherwise(F.lit(NOT_A_LIST)).alias("reason"))
+    else:
+        lines = drop_blank_lines(spark.read.option("lineSep", "\n").text(path).select(at, F.col("value").alias("line")))
+        outer = None
         if fmt == "jsonl":
-            lines = _numbered_lines(spark, path).where(F.length(strip_text(F.col("line"))) > 0)
-            items = lines.select(F.col("line_no").alias("prompt_id"),
-                                 F.from_json(F.col("line"), PROMPT_SCHEMA).alias("o"), F.lit(None).cast("string").alias("s"))
-        else:
-            whole = spark.read.option("wholetext", True).text(path)
-            items = whole.select(F.posexplode(F.from_json(F.col("value"), "array<string>")).alias("prompt_id", "raw"))
-            items = items.select(
-                "prompt_id",
-                F.when(F.substring(strip_text(F.col("raw")), 1, 1) == "{", F.from_json("raw", PROMPT_SCHEMA)).alias("o"),
-                F.when(F.substring(strip_text(F.col("raw")), 1, 1) != "{", F.col("raw")).alias("s"),
-            )
-        picked = F.when(F.col("s").isNotNull(), strip_text(F.col("s"))).otherwise(
-            pick_prompt(F.col("o.prompt"), F.col("o.question")))
-        rows = items.select("prompt_id", picked.alias("prompt"))
-        good = rows.where(F.col("prompt").isNotNull())
-        bad = rows.where(F.col("prompt").isNull()).select(
-            "prompt_id", F.lit("line must contain 'prompt' or 'question'").alias("reason"))
+            items = lines.select("prompt_id", F.try_parse_json("line").alias("v"))
+    if fmt == "txt":
+        rows = lines.select("prompt_id", strip_text(F.col("line")).alias("prompt"), F.lit(None).cast("string").alias("reason"))
     else:
-        raise ValueError("Unsupported file type. Use .txt, .jsonl, or .json")
+        kind = F.coalesce(F.schema_of_variant("v"), F.lit(""))
+        is_object, is_text = kind.startswith("OBJECT"), (kind == "STRING") & F.lit(fmt == "json")
+        prompt = F.when(is_text, strip_text(F.try_variant_get("v", "$", "string"))).when(
+            is_object, pick_prompt(text_of("v", "prompt"), text_of("v", "question")))
+        reason = F.when(F.col("v").isNull(), F.lit(BAD_JSON)).when(~(is_object | is_text), F.lit(WRONG_TYPE)).when(
+            F.col("prompt").isNull(), F.lit(NO_FIELD))
+        rows = items.withColumn("prompt", prompt).select("prompt_id", "prompt", reason.alias("reason"))
+    good = rows.where("reason IS NULL").select("prompt_id", "prompt")
+    bad = rows.where("reason IS NOT NULL").select("prompt_id", "reason")
+    bad = bad.unionByName(outer) if outer is not None else bad
     if strict:
-        if bad.limit(1).count() > 0:
-            raise InputError("prompt rows must contain 'prompt' or 'question'")
-        if good.limit(1).count() == 0:
-            raise InputError("No prompts found.")
+        first = bad.first()
+        if first is not None:
+            raise InputError(f"{path}: {first['reason']}")
+        if good.isEmpty():
+            raise InputError(f"{path}: no prompts")
         return good
     return good, bad
 
 
 # --- S5, S6 ----------------------------------------------------------------------------
-def write_comparison_report(scored: DataFrame, summary: DataFrame, path: str, header: dict | None = None,
-                            mode: str = "overwrite") -> None:
-    """Comparison report (S5): detail rows as JSON Lines under ``path/results``,
-    the one-row summary (plus header fields) under ``path/summary``.
+def write_comparison_report(scored: DataFrame, path: str, header: dict | None = None, mode: str = "overwrite") -> None:
+    """Comparison report (S5): detail rows as JSON Lines under ``path/results``, and the one-row
+    summary (plus header fields) of what was written under ``path/summary``.
 
-    Details are never gathered into one array: the summary is the only
-    single-row output.
+    The scored join runs once; details are never gathered into one array.
     """
     cols = [c for c in ("id", "prompt", "trained_output", "baseline_output", "f1_metrics") if c in scored.columns]
-    scored.select(*cols).write.mode(mode).json(f"{path}/results")
-    s = summary
+    details = scored.select(*cols)
+    details.write.mode(mode).json(f"{path}/results")
+    back = scored.sparkSession.read.schema(details.schema).json(f"{path}/results")
+    summary = f1_summary(back.select(F.col("f1_metrics.f1").alias("f1")))
     for k, v in (header or {}).items():
-        s = s.withColumn(k, F.lit(v))
-    s.coalesce(1).write.mode(mode).json(f"{path}/summary")
+        summary = summary.withColumn(k, F.lit(v))
+    summary.coalesce(1).write.mode(mode).json(f"{path}/summary")
 
 
 def write_metric_log(rows: DataFrame, path: str, partition_cols: Sequence[str] = ("run_id",),

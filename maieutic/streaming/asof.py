@@ -5,11 +5,12 @@ attached to it once; a newer result replaces a waiting one.  So each log
 record receives the *last* metric event at or before it that came after the
 previous log record.
 
-Skew-safe plan (no window over a whole run): events are cut into time
-buckets; the next log inside a bucket comes from a window partitioned by
-``(run, bucket)``; metrics whose bucket has no later log take the first log
-of the next bucket that has one, found with a window over the per-bucket
-summary (one row per run and bucket, bounded by time span, not by events).
+Skew-safe plan (no window over a whole run, nor over a busy hour): events are
+counted per (run, hour), and an hour with many events is cut into as many equal time slices as
+it takes to have about ``events_per_slice`` in each.  The next log inside a
+slice comes from a window partitioned by ``(run, slice)``; metrics whose slice
+has no later log take the first log of the next slice that has one, found
+with a window over the per-slice summary (one row per run and slice).
 The final "last metric per log" is a partial max aggregate.
 """
 
@@ -28,6 +29,7 @@ def attach_next_log(
     metric_kind: str,
     log_kind: str,
     bucket_seconds: int = 3600,
+    events_per_slice: int = 100_000,
 ) -> DataFrame:
     """``(run, log_id, metric_id)``: which metric event each log record carries.
 
@@ -40,6 +42,11 @@ def attach_next_log(
         (F.col(kind_col) == F.lit(log_kind)).alias("_is_log"),
         F.floor(F.unix_micros(F.col(ts_col).cast("timestamp")) / (bucket_seconds * 1_000_000)).alias("_bucket"),
     )
+    width = bucket_seconds * 1_000_000
+    busy = ev.groupBy("_run", "_bucket").agg(F.ceil(F.count(F.lit(1)) / events_per_slice).alias("_slices"))
+    micros = F.unix_micros(F.col("_key.ts").cast("timestamp"))
+    part = F.floor((micros - F.col("_bucket") * width) * F.col("_slices") / width)
+    ev = ev.join(busy, ["_run", "_bucket"]).withColumn("_bucket", F.struct(F.col("_bucket").alias("hour"), part.alias("part"))).drop("_slices")
     log_key = F.when(F.col("_is_log"), F.col("_key"))
     w_local = (Window.partitionBy("_run", "_bucket").orderBy("_key")
                .rowsBetween(Window.currentRow, Window.unboundedFollowing))

@@ -4,13 +4,15 @@ The same DataFrame code runs on a static table and on a stream of step
 events ``(run_id, step, prompt_id, response_id, text[, ts])``:
 
 * X1 ``every``: evaluate only at ``step > 0`` and ``step % every == 0``.
-* X2 one evaluation per step and response: ``dropDuplicates`` on the key; on
-  a stream with event time, ``dropDuplicatesWithinWatermark`` bounds state.
+* X2 one evaluation per step and response: rows are reduced to their fixed-width
+  features first, then deduplicated by key (texts are not shuffled); on a stream
+  with event time ``dropDuplicatesWithinWatermark`` bounds the state.
 * X3 metrics per ``(run_id, step)``: the A11 aggregate (partial + final).
 * X4 a fixed evaluation subset: chosen by key hash (stable across
   micro-batches, no cache), applied as a left-semi join.
-* X5 metric rows under a ``custom/`` prefix, written by ``foreachBatch``; in
-  complete mode every trigger rewrites the table, so replays are idempotent.
+* X5 metric rows under a ``custom/`` prefix, written by ``foreachBatch``: each (run, step) that
+  a trigger touched replaces its own partition, so other steps stay readable and a
+  replayed batch leaves the same table.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maieutic.operators.behavior import behavior_metrics, behavior_metrics_long
+from maieutic.operators.behavior import behavior_features, behavior_metrics_long, feature_metrics
 from maieutic.operators.sampling import sample_n
 
 METRIC_PREFIX = "custom/"
@@ -51,10 +53,16 @@ def restrict_to_subset(df: DataFrame, subset_ids: DataFrame, key: str = "prompt_
 
 def step_metrics(df: DataFrame, every: int, text_col: str = "text",
                  group_cols: Sequence[str] = ("run_id", "step"),
-                 dedupe_keys: Sequence[str] = ("run_id", "step", "response_id")) -> DataFrame:
-    """X1 + X2 + X3 on a static or streaming DataFrame."""
-    rows = dedupe_steps(eval_steps(df, every), dedupe_keys)
-    return behavior_metrics(rows, text_col, group_cols=list(group_cols))
+                 dedupe_keys: Sequence[str] = ("run_id", "step", "response_id"),
+                 subset_ids: DataFrame | None = None, subset_key: str = "prompt_id",
+                 watermark_col: str | None = None, delay: str = "10 minutes") -> DataFrame:
+    """X1 + X2 + X3 (and X4 with ``subset_ids``) on a static or streaming DataFrame."""
+    rows = eval_steps(df, every)
+    if subset_ids is not None:
+        rows = restrict_to_subset(rows, subset_ids, subset_key)
+    keys = list(dict.fromkeys([*group_cols, *dedupe_keys, *([watermark_col] if watermark_col else [])]))
+    features = behavior_features(rows.select(*keys, text_col), text_col).drop(text_col)
+    return feature_metrics(dedupe_steps(features, dedupe_keys, watermark_col, delay), list(group_cols))
 
 
 def prefixed_metric_rows(metrics: DataFrame, id_cols: Sequence[str] = ("run_id", "step"),
@@ -65,19 +73,23 @@ def prefixed_metric_rows(metrics: DataFrame, id_cols: Sequence[str] = ("run_id",
 
 
 def start_step_metrics_stream(events: DataFrame, every: int, sink_path: str, checkpoint_path: str,
-                              text_col: str = "text", trigger_once: bool = False):
+                              text_col: str = "text", trigger_once: bool = False,
+                              subset_ids: DataFrame | None = None, subset_key: str = "prompt_id",
+                              watermark_col: str | None = None, delay: str = "10 minutes"):
     """Run ``step_metrics`` on a stream and keep the prefixed metric table at ``sink_path``.
 
-    Complete output mode: each trigger hands the whole (small) result table to
-    ``foreachBatch``, which overwrites the sink, so a replayed batch leaves the
-    same table.  ``checkpoint_path`` belongs in the shared checkpoint folder.
+    Update output mode: a trigger hands over the (run, step) rows it changed, whole, and
+    each replaces its partition of the sink.  With ``watermark_col`` the deduplication state is bounded by ``delay``.
+    ``checkpoint_path`` belongs in the shared checkpoint folder.
     """
-    agg = step_metrics(events, every, text_col)
+    agg = step_metrics(events, every, text_col, subset_ids=subset_ids, subset_key=subset_key,
+                       watermark_col=watermark_col, delay=delay)
 
     def write(batch_df: DataFrame, _epoch: int) -> None:
-        prefixed_metric_rows(batch_df).write.mode("overwrite").parquet(sink_path)
+        rows = prefixed_metric_rows(batch_df).repartition("run_id", "step")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "step").parquet(sink_path)
 
-    writer = agg.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint_path)
+    writer = agg.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint_path)
     if trigger_once:
         writer = writer.trigger(availableNow=True)
     return writer.start()

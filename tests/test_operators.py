@@ -49,6 +49,38 @@ def test_last_exchange_cases(spark):
     assert got == {1: 2, 2: 2, 3: 1}
 
 
+def test_last_exchange_over_gaps_and_chunks(spark):
+    rows = [(1, 0, "user"), (1, 2, "assistant"), (2, 255, "user"), (2, 900, "assistant"), (2, 901, "x"), (3, 1, "user"), (3, 5, "x"), (3, 9, "assistant")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string").withColumn("text", F.lit("t"))
+    got = {r["conv_id"]: (r["last_user_turn"], r["target_turn"]) for r in dialogue.last_exchange(df).collect()}
+    assert got == {1: (0, 2), 2: (255, 900)}
+    dropped = dialogue.map_roles_train(df, {"user": "user", "assistant": "assistant"})
+    assert {r["conv_id"] for r in dialogue.last_exchange(dropped).collect()} == {1, 2, 3}
+    nested = spark.createDataFrame([(1, [("user", "a")], [("user", "b")]), (2, [], [("user", "b")]), (3, None, [("user", "b")])],
+                                   "id int, messages array<struct<role:string,content:string>>, turns array<struct<role:string,content:string>>")
+    picked = nested.select("id", dialogue.record_messages(F.col("messages"), F.col("turns")).alias("m")).collect()
+    assert {r["id"]: r["m"][0]["content"] for r in picked} == {1: "a", 2: "b", 3: "b"}
+
+
+def test_repeated_ids_stop_token_operators(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "c"), (2, "a")], "id int, text string")
+    vocab = tokens.build_vocab(df.select(tokens.word_tokens(F.col("text")).alias("tokens")))
+    rows = df.select("id", tokens.word_tokens(F.col("text")).alias("t"))
+    for bad in (tokens.encode(rows, "id", "t", vocab), tokens.token_offsets(df, "id")):
+        with pytest.raises(Exception, match="two rows share one id"):
+            bad.collect()
+    fine = {r["id"]: r["ids"] for r in tokens.encode(rows.where("size(t) <> 1 OR id = 2"), "id", "t", vocab).collect()}
+    assert fine[2] == fine[1][:1] and len(fine[1]) == 2
+
+
+def test_exact_sample_of_repeated_keys(spark):
+    df = spark.createDataFrame([(i % 5, i) for i in range(100)], "k int, v int")
+    assert sampling.sample_n(df, 37, ["k"]).count() == 37
+    per_group = sampling.sample_n(df.withColumn("g", F.col("v") % 2), 7, ["k"], partition_cols=["g"])
+    assert [r["count"] for r in per_group.groupBy("g").count().collect()] == [7, 7]
+    assert sampling.exact_split(df, ["k"], 0.25).where("split = 'test'").count() == 25
+
+
 def test_eval_prompt_rendering(spark):
     df = _turns(spark, {1: ["system", "user", "assistant", "user", "assistant"]})
     r = dialogue.eval_examples(df).collect()[0]
@@ -181,6 +213,12 @@ def test_pairing_and_summary(spark):
 
 
 # --- A12, A13 -----------------------------------------------------------------------------------------
+def test_missing_losses_carry_no_weight(spark):
+    df = spark.createDataFrame([(2.0, 10), (None, 5), (3.0, None)], "loss double, n_tokens bigint")
+    r = loss.weighted_loss(df).collect()[0]
+    assert (r["n_tokens"], r["eval_loss"]) == (10, 2.0)
+
+
 def test_weighted_loss(spark):
     df = spark.createDataFrame([(1, 2.0, 10), (1, 1.0, 30), (2, 1.0, 0), (3, 50.0, 1)], "g int, loss double, n_tokens int")
     got = {r["g"]: r for r in loss.weighted_loss(df, group_cols=["g"]).collect()}

@@ -46,6 +46,27 @@ def test_stream_equals_batch(spark, tmp_path):
         assert batch[(r["run_id"], r["step"])][r["metric"][len("custom/"):]] == pytest.approx(r["value"])
 
 
+def test_stream_of_late_and_repeated_rows_equals_batch(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    texts = ["Why? What now?", "Use 5 V.", "Set it to 3 mA.", "How would you check it?", "x"]
+    rows = [("r", 50 * (1 + i % 3), i % 7, i, texts[i % 5], base + dt.timedelta(minutes=i)) for i in range(60)]
+    schema = "run_id string, step int, prompt_id int, response_id int, text string, ts timestamp"
+    src = str(tmp_path / "src")
+    # Three files, one micro-batch each: later ones repeat and bring older rows.
+    for part in (rows[:30], rows[20:45] + rows[:5], rows[40:] + rows[10:12]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    whole = spark.createDataFrame(rows, schema)
+    subset = step_metrics.eval_subset_ids(whole, 4)
+    want = step_metrics.prefixed_metric_rows(step_metrics.step_metrics(whole, 50, subset_ids=subset)).collect()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = step_metrics.start_step_metrics_stream(stream, 50, str(tmp_path / "sink"), str(tmp_path / "ckpt"), trigger_once=True,
+                                               subset_ids=subset, watermark_col="ts", delay="2 hours")
+    q.awaitTermination(240)
+    got = spark.read.schema("metric string, value double, run_id string, step int").parquet(str(tmp_path / "sink")).collect()
+    key = lambda r: (r["run_id"], r["step"], r["metric"])
+    assert sorted((*key(r), r["value"]) for r in got) == sorted((*key(r), r["value"]) for r in want)
+
+
 def _events(spark, spec):
     base = dt.datetime(2024, 1, 1)
     rows = [(i, base + dt.timedelta(minutes=m), 1, kind) for i, (m, kind) in enumerate(spec)]
@@ -61,6 +82,10 @@ def test_attach_next_log_cases(spark):
     got2 = [(r["log_id"], r["metric_id"]) for r in
             asof.attach_next_log(ev2, "user_id", "ts", "event_id", "event_type", "error", "view").collect()]
     assert got2 == [(2, 1)]
+    busy = _events(spark, [(i, "error" if i % 3 else "view") for i in range(50)])  # one hour in many slices
+    plain = sorted(tuple(r) for r in asof.attach_next_log(busy, "user_id", "ts", "event_id", "event_type", "error", "view").collect())
+    sliced = asof.attach_next_log(busy, "user_id", "ts", "event_id", "event_type", "error", "view", events_per_slice=4)
+    assert sorted(tuple(r) for r in sliced.collect()) == plain == [(1, 3 * i, 3 * i - 1) for i in range(1, 17)]
 
 
 def test_read_prompts_formats(spark, tmp_path):
@@ -81,6 +106,15 @@ def test_read_prompts_formats(spark, tmp_path):
     assert good.count() == 0 and rejects.count() == 1
     with pytest.raises(ValueError):
         io.read_prompts(spark, str(tmp_path / "p.csv"))
+    for name, text, reason in (
+        ("o.json", '{"prompt": "p"}', io.NOT_A_LIST), ("b.json", '["a", ', io.BAD_JSON), ("n.json", "[5]", io.WRONG_TYPE),
+        ("b.jsonl", "{bad", io.BAD_JSON), ("s.jsonl", '"s"', io.WRONG_TYPE), ("m.jsonl", '{"answer": 1}', io.NO_FIELD),
+    ):
+        (tmp_path / name).write_text(text)
+        good, rejects = io.read_prompts(spark, str(tmp_path / name), strict=False)
+        assert good.count() == 0 and [r["reason"] for r in rejects.collect()] == [reason]
+    (tmp_path / "braces.json").write_text('["{x} is a set, why?"]')
+    assert [r["prompt"] for r in io.read_prompts(spark, str(tmp_path / "braces.json")).collect()] == ["{x} is a set, why?"]
 
 
 def test_json_layout_auto(spark, tmp_path):
@@ -117,6 +151,10 @@ def test_registry_squad_and_socratic(spark):
         [(1, (True, False), [("junior_engineer", "hi"), ("robot", "x"), ("senior_engineer", "why?")])],
         "conv_id bigint, policy struct<withhold_final_answer:boolean,avoid_numeric_rules_of_thumb:boolean>, "
         "turns array<struct<role:string,content:string>>")
+    long_q = df.limit(1).withColumn("question", F.expr("repeat('why ', 40)"))
+    out = registry.preprocess("squad", df.limit(1).unionByName(long_q.withColumn("id", F.lit("z"))), vocab=vocab, max_length=16)
+    reasons = {r["id"]: (r["reject_reason"], r["input_ids"] is None) for r in out.collect()}
+    assert reasons == {"a": (None, False), "z": (registry.NO_ROOM, True)}
     msgs = registry.preprocess("socratic", d).collect()[0]["messages"]
     assert [m["role"] for m in msgs] == ["system", "user", "assistant"]
     assert msgs[0]["content"].endswith("withhold the final answer.")
