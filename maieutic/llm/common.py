@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -38,6 +39,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys (64-bit numbers) that are broadcast at most; 8 MB of them.
+BROADCAST_KEYS = 1_000_000
+
+
+def with_keys(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` is one of the distinct ``keys``.
+
+    The keys are written and counted: up to ``BROADCAST_KEYS`` of them go to the rows, beyond that both sides are
+    shuffled by key.
+    """
+    keys = written(keys.select(column), "keys")
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, column)
+
+
 def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut a batch into slices of about ``max_bytes`` of text, with the texts as UTF-8 (null: empty).
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maieutic.llm.common import text_slices, written
+from maieutic.llm.common import text_slices, with_keys, written
 from maieutic.llm.components import components
 from maieutic.llm.cutting import bodies_of, classes_of, cut_repeats, keyed_texts
 from maieutic.llm.linking import link_buckets
@@ -192,7 +192,7 @@ def remove_lines(
 
     banded = units.select("c1", "c2", F.explode("band_keys").alias("key"))
     mixed = banded.groupBy("key").agg(F.min("c1").alias("low"), F.max("c1").alias("high")).where("low < high").select("key")
-    shared = written(banded.join(mixed, "key").select("key", cls.alias("cls")).distinct(), "line-shared")
+    shared = written(with_keys(banded, mixed, "key").select("key", cls.alias("cls")).distinct(), "line-shared")
     sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     bodies = bodies_of(keyed, classes.join(shared.select("cls").distinct(), "cls"))
     # A line's range includes its line feed; the last line of a text has none.
