@@ -92,7 +92,9 @@ def mix(
     told apart by ``row_key`` (see ``cutting``), so repeated rows give the same multiset on every run.
     A source of size 0 has target 0.  An empty table gives an empty table.
     """
-    unit = F.xxhash64(F.lit(seed), F.col("id").cast("string"))
+    # 60 bits of md5('<seed>:<id>'), which any SQL engine can state.
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")))
+    unit = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     rows = written(
         docs.select(
             F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
@@ -100,7 +102,7 @@ def mix(
         ).select("id", "row_key", "source", "size", unit.alias("h")),
         "mix-sizes",
     )
-    high, low = F.shiftrightunsigned("h", 54), F.shiftrightunsigned("h", 44).bitwiseAND(F.lit(RANGES - 1))
+    high, low = F.shiftright("h", 50), F.shiftright("h", 40).bitwiseAND(F.lit(RANGES - 1))
     rows = rows.withColumns({"high": high, "low": low})
 
     per_range = written(rows.groupBy("source", "high").agg(F.sum("size").alias("n")), "mix-ranges")

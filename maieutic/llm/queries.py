@@ -118,6 +118,29 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "passes", "part")
 
 
+# Level of the water: it rises until no source above its clamp is left; then each source's documents are taken in hash order.
+OP7_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+  CAST('0x' || substr(md5(concat_ws(':', '17', CAST(doc_id AS VARCHAR))), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+one AS (SELECT list({'w': weight, 'c': 3 * source_size}) AS l, sum(source_size) AS total FROM w),
+lv(k, level) AS (SELECT 0, total / list_sum(list_transform(l, lambda x: x.w)) FROM one UNION ALL
+  SELECT k + 1, (total - coalesce(list_sum(list_transform(list_filter(l, lambda x: x.w * level > x.c), lambda x: x.c)), 0))
+    / list_sum(list_transform(list_filter(l, lambda x: x.w * level <= x.c), lambda x: x.w)) FROM lv, one
+  WHERE k < len(l) AND len(list_filter(l, lambda x: x.w * level <= x.c)) > 0),
+t AS (SELECT source, source_size, CASE WHEN weight * level > 3 * source_size THEN CAST(3 * source_size AS DOUBLE) ELSE weight * level END AS target
+  FROM w, (SELECT level FROM lv ORDER BY k DESC LIMIT 1) m),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(least(floor(target / source_size), 3) AS BIGINT) ELSE 0 END AS passes FROM t),
+r AS (SELECT *, CAST(round(target - passes * source_size) AS BIGINT) AS rest FROM p),
+c AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.passes, r.rest,
+  sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least(size, rest - upto + size)) AS BIGINT) AS taken,
+  CAST(passes AS BIGINT) AS passes, CAST(greatest(0, least(size, rest - upto + size)) AS BIGINT) AS part FROM c
+"""
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, threshold_pct=80, bands=24)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -185,7 +208,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_binary_records": op10_binary_records,
 }
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL, "op4_quality_rules": OP4_SQL, "op8_near_duplicates": OP8_SQL, "op9_decontamination": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL, "op4_quality_rules": OP4_SQL, "op7_source_mix": OP7_SQL, "op8_near_duplicates": OP8_SQL, "op9_decontamination": OP9_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
