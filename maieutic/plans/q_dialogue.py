@@ -176,3 +176,17 @@ def q_training_messages_nested(spark, sf_dir):
     messages = dl.nested_messages(F.col("messages"), system, CHAT_ROLES)
     shown = F.transform(messages, lambda m: F.concat(m["role"], F.lit("="), F.coalesce(m["content"], F.lit(""))))
     return joined.select("conv_id", F.array_join(shown, "|").alias("rendered"))
+
+
+# Per record: ``messages`` if that is a non-empty list, else ``turns`` (here the messages in reverse).
+@register(
+    "w2_record_messages",
+    """SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN string_agg(coalesce(role, ''), '|' ORDER BY turn)
+  ELSE string_agg(coalesce(role, ''), '|' ORDER BY turn DESC) END AS roles FROM conversations GROUP BY conv_id""",
+)
+def q_record_messages(spark, sf_dir):
+    nested = dl.to_messages(_turns(spark, sf_dir))
+    none = F.when(F.col("conv_id") % 3 == 1, F.slice("messages", 1, 0))  # an empty list, or null for conv_id % 3 = 2
+    messages = F.when(F.col("conv_id") % 3 == 0, F.col("messages")).otherwise(none)
+    picked = dl.record_messages(messages, F.reverse("messages"))
+    return nested.select("conv_id", F.array_join(F.transform(picked, lambda m: F.coalesce(m["role"], F.lit(""))), "|").alias("roles"))
