@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temp folder only where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="maieutic-llm-")
-    return _LOCAL[app]
+from maieutic.session import scratch_path
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; no two calls give the same one."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
