@@ -1,10 +1,16 @@
 """op5: near-duplicate paragraphs by MinHash banding.
 
-A paragraph is a run of words up to a line feed or to a word that ends in
-``.``, ``!`` or ``?`` (passages are often copied into the middle of a line,
-so a line alone would hide them).  Paragraphs of at least ``min_words`` words are
+Two cuts of a text into units are offered.  With ``joined`` (the query) the units
+together hold every word: they are cut where a place is the best within
+``min_words`` words to either side, line feeds before sentence ends before other
+words, ties by a hash of the words there (``find_passages``).  So short sentences and
+lines are joined, long stretches without an end mark are cut, and copies are cut
+alike wherever they lie.  Without it a unit is a paragraph, a run of words up to a line feed or to
+a word that ends in ``.``, ``!`` or ``?``, and shorter ones are left alone.
+
+Units of at least ``min_words`` words are
 sketched by the least hashes of their word shingles; the number of bands is
-tuned to find a pair at the threshold with the wanted recall.  Equal paragraphs
+tuned to find a pair at the threshold with the wanted recall.  Equal units
 become one class first; classes that share a band are linked through hubs and
 tiles with exact Jaccard on the full shingle sets (``linking``), clustered by
 components, and of each cluster only the first occurrence, by document id and place, stays.
@@ -59,6 +65,39 @@ def find_paragraphs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, count, text
 
 
+def find_passages(words: Words, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, word count, text number) of units that together hold every word of a batch.
+
+    A unit has ``min_words`` words or more, unless its whole text has fewer, and less than four times as many.
+    """
+    n = len(words.starts)
+    if not n:
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    never = np.uint64(2**64 - 1)
+    feeds = np.cumsum(words.data == ord("\n"))
+    rank = np.where(_ENDS[words.data[words.ends - 1]], 1, 2).astype(np.uint64)
+    rank[:-1][feeds[words.starts[1:]] != feeds[words.ends[:-1] - 1]] = 0
+    here = mix(np.roll(words.hashes, 1) * np.uint64(0x9E3779B97F4A7C15) + words.hashes)
+    key = (rank << np.uint64(62)) | (here >> np.uint64(2))
+    # A cut leaves min_words words at least to its text's ends, so texts that lie next to it do not matter.
+    starts = np.cumsum(words.counts) - words.counts
+    upto = np.arange(1, n + 1) - np.repeat(starts, words.counts)
+    key[(upto < min_words) | (np.repeat(words.counts, words.counts) - upto < min_words)] = never
+    reach = min_words - 1
+    around = np.concatenate([np.full(reach, never), key, np.full(reach, never)])
+    cut = key < never
+    for d in range(1, min_words):
+        cut &= (key < around[reach - d : reach - d + n]) & (key <= around[reach + d : reach + d + n])
+    first = np.union1d(starts[words.counts > 0], np.flatnonzero(cut) + 1)
+    count = np.diff(np.append(first, n))
+    # Words that repeat have no best place: what is still long is cut evenly.
+    parts = np.where(count >= 4 * min_words, count // (2 * min_words), 1)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    first = np.repeat(first, parts) + nth * 2 * min_words
+    count = np.diff(np.append(first, n))
+    return first, count, np.searchsorted(words.offsets, words.starts[first], "right") - 1
+
+
 def _wide_hash(words: Words, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes of each paragraph's word sequence."""
     place = np.arange(len(words.hashes)) - np.repeat(first, count)
@@ -67,39 +106,46 @@ def _wide_hash(words: Words, first: np.ndarray, count: np.ndarray) -> tuple[np.n
     return np.add.reduceat(spread, first), np.add.reduceat(again * np.uint64(0x9FB21C651E98DF25), first)
 
 
-def _chosen(words: Words, min_words: int):
-    """The paragraphs that are compared: (first, count, text, c1, c2)."""
-    first, count, text = find_paragraphs(words)
+def _chosen(words: Words, min_words: int, joined: bool):
+    """The units that are compared: (first, count, text, c1, c2)."""
+    first, count, text = find_passages(words, min_words) if joined else find_paragraphs(words)
     if not len(first):
         return (*(np.zeros(0, np.int64),) * 3, *(np.zeros(0, np.uint64),) * 2)
     c1, c2 = _wide_hash(words, first, count)
-    keep = count >= min_words
+    keep = count >= (1 if joined else min_words)
     return first[keep], count[keep], text[keep], c1[keep], c2[keep]
 
 
+def _band_keys(hashes: np.ndarray, first: np.ndarray, per: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Band keys (a row each) of units whose ``per`` shingles begin at word ``first``."""
+    edges = np.cumsum(per) - per
+    at = np.repeat(first - edges, per) + np.arange(per.sum())
+    least = np.stack([np.minimum.reduceat(hashes[at] * m, edges) for m in multipliers(bands * rows)], 1)
+    keys = np.empty((len(first), bands), np.uint64)
+    for b in range(bands):
+        acc = np.full(len(first), b + 1, np.uint64)
+        for r in range(rows):
+            acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + least[:, b * rows + r])
+        keys[:, b] = acc
+    return keys
+
+
 _UNIT = "k binary, id bigint, start bigint, stop bigint, c1 bigint, c2 bigint, band_keys array<bigint>"
 
 
-def _unit_rows(shingle: int, min_words: int, bands: int, rows: int):
+def _unit_rows(shingle: int, min_words: int, bands: int, rows: int, joined: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch, "text", SLICE_BYTES):
                 words = find_words(texts)
-                first, count, text, c1, c2 = _chosen(words, min_words)
+                first, count, text, c1, c2 = _chosen(words, min_words, joined)
                 if not len(first):
                     continue
-                hashes = shingle_hashes(words.hashes, shingle)
-                # Each paragraph's shingles, then their least hash per function.
-                per = count - shingle + 1
-                at = np.repeat(first - np.concatenate([[0], np.cumsum(per)[:-1]]), per) + np.arange(per.sum())
-                edges = np.concatenate([[0], np.cumsum(per)[:-1]])
-                least = np.stack([np.minimum.reduceat(hashes[at] * m, edges) for m in multipliers(bands * rows)], 1)
-                keys = np.empty((len(first), bands), np.uint64)
-                for b in range(bands):
-                    acc = np.full(len(first), b + 1, np.uint64)
-                    for r in range(rows):
-                        acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + least[:, b * rows + r])
-                    keys[:, b] = acc
+                long = count >= min_words  # a shorter one is a whole text, which only equal ones repeat
+                keys = np.empty((0, bands), np.uint64)
+                if long.any():
+                    keys = _band_keys(shingle_hashes(words.hashes, shingle), first[long], count[long] - shingle + 1, bands, rows)
+                edges = np.concatenate([[0], np.cumsum(long * bands)]).astype(np.int32)
                 base = words.offsets[text]
                 sizes = np.fromiter(map(len, texts), np.int64, len(texts))
                 after = np.append(words.starts, len(words.data))[first + count]  # the blanks behind go along
@@ -107,7 +153,7 @@ def _unit_rows(shingle: int, min_words: int, bands: int, rows: int):
                     [part.column("k").take(pa.array(text)), part.column("id").take(pa.array(text)),
                      pa.array(words.starts[first] - base), pa.array(np.minimum(after - base, sizes[text])),
                      pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)),
-                     pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))],
+                     pa.ListArray.from_arrays(pa.array(edges), pa.array(keys.view(np.int64).ravel()))],
                     names=["k", "id", "start", "stop", "c1", "c2", "band_keys"],
                 )
 
@@ -141,6 +187,7 @@ def remove_paragraphs(
     min_words: int = 10,
     recall: float = 0.99,
     most_bands: int = 4,
+    joined: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -148,13 +195,14 @@ def remove_paragraphs(
 
     ``kept`` is the UTF-8 of the text without the removed paragraphs and the blanks behind them, ``n_removed`` their
     number, ``first_ids`` the sorted ids of the documents that hold the occurrences that stay in their place (the document itself where
-    it repeats itself).  Paragraphs below ``min_words`` words are kept as they are.  A null or empty text has none.
+    it repeats itself).  With ``joined`` every word is in a unit (a text below ``min_words`` words is one that only an
+    equal text repeats); without, paragraphs below ``min_words`` words are kept as they are.  A null or empty text has none.
     Rows that repeat both id and text are one document and get the same result; a null id comes after all others
     when the first occurrence is chosen.  An empty table gives an empty table.
     """
     bands, rows = tune_bands(threshold_pct / 100, recall, most_bands)
     keyed = keyed_texts(docs, id_col, text_col)
-    units = written(keyed.select("k", F.col("id").cast("bigint").alias("id"), "text").mapInArrow(_unit_rows(shingle, min_words, bands, rows), _UNIT), "para-units")
+    units = written(keyed.select("k", F.col("id").cast("bigint").alias("id"), "text").mapInArrow(_unit_rows(shingle, min_words, bands, rows, joined), _UNIT), "para-units")
 
     # Bands that hold at least two different paragraphs; only their members go on.
     banded = units.select("c1", "c2", F.explode("band_keys").alias("key"))

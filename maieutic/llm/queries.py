@@ -97,8 +97,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+OP5_PARAMETERS = dict(shingle=5, threshold_pct=80, min_words=10, joined=True)
+
+
 def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = paragraph_dedup.remove_paragraphs(table(spark, sf_dir, "documents"), shingle=5, threshold_pct=80, min_words=10)
+    found = paragraph_dedup.remove_paragraphs(table(spark, sf_dir, "documents"), **OP5_PARAMETERS)
     return found.select(
         "doc_id", "n_bytes", "n_removed", "removed_bytes", F.sha2("kept", 256).alias("kept_sha256"), "first_ids"
     )

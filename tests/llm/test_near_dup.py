@@ -7,7 +7,8 @@ import numpy as np
 
 from maieutic.llm import line_dedup, linking, near_dup, paragraph_dedup
 from maieutic.llm.components import components
-from maieutic.llm.shingles import shingle_sets
+from maieutic.llm.queries import OP5_PARAMETERS
+from maieutic.llm.shingles import find_words, shingle_sets
 
 
 def plain_components(nodes, links):
@@ -261,6 +262,46 @@ def test_embedded_passage_is_found(documents):
     assert got[1].first_ids == [0] and b"p1x3" not in bytes(got[1].kept)
 
 
+def test_passages_hold_every_word_and_copies_cut_alike():
+    rng = random.Random(21)
+    for _ in range(60):
+        texts = [" ".join(rng.choice(["a", "b", f"w{rng.randint(0, 500)}"]) + rng.choice(["", "", "", ".", "\n"]) for _ in range(rng.randint(0, 200))) for _ in range(5)]
+        words = find_words([t.encode() for t in texts + ["same " * 300, "", "x"]])
+        first, count, text = paragraph_dedup.find_passages(words, 10)
+        assert count.sum() == len(words.starts) and (first == np.cumsum(count) - count).all()
+        assert np.bincount(text, count, len(words.counts)).tolist() == words.counts.tolist()
+        assert all(10 <= n < 40 or n == words.counts[t] < 10 for n, t in zip(count.tolist(), text.tolist()))
+        copy = " ".join(f"c{rng.randint(0, 999)}" for _ in range(120))
+        cuts = []
+        for host in texts[:2]:
+            words = find_words([f"{host} {copy} {host}".encode()])
+            at = len(host.split())
+            first, _, _ = paragraph_dedup.find_passages(words, 10)
+            cuts.append([x - at for x in first.tolist() if at + 60 <= x <= at + 100])  # beyond a long unit that begins in the host
+        assert cuts[0] == cuts[1] and cuts[0]
+
+
+def test_passages_of_short_sentences_or_without_marks_are_found(documents):
+    rng = random.Random(22)
+    host = lambda n: " ".join(f"h{rng.randint(0, 10**6)}" for _ in range(n))
+    short = " ".join(" ".join(f"s{i}x{j}" for j in range(6)) + "." for i in range(10))
+    bare = " ".join(f"b{i}" for i in range(60))
+    listed = "\n".join(f"l{i}x{j} l{j}y{i}" for i in range(6) for j in range(5))
+    for passage in (short, bare, listed):
+        rows = [(i, f"{host(25)} {passage} {host(25)}") for i in range(3)] + [(9, host(70))]
+        got = {r.doc_id: r for r in paragraph_dedup.remove_paragraphs(documents(rows), **OP5_PARAMETERS).collect()}
+        assert [got[i].n_removed for i in (0, 9)] == [0, 0]
+        for i in (1, 2):
+            left = set(bytes(got[i].kept).decode().split())
+            assert got[i].first_ids == [0] and len(left & set(passage.split())) <= 0.6 * 60, passage
+
+
+def test_short_texts_repeat_only_as_a_whole(documents):
+    rows = [(1, "one two three."), (2, "One two three. "), (3, "one two three four."), (4, "x"), (5, "x"), (6, None), (7, " ")]
+    got = {r.doc_id: bytes(r.kept) for r in paragraph_dedup.remove_paragraphs(documents(rows), **OP5_PARAMETERS).collect()}
+    assert got == {1: b"one two three.", 2: b"", 3: b"one two three four.", 4: b"x", 5: b"", 6: b"", 7: b" "}
+
+
 def test_tuned_bands():
     assert paragraph_dedup.tune_bands(0.8, 0.99, 4) == (3, 1)
     bands, rows = paragraph_dedup.tune_bands(0.8, 0.9999, 20)
