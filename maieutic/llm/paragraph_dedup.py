@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maieutic.llm.common import text_slices, written
+from maieutic.llm.common import text_slices, with_keys, written
 from maieutic.llm.components import components
 from maieutic.llm.cutting import bodies_of, classes_of, cut_repeats, keyed_texts
 from maieutic.llm.linking import Jaccard, link_buckets
@@ -130,10 +130,10 @@ def _band_keys(hashes: np.ndarray, first: np.ndarray, per: np.ndarray, bands: in
     return keys
 
 
-_UNIT = "k binary, id bigint, start bigint, stop bigint, c1 bigint, c2 bigint, band_keys array<bigint>"
+_UNIT = "k binary, id bigint, start bigint, stop bigint, c1 bigint, c2 bigint"
 
 
-def _unit_rows(shingle: int, min_words: int, bands: int, rows: int, joined: bool):
+def _unit_rows(min_words: int, joined: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch, "text", SLICE_BYTES):
@@ -141,25 +141,44 @@ def _unit_rows(shingle: int, min_words: int, bands: int, rows: int, joined: bool
                 first, count, text, c1, c2 = _chosen(words, min_words, joined)
                 if not len(first):
                     continue
-                long = count >= min_words  # a shorter one is a whole text, which only equal ones repeat
-                keys = np.empty((0, bands), np.uint64)
-                if long.any():
-                    keys = _band_keys(shingle_hashes(words.hashes, shingle), first[long], count[long] - shingle + 1, bands, rows)
-                edges = np.concatenate([[0], np.cumsum(long * bands)]).astype(np.int32)
                 base = words.offsets[text]
                 sizes = np.fromiter(map(len, texts), np.int64, len(texts))
                 after = np.append(words.starts, len(words.data))[first + count]  # the blanks behind go along
                 yield pa.record_batch(
                     [part.column("k").take(pa.array(text)), part.column("id").take(pa.array(text)),
                      pa.array(words.starts[first] - base), pa.array(np.minimum(after - base, sizes[text])),
-                     pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(edges), pa.array(keys.view(np.int64).ravel()))],
-                    names=["k", "id", "start", "stop", "c1", "c2", "band_keys"],
+                     pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64))],
+                    names=["k", "id", "start", "stop", "c1", "c2"],
                 )
 
     return run
 
 
+def _band_rows(shingle: int, min_words: int, bands: int, rows: int, joined: bool, tags: bool):
+    """A row per unit and band: ``(key, tag)``, 32 bits of the class, or ``(key, c1, c2)``.
+
+    Keys are made twice, first with tags, rather than written with the units: they would be most of the bytes on disk.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in text_slices(batch, "text", SLICE_BYTES):
+                words = find_words(texts)
+                first, count, _, c1, c2 = _chosen(words, min_words, joined)
+                long = count >= min_words  # a shorter one is a whole text, which only equal ones repeat
+                if not long.any():
+                    continue
+                keys = _band_keys(shingle_hashes(words.hashes, shingle), first[long], count[long] - shingle + 1, bands, rows)
+                c1, c2 = (np.repeat(c[long], bands) for c in (c1, c2))
+                key = pa.array(keys.view(np.int64).ravel())
+                if tags:
+                    yield pa.record_batch([key, pa.array(c1.astype(np.uint32).view(np.int32))], names=["key", "tag"])
+                else:
+                    yield pa.record_batch([key, pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64))], names=["key", "c1", "c2"])
+
+    return run
+
+
 def _unit_sets(shingle: int):
     """Shingle sets of given paragraphs (start, stop) of a text."""
 
@@ -202,20 +221,25 @@ def remove_paragraphs(
     """
     bands, rows = tune_bands(threshold_pct / 100, recall, most_bands)
     keyed = keyed_texts(docs, id_col, text_col)
-    units = written(keyed.select("k", F.col("id").cast("bigint").alias("id"), "text").mapInArrow(_unit_rows(shingle, min_words, bands, rows, joined), _UNIT), "para-units")
-
-    # Bands that hold at least two different paragraphs; only their members go on.
-    banded = units.select("c1", "c2", F.explode("band_keys").alias("key"))
-    mixed = banded.groupBy("key").agg(F.min("c1").alias("low"), F.max("c1").alias("high")).where("low < high").select("key")
+    texts = keyed.select("k", F.col("id").cast("bigint").alias("id"), "text")
+    units = written(texts.mapInArrow(_unit_rows(min_words, joined), _UNIT), "para-units")
+
+    # Bands that hold at least two different units; only their members go on.  Two units whose tags are equal
+    # (1 pair in 2**32) count as one here.
+    banded = lambda tags, schema: keyed.select("text").mapInArrow(_band_rows(shingle, min_words, bands, rows, joined, tags), schema)
+    tagged = banded(True, "key bigint, tag int")
+    mixed = tagged.groupBy("key").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).where("low < high").select("key")
     cls = F.unhex(F.concat(F.lpad(F.hex("c1"), 16, "0"), F.lpad(F.hex("c2"), 16, "0")))
-    shared = banded.join(mixed, "key").select("key", cls.alias("cls")).distinct()
-    shared = written(shared, "para-shared")
+    members = with_keys(banded(False, "key bigint, c1 bigint, c2 bigint"), mixed, "key").distinct()
+    shared = written(members.withColumn("cls", cls), "para-shared")
     sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    members = shared.join(sizes, "key")
+    members = shared.select("key", "cls").join(sizes, "key")
 
-    # Their full sets, each from one occurrence.
-    classes = written(classes_of(units).withColumn("cls", cls), "para-classes")
-    bodies = bodies_of(keyed, classes.join(shared.select("cls").distinct(), "cls"))
+    # Classes that repeat or share a band; the full sets of the latter, each from one occurrence.
+    banding = shared.select("c1", "c2", F.lit(True).alias("banded")).distinct()
+    classes = classes_of(units).join(banding, ["c1", "c2"], "left").where("seen > 1 OR banded").withColumn("cls", cls)
+    classes = written(classes, "para-classes")
+    bodies = bodies_of(keyed, classes.where("banded"))
     sets = written(bodies.mapInArrow(_unit_sets(shingle), "cls binary, n bigint, payload array<bigint>"), "para-sets")
     labels = components(link_buckets(members, ["key"], sets, Jaccard(threshold_pct)))
     return cut_repeats(keyed, units, classes, labels).withColumnRenamed("id", id_col)

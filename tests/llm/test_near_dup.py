@@ -302,6 +302,46 @@ def test_short_texts_repeat_only_as_a_whole(documents):
     assert got == {1: b"one two three.", 2: b"", 3: b"one two three four.", 4: b"x", 5: b"", 6: b"", 7: b" "}
 
 
+def passages_of(text):
+    words = find_words([text])
+    first, count, _ = paragraph_dedup.find_passages(words, OP5_PARAMETERS["min_words"])
+    starts = np.append(words.starts, len(text))
+    for a, n in zip(first.tolist(), count.tolist()):
+        yield int(starts[a]), int(min(starts[a + n], len(text))), b" ".join(text[s:e] for s, e in zip(words.starts[a : a + n], words.ends[a : a + n]))
+
+
+def test_passage_dedup_of_the_query_equals_brute_force(documents):
+    rng = random.Random(23)
+    pool = [" ".join(f"w{rng.randint(0, 300)}" + rng.choice(["", "", "", "."]) for _ in range(rng.randint(4, 60))) for _ in range(20)]
+    rows = []
+    for i in range(60):
+        text = ""
+        for _ in range(rng.randint(0, 4)):
+            words = rng.choice(pool).split()
+            if rng.random() < 0.5:
+                words[rng.randrange(len(words))] = f"z{rng.randint(0, 99)}"
+            text += " ".join(words) + rng.choice([". ", "\n", " ", "?\n\n"])
+        rows.append((i, text))
+    rows += [(100, None), (101, ""), (102, ". . ."), (103, "one two three."), (104, "One two  three.")]
+
+    def linked(a, b):
+        x, y = plain_set(a.decode(), 5), plain_set(b.decode(), 5)
+        return a.lower() == b.lower() or min(len(a.split()), len(b.split())) >= 10 and 100 * len(x & y) >= 80 * len(x | y)
+
+    want = plain_removal(rows, passages_of, linked)
+    assert sum(r[2] for r in want) > 60
+    assert removed(paragraph_dedup.remove_paragraphs(documents(rows), **OP5_PARAMETERS)) == want
+
+
+def test_isolated_pairs_at_the_threshold_are_found(documents):
+    """1500 pairs of 13 words that share 8 of 10 shingles; 3 bands of one hash miss about 12 of them."""
+    bands, rows = paragraph_dedup.tune_bands(0.8, OP5_PARAMETERS["recall"], OP5_PARAMETERS["most_bands"])
+    assert (1 - 0.8**rows) ** bands <= 1e-4
+    texts = [(2 * i + j, " ".join(f"p{i}x{k}" for k in range(12)) + f" end{j}") for i in range(1500) for j in range(2)]
+    got = {r.doc_id: r.n_removed for r in paragraph_dedup.remove_paragraphs(documents(texts), **OP5_PARAMETERS).collect()}
+    assert got == {i: i % 2 for i, _ in texts}
+
+
 def test_tuned_bands():
     assert paragraph_dedup.tune_bands(0.8, 0.99, 4) == (3, 1)
     bands, rows = paragraph_dedup.tune_bands(0.8, 0.9999, 20)
