@@ -7,9 +7,10 @@ bounded by the vocabulary.  A text is cut into pre-tokens; a whole pre-token
 counts as one, and only the remaining pre-tokens go through the merges of the
 tokenizer, each distinct one once per worker.
 
-Pre-tokens are cut here only for texts made of code points below U+0250
-(without U+0130), where normal form C is the identity, lower-casing is per
-character and the letter and number classes are fixed.  Any other text, and
+Pre-tokens are cut here only for texts made of code points below U+0250 whose
+small letters lie there, too (not so U+0130 and 23 other capitals), where normal
+form C is the identity, lower-casing is per character and the letter and number
+classes are fixed.  Any other text, and
 any text that holds the string of an added token, is encoded whole by the
 library itself.  Both ways give the library's ids.
 """
@@ -31,8 +32,8 @@ _LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ɏ"
 _NUMBERS = "0-9²³¹¼-¾"
 _BLANKS = "\t-\r \u0085 "
 _PIECES = re.compile(f"{_CONTRACTIONS}|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
-# U+001C to U+001F are blanks for ``str.split`` but not for the pattern.
-_PLAIN = re.compile("[\x00-\x1b\x20-įı-ɏ]*")
+# U+001C to U+001F are blanks for ``str.split`` but not for the pattern; U+0130 and 23 capitals lower to something beyond U+024F.
+_PLAIN = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x250)) if not "\x1c" <= c <= "\x1f" and max(c.lower()) < "\u0250") + "]*")
 # The pattern and normalizers that the cutting above stands for.
 _EXPECTED_SPLIT = _CONTRACTIONS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _EXPECTED_NORMALIZERS = ["NFC", "Replace", "Lowercase"]

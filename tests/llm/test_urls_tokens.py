@@ -77,6 +77,18 @@ def test_token_counts_equal_the_library(documents, vocabulary):
     assert by_id[None].n_tokens == 2
 
 
+def test_every_code_point_of_the_fast_path_equals_the_library(vocabulary):
+    library = Tokenizer.from_file(vocabulary)
+    whole = token_count.prove_whole_tokens(vocabulary)
+    pieces, counter = (token_count.PieceTokenizer(vocabulary, whole) for _ in range(2))  # memos of ids and of counts
+    for c in map(chr, range(0x260)):
+        for text in (c, f"{c}liyev", f"some wo{c}rd here", f"END{c} {c}{c.lower()}x"):
+            want = library.encode(text, add_special_tokens=False).ids
+            got = pieces.encode_packed(text, lambda ids: b"".join(i.to_bytes(4, "little") for i in ids))
+            assert got == b"".join(i.to_bytes(4, "little") for i in want), (hex(ord(c)), text)
+            assert counter.count(text) == len(want)
+
+
 def test_token_counts_repeats_and_empty(documents, vocabulary):
     got = token_count.count_tokens(documents([(1, "a b"), (1, "a b"), (1, "c")]), vocabulary).collect()
     assert sorted(r.n_tokens for r in got) == [1, 2, 2]
