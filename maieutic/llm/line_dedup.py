@@ -7,7 +7,7 @@ place that differs from the segment's by no more than the edits before and after
 allow.  So each line is entered by its own segments, and probes, for each shorter length
 within reach, the few substrings of itself that could be such a segment (12 keys a line for 2 edits).
 
-Equal lines are one class first.  Lines that share a key are a bucket, and are
+Equal lines are one class first; a line below ``min_bytes`` bytes has no other links.  Lines that share a key are a bucket, and are
 linked through hubs and tiles (``linking``) after verification by a bit-parallel
 edit distance over a diagonal band.  Of each component only the first
 occurrence stays.
@@ -142,7 +142,7 @@ def segment_keys(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, k: i
 _UNIT = "k binary, id bigint, start bigint, stop bigint, c1 bigint, c2 bigint, band_keys array<bigint>"
 
 
-def _unit_rows(max_edits: int, min_bytes: int):
+def _unit_rows(max_edits: int, min_bytes: int, exact_below: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch, "text", SLICE_BYTES):
@@ -150,19 +150,23 @@ def _unit_rows(max_edits: int, min_bytes: int):
                 for i, text in enumerate(texts):
                     at = 0
                     for line in text.split(b"\n"):
-                        if len(line) >= min_bytes and line.strip():
+                        if (exact_below or len(line) >= min_bytes) and line.strip():
                             owner.append(i), start.append(at), stop.append(min(at + len(line) + 1, len(text))), lines.append(line)
                         at += len(line) + 1
                 if not lines:
                     continue
                 sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-                data = np.frombuffer(b"".join(lines), np.uint8)
-                keys = segment_keys(data, np.cumsum(sizes) - sizes, sizes, max_edits)
+                long = sizes >= min_bytes  # a shorter line is linked to equal ones only
+                keys = np.empty((0, 1), np.uint64)
+                if long.any():
+                    data = np.frombuffer(b"".join(lines), np.uint8)
+                    keys = segment_keys(data, (np.cumsum(sizes) - sizes)[long], sizes[long], max_edits)
+                edges = np.concatenate([[0], np.cumsum(long * keys.shape[1])]).astype(np.int32)
                 wide = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), "<i8").reshape(-1, 2)
                 yield pa.record_batch(
                     [part.column("k").take(pa.array(owner)), part.column("id").take(pa.array(owner)), pa.array(start, pa.int64()),
                      pa.array(stop, pa.int64()), pa.array(wide[:, 0].copy()), pa.array(wide[:, 1].copy()),
-                     pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), keys.shape[1]).cast(pa.list_(pa.int64()))],
+                     pa.ListArray.from_arrays(pa.array(edges), pa.array(keys.view(np.int64).ravel()))],
                     names=["k", "id", "start", "stop", "c1", "c2", "band_keys"],
                 )
 
@@ -173,20 +177,21 @@ def remove_lines(
     docs: DataFrame,
     max_edits: int = 2,
     min_bytes: int = 20,
+    exact_below: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """``(<id_col>, n_bytes, n_removed, removed_bytes, kept, first_ids)``, one row per input row.
 
     ``kept`` is the UTF-8 of the text without the removed lines (their line feeds go along), ``n_removed`` their
-    number, ``first_ids`` the sorted ids of the documents that hold the occurrences that stay in their place.  Lines below
-    ``min_bytes`` bytes, or of blanks only, are kept as they are.  A null or empty text has no lines.  Rows that repeat both id and
+    number, ``first_ids`` the sorted ids of the documents that hold the occurrences that stay in their place.  Lines of blanks only are kept as they are.
+    Lines below ``min_bytes`` bytes are linked to equal lines with ``exact_below``, and kept as they are without.  A null or empty text has no lines.  Rows that repeat both id and
     text are one document and get the same result; a null id comes after all others when the first
     occurrence is chosen.  An empty table gives an empty table.
     """
     keyed = keyed_texts(docs, id_col, text_col)
     rows = keyed.select("k", F.col("id").cast("bigint").alias("id"), "text")
-    units = written(rows.mapInArrow(_unit_rows(max_edits, min_bytes), _UNIT), "line-units")
+    units = written(rows.mapInArrow(_unit_rows(max_edits, min_bytes, exact_below), _UNIT), "line-units")
     cls = F.unhex(F.concat(F.lpad(F.hex("c1"), 16, "0"), F.lpad(F.hex("c2"), 16, "0")))
     classes = written(classes_of(units).withColumn("cls", cls), "line-classes")
 

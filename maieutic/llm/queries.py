@@ -60,7 +60,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.remove_lines(table(spark, sf_dir, "documents"), max_edits=2, min_bytes=20)
+    found = line_dedup.remove_lines(table(spark, sf_dir, "documents"), max_edits=2, min_bytes=20, exact_below=True)
     return found.select(
         "doc_id", "n_bytes", "n_removed", "removed_bytes", F.sha2("kept", 256).alias("kept_sha256"), "first_ids"
     )

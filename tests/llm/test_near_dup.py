@@ -215,6 +215,25 @@ def test_line_dedup_repeats_and_empty(documents):
     assert line_dedup.remove_lines(documents([])).count() == 0
 
 
+def every_line_of(text):
+    at = 0
+    for line in text.split(b"\n"):
+        if line.strip():
+            yield at, min(at + len(line) + 1, len(text)), line
+        at += len(line) + 1
+
+
+def test_short_lines_repeat_exactly(documents):
+    rng = random.Random(31)
+    pool = ["".join(rng.choices("abé ", k=rng.randint(1, 30))) for _ in range(30)] + ["Read more", "Log in", "Log in "]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 7)))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, " \n \n"), (103, "only here\nshort\nshort"), (104, "a" * 19), (105, "a" * 20), (106, "a" * 21)]
+    near = lambda a, b: a == b or min(len(a), len(b)) >= 20 and plain_edits(a, b) <= 2
+    want = plain_removal(rows, every_line_of, near)
+    assert {r[0]: r[2] for r in want if r[0] > 100} == {101: 0, 102: 0, 103: 1, 104: 0, 105: 0, 106: 1}
+    assert removed(line_dedup.remove_lines(documents(rows), max_edits=2, min_bytes=20, exact_below=True)) == want
+
+
 def paragraphs_of(text):
     import re
 
