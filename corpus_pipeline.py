@@ -39,8 +39,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any ten-word window of a benchmark item."""
-    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), window=10)
+    """Documents without any ten-word window of a benchmark item, with an id or without."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), window=10, unnamed=True)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,21 +31,21 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
-def item_windows(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> DataFrame:
-    """``(item, words)``, one row per distinct window of an item."""
+def item_windows(benchmark: DataFrame, window: int, item_col: str, text_col: str, unnamed: bool) -> DataFrame:
+    """``(item, words)``, one row per distinct window of an item; with ``unnamed``, items with a null id have theirs."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("words"))
-    items = items.where("item IS NOT NULL AND size(words) > 0")
+    items = items.where("size(words) > 0" if unnamed else "item IS NOT NULL AND size(words) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - window + 1, F.lit(1)))
     return items.select("item", F.explode(F.transform(starts, lambda i: F.slice("words", i, window))).alias("words")).distinct()
 
 
 def _hits(
-    docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, item_col: str, item_text_col: str
+    docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, item_col: str, item_text_col: str, unnamed: bool
 ) -> tuple[DataFrame, DataFrame]:
     """(rows: id, row, words; found: row, n_hit, items of the rows with a hit)."""
     # A row is found again by id and text, so equal ids with other texts stay apart.
     split = keyed_texts(docs, id_col, text_col).select("id", F.col("k").alias("row"), words_of(F.col("text")).alias("words"))
-    windows = item_windows(benchmark, window, item_col, item_text_col)
+    windows = item_windows(benchmark, window, item_col, item_text_col, unnamed)
 
     # Number of each benchmark word in the documents; words that no document has are rarest.
     bench_words = windows.select(F.explode("words").alias("word")).distinct()
@@ -60,6 +60,7 @@ def _hits(
         .where("rarest.n > 0")
         .select("words", F.col("rarest.at").alias("at"), F.col("rarest.word").alias("word"), "item")
     )
+    # A null id is in no set, but its window is a probe all the same.
     probes = prefix.groupBy("word", "at", "words").agg(F.collect_set("item").alias("items"))
     probes = written(probes.withColumn("probe", F.xxhash64("words")), "decon-probes")
 
@@ -105,17 +106,18 @@ def decontaminate(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    unnamed: bool = False,
 ) -> DataFrame:
     """``(<id_col>, n_words, n_hit, n_items, items, contaminated)``, one row per input row.
 
     ``n_hit`` counts the words inside any occurrence of any window, ``items``
     are the sorted ids (as strings) of the items with an occurring window.  A
-    null or empty text has no words and no hit; an item without words, or with a
-    null id, has no window; equal windows of several items count for each; repeated
+    null or empty text has no words and no hit; an item without words has no
+    window, and one with a null id only with ``unnamed``, where it counts for ``n_hit`` and ``contaminated``; equal windows of several items count for each; repeated
     rows each get their row.  Empty documents give an empty table, an
     empty benchmark leaves every row clean.
     """
-    split, found = _hits(docs, benchmark, window, id_col, text_col, item_col, item_text_col)
+    split, found = _hits(docs, benchmark, window, id_col, text_col, item_col, item_text_col, unnamed)
     return (
         split.select("id", "row", F.size("words").cast("long").alias("n_words"))
         .join(found, "row", "left")
@@ -131,10 +133,10 @@ def decontaminate(
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", unnamed: bool = False
 ) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no window of any item (edge cases as in ``decontaminate``)."""
-    _, found = _hits(docs, benchmark, window, id_col, text_col, "item_id", "text")
+    _, found = _hits(docs, benchmark, window, id_col, text_col, "item_id", "text", unnamed)
     key = row_key(F.col(id_col), F.col(text_col))
     found = found.select(F.col("row").alias("__row"))
     return docs.join(found, key == F.col("__row"), "left_anti")

@@ -115,6 +115,20 @@ def test_decontamination_random(spark, documents):
     assert {r.n_hit for r in decontaminate.decontaminate(documents(docs), benchmark.limit(0)).collect()} == {0}
 
 
+def test_items_without_id_count_in_the_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    item, other = (" ".join(f"{c}{i}" for i in range(12)) for c in "uv")
+    benchmark = spark.createDataFrame([(None, item), (7, other)], "item_id long, text string")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, f"x {item} y"), (2, f"{other} z"), (3, f"{item} {other}"), (4, "clean words")], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()] == [4]
+    got = decontaminate.decontaminate(docs, benchmark, unnamed=True).collect()
+    assert sorted((r.doc_id, r.n_hit, r.items, r.n_items, r.contaminated) for r in got) == [
+        (1, 12, [], 0, True), (2, 12, ["7"], 1, True), (3, 24, ["7"], 1, True), (4, 0, [], 0, False),
+    ]
+
+
 def test_records_round_trip(spark, documents, vocabulary):
     rng = random.Random(5)
     rows = [(i * 7 % 101, " ".join(rng.choices(["plain", "wörds", "日本", "don't", "x<|endoftext|>"], k=rng.randint(0, 40)))) for i in range(101)]
