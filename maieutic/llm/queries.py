@@ -1,4 +1,4 @@
-"""Queries op1 .. op10 over the driver tables, and their DuckDB SQL where SQL can state them."""
+"""Queries op1 .. op13 over the driver tables, and their DuckDB SQL where SQL can state them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maieutic.llm import binary_records, decontaminate, line_dedup, mixing, near_dup, paragraph_dedup, quality_rules, substring_dedup, token_count, url_rules
+from maieutic.llm import binary_records, decontaminate, line_dedup, mixing, near_dup, paragraph_dedup, quality_classifier, quality_rules, substring_dedup, token_alignment, token_count, url_rules, whitening
 
 from maieutic.llm.common import fresh_path
 
@@ -32,6 +32,7 @@ URL_RULES = [
     ("org", "/fr/", "allow"),
 ]
 VOCABULARY = "word_bpe_49k.json"
+ALIGNED_VOCABULARIES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,6 +200,21 @@ def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32", "shard", "offset", "length")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = map(tokenizer_path, ALIGNED_VOCABULARIES)
+    return token_alignment.align_tokenizers(table(spark, sf_dir, "documents"), a, b, pairing="end")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=8, scale=1024)
+    # A sum of squares beyond 63 bits (some ten million vectors) has no long: null.
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label_col="quality")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
@@ -210,6 +226,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_decontamination": op9_decontamination,
     "op10_binary_records": op10_binary_records,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL, "op4_quality_rules": OP4_SQL, "op7_source_mix": OP7_SQL, "op8_near_duplicates": OP8_SQL, "op9_decontamination": OP9_SQL}
 
