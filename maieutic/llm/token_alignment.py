@@ -35,13 +35,15 @@ from maieutic.llm.common import text_slices, written
 from maieutic.llm.token_count import _byte_alphabet, load_tokenizer
 
 SLICE_BYTES = 1 << 20
-MEMO_SEGMENTS = 200_000  # segments a worker remembers, and their bytes; memory bounds only
+MEMO_SEGMENTS = 300_000  # segments a worker remembers, and their bytes; memory bounds only
 MEMO_BYTES = 16 << 20
 CALL_BYTES = 1 << 16
 #: Id pairs that are broadcast at most (24 bytes each); all others are joined by shuffle.
 BROADCAST_PAIRS = 1 << 18
 
 _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
+# Blanks other than space and line feed.
+_RARE_BLANK = re.compile("[\t\v-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 # How a sentence-piece vocabulary writes a space and a byte.
 _SPACE = "▁"
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -105,6 +107,8 @@ class Aligner:
         ]
         self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.most_ids = max(len(self.a_bytes), len(self.b_bytes))
+        self.written = [f"{mark}{i}" for mark in "\n;|," for i in range(self.most_ids)]
         with open(a_path, encoding="utf-8") as f:
             spec = json.load(f)
         self.cuts = self._proved(spec, pieces)
@@ -133,7 +137,7 @@ class Aligner:
         ids = list(map(self.a.token_to_id, made))
         model = self.a.model
         added = {t.content for t in self.a.get_added_tokens_decoder().values()}
-        if ids != sorted(ids) or set(made) | added | set(_byte_alphabet()) != set(entries):
+        if {bytes([x]) for x in range(256)} - set(self.a_bytes) or ids != sorted(ids) or set(made) | added | set(_byte_alphabet()) != set(entries):
             return None
         if any([t.id for t in model.tokenize(e)] != [i] for i, e in enumerate(entries) if e not in added):
             return None
@@ -182,13 +186,17 @@ class Aligner:
 
         def together(part: list[str]) -> bool:
             text = " ".join(part)
-            raw = (" " + text).encode()
-            a, b = self.ranks.encode_ordinary(" " + text), self.b.encode(text)
-            if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+            if "".join(part).isascii():
+                ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            else:
+                ends = np.cumsum(np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)) + 1)
+            a, b = self.ranks.encode_to_numpy(" " + text).astype(np.int64), self.b.encode(text)
+            # A's ranks hold every byte, so its tokens tile any text; B may have changed or left out something.
+            if b"".join(map(self.b_bytes.__getitem__, b)) != (" " + text).encode():
                 return False
-            ends = np.cumsum(np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)) + 1)
+            b = np.fromiter(b, np.int64, len(b))
             for side, found, size in ((0, a, self.a_size), (1, b, self.b_size)):
-                upto = np.searchsorted(np.cumsum(size[np.asarray(found, np.int64)]), ends, "right")
+                upto = np.searchsorted(np.cumsum(size[found]), ends, "right")
                 add(side, found, np.diff(upto, prepend=0))
             return True
 
@@ -229,14 +237,14 @@ class Aligner:
         segment = np.concatenate([np.repeat(np.arange(n), n_a), np.repeat(np.arange(n), n_b)])
         order, group = coalesce(np.concatenate([a_start, b_start]), np.concatenate([a_end, b_end]), side)
         ids, side, segment = ids[order], side[order], segment[order]
-        by_side = np.lexsort((side, group))  # stable: starts ascend within a side
+        by_side = np.argsort(group * 2 + side, kind="stable")  # starts ascend within a side
         ids, side, segment, group = ids[by_side], side[by_side], segment[by_side], group[by_side]
         new_group = np.diff(group, prepend=-1) > 0
         n_groups = np.bincount(segment[new_group], minlength=n)
         n_links = np.bincount(np.repeat(np.arange(n), n_a)[left], minlength=n)
-        new_segment = np.diff(segment, prepend=-1) > 0
-        marks = np.where(new_segment, "\n", np.where(new_group, ";", np.where(np.diff(side, prepend=0) > 0, "|", ","))).tolist()
-        texts = "".join([m + str(i) for m, i in zip(marks, ids.tolist())]).split("\n")[1:]
+        # What precedes a token: the next segment, the next group, the other side, or the same one.
+        before = np.where(np.diff(segment, prepend=-1) > 0, 0, np.where(new_group, 1, np.where(np.diff(side, prepend=0) > 0, 2, 3)))
+        texts = "".join(map(self.written.__getitem__, (before * self.most_ids + ids).tolist())).split("\n")[1:]
         if len(texts) < n:  # segments without tokens
             there = iter(texts)
             texts = [next(there) if k else "" for k in (n_a > 0).tolist()]
@@ -250,11 +258,18 @@ class Aligner:
         self.number.update(zip(fresh, range(at, at + n)))
         self.held += sum(map(len, fresh))
 
+    def _segments(self, text: str) -> list[str]:
+        """The text cut before every single space between two characters that are no blanks."""
+        if not self.cuts or not text:
+            return [text] if text else []
+        odd = "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " "
+        return _BETWEEN_WORDS.split(text) if odd or _RARE_BLANK.search(text) else text.split(" ")
+
     def align(self, texts: list[str]) -> list[tuple[int, int, int, str | None, np.ndarray]]:
         """(tokens of A, tokens of B, groups, digest input, id pairs of all links) of each text; no digest input: without tokens."""
         if len(self.number) > MEMO_SEGMENTS or self.held > MEMO_BYTES:
             self._forget()
-        cut = [(_BETWEEN_WORDS.split(t) if self.cuts else [t]) if t else [] for t in texts]
+        cut = list(map(self._segments, texts))
         flat = [s for segments in cut for s in segments]
         # In the order of their first place, so that reruns do the same.
         fresh = [s for s in dict.fromkeys(flat) if s not in self.number]
