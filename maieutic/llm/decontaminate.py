@@ -9,8 +9,10 @@ hit fixes the place where the window would have to start (positional bound), the
 document must be long enough from there (length bound), and the words of that
 place are then compared one by one.
 
-The windows side is as large as the benchmark.  It is never hinted: Spark
-broadcasts it below its own size threshold and sorts and splits the join beyond.
+Of all document words only those that matter leave their task: they are filtered by the 64-bit hashes of the benchmark's
+words (of the rarest words for places), which are broadcast up to a counted million, and counted before
+they are shuffled.  Beyond that bound words are counted per partition first, and the joins
+are left to Spark, which splits a word that many documents hold.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maieutic.llm.common import written
+from maieutic.llm.common import BROADCAST_KEYS, written
 from maieutic.llm.cutting import keyed_texts, row_key
 from maieutic.llm.url_rules import ascii_lower
 
@@ -31,6 +33,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
+def _few(keys: DataFrame) -> bool:
+    """Whether a written table of words is small enough to broadcast its 64-bit hashes (8 MB)."""
+    return keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+
+
 def item_windows(benchmark: DataFrame, window: int, item_col: str, text_col: str, unnamed: bool) -> DataFrame:
     """``(item, words)``, one row per distinct window of an item; with ``unnamed``, items with a null id have theirs."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("words"))
@@ -47,11 +54,17 @@ def _hits(
     split = keyed_texts(docs, id_col, text_col).select("id", F.col("k").alias("row"), words_of(F.col("text")).alias("words"))
     windows = item_windows(benchmark, window, item_col, item_text_col, unnamed)
 
-    # Number of each benchmark word in the documents; words that no document has are rarest.
-    bench_words = windows.select(F.explode("words").alias("word")).distinct()
-    doc_words = split.select(F.explode("words").alias("word"))
-    seen = doc_words.join(bench_words, "word", "left_semi").groupBy("word").count()
-    rarity = bench_words.join(seen, "word", "left").select("word", F.coalesce("count", F.lit(0)).alias("n"))
+    # Number of each benchmark word in the documents; words that no document has are rarest.  Words are counted by hash:
+    # two words with one hash share their number, which changes the choice of a rarest word but not what is found.
+    bench_words = written(windows.select(F.explode("words").alias("word")).distinct().withColumn("h", F.xxhash64("word")), "decon-words")
+    few = _few(bench_words)
+    hashes = split.select(F.explode("words").alias("word")).select(F.xxhash64("word").alias("h"))
+    keys = bench_words.select("h").distinct()
+    seen = (
+        hashes.join(F.broadcast(keys), "h", "left_semi").groupBy("h").count() if few
+        else hashes.groupBy("h").count().join(keys, "h", "left_semi")
+    )
+    rarity = bench_words.join(seen, "h", "left").select("word", F.coalesce("count", F.lit(0)).alias("n"))
     placed = windows.select("item", "words", F.posexplode("words").alias("at", "word")).join(rarity, "word")
     # A window with a word that no document has cannot occur; of the others keep the rarest word's place.
     prefix = (
@@ -65,8 +78,12 @@ def _hits(
     probes = written(probes.withColumn("probe", F.xxhash64("words")), "decon-probes")
 
     # Candidate places: (row, start) of words that are some window's rarest word.
+    rarest = written(probes.select("word", "at", F.size("words").alias("length")).distinct(), "decon-rarest")
     places = split.select("row", F.size("words").alias("n"), F.posexplode("words").alias("pos", "word"))
-    candidates = places.join(probes.select("word", "at", F.size("words").alias("length")).distinct(), "word").select(
+    if few:  # the rarest words are some of the benchmark's words
+        hashed = rarest.select(F.xxhash64("word").alias("h")).distinct()
+        places = places.withColumn("h", F.xxhash64("word")).join(F.broadcast(hashed), "h", "left_semi").drop("h")
+    candidates = places.join(rarest, "word").select(
         "row", (F.col("pos") - F.col("at")).alias("start"), "length", "n", "word", "at"
     ).where("start >= 0 AND start + length <= n")
     per_row = candidates.groupBy("row").agg(F.collect_set(F.struct("start", "length", "word", "at")).alias("places"))
@@ -106,14 +123,15 @@ def decontaminate(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    unnamed: bool = False,
+    unnamed: bool = True,
 ) -> DataFrame:
     """``(<id_col>, n_words, n_hit, n_items, items, contaminated)``, one row per input row.
 
     ``n_hit`` counts the words inside any occurrence of any window, ``items``
     are the sorted ids (as strings) of the items with an occurring window.  A
     null or empty text has no words and no hit; an item without words has no
-    window, and one with a null id only with ``unnamed``, where it counts for ``n_hit`` and ``contaminated``; equal windows of several items count for each; repeated
+    window; one with a null id counts for ``n_hit`` and ``contaminated`` but not among the items (without ``unnamed`` it counts for
+    nothing); equal windows of several items count for each; repeated
     rows each get their row.  Empty documents give an empty table, an
     empty benchmark leaves every row clean.
     """
@@ -133,7 +151,7 @@ def decontaminate(
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", unnamed: bool = False
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", unnamed: bool = True
 ) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no window of any item (edge cases as in ``decontaminate``)."""
     _, found = _hits(docs, benchmark, window, id_col, text_col, "item_id", "text", unnamed)

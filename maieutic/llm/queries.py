@@ -178,7 +178,7 @@ _OP9_WORDS = """list_filter(regexp_split_to_array(translate(coalesce({t}, ''), '
     'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"""
 OP9_SQL = f"""
 WITH d AS (SELECT doc_id, {_OP9_WORDS.format(t="text")} AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_OP9_WORDS.format(t="text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_OP9_WORDS.format(t="text")} AS w FROM benchmark),
 bw AS (SELECT DISTINCT item, len(s) AS n, array_to_string(s, ' ') AS k FROM (
   SELECT item, w[i:i + 9] AS s FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0))),
 sizes AS (SELECT DISTINCT n FROM bw),
@@ -187,7 +187,7 @@ dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (
 h AS (SELECT dw.doc_id, dw.i, dw.n, bw.item FROM dw JOIN bw ON dw.k = bw.k AND dw.n = bw.n),
 c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, item FROM h WHERE item IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items,
   sha256(coalesce(t.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
