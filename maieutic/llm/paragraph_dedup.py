@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maieutic.llm.common import text_slices, with_keys, written
+from maieutic.llm.common import BROADCAST_KEYS, text_slices, written
 from maieutic.llm.components import components
 from maieutic.llm.cutting import bodies_of, classes_of, cut_repeats, keyed_texts
 from maieutic.llm.linking import Jaccard, link_buckets
@@ -34,6 +34,11 @@ from maieutic.llm.near_dup import multipliers
 from maieutic.llm.shingles import Words, find_words, mix, shingle_hashes
 
 SLICE_BYTES = 1 << 20
+TAG_BYTES = 5  # of a unit's hash, by which the members of a bucket are told apart
+_TAG = np.uint64((1 << 8 * TAG_BYTES) - 1)
+PAIRS_HELD = 1 << 21  # pairs of a task before they are sorted and sent, and units it remembers
+KNOWN_UNITS = 1 << 19
+PARTS = 16  # key ranges a shuffle partition has; a task sorts one at a time
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
 
@@ -154,31 +159,89 @@ def _unit_rows(min_words: int, joined: bool):
     return run
 
 
-def _band_rows(shingle: int, min_words: int, bands: int, rows: int, joined: bool, tags: bool):
-    """A row per unit and band: ``(key, tag)``, 32 bits of the class, or ``(key, c1, c2)``.
+def _distinct_pairs(keys: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((tags, keys))
+    keys, tags = keys[order], tags[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (tags[1:] != tags[:-1])
+    return keys[fresh], tags[fresh]
 
-    Keys are made twice, first with tags, rather than written with the units: they would be most of the bytes on disk.
+
+def _band_pairs(shingle: int, min_words: int, bands: int, rows: int, joined: bool, parts: int):
+    """``(part, keys, tags)``: the distinct pairs of a band key and a unit's tag, packed per range of keys.
+
+    A task makes keys once for equal units (while it remembers them), and a pair takes ``8 + TAG_BYTES`` bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        known = np.zeros(0, np.uint64)
+
+        def packed() -> pa.RecordBatch:
+            keys, tags = _distinct_pairs(*(np.concatenate(x) for x in zip(*held)))
+            held.clear()
+            part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)  # ascends with the key
+            edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+            short = np.ascontiguousarray(tags.view(np.uint8).reshape(-1, 8)[:, :TAG_BYTES])
+            there = np.flatnonzero(np.diff(edges))
+            a, b = edges[there].tolist(), edges[there + 1].tolist()
+            return pa.record_batch(
+                [pa.array(there.astype(np.int32)), pa.array([keys[x:y].tobytes() for x, y in zip(a, b)], pa.binary()),
+                 pa.array([short[x:y].tobytes() for x, y in zip(a, b)], pa.binary())], names=["part", "keys", "tags"],
+            )
+
         for batch in batches:
             for _, texts in text_slices(batch, "text", SLICE_BYTES):
                 words = find_words(texts)
-                first, count, _, c1, c2 = _chosen(words, min_words, joined)
-                long = count >= min_words  # a shorter one is a whole text, which only equal ones repeat
-                if not long.any():
+                first, count, _, c1, _ = _chosen(words, min_words, joined)
+                # A shorter unit is a whole text, which only equal ones repeat.
+                long = np.flatnonzero(count >= min_words)
+                if not len(long):
                     continue
+                fresh, at = np.unique(c1[long], return_index=True)
+                new = ~np.isin(fresh, known, assume_unique=True)
+                long = long[at[new]]
+                if not len(long):
+                    continue
+                known = np.concatenate([known if len(known) < KNOWN_UNITS else known[:0], fresh[new]])
                 keys = _band_keys(shingle_hashes(words.hashes, shingle), first[long], count[long] - shingle + 1, bands, rows)
-                c1, c2 = (np.repeat(c[long], bands) for c in (c1, c2))
-                key = pa.array(keys.view(np.int64).ravel())
-                if tags:
-                    yield pa.record_batch([key, pa.array(c1.astype(np.uint32).view(np.int32))], names=["key", "tag"])
-                else:
-                    yield pa.record_batch([key, pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64))], names=["key", "c1", "c2"])
+                held.append((keys.ravel(), np.repeat(c1[long] & _TAG, bands)))
+                if sum(len(k) for k, _ in held) > PAIRS_HELD:
+                    yield packed()
+        if held:
+            yield packed()
 
     return run
 
 
+def _shared_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(key, tag, size)`` of the keys that several tags have; rows of one part lie together."""
+
+    def settled(parts: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        keys = np.frombuffer(b"".join(k for k, _ in parts), np.uint64)
+        tags = np.zeros((len(keys), 8), np.uint8)
+        tags[:, :TAG_BYTES] = np.frombuffer(b"".join(t for _, t in parts), np.uint8).reshape(-1, TAG_BYTES)
+        keys, tags = _distinct_pairs(keys, tags.view(np.uint64).ravel())
+        first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
+        size = np.diff(np.append(first, len(keys)))
+        several = np.repeat(size > 1, size)
+        return pa.record_batch(
+            [pa.array(keys[several].view(np.int64)), pa.array(tags[several].view(np.int64)), pa.array(np.repeat(size, size)[several])],
+            names=["key", "tag", "size"],
+        )
+
+    now, parts = None, []
+    for batch in batches:
+        for part, keys, tags in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            if part != now and parts:
+                yield settled(parts)
+                parts = []
+            now = part
+            parts.append((keys, tags))
+    if parts:
+        yield settled(parts)
+
+
 def _unit_sets(shingle: int):
     """Shingle sets of given paragraphs (start, stop) of a text."""
 
@@ -224,21 +287,23 @@ def remove_paragraphs(
     texts = keyed.select("k", F.col("id").cast("bigint").alias("id"), "text")
     units = written(texts.mapInArrow(_unit_rows(min_words, joined), _UNIT), "para-units")
 
-    # Bands that hold at least two different units; only their members go on.  Two units whose tags are equal
-    # (1 pair in 2**32) count as one here.
-    banded = lambda tags, schema: keyed.select("text").mapInArrow(_band_rows(shingle, min_words, bands, rows, joined, tags), schema)
-    tagged = banded(True, "key bigint, tag int")
-    mixed = tagged.groupBy("key").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).where("low < high").select("key")
+    # Buckets with at least two different units, by tag.  Units that share a tag by chance make a bucket larger, which
+    # verification undoes; two of one bucket that do (1 pair in 2**40) count as one.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = keyed.select("text").mapInArrow(
+        _band_pairs(shingle, min_words, bands, rows, joined, n * PARTS), "part int, keys binary, tags binary"
+    )
+    pairs = pairs.repartition(n, "part").sortWithinPartitions("part")
+    shared = written(pairs.mapInArrow(_shared_pairs, "key bigint, tag bigint, size bigint"), "para-shared")
+    tags = written(shared.select("tag").distinct().withColumn("banded", F.lit(True)), "para-tags")
+    few = tags.count() <= BROADCAST_KEYS
+
+    # Classes that repeat or share a bucket; the full sets of the latter, each from one occurrence.
     cls = F.unhex(F.concat(F.lpad(F.hex("c1"), 16, "0"), F.lpad(F.hex("c2"), 16, "0")))
-    members = with_keys(banded(False, "key bigint, c1 bigint, c2 bigint"), mixed, "key").distinct()
-    shared = written(members.withColumn("cls", cls), "para-shared")
-    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    members = shared.select("key", "cls").join(sizes, "key")
-
-    # Classes that repeat or share a band; the full sets of the latter, each from one occurrence.
-    banding = shared.select("c1", "c2", F.lit(True).alias("banded")).distinct()
-    classes = classes_of(units).join(banding, ["c1", "c2"], "left").where("seen > 1 OR banded").withColumn("cls", cls)
+    classes = classes_of(units).withColumn("tag", F.col("c1").bitwiseAND(F.lit(int(_TAG))))
+    classes = classes.join(F.broadcast(tags) if few else tags, "tag", "left").where("seen > 1 OR banded").withColumn("cls", cls)
     classes = written(classes, "para-classes")
+    members = shared.join(classes.where("banded").select("tag", "cls"), "tag").select("key", "cls", "size")
     bodies = bodies_of(keyed, classes.where("banded"))
     sets = written(bodies.mapInArrow(_unit_sets(shingle), "cls binary, n bigint, payload array<bigint>"), "para-sets")
     labels = components(link_buckets(members, ["key"], sets, Jaccard(threshold_pct)))

@@ -98,7 +98,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-OP5_PARAMETERS = dict(shingle=5, threshold_pct=80, min_words=10, recall=0.9999, most_bands=10, joined=True)
+OP5_PARAMETERS = dict(shingle=5, threshold_pct=80, min_words=10, recall=0.9999, most_bands=14, joined=True)
 
 
 def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
