@@ -7,7 +7,7 @@ File format (little-endian), any number of files per shard folder::
     payload = uint8 flags (1: has an id), uint8 width (2 or 4), int64 id, ids of that width
     masked  = (crc >> 15 | crc << 17) + 0xA282EAD8 modulo 2**32
 
-Documents are range-partitioned and sorted by id, so ascending (shard, chunk,
+Documents are range-partitioned and sorted by id (rows of one id by the beginning of their text), so ascending (shard, chunk,
 offset) is ascending id order.  A shard is one task's partition and is cut into
 files of about ``chunk_bytes``.  Files are written by Spark's text writer (one row
 per file, whose line end is the closing 0x0A) and read by Spark's binary reader, so
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from maieutic.llm.token_count import PieceTokenizer, load_tokenizer, prove_whole_tokens
+from maieutic.llm.token_count import PieceTokenizer, id_width, prove_whole_tokens
 
 # The checksum mask and the file mark.
 _MASK = 0xA282EAD8
@@ -89,43 +89,45 @@ def write_records(
     """Encode every whole text, append ``end_id``, and write the records under ``<path>/data``.
 
     A null or empty text gives a record of the end id alone; null ids come first and
-    are flagged as absent; rows with equal ids are ordered by text; an empty table gives a readable, empty data
+    are flagged as absent; rows with equal ids are ordered by the first 64 characters of the text; an empty table gives a readable, empty data
     folder.  Ids take 2 bytes where the vocabulary allows it, else 4.
     """
     spark = docs.sparkSession
     whole = spark.sparkContext.broadcast(prove_whole_tokens(tokenizer_path))  # bounded by the vocabulary
-    top = max(load_tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True) - 1, end_id)
-    width = 2 if top < 1 << 16 else 4
-
-    def pack(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if width == 2 else 'I'}", *ids)
-
-    last = pack([end_id])
+    width = id_width(tokenizer_path, end_id)
+    last = end_id.to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard, chunk = TaskContext.get().partitionId(), 0
-        encoder = PieceTokenizer.of(tokenizer_path, whole.value, f"ids{width}")
+        encoder = PieceTokenizer.of(tokenizer_path, whole.value, width)
         parts, size = [struct.pack(_HEAD, _MAGIC, shard, chunk)], 0
 
         def flush() -> pa.RecordBatch:
             return pa.record_batch([pa.array([shard], pa.int32()), pa.array([b"".join(parts)], pa.binary())], names=["shard", "body"])
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts.append(frame(doc_id, (encoder.encode_packed(text, pack) if text else b"") + last, width))
-                size += len(parts[-1])
-                if size >= chunk_bytes:
-                    yield flush()
-                    chunk += 1
-                    parts, size = [struct.pack(_HEAD, _MAGIC, shard, chunk)], 0
-        if size:
-            yield flush()
+        try:
+            for batch in batches:
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    parts.append(frame(doc_id, (encoder.encode_packed(text) if text else b"") + last, width))
+                    size += len(parts[-1])
+                    if size >= chunk_bytes:
+                        yield flush()
+                        chunk += 1
+                        parts, size = [struct.pack(_HEAD, _MAGIC, shard, chunk)], 0
+            if size:
+                yield flush()
+        finally:
+            encoder.forget()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
-    ordered = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+    # Rows of one id (or of none) may be most of a table: their texts' beginnings part them among shards, and where these
+    # are equal, too, the partition they come from.
+    rows = rows.withColumn("head", F.substring("text", 1, 64)).withColumn("part", F.spark_partition_id())
+    order = ["id", "head", "part"]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select("id", "text")
     files = ordered.mapInArrow(run, "shard int, body binary").select("shard", F.col("body").cast("string"))
     # One row a file, so a file is never larger than a chunk and its last document.
     files.write.option("maxRecordsPerFile", 1).partitionBy("shard").text(f"{path}/data")

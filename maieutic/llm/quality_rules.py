@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from maieutic.llm.common import text_slices
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 # Bytes that separate words, and the symbols that are counted.
 _BLANKS = b" \t\n\v\f\r"
@@ -74,10 +74,11 @@ def repeat_lengths(words: list[list[bytes]], min_repeat: int) -> tuple[np.ndarra
         alone = new_part & np.append(new_part[1:], True)
         return rank, a[~alone]
 
-    rank, active = refine(np.arange(n), np.zeros(n, np.int64), text * (int(word.max()) + 1) + word)
+    # One level per doubling is kept for the LCPs, in 32 bits: no text has 2**31 words.
+    rank, active = refine(np.arange(n), np.zeros(n, np.int32), text * (int(word.max()) + 1) + word)
     levels, h, repeated = [rank], 1, active
     while len(active):
-        second = np.full(len(active), -1, np.int64)
+        second = np.full(len(active), -1, np.int32)
         inside = active + h < ends[active]
         second[inside] = rank[active[inside] + h]
         rank, active = refine(active, rank, second)

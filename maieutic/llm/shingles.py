@@ -27,14 +27,24 @@ _STRETCH = 1 << 20
 _powers: list[np.ndarray] = []
 
 
+def _power_tables(n: int) -> list[np.ndarray]:
+    tables = []
+    for base in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)):
+        table = np.full(n, base, np.uint64)
+        table[0] = 1
+        tables.append(np.multiply.accumulate(table))
+    return tables
+
+
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2**64, at least ``n`` of them."""
-    if not _powers or len(_powers[0]) < n:
-        _powers.clear()
-        for base in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)):
-            table = np.full(max(n, 1 << 20), base, np.uint64)
-            table[0] = 1
-            _powers.append(np.multiply.accumulate(table))
+    """Powers of the multiplier and of its inverse modulo 2**64, at least ``n`` of them.
+
+    Tables of ``_STRETCH`` are kept by the worker; longer ones, for a single longer word, are not.
+    """
+    if n > _STRETCH + 1:
+        return tuple(_power_tables(n))
+    if not _powers:
+        _powers.extend(_power_tables(_STRETCH + 1))
     return _powers[0], _powers[1]
 
 

@@ -5,7 +5,7 @@ answers with exactly one token.  Which strings are whole is proved once on the
 driver by encoding every vocabulary entry (``prove_whole_tokens``); the proof is
 bounded by the vocabulary.  A text is cut into pre-tokens; a whole pre-token
 counts as one, and only the remaining pre-tokens go through the merges of the
-tokenizer, each distinct one once per worker.
+tokenizer, each distinct one once per task while its memo lasts.
 
 Pre-tokens are cut here only for texts made of code points below U+0250 whose
 small letters lie there, too (not so U+0130 and 23 other capitals), where normal
@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,7 +39,9 @@ _PLAIN = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x250)) i
 _EXPECTED_SPLIT = _CONTRACTIONS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _EXPECTED_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
-WORD_CACHE = 1_000_000  # distinct blank-separated words a worker remembers; a memory bound only
+# Distinct blank-separated words a worker remembers within a task, and their characters; memory bounds only.
+WORD_CACHE = 100_000
+WORD_CACHE_CHARS = 4 << 20
 
 
 def load_tokenizer(path: str):
@@ -87,25 +90,35 @@ class PieceTokenizer:
     and the splitting pattern runs once per distinct word.
     """
 
-    _instances: dict[tuple[str, str], "PieceTokenizer"] = {}
+    _instances: dict[tuple[str, int], "PieceTokenizer"] = {}
 
-    def __init__(self, path: str, whole: dict[str, int]):
+    def __init__(self, path: str, whole: dict[str, int], width: int):
         self.tokenizer = load_tokenizer(path)
         self.model = self.tokenizer.model
         self.whole = whole
+        self.width = width
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added)) if added else None
         self.shown = {b: c for c, b in _byte_alphabet().items()}
-        self.memo: dict[str, object] = {}
+        self.forget()
 
     @classmethod
-    def of(cls, path: str, whole: dict[str, int], use: str) -> "PieceTokenizer":
-        """The worker's instance; ``use`` keeps memos of counts and of serialised ids apart."""
-        key = (path, use)
+    def of(cls, path: str, whole: dict[str, int], width: int) -> "PieceTokenizer":
+        """The worker's instance for a vocabulary file and a number of bytes per id (2 or 4); counts and ids share its memo."""
+        key = (path, width)
         if key not in cls._instances:
-            cls._instances[key] = cls(path, whole)
+            cls._instances[key] = cls(path, whole, width)
         return cls._instances[key]
 
+    def forget(self) -> None:
+        """Let the memo go; a task does so at its end, because Spark keeps its workers for other work."""
+        self.memo: dict[str, bytes] = {}
+        self.held = 0
+
+    def pack(self, ids: list[int]) -> bytes:
+        """Ids as little-endian numbers of ``width`` bytes."""
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
     def words(self, text: str) -> list[str] | None:
         """Lower-cased blank-separated words of a text, or None if only the library may cut it."""
         if not _PLAIN.fullmatch(text) or (self.added and self.added.search(text)):
@@ -129,25 +142,38 @@ class PieceTokenizer:
             ids += [t.id for t in self.model.tokenize(piece)]
         return ids
 
-    def _remembered(self, words: list[str], make) -> list:
+    def _packed(self, words: list[str]) -> list[bytes]:
         memo = self.memo
         try:
             return list(map(memo.__getitem__, words))
         except KeyError:
-            if len(memo) > WORD_CACHE:
-                memo.clear()
-            for word in set(words).difference(memo):
-                memo[word] = make(self.encode_word(word))
+            if len(memo) > WORD_CACHE or self.held > WORD_CACHE_CHARS:
+                self.forget()
+                memo = self.memo
+            fresh = set(words).difference(memo)
+            self.held += sum(map(len, fresh))
+            for word in fresh:
+                memo[word] = self.pack(self.encode_word(word))
             return list(map(memo.__getitem__, words))
 
-    def count(self, text: str) -> int:
+    def encode_packed(self, text: str) -> bytes:
+        """Packed ids of a text; a long one is encoded a stretch of words at a time."""
         words = self.words(text)
-        return len(self.encode_whole(text)) if words is None else sum(self._remembered(words, len))
+        if words is None:
+            return self.pack(self.encode_whole(text))
+        return b"".join(x for i in range(0, len(words), WORD_CACHE) for x in self._packed(words[i : i + WORD_CACHE]))
 
-    def encode_packed(self, text: str, pack) -> bytes:
-        """Ids of a text, serialised by ``pack`` (list of ids -> bytes that can be concatenated)."""
+    def count(self, text: str) -> int:
         words = self.words(text)
-        return pack(self.encode_whole(text)) if words is None else b"".join(self._remembered(words, pack))
+        if words is None:
+            return len(self.encode_whole(text))
+        return sum(sum(map(len, self._packed(words[i : i + WORD_CACHE]))) for i in range(0, len(words), WORD_CACHE)) // self.width
+
+
+def id_width(path: str, *more_ids: int) -> int:
+    """Bytes per id that hold every id of a vocabulary and ``more_ids``: 2 or 4."""
+    top = max(load_tokenizer(path).get_vocab_size(with_added_tokens=True) - 1, *more_ids)
+    return 2 if top < 1 << 16 else 4
 
 
 def count_tokens(
@@ -166,18 +192,22 @@ def count_tokens(
     """
     spark = docs.sparkSession
     whole = spark.sparkContext.broadcast(prove_whole_tokens(tokenizer_path))  # bounded by the vocabulary
+    width = id_width(tokenizer_path, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceTokenizer.of(tokenizer_path, whole.value, "count")
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            tokens = [counter.count(t) if t else 0 for t in texts]
-            sizes = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]
-            yield pa.record_batch(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()),
-                 pa.array([n > limit for n in tokens], pa.bool_())],
-                names=["id", "n_bytes", "n_tokens", "over_limit"],
-            )
+        counter = PieceTokenizer.of(tokenizer_path, whole.value, width)
+        try:
+            for batch in batches:
+                texts = batch.column(1).to_pylist()
+                tokens = [counter.count(t) if t else 0 for t in texts]
+                sizes = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]
+                yield pa.record_batch(
+                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()),
+                     pa.array([n > limit for n in tokens], pa.bool_())],
+                    names=["id", "n_bytes", "n_tokens", "over_limit"],
+                )
+        finally:
+            counter.forget()
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

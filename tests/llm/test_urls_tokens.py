@@ -80,15 +80,29 @@ def test_token_counts_equal_the_library(documents, vocabulary):
 def test_every_code_point_of_the_fast_path_equals_the_library(vocabulary):
     library = Tokenizer.from_file(vocabulary)
     whole = token_count.prove_whole_tokens(vocabulary)
-    pieces, counter = (token_count.PieceTokenizer(vocabulary, whole) for _ in range(2))  # memos of ids and of counts
+    pieces, counter = token_count.PieceTokenizer(vocabulary, whole, 4), token_count.PieceTokenizer(vocabulary, whole, 2)
     for c in map(chr, range(0x260)):
         for text in (c, f"{c}liyev", f"some wo{c}rd here", f"END{c} {c}{c.lower()}x"):
             want = library.encode(text, add_special_tokens=False).ids
-            got = pieces.encode_packed(text, lambda ids: b"".join(i.to_bytes(4, "little") for i in ids))
+            got = pieces.encode_packed(text)
             assert got == b"".join(i.to_bytes(4, "little") for i in want), (hex(ord(c)), text)
             assert counter.count(text) == len(want)
 
 
+def test_memo_is_bounded_and_forgotten(vocabulary, monkeypatch):
+    """Whatever the memo holds, ids stay the library's; it stays near its bounds and goes with the task."""
+    monkeypatch.setattr(token_count, "WORD_CACHE", 50)
+    monkeypatch.setattr(token_count, "WORD_CACHE_CHARS", 300)
+    library = Tokenizer.from_file(vocabulary)
+    pieces = token_count.PieceTokenizer(vocabulary, token_count.prove_whole_tokens(vocabulary), 2)
+    text = " ".join(f"word{i} and {i % 9}" for i in range(2000))
+    want = library.encode(text, add_special_tokens=False).ids
+    assert pieces.encode_packed(text) == b"".join(i.to_bytes(2, "little") for i in want) and pieces.count(text) == len(want)
+    assert len(pieces.memo) <= 2 * 50
+    pieces.forget()
+    assert not pieces.memo and pieces.count(text) == len(want)
+
+
 def test_token_counts_repeats_and_empty(documents, vocabulary):
     got = token_count.count_tokens(documents([(1, "a b"), (1, "a b"), (1, "c")]), vocabulary).collect()
     assert sorted(r.n_tokens for r in got) == [1, 2, 2]
