@@ -113,33 +113,47 @@ def java_regex(pattern: str) -> str:
     return _JAVA_FLAGS + expand_classes(pattern, _MEMBERS, _BOUNDARY)
 
 
+def _words_of_rule(pattern: str) -> str:
+    """The alternation of plain words that a fixed pattern holds, as it stands there."""
+    return re.search(r"\(([a-z|]+)\)", pattern)[1]
+
+
 def _phrase_alternation(patterns: list[str]) -> str:
     r"""One search instead of fifteen, with the shared leading ``\b`` tested once.
 
-    Every phrase starts with ``\b``; it is factored out of the alternation.  A
-    trailing ``\w+\b`` only asks for one word character (the greedy run can
-    always end at a boundary), so it is shortened to ``\w``.  The truth value
-    of the search is unchanged; the engine does far less work per position.
+    Every phrase starts with a word character, so its leading ``\b`` is a look
+    behind.  A trailing ``\w+\b`` only asks for one word character (the greedy run can
+    always end at a boundary), any other trailing ``\b`` for the kind of character that
+    changes there.  The truth value of the search is unchanged; the engine does far less work per position.
     """
     alts = []
     for p in patterns:
-        assert p.startswith(r"\b")
-        body = p[2:]
-        if body.endswith(r"\w+\b"):
-            body = body[: -len(r"\w+\b")] + r"\w"
-        alts.append(body)
-    return r"(?i)\b(?:" + "|".join(alts) + ")"
-
-
+        body = p.removeprefix(r"\b").removesuffix(r"\b")
+        end = r"\w" if body.endswith(r"\w+") else r"(?!\w)" if re.match(r"\w", body[-1]) else r"(?=\w)"
+        alts.append(body.removesuffix(r"\w+").replace(r"\s+", r"\s++") + end)
+    return r"(?i)(?<!\w)(?:" + "|".join(alts) + ")"
+
+
+# The patterns as they are searched.  They have the truth values (and ``STEP_LINE`` the number of matches) of the fixed
+# ones above but try no start twice, so a search is linear in the text:
+# * A rule at a line start takes the blanks of its own line only; blank lines before it add nothing.
+# * Runs of digits and blanks are possessive: what follows them cannot begin inside of them.
+# * A range needs no more than the second number's end or a unit right after it: any other rest holds that end.
+# * A prescription looks for the first verb of a segment (up to a full stop) once, atomically, then for a whole
+#   number; later verbs of the segment add nothing, and a decimal's whole part is a number.
+_SAME_LINE = f"[{_BLANK_MEMBERS}&&[^\\n]]"
+_UNITS = f"(?:{UNITS_PATTERN})"
 WITHHOLD_PHRASES_REGEX = java_regex(_phrase_alternation(WITHHOLD_PHRASE_PATTERNS))
-FINAL_FORMAT_REGEX = java_regex(FINAL_FORMAT_PATTERN)
-STEP_LINE_REGEX = java_regex(STEP_LINE_PATTERN)
-NUMBER_WITH_UNIT_REGEX = java_regex(NUMBER_WITH_UNIT_PATTERN)
-RANGE_REGEX = java_regex(RANGE_PATTERN)
-COMPARISON_REGEX = java_regex(COMPARISON_PATTERN)
-UNIT_ANYWHERE_REGEX = java_regex("(?i)(?:" + UNITS_PATTERN + ")")
-PRESCRIPTION_REGEX = java_regex(PRESCRIPTION_PATTERN)
-IMPERATIVE_REGEX = java_regex(IMPERATIVE_PATTERN)
+FINAL_FORMAT_REGEX = java_regex(rf"(?im)^@*+(?:{_words_of_rule(FINAL_FORMAT_PATTERN)})\s*+[:\-]").replace("@", _SAME_LINE)
+STEP_LINE_REGEX = java_regex(r"(?m)^@*+(?:\d++\.|[-*])\s++").replace("@", _SAME_LINE)
+NUMBER_WITH_UNIT_REGEX = java_regex(rf"(?i)(?<!\w)\d++(?:\.\d++)?+\s*+{_UNITS}\b")
+RANGE_REGEX = java_regex(rf"(?i)(?<!\w)\d++(?:\.\d++)?+(?:\s*+-\s*+|\s++to\s++)\d++(?:(?!\w)|{_UNITS}\b)")
+COMPARISON_REGEX = java_regex(r"[<>]=?+\s*+\d")
+UNIT_ANYWHERE_REGEX = java_regex("(?i)" + _UNITS)
+PRESCRIPTION_REGEX = java_regex(
+    rf"(?i)(?:\A|\.)(?>[^.]*?(?<!\w)(?:{_words_of_rule(PRESCRIPTION_PATTERN)})(?!\w))[^.]*?(?<!\w)\d++(?!\w)"
+)
+IMPERATIVE_REGEX = java_regex(rf"(?i)(?:^|[.!?]\s++)(?:{_words_of_rule(IMPERATIVE_PATTERN)})(?!\w)")
 WORD_REGEX = java_regex(r"\w+")
 NON_SPACE_RUN_REGEX = java_regex(r"\S+")
 NON_SPACE_REGEX = java_regex(r"\S")
@@ -309,17 +323,26 @@ def round_ratio_half_even(num: Column, den: Column, places: int = 4) -> Column:
 
 
 def set_f1(pred_words, ref_words, places: int = 4) -> Column:
-    """Precision / recall / F1 of two word sets as a struct.
+    """``f1_of_sizes`` of two word sets."""
+    return f1_of_sizes(*set_sizes(_c(pred_words), _c(ref_words)), places)
+
+
+def set_sizes(pred_words: Column, ref_words: Column) -> tuple[Column, Column, Column]:
+    """Sizes of both sets and of their intersection."""
+    sizes = F.size(pred_words), F.size(ref_words), F.size(F.array_intersect(pred_words, ref_words))
+    return tuple(n.cast("bigint") for n in sizes)
+
+
+def f1_of_sizes(p: Column, r: Column, c: Column, places: int = 4) -> Column:
+    """Precision / recall / F1 of two sets of ``p`` and ``r`` words, ``c`` of them common, as a struct.
 
     ``raw_precision``, ``raw_recall`` and ``raw_f1`` are the unrounded quotients and the
     primary result; ``precision``, ``recall`` and ``f1`` are rounded to ``places``.
     Both empty -> 1,1,1; one empty -> 0,0,0.  F1 of sets reduces to
-    ``2c / (|p| + |r|)`` with ``c`` the intersection size, so all three values
-    are ratios of integers.
+    ``2c / (p + r)``, so all three values are ratios of integers.
+
+    Every size is used several times: where it is costly, bind it to a column that the optimizer keeps (``pairwise_f1``).
     """
-    p = F.size(_c(pred_words)).cast("bigint")
-    r = F.size(_c(ref_words)).cast("bigint")
-    c = F.size(F.array_intersect(_c(pred_words), _c(ref_words))).cast("bigint")
     both_empty = (p == 0) & (r == 0)
     one_empty = (p == 0) | (r == 0)
 

@@ -40,19 +40,28 @@ def unpaired_counts(trained: DataFrame, baseline: DataFrame, id_col: str = "id")
     )
 
 
+def _once(df: DataFrame, **columns) -> DataFrame:
+    """Add columns that are evaluated once per row, however often they are used.
+
+    The optimizer merges neighbouring projections and so repeats an expression at each use; it does
+    not merge them with a generated row.  Generating exactly one row is what keeps them apart.
+    """
+    row = F.struct(*(c.alias(name) for name, c in columns.items()))
+    return df.select("*", F.inline(F.array(row)))
+
+
 def pairwise_f1(pairs: DataFrame, pred_col: str = "trained_output", ref_col: str = "baseline_output") -> DataFrame:
-    """Add word-set precision / recall / F1 of each pair, rounded to 4 decimals and raw."""
-    m = tr.set_f1(tr.word_set(F.coalesce(F.col(pred_col), F.lit(""))),
-                  tr.word_set(F.coalesce(F.col(ref_col), F.lit(""))))
-    return pairs.withColumn("f1_metrics", m).select(
-        "*",
-        F.col("f1_metrics.precision").alias("precision"),
-        F.col("f1_metrics.recall").alias("recall"),
-        F.col("f1_metrics.f1").alias("f1"),
-        F.col("f1_metrics.raw_precision").alias("raw_precision"),
-        F.col("f1_metrics.raw_recall").alias("raw_recall"),
-        F.col("f1_metrics.raw_f1").alias("raw_f1"),
-    )
+    """Add word-set precision / recall / F1 of each pair, rounded to 4 decimals and raw.
+
+    Each text is cut into words once, and the three sizes are taken once; all results are arithmetic on them.
+    """
+    words = [tr.word_set(F.coalesce(F.col(c), F.lit(""))) for c in (pred_col, ref_col)]
+    sets = _once(pairs, _pred_words=words[0], _ref_words=words[1])
+    p, r, c = tr.set_sizes(F.col("_pred_words"), F.col("_ref_words"))
+    sizes = _once(sets, _p=p, _r=r, _c=c).drop("_pred_words", "_ref_words")
+    scored = _once(sizes, f1_metrics=tr.f1_of_sizes(F.col("_p"), F.col("_r"), F.col("_c"))).drop("_p", "_r", "_c")
+    fields = ("precision", "recall", "f1", "raw_precision", "raw_recall", "raw_f1")
+    return scored.select("*", *(F.col("f1_metrics").getField(f).alias(f) for f in fields))
 
 
 def f1_summary(scored: DataFrame, f1_col: str = "f1", group_cols=()) -> DataFrame:

@@ -40,8 +40,8 @@ _K = "CAST(o_custkey % 50 + 1 AS STRING)"
 _K2 = "CAST(o_custkey % 50 + 6 AS STRING)"
 
 RESPONSE_TEXT_SQL = f"""CASE o_orderkey % 12
-  WHEN 0 THEN 'What do you think happens if you change the bias to ' || {_K} || ' mV?'
-  WHEN 1 THEN 'Final: Use ' || {_K} || 'k ohm and set it to 3.3V.'
+  WHEN 0 THEN 'Where do you expect the ripple to peak once the load draws ' || {_K} || ' mA?'
+  WHEN 1 THEN 'Conclusion: try ' || {_K} || 'k ohm and leave the rail at 5V.'
   WHEN 2 THEN 'Why does the ' || lower(o_orderpriority) || ' path ring? Which node would you probe first?'
   WHEN 3 THEN '1. Measure the rail.' || chr(10) || '2. Compare it with ' || {_K} || ' V.' || chr(10) || '3. Report back.'
   WHEN 4 THEN 'How would you check the ' || o_orderstatus || ' state? Could the clock be at ' || {_K} || '-' || {_K2} || ' kHz?'

@@ -11,15 +11,15 @@ from maieutic.operators import behavior, compare, dialogue, loss, sampling, span
 # --- A11 ---------------------------------------------------------------------------------
 def test_behavior_metrics_f1_aggregate(spark):
     df = spark.createDataFrame(
-        [(1, "What do you think happens if you change the bias?"), (2, "Final: Use 10k ohm and set it to 3.3V.")],
+        [(1, "Where do you expect the ripple to peak first?"), (2, "Conclusion: pick 22 nF near pin 4.")],
         "response_id bigint, text string")
     r = behavior.behavior_metrics(df).collect()[0].asDict()
     assert r["withhold_violation_rate"] == 1.0
     assert r["numeric_violation_rate"] == 0.5
     assert r["question_rate"] == 0.5 and r["avg_questions_per_response"] == 0.5
-    assert r["avg_interrogative_ratio"] == pytest.approx(0.1)
-    assert r["avg_response_length_chars"] == 43.5 and r["avg_response_length_tokens"] == 9.5
-    assert r["p95_response_length_tokens"] == 10
+    assert r["avg_interrogative_ratio"] == pytest.approx(1 / 9)
+    assert r["avg_response_length_chars"] == 39.5 and r["avg_response_length_tokens"] == 8.0
+    assert r["p95_response_length_tokens"] == 9
     assert r["step_list_rate"] == 0.0 and r["contains_imperative_rate"] == 0.0
 
 
@@ -225,3 +225,16 @@ def test_weighted_loss(spark):
     assert got[1]["eval_loss"] == 1.25 and got[1]["perplexity"] == pytest.approx(math.exp(1.25))
     assert math.isnan(got[2]["eval_loss"]) and math.isnan(got[2]["perplexity"])
     assert got[3]["perplexity"] == pytest.approx(math.exp(20.0))
+
+
+# --- T19 -----------------------------------------------------------------------------------
+def test_pairwise_f1_cuts_each_text_once(spark):
+    rows = [(1, "the cat sat", "The cat ran fast"), (2, "", None), (3, "a", ""), (4, "a a b", "b c d")]
+    df = spark.createDataFrame(rows, "id int, trained_output string, baseline_output string")
+    scored = compare.pairwise_f1(df)
+    for out in (scored, scored.select("id", "precision", "recall", "f1", "raw_f1"), compare.f1_summary(scored)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 2 and plan.count("array_intersect") == 1
+    got = {r["id"]: (r["precision"], r["recall"], r["f1"], r["raw_f1"]) for r in scored.collect()}
+    assert got == {1: (0.6667, 0.5, 0.5714, 4 / 7), 2: (1.0, 1.0, 1.0, 1.0), 3: (0.0, 0.0, 0.0, 0.0), 4: (0.5, 0.3333, 0.4, 0.4)}
+    assert scored.columns == [*df.columns, "f1_metrics", "precision", "recall", "f1", "raw_precision", "raw_recall", "raw_f1"]

@@ -24,8 +24,8 @@ def features(spark, texts):
 
 GOLDEN = [
     # text, withhold, numeric, questions, imperative, chars, tokens
-    ("What do you think happens if you change the bias?", True, False, 1, False, 49, 10),
-    ("Final: Use 10k ohm and set it to 3.3V.", True, True, 0, False, 38, 9),
+    ("Where do you expect the ripple to peak first?", True, False, 1, False, 45, 9),
+    ("Conclusion: pick 22 nF near pin 4.", True, True, 0, False, 34, 7),
     ("", False, False, 0, False, 0, 0),
     ("   ", False, False, 0, False, 3, 0),
     ("answer: x", False, False, 0, False, 9, 2),
@@ -72,15 +72,15 @@ def test_golden_rows(spark):
         assert (r["w"], r["n"], r["q"], r["imp"], r["chars"], r["tok"]) == (w, n, q, imp, chars, tok), text
 
 
-def test_reference_smoke_sample(spark):
-    sample = "Final: Use 10k ohm and set it to 3.3V.\n1. Do X\n2. Do Y\n3. Do Z"
+def test_both_violations_at_once(spark):
+    sample = "Conclusion - place 4 nF beside the pin.\n- Lift the shield\n- Swap the probe\n- Read 12-15 ns"
     r = features(spark, [sample])[0]
     assert r["w"] is True and r["n"] is True
 
 
 def test_interrogative_ratio_golden(spark):
-    got = features(spark, ["What do you think happens if you change the bias?", "scanner", ""])
-    assert got[0]["ratio"] == pytest.approx(2 / 10)
+    got = features(spark, ["Where do you expect the ripple to peak first?", "scanner", ""])
+    assert got[0]["ratio"] == pytest.approx(2 / 9)
     assert got[1]["ratio"] == pytest.approx(1.0)  # "can" inside "scanner"
     assert got[2]["ratio"] is None
 
@@ -96,6 +96,11 @@ PATTERNS = [f"(?i){p}" for p in tr.WITHHOLD_PHRASE_PATTERNS] + [
     tr.PRESCRIPTION_PATTERN, tr.IMPERATIVE_PATTERN, r"\w+", r"\W+", r"\s+", r"\S+", r"\b\w+\b", r"\b", r"[^\w\s]", r"\d+",
 ]
 
+SEARCHED = [
+    (tr.FINAL_FORMAT_REGEX, tr.FINAL_FORMAT_PATTERN), (tr.NUMBER_WITH_UNIT_REGEX, tr.NUMBER_WITH_UNIT_PATTERN), (tr.RANGE_REGEX, tr.RANGE_PATTERN),
+    (tr.COMPARISON_REGEX, tr.COMPARISON_PATTERN), (tr.PRESCRIPTION_REGEX, tr.PRESCRIPTION_PATTERN), (tr.IMPERATIVE_REGEX, tr.IMPERATIVE_PATTERN),
+]
+
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_patterns_match_as_in_python(spark, seed):
@@ -104,15 +109,60 @@ def test_patterns_match_as_in_python(spark, seed):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     counts = [F.regexp_count("text", F.lit(tr.java_regex(p))).alias(f"p{i}") for i, p in enumerate(PATTERNS)]
     phrases = F.col("text").rlike(tr.WITHHOLD_PHRASES_REGEX).alias("phrases")
+    searched = [F.col("text").rlike(r).alias(f"s{i}") for i, (r, _) in enumerate(SEARCHED)]
+    steps = tr.count_step_lines("text").alias("steps")
     plain = [tr.strip_text(F.col("text")).alias("stripped"), tr.char_length("text").alias("chars"), tr.whitespace_token_count("text").alias("tok")]
-    for r in df.select("id", *counts, phrases, *plain).collect():
+    for r in df.select("id", *counts, phrases, steps, *searched, *plain).collect():
         t = texts[r["id"]]
         for i, p in enumerate(PATTERNS):
             assert r[f"p{i}"] == sum(1 for _ in re.finditer(p, t)), (p, t)
         assert r["phrases"] == any(re.search(p, t, re.IGNORECASE) for p in tr.WITHHOLD_PHRASE_PATTERNS), t
+        assert r["steps"] == len(re.findall(tr.STEP_LINE_PATTERN, t)), t
+        for i, (_, p) in enumerate(SEARCHED):
+            assert r[f"s{i}"] == bool(re.search(p, t)), (p, t)
         assert (r["stripped"], r["chars"], r["tok"]) == (t.strip(), len(t), len(t.split())), t
 
 
+#: Pieces around which the linear patterns differ in form from the definitions.
+NEAR = ["use", "Set", "limit", "5", "12", "3.3", ".", ". ", " ", "  ", "\n", "\n\n", " \n", "\t", "-", "to", " to ", "mV", "%", "in", "V", "x", "²", "_",
+        "<", ">=", "=", "1.", "- ", "* ", "*", "final", "Conclusion", ":", " : ", "a", "do", "answer:", "\u00a0", "\x1c", "\u2028", "١", "°C"]
+
+
+def test_linear_patterns_have_the_truth_values_of_the_definitions(spark):
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice(NEAR) for _ in range(rnd.randint(1, 14))) for _ in range(12_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    searched = [F.col("text").rlike(r).alias(f"s{i}") for i, (r, _) in enumerate(SEARCHED)]
+    for r in df.select("id", tr.count_step_lines("text").alias("steps"), *searched).collect():
+        t = texts[r["id"]]
+        assert r["steps"] == len(re.findall(tr.STEP_LINE_PATTERN, t)), t
+        for i, (_, p) in enumerate(SEARCHED):
+            assert r[f"s{i}"] == bool(re.search(p, t)), (p, t)
+
+
+MEGABYTE = {
+    "blanks": " " * 1_000_000, "line feeds": "\n" * 1_000_000, "verbs": "use it " * 143_000, "digits": "7" * 1_000_000,
+    "a digit and blanks": "5" + " " * 1_000_000, "digits and blanks": "5 " * 500_000, "numbers and blanks": ("12" + " " * 500) * 2000,
+    "stars": "*" * 1_000_000, "line feeds and blanks": "\n " * 500_000, "final": "final\n" * 166_000, "points": "." * 1_000_000,
+    "comparisons": "< " * 500_000, "almost numbers": "use 5x " * 143_000, "to": "5 to " * 200_000, "do": "do" + " " * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("rule", [
+    tr.count_step_lines, tr.has_answer_phrase, tr.has_final_format, tr.is_withhold_violation, tr.has_number_with_unit,
+    tr.has_numeric_range, tr.has_comparison, tr.has_prescription, tr.is_numeric_violation, tr.contains_imperative,
+], ids=lambda f: f.__name__)
+def test_rules_are_linear(spark, rule):
+    """A row of a megabyte takes under 2 s whatever it repeats."""
+    df = spark.createDataFrame([("warm", " a 5 mV\n")], "kind string, text string")
+    df.select(rule(F.col("text"))).collect()
+    for kind, text in MEGABYTE.items():
+        df = spark.createDataFrame([(kind, text)], "kind string, text string").repartition(1)
+        start = time.perf_counter()
+        df.select(rule(F.col("text"))).collect()
+        assert time.perf_counter() - start < 2, kind
+
+
 def test_interrogative_ratio_counts_numbers_as_words(spark):
     got = features(spark, ["why ½", "½ cup x²", "①②", "do\u2003you", "a\u200db"])
     assert [got[i]["ratio"] for i in range(5)] == [0.5, 0.0, 0.0, 0.5, 0.0]
