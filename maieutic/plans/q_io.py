@@ -34,9 +34,10 @@ def q_json_roundtrip(spark, sf_dir):
     return back.select("conv_id", "turn", "role", "text")
 
 
-# Prompt lines: objects with a prompt, a question, both empty, or neither; plain texts, numbers, broken JSON, blanks.
-_LINE_KIND = "(conv_id * 5 + turn * 3) % 11"
-_KINDS = {"blank": 7, "bad": 8, "number": 9, "text": 10}
+# Prompt lines: objects with a prompt, a question, both empty, or neither; plain texts, numbers, broken JSON, blanks; and
+# objects whose prompt is a number, zero with a question that is true, and a list.
+_LINE_KIND = "(conv_id * 5 + turn * 3) % 14"
+_KINDS = {"blank": 7, "bad": 8, "number": 9, "text": 10, "number field": 11, "true field": 12, "list field": 13}
 
 
 def _prompt_lines(spark, sf_dir):
@@ -48,7 +49,10 @@ def _prompt_lines(spark, sf_dir):
     )
     kind = F.expr(_LINE_KIND)
     broken = F.when(kind == _KINDS["blank"], F.lit("  ")).when(kind == _KINDS["bad"], F.lit("{bad")).when(kind == _KINDS["number"], F.lit("5")).when(
-        kind == _KINDS["text"], F.lit('"{x} is a set, why?"'))
+        kind == _KINDS["text"], F.lit('"{x} is a set, why?"')).when(
+        kind == _KINDS["number field"], F.concat(F.lit('{"prompt": '), F.col("conv_id") + 1, F.lit("}"))).when(
+        kind == _KINDS["true field"], F.lit('{"prompt": 0, "question": true}')).when(
+        kind == _KINDS["list field"], F.lit('{"prompt": ["a"], "question": false}'))
     return c.select(F.coalesce(broken, F.to_json(fields)).alias("value"))
 
 
@@ -69,10 +73,11 @@ def _read_array(spark, sf_dir):
 
 _PICKED_SQL = """coalesce(nullif(CASE WHEN role = 'assistant' THEN (CASE WHEN turn % 4 = 3 THEN '   ' ELSE text END)
     WHEN role = 'user' THEN '' END, ''), nullif(CASE WHEN role = 'user' THEN text END, ''))"""
-_ITEMS_SQL = f"""SELECT {_LINE_KIND} AS kind, regexp_replace({_PICKED_SQL}, '{_STRIP}', '', 'g') AS prompt FROM conversations"""
+_ITEMS_SQL = f"""SELECT {_LINE_KIND} AS kind, CASE {_LINE_KIND} WHEN 11 THEN CAST(conv_id + 1 AS VARCHAR) WHEN 12 THEN 'True' WHEN 13 THEN NULL
+  ELSE regexp_replace({_PICKED_SQL}, '{_STRIP}', '', 'g') END AS prompt FROM conversations"""
 
 
-@register("s4_p4_prompts_jsonl", f"SELECT prompt FROM ({_ITEMS_SQL}) i WHERE kind < 7 AND prompt IS NOT NULL")
+@register("s4_p4_prompts_jsonl", f"SELECT prompt FROM ({_ITEMS_SQL}) i WHERE (kind < 7 OR kind > 10) AND prompt IS NOT NULL")
 def q_prompts_jsonl(spark, sf_dir):
     return _read_lines(spark, sf_dir)[0].select("prompt")
 
@@ -80,7 +85,7 @@ def q_prompts_jsonl(spark, sf_dir):
 @register(
     "s4_prompts_json_array",
     f"""SELECT CASE WHEN kind = 10 THEN '{{x}} is a set, why?' ELSE prompt END AS prompt FROM ({_ITEMS_SQL}) i
-WHERE kind = 10 OR (kind < 7 AND prompt IS NOT NULL)""",
+WHERE kind = 10 OR ((kind < 7 OR kind > 10) AND prompt IS NOT NULL)""",
 )
 def q_prompts_json(spark, sf_dir):
     return _read_array(spark, sf_dir)[0].select("prompt")
@@ -88,10 +93,10 @@ def q_prompts_json(spark, sf_dir):
 
 @register(
     "p5_prompt_rejects",
-    f"""SELECT 'jsonl' AS layout, CASE WHEN kind = 8 THEN '{io.BAD_JSON}' WHEN kind >= 9 THEN '{io.WRONG_TYPE}' ELSE '{io.NO_FIELD}' END AS reason,
-  count(*) AS n FROM ({_ITEMS_SQL}) i WHERE kind IN (8, 9, 10) OR (kind < 7 AND prompt IS NULL) GROUP BY 2
+    f"""SELECT 'jsonl' AS layout, CASE WHEN kind = 8 THEN '{io.BAD_JSON}' WHEN kind IN (9, 10) THEN '{io.WRONG_TYPE}' ELSE '{io.NO_FIELD}' END AS reason,
+  count(*) AS n FROM ({_ITEMS_SQL}) i WHERE kind IN (8, 9, 10) OR ((kind < 7 OR kind > 10) AND prompt IS NULL) GROUP BY 2
 UNION ALL SELECT 'json', CASE WHEN kind = 9 THEN '{io.WRONG_TYPE}' ELSE '{io.NO_FIELD}' END AS reason, count(*)
-FROM ({_ITEMS_SQL}) i WHERE kind = 9 OR (kind < 7 AND prompt IS NULL) GROUP BY 2""",
+FROM ({_ITEMS_SQL}) i WHERE kind = 9 OR ((kind < 7 OR kind > 10) AND prompt IS NULL) GROUP BY 2""",
 )
 def q_prompt_rejects(spark, sf_dir):
     parts = [f(spark, sf_dir)[1].select(F.lit(name).alias("layout"), "reason") for name, f in (("jsonl", _read_lines), ("json", _read_array))]

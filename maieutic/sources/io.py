@@ -1,7 +1,7 @@
 """Readers and writers (S1-S6) and input validation.
 
-Large inputs go through Spark's splittable readers (Parquet, JSON Lines,
-text).  Only a JSON array is read one file per task, as its syntax demands.
+All inputs go through Spark's splittable readers (Parquet, JSON Lines,
+text); JSON arrays are cut into elements by byte ranges (``json_array``).
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 
 from maieutic.functions.text_rules import strip_text
 from maieutic.operators.compare import f1_summary
+from maieutic.sources import json_array
+
 
 class InputError(ValueError):
     """Raised for rejected input in strict mode (P5)."""
@@ -34,13 +36,14 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: Str
 
 # --- S2, S3 ----------------------------------------------------------------------------
 def detect_json_layout(spark: SparkSession, path: str) -> str:
-    """``array`` or ``lines`` by the first non-blank character of each file; ``mixed`` if files differ, ``empty`` if all are blank."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), strip_text("value").alias("t"))
-    first = lines.where("t <> ''").groupBy("file").agg(F.min_by(F.substring("t", 1, 1), "at").alias("c"))
-    found = first.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c") == "[").alias("arrays")).first()
-    if not found["n"]:
+    """``array`` or ``lines`` by the first non-blank character of each file; ``mixed`` if files differ, ``empty`` if all are blank.
+
+    Only the first block of each file is read.
+    """
+    arrays = {mark == "[" for mark in json_array.first_marks(spark, path).values() if mark}
+    if not arrays:
         return "empty"
-    return "lines" if not found["arrays"] else "array" if found["arrays"] == found["n"] else "mixed"
+    return "mixed" if len(arrays) == 2 else "array" if True in arrays else "lines"
 
 
 def read_json_records(spark: SparkSession, path: str, layout: str = "auto",
@@ -49,7 +52,8 @@ def read_json_records(spark: SparkSession, path: str, layout: str = "auto",
 
     ``auto`` looks at the first non-blank character of every file; a folder that
     mixes both layouts is an error, because one reader would lose rows of the other.  Lines
-    are split by ``\\n`` only; blank lines are skipped by the reader.
+    are split by ``\n`` only; blank lines are skipped by the reader.  An array of any size is read by many tasks;
+    one that is not complete is an error.
     """
     if layout == "auto":
         layout = detect_json_layout(spark, path)
@@ -59,13 +63,16 @@ def read_json_records(spark: SparkSession, path: str, layout: str = "auto",
         if schema is None:
             return spark.createDataFrame([], "value string").limit(0)
         return spark.createDataFrame([], schema)
+    if layout == "array":
+        try:
+            return json_array.read_array(spark, path, schema)
+        except ValueError as e:
+            raise InputError(str(e)) from e
+    if layout != "lines":
+        raise ValueError("layout must be 'auto', 'array' or 'lines'")
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
-    if layout == "array":
-        reader = reader.option("multiLine", True)
-    elif layout != "lines":
-        raise ValueError("layout must be 'auto', 'array' or 'lines'")
     return reader.json(path)
 
 
@@ -88,32 +95,42 @@ def pick_prompt(prompt, question):
     return strip_text(p)
 
 
+def _field_text(v: str, name: str):
+    """A text, number or boolean field of a variant as text; null for lists, objects, nulls, zero and false."""
+    field = F.try_variant_get(v, f"$.{name}", "variant")
+    kind = F.coalesce(F.schema_of_variant(field), F.lit(""))
+    text = F.try_variant_get(v, f"$.{name}", "string")
+    number = F.try_variant_get(v, f"$.{name}", "double")
+    return F.when(kind == "STRING", text).when(kind == "BOOLEAN", F.when(text == "true", F.lit("True"))).when(
+        kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), F.when(number != 0, text))
+
+
 def read_prompts(spark: SparkSession, path: str, fmt: str | None = None, strict: bool = True):
     """Prompts of ``.txt`` / ``.jsonl`` / ``.json`` files as ``(prompt_id, prompt)``.
 
     * txt: one prompt per line, stripped, blank lines dropped (P3).
     * jsonl: one object per line, ``prompt`` or else ``question`` (P4).
-    * json: an array of strings or of such objects (one file per task).
-    Lines are read by the splittable text reader; ``prompt_id`` ascends in file order but is not
-    dense.  Anything else is a reject (P5): ``strict`` raises ``InputError``; otherwise ``(prompts,
-    rejects)`` is returned, rejects with a ``reason``.  An input without any prompt is an
-    error in strict mode.
+    * json: an array of strings or of such objects, of any size (``json_array``).
+    A field that is a number or a boolean is taken as its text (``True`` and ``False`` for booleans); zero and false count as empty.
+    ``prompt_id`` ascends in file order but is not dense.  Anything else is a reject (P5): ``strict`` raises ``InputError``;
+    otherwise ``(prompts, rejects)`` is returned, rejects with a ``reason``.  An array element that is not JSON is one reject,
+    a file that is no complete array another.  An input without any prompt is an error in strict mode.
     """
     fmt = fmt or path.rsplit(".", 1)[-1].lower()
     if fmt not in ("txt", "jsonl", "json"):
         raise ValueError(f"prompts are read from txt, jsonl and json files, not {fmt!r}")
     at = F.monotonically_increasing_id().alias("prompt_id")
-    text_of = lambda v, name: F.when(
-        F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")) == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
     if fmt == "json":
-        whole = spark.read.option("multiLine", True).option("singleVariantColumn", "v").json(path).select(at, "v")
-        is_list = F.coalesce(F.schema_of_variant("v").startswith("ARRAY"), F.lit(False))
-        items = whole.where(is_list).select(
-            F.col("prompt_id").alias("file"), F.posexplode(F.col("v").cast("array<variant>")).alias("pos", "v")
-        ).select(F.struct("file", "pos").alias("prompt_id"), "v")
-        items = items.select((F.col("prompt_id.file") + F.col("prompt_id.pos")).alias("prompt_id"), "v")
-        outer = whole.where(~is_list).select(
-            "prompt_id", F.when(F.col("v").isNull(), F.lit(BAD_JSON)).otherwise(F.lit(NOT_A_LIST)).alias("reason"))
+        elements, files = json_array.array_elements(spark, path)
+        place = F.shiftleft(F.col("file").cast("long"), 44) + F.col("at")  # files below 16 TB
+        items = elements.select(place.alias("prompt_id"), F.try_parse_json("element").alias("v"))
+        others = files.where("NOT ok AND mark IS NOT NULL").select(F.shiftleft(F.col("file").cast("long"), 44).alias("prompt_id"), "path", "mark")
+        outer = others.where("mark = '['").select("prompt_id", F.lit(BAD_JSON).alias("reason"))
+        plain = [r["path"] for r in others.where("mark <> '['").select("path").collect()]
+        if plain:  # no arrays: whether they are JSON at all is for the whole-file reader to say
+            values = spark.read.option("multiLine", True).option("singleVariantColumn", "v").json(plain)
+            values = values.select(F.col("_metadata.file_path").alias("path"), F.when(F.col("v").isNull(), F.lit(BAD_JSON)).otherwise(F.lit(NOT_A_LIST)).alias("reason"))
+            outer = outer.unionByName(others.join(values, "path").select("prompt_id", "reason"))
     else:
         lines = drop_blank_lines(spark.read.option("lineSep", "\n").text(path).select(at, F.col("value").alias("line")))
         outer = None
@@ -125,7 +142,7 @@ def read_prompts(spark: SparkSession, path: str, fmt: str | None = None, strict:
         kind = F.coalesce(F.schema_of_variant("v"), F.lit(""))
         is_object, is_text = kind.startswith("OBJECT"), (kind == "STRING") & F.lit(fmt == "json")
         prompt = F.when(is_text, strip_text(F.try_variant_get("v", "$", "string"))).when(
-            is_object, pick_prompt(text_of("v", "prompt"), text_of("v", "question")))
+            is_object, pick_prompt(_field_text("v", "prompt"), _field_text("v", "question")))
         reason = F.when(F.col("v").isNull(), F.lit(BAD_JSON)).when(~(is_object | is_text), F.lit(WRONG_TYPE)).when(
             F.col("prompt").isNull(), F.lit(NO_FIELD))
         rows = items.withColumn("prompt", prompt).select("prompt_id", "prompt", reason.alias("reason"))
