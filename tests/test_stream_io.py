@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +89,59 @@ def test_attach_next_log_cases(spark):
     assert sorted(tuple(r) for r in sliced.collect()) == plain == [(1, 3 * i, 3 * i - 1) for i in range(1, 17)]
 
 
+def _attached(rows):
+    return sorted((r["user_id"], r["log_id"], r["metric_id"]) for r in rows)
+
+
+def test_attach_on_a_stream_equals_the_table(spark, tmp_path):
+    """Late, equal and repeated time stamps over several micro-batches, and a restart from the checkpoint in between."""
+    rnd = random.Random(7)
+    base = dt.datetime(2024, 1, 1)
+    schema = "event_id bigint, ts timestamp, user_id bigint, event_type string"
+    rows = [(i, base + dt.timedelta(seconds=rnd.randint(0, 1200), microseconds=rnd.choice([0, 0, 1, 999_999])), rnd.randint(1, 4),
+             rnd.choice(["error", "error", "view", "click"])) for i in range(400)]
+    rows += [(1000, rows[3][1], rows[3][2], "view"), (1001, rows[3][1], rows[3][2], "error")]
+    rows.sort(key=lambda r: (r[1] + dt.timedelta(seconds=rnd.randint(0, 200)), r[0]))  # up to 200 s late
+    parts = [rows[i : i + 60] for i in range(0, len(rows), 60)]
+    parts[3] += parts[2][:25]  # repeated rows
+    # The last event moves the watermark past all others; its own run has no log.
+    parts.append([(5000, base + dt.timedelta(hours=3), 99, "error")])
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    call = ("user_id", "ts", "event_id", "event_type", "error", "view")
+    for n, batches in enumerate((parts[:4], parts[4:])):
+        for part in batches:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        found = asof.attach_next_log_stream(stream, *call, delay="4 minutes", slice_seconds=30)
+        q = found.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).format("parquet").start(out)
+        assert q.awaitTermination(240)
+        if n == 0:
+            assert 0 < spark.read.parquet(out).count()
+    want = asof.attach_next_log(spark.createDataFrame(rows, schema), *call)
+    got = spark.read.parquet(out)
+    assert got.columns == want.columns and _attached(got.collect()) == _attached(want.collect())
+
+
+def test_attach_on_a_stream_leaves_out_what_comes_too_late(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    schema = "event_id string, ts timestamp, user_id string, event_type string"
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    at = lambda minutes: base + dt.timedelta(minutes=minutes)
+    parts = [
+        [("m1", at(1), "a", "error"), ("l1", at(2), "a", "view"), ("m2", at(3), "a", "error"), (None, at(3), "a", "error"), ("x", None, "a", "view")],
+        [("t1", at(60), "b", "error")],  # the first slices are done with
+        [("late", at(2.5), "a", "view"), ("l2", at(61), "a", "view")],
+        [("t2", at(200), "b", "error")],
+    ]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    found = asof.attach_next_log_stream(stream, "user_id", "ts", "event_id", "event_type", "error", "view", delay="1 minute")
+    q = found.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).format("parquet").start(out)
+    assert q.awaitTermination(240)
+    assert _attached(spark.read.parquet(out).collect()) == [("a", "l1", "m1"), ("a", "l2", "m2")]
+
+
 def test_read_prompts_formats(spark, tmp_path):
     txt = tmp_path / "p.txt"
     txt.write_text("  first \n\n second\n")
