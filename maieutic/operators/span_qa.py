@@ -100,10 +100,13 @@ def span_f1(ps: Column, pe: Column, ts: Column, te: Column) -> Column:
     ).cast("double")
 
 
-def decode_spans(logits: DataFrame, offsets: DataFrame, id_col: str = "example_id",
+def decode_spans(logits: DataFrame, offsets: DataFrame | None, id_col: str = "example_id",
                  n_best: int = N_BEST_SIZE, max_answer_length: int = MAX_ANSWER_LENGTH) -> DataFrame:
-    """Attach offsets by example id (J3) and decode the best span of every example (K7)."""
-    x = logits.join(offsets, id_col, "inner")
+    """Attach offsets by example id (J3) and decode the best span of every example (K7).
+
+    Without ``offsets`` the logits bring their ``offset_mapping`` along, and nothing is joined.
+    """
+    x = logits if offsets is None else logits.join(offsets, id_col, "inner")
     b = best_span(F.col("start_logits"), F.col("end_logits"), F.col("offset_mapping"), n_best, max_answer_length)
     return x.select("*", b.alias("_b")).select(
         "*", F.col("_b.start").alias("pred_start"), F.col("_b.end").alias("pred_end"),

@@ -2,17 +2,20 @@
 
 The built-in tokenizer is a word/punctuation splitter (``\\w+`` runs and single
 other non-space characters) with character offsets, a vocabulary built from
-the data and lookup joins.  Operators that tokenise take a ``tokenizer`` argument, a
-function from a text column to an array-of-strings column; a user's own one (for
-example a subword tokenizer) is wrapped by ``pandas_tokenizer`` as an Arrow-batched UDF.
+the data and lookup joins.  Operators that tokenise take a ``tokenizer`` argument: a
+function from a text column to an array-of-strings column, or a ``Tokenizer``, which also says where in the text each token
+stands and how tokens become text again.  A user's own one (for example a subword
+tokenizer) is wrapped by ``pandas_tokenizer`` or ``offset_tokenizer`` as an Arrow-batched UDF.
 
 Scale notes
 * Token streams are exploded after the raw rows were dealt out by their id, so
   the exchange carries each text once and the regrouping needs no further one.
 * The vocabulary is a map-side combined count of all tokens.  Ids follow (count
   descending, md5, token): places come from sums per count and hash bucket, so no task
-  orders the whole vocabulary.  The lookup is a plain join; Spark broadcasts a small
-  vocabulary by itself and shuffles a large one.
+  orders the whole vocabulary.
+* Lookups split by frequency: a vocabulary's ids begin with its most frequent tokens, so the entries of the first
+  ``HOT_ENTRIES`` ids are broadcast (a bounded table) and only the rare rest of the tokens is joined by shuffle,
+  where no key is hot any more.
 * Everything after ids (labels, padding, masks, spans, checks) is in-row
   array work with higher-order functions: no shuffle.
 * Row ids must be unique where tokens are regrouped by them; a repeated id stops the query with an error
@@ -21,8 +24,12 @@ Scale notes
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +49,8 @@ PAD, UNK, CLS, SEP, EOS = "[PAD]", "[UNK]", "[CLS]", "[SEP]", "[EOS]"
 ROLE_TAGS = {"system": "<|system|>", "user": "<|user|>", "assistant": "<|assistant|>"}
 SPECIAL_TOKENS = [PAD, UNK, CLS, SEP, EOS, *ROLE_TAGS.values()]
 PAD_ID, UNK_ID, CLS_ID, SEP_ID, EOS_ID = range(5)
+#: Vocabulary entries that are broadcast in a lookup; all others are joined by shuffle.
+HOT_ENTRIES = 10_000
 ROLE_TAG_IDS = {role: SPECIAL_TOKENS.index(tag) for role, tag in ROLE_TAGS.items()}
 
 
@@ -62,7 +71,7 @@ def token_offsets(df: DataFrame, id_col: str, text_col: str = "text", lower: boo
     order = Window.partitionBy(id_col).orderBy("pos")
     end = F.sum(F.length("_p")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
     token = F.ltrim(F.col("_p"), F.lit(BLANKS))
-    once = F.when(F.row_number().over(order) == F.col("pos") + 1, F.col("pos")).otherwise(_repeated_id(id_col))
+    once = F.when(F.row_number().over(order) == F.col("pos") + 1, F.col("pos")).otherwise(_repeated_id(id_col).cast("int"))
     return ex.select(
         id_col,
         once.cast("int").alias("pos"),
@@ -73,7 +82,7 @@ def token_offsets(df: DataFrame, id_col: str, text_col: str = "text", lower: boo
 
 
 def _repeated_id(*keys: str) -> Column:
-    return F.raise_error(F.lit(f"two rows share one id ({', '.join(keys)}); token operators need unique ids")).cast("int")
+    return F.raise_error(F.lit(f"two rows share one id ({', '.join(keys)}); token operators need unique ids"))
 
 
 def word_tokens(text: Column, lower: bool = True) -> Column:
@@ -84,11 +93,103 @@ def word_tokens(text: Column, lower: bool = True) -> Column:
     return F.regexp_extract_all(t, F.lit(WORD_TOKEN_REGEX), 1)
 
 
+# --- U5: pluggable tokenizers ---------------------------------------------------
+_SPANS = "array<struct<token:string,start:int,end:int>>"
+
+
+def space_joined(tokens: Column) -> Column:
+    return F.array_join(tokens, " ")
+
+
+@dataclass(frozen=True)
+class Tokenizer:
+    """A tokenizer of the user's.
+
+    ``spans``: text column -> ``array<struct<token, start, end>>`` in text order, ``start`` and ``end`` in characters of the
+    text as it is given, whatever the tokenizer normalises; a null text has no tokens.  ``join``: array of tokens -> text.
+    Called like the plain function it gives the tokens alone.
+    """
+
+    spans: Callable[[Column], Column]
+    join: Callable[[Column], Column] = space_joined
+
+    def __call__(self, text: Column) -> Column:
+        return F.transform(self.spans(text), lambda s: s["token"])
+
+
 def pandas_tokenizer(fn) -> Callable[[Column], Column]:
     """A user tokenizer (``pandas.Series`` of texts -> ``Series`` of token lists) for the ``tokenizer`` arguments."""
     return F.pandas_udf(fn, "array<string>")
 
 
+def offset_tokenizer(fn, join: Callable[[Column], Column] = space_joined) -> Tokenizer:
+    """A ``Tokenizer`` from a user's function of one text -> list of ``(token, start, end)``, run on Arrow batches."""
+
+    def spans(texts: pd.Series) -> pd.Series:
+        names = ("token", "start", "end")
+        return pd.Series([[dict(zip(names, t)) for t in fn(x)] if x else [] for x in texts])
+
+    return Tokenizer(F.pandas_udf(spans, _SPANS), join)
+
+
+def aligned(text: str, normalise: Callable[[str], str]) -> tuple[str, list[int]]:
+    """A text normalised character by character, and for each resulting character the one it comes from."""
+    out, origin = [], []
+    for i, c in enumerate(text):
+        new = normalise(c)
+        out.append(new)
+        origin += [i] * len(new)
+    return "".join(out), origin
+
+
+def _without_accents(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn").lower()
+
+
+# Letters of a word, or a single other character; blanks part them.
+_UNCASED = re.compile(r"[^\W_]+|[^\w\s]|_")
+
+
+def uncased_spans(text: str) -> list[tuple[str, int, int]]:
+    """Tokens without case and accents, punctuation apart; ``start`` and ``end`` count characters of the text itself."""
+    plain, origin = aligned(text, _without_accents)
+    origin.append(len(text))
+    # What comes to nothing, such as a combining accent, belongs to the character before it.
+    return [(m[0], origin[m.start()], max(origin[m.end() - 1] + 1, origin[m.end()])) for m in _UNCASED.finditer(plain)]
+
+
+def uncased_tokenizer() -> Tokenizer:
+    """Lower case, without accents, every punctuation mark a token of its own: the basic step of uncased subword models."""
+    return offset_tokenizer(uncased_spans)
+
+
+def library_tokenizer(path: str) -> Tokenizer:
+    """A tokenizer file of the ``tokenizers`` library: its tokens, its offsets and its decoder, without special tokens.
+
+    The file must be where the workers can read it; each worker loads it once.
+    """
+
+    def load():
+        from tokenizers import Tokenizer as Library
+
+        if path not in _LIBRARY:
+            _LIBRARY[path] = Library.from_file(path)
+        return _LIBRARY[path]
+
+    def spans(texts: pd.Series) -> pd.Series:
+        found = load().encode_batch([x or "" for x in texts], add_special_tokens=False)
+        return pd.Series([[{"token": t, "start": a, "end": b} for t, (a, b) in zip(e.tokens, e.offsets)] for e in found])
+
+    def join(tokens: pd.Series) -> pd.Series:
+        decoder = load().decoder
+        return pd.Series([None if t is None else decoder.decode(list(t)) if decoder is not None else " ".join(t) for t in tokens])
+
+    return Tokenizer(F.pandas_udf(spans, _SPANS), F.pandas_udf(join, "string"))
+
+
+_LIBRARY: dict = {}
+
+
 # --- J6: vocabulary and ids ---------------------------------------------------
 def build_vocab(token_arrays: DataFrame, tokens_col: str = "tokens", size: int | None = None) -> DataFrame:
     """``(token, id, is_special)``: specials first, then all tokens, or the ``size`` most frequent ones.
@@ -114,21 +215,47 @@ def build_vocab(token_arrays: DataFrame, tokens_col: str = "tokens", size: int |
     return specials.unionByName(ranked.select("token", "id", F.lit(False).alias("is_special")))
 
 
-def _in_order(exploded: DataFrame, keys: Sequence[str], value: str, out: list[Column], carry: Sequence[str] = ()) -> DataFrame:
-    """Collect ``value`` per row in position order; ``out`` is made of the ordered array ``_v`` and the carried columns."""
-    entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", value))
-    rows = exploded.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(entry)).alias("_e"), F.max("_pos").alias("_last"), F.count(F.lit(1)).alias("_n"),
-        *[F.first(c).alias(c) for c in carry],
+def _looked_up(exploded: DataFrame, keys: Sequence[str], carry: Sequence[str], by: str, table: DataFrame, hot: Column,
+               extra: Sequence[str] = ()) -> DataFrame:
+    """Look ``by`` up in ``table`` and gather each row's entries in order: ``(keys, carry, _v)``.
+
+    ``exploded``: ``(keys, carry, _pos, by, extra)``, dealt by ``keys``; ``_v`` is an array of structs of the table's other columns (null
+    where it lacks the entry) and of ``extra``.  Entries of the table for which ``hot`` holds are broadcast and met where the row is;
+    what is left of a row is exploded again and joined by shuffle, and its first piece takes the finished
+    part along, so every text is cut once.
+    """
+    values = [c for c in table.columns if c != by]
+    known = exploded.join(F.broadcast(table.where(hot).withColumn("_known", F.lit(True))), by, "left")
+    there, met = F.col("_pos").isNotNull(), F.col("_known").isNotNull()
+    rows = known.groupBy(*keys).agg(
+        F.collect_list(F.when(there & met, F.struct("_pos", *values, *extra))).alias("_hot"),
+        F.collect_list(F.when(there & ~met, F.struct("_pos", by, *extra))).alias("_rare"),
+        F.max("_pos").alias("_last"), F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in carry],
     )
-    fine = F.col("_n") == F.coalesce(F.col("_last") + 1, F.lit(1))
-    values = F.transform("_e", lambda x: x[value])
-    checked = F.when(fine, values).otherwise(F.array(_repeated_id(*keys).cast("string")).cast(_array_of(exploded, value)))
-    return rows.select(*keys, *carry, checked.alias("_v")).select(*keys, *out)
+    whole = F.col("_n") == F.coalesce(F.col("_last") + 1, F.lit(1))
+    rows = rows.withColumn("_hot", F.when(whole, F.col("_hot")).otherwise(_repeated_id(*keys).cast(rows.schema["_hot"].dataType)))
+    pieces = rows.select(*keys, *carry, "_hot", F.posexplode_outer("_rare").alias("_i", "_r"))
+    first = F.coalesce(F.col("_i"), F.lit(0)) == 0
+    # A row without a rare entry meets nothing; a number of its own keeps such rows from sharing one key.
+    meeting = F.when(F.col("_r").isNotNull(), F.xxhash64(f"_r.{by}")).otherwise(F.xxhash64(*keys))
+    pieces = pieces.select(
+        *keys, F.when(first, F.struct("_hot", *carry)).alias("_done"), F.col("_r"), F.col(f"_r.{by}").alias("_by"), meeting.alias("_h")
+    )
+    rest = table.where(~hot).withColumn("_h", F.xxhash64(by)).withColumnRenamed(by, "_key")
+    met_late = pieces.join(rest, (pieces["_h"] == rest["_h"]) & (pieces["_by"] == rest["_key"]), "left")
+    late = F.struct(F.col("_r._pos").alias("_pos"), *values, *(F.col(f"_r.{c}").alias(c) for c in extra))
+    out = met_late.groupBy(*keys).agg(
+        F.first("_done", ignorenulls=True).alias("_done"),  # one piece of a row has it
+        F.collect_list(F.when(F.col("_r").isNotNull(), late)).alias("_late"),
+    )
+    entries = F.array_sort(F.concat("_done._hot", "_late"))
+    in_order = F.transform(entries, lambda x: F.struct(*(x[c].alias(c) for c in [*values, *extra])))
+    return out.select(*keys, *(F.col(f"_done.{c}").alias(c) for c in carry), in_order.alias("_v"))
 
 
-def _array_of(df: DataFrame, column: str) -> str:
-    return f"array<{df.schema[column].dataType.simpleString()}>"
+def _word_lookup(vocab: DataFrame) -> tuple[DataFrame, Column]:
+    """Ids of plain tokens, and which of them are frequent: a vocabulary's ids begin with its frequent tokens."""
+    return vocab.where(~F.col("is_special")).select("token", F.col("id").alias("_id")), F.col("_id") < len(SPECIAL_TOKENS) + HOT_ENTRIES
 
 
 def encode(df: DataFrame, id_col, tokens_col, vocab: DataFrame, out_col="ids") -> DataFrame:
@@ -140,30 +267,67 @@ def encode(df: DataFrame, id_col, tokens_col, vocab: DataFrame, out_col="ids") -
     keys = [id_col] if isinstance(id_col, str) else list(id_col)
     parts = [tokens_col] if isinstance(tokens_col, str) else list(tokens_col)
     outs = [out_col] if isinstance(out_col, str) else list(out_col)
-    v = vocab.where(~F.col("is_special")).select("token", F.col("id").alias("_id"))
     sizes = [F.size(p).alias(f"_s{i}") for i, p in enumerate(parts)]
     rows = _dealt(df.select(*keys, *parts), keys).select(*keys, F.array(*sizes).alias("_sizes"), F.concat(*parts).alias("_t"))
     ex = rows.select(*keys, "_sizes", F.posexplode_outer("_t").alias("_pos", "token"))
-    looked = ex.join(v, "token", "left").withColumn("_id", F.coalesce("_id", F.lit(UNK_ID)))
+    looked = _looked_up(ex, keys, ["_sizes"], "token", *_word_lookup(vocab))
+    ids = F.transform("_v", lambda x: F.coalesce(x["_id"], F.lit(UNK_ID)))
     cuts, before = [], F.lit(0)
     for i, name in enumerate(outs):
-        cuts.append(F.slice("_v", before + 1, F.col("_sizes")[i]).alias(name))
+        cuts.append(F.slice("_ids", before + 1, F.col("_sizes")[i]).alias(name))
         before = before + F.col("_sizes")[i]
-    return _in_order(looked, keys, "_id", cuts, ["_sizes"])
+    return looked.select(*keys, "_sizes", ids.alias("_ids")).select(*keys, *cuts)
+
+
+def encode_with_offsets(df: DataFrame, id_col: str, lead_col: str, text_col: str, vocab: DataFrame,
+                        tokenizer: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``(id, lead, context)`` from one cut of each text: ids of ``lead_col`` and ``array<struct<id, start, end>>`` of ``text_col``.
+
+    The built-in tokenizer cuts both (offsets are running sums over its pieces, which hold the blanks before a token);
+    a ``Tokenizer`` gives its own offsets.  A plain function knows none: it cuts the lead, the built-in one the text.
+    """
+    lead = (tokenizer or word_tokens)(F.col(lead_col))
+    blank = F.lit(None).cast("int")
+    entry = lambda token, n, start, end: F.struct(token.alias("token"), n.alias("n"), start.alias("start"), end.alias("end"))
+    own = isinstance(tokenizer, Tokenizer)
+    if own:
+        spans = F.coalesce(tokenizer.spans(F.col(text_col)), F.array().cast(_SPANS))
+        context = F.transform(spans, lambda s: entry(s["token"], F.lit(0), s["start"], s["end"]))
+    else:
+        pieces = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD_TOKEN_REGEX), 0)
+        bare = lambda p: F.ltrim(p, F.lit(BLANKS))
+        context = F.transform(pieces, lambda p: entry(F.lower(bare(p)), F.length(p), F.length(bare(p)), blank))
+    rows = _dealt(df.select(id_col, lead_col, text_col), [id_col]).select(
+        id_col, F.coalesce(lead, F.array().cast("array<string>")).alias("_l"), context.alias("_c")
+    )
+    both = F.concat(F.transform("_l", lambda t: entry(t, F.lit(0), blank, blank)), "_c")
+    ex = rows.select(id_col, F.size("_l").alias("_lead"), F.posexplode_outer(both).alias("_pos", "_x"))
+    ex = ex.select(id_col, "_lead", "_pos", "_x.*")
+    if not own:
+        upto = F.sum("n").over(Window.partitionBy(id_col).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        ex = ex.withColumn("end", upto.cast("int")).withColumn("start", F.col("end") - F.col("start"))
+    looked = _looked_up(ex.drop("n"), [id_col], ["_lead"], "token", *_word_lookup(vocab), ["start", "end"])
+    known = F.transform("_v", lambda x: F.struct(F.coalesce(x["_id"], F.lit(UNK_ID)).alias("id"), x["start"].alias("start"), x["end"].alias("end")))
+    cut = looked.select(id_col, "_lead", known.alias("_v"))
+    return cut.select(
+        id_col, F.transform(F.slice("_v", F.lit(1), F.col("_lead")), lambda x: x["id"]).alias("lead"),
+        F.slice("_v", F.col("_lead") + 1, F.size("_v")).alias("context"),
+    )
 
 
 def decode(df: DataFrame, id_col: str, ids_col: str, vocab: DataFrame, out_col: str = "text",
-           skip_special: bool = True) -> DataFrame:
-    """Id arrays back to space-joined text.
+           skip_special: bool = True, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """Id arrays back to text (J5): joined by spaces, or by the ``join`` of a ``Tokenizer``.
 
     An id that the vocabulary lacks reads as UNK; special tokens (UNK too) are dropped when asked.
     """
-    v = vocab.select(F.col("id").alias("_id"), "token", "is_special")
+    table = vocab.select(F.col("id").alias("_id"), F.col("token").alias("_token"), "is_special")
     ex = _dealt(df.select(id_col, ids_col), [id_col]).select(id_col, F.posexplode_outer(ids_col).alias("_pos", "_id"))
-    looked = ex.join(v, "_id", "left")
-    dropped = F.coalesce("is_special", F.lit(True)) if skip_special else F.lit(False)
-    looked = looked.withColumn("_token", F.when(~dropped, F.coalesce("token", F.lit(UNK))))
-    return _in_order(looked, [id_col], "_token", [F.array_join(F.array_compact("_v"), " ").alias(out_col)])
+    looked = _looked_up(ex, [id_col], [], "_id", table, F.col("_id") < len(SPECIAL_TOKENS) + HOT_ENTRIES)
+    kept = F.filter("_v", lambda x: ~F.coalesce(x["is_special"], F.lit(True))) if skip_special else F.col("_v")
+    tokens = F.transform(kept, lambda x: F.coalesce(x["_token"], F.lit(UNK)))
+    join = tokenizer.join if tokenizer is not None else space_joined
+    return looked.select(id_col, join(tokens).alias(out_col))
 
 
 # --- R1-R7: labels, truncation, padding, masks ---------------------------------

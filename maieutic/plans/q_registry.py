@@ -18,7 +18,8 @@ from maieutic.plans import registry
 from maieutic.plans.catalog import register
 from maieutic.plans.inputs import table
 from maieutic.plans.q_dialogue import _POLICIES_SQL, _POLICY_PROMPT_SQL, _policies, _turns
-from maieutic.plans.q_tokens import _DOC_VOCAB_SQL, EMPTY, P, _doc_vocab, arr_str, id_lists_sql
+from maieutic.plans import oracle as o
+from maieutic.plans.q_tokens import _DOC_VOCAB_SQL, EMPTY, P, _doc_vocab, arr_str, id_lists_sql, vocab_sql
 
 SQUAD_MAX_LENGTH, LONG_QA_MAX_LENGTH = 384, 512
 
@@ -51,11 +52,13 @@ def _case(i: int) -> str:
     return "CASE " + " ".join(f"WHEN doc_id % 6 = {k} THEN {v[i]}" for k, v in _ANSWER.items()) + " END"
 
 
-_SQUAD_CTES = f"""vocab AS ({_DOC_VOCAB_SQL}),
+def _squad_ctes(pattern: str, plain: str, pieces_of: str) -> str:
+    """CTEs ending in ``squad``; ``pattern`` cuts ``plain`` text into tokens, and ``pieces_of`` (of the same length as the text) for offsets."""
+    return f"""vocab AS ({vocab_sql('SELECT text FROM documents', pattern, plain)}),
 src AS (SELECT doc_id, coalesce(text, '') AS text, {_QUESTION} AS question, {_case(0)} AS a_text, {_case(1)} AS a_start FROM documents),
-{id_lists_sql('SELECT doc_id, question FROM src', 'doc_id', 'question', 'vocab', 'qids')},
-{id_lists_sql('SELECT doc_id, text FROM src', 'doc_id', 'text', 'vocab', 'cids')},
-pc AS (SELECT doc_id, regexp_extract_all(text, '{P}', 0) AS pieces, regexp_extract_all(text, '{P}', 1) AS toks FROM src),
+{id_lists_sql('SELECT doc_id, question FROM src', 'doc_id', 'question', 'vocab', 'qids', pattern, plain)},
+{id_lists_sql('SELECT doc_id, text FROM src', 'doc_id', 'text', 'vocab', 'cids', pattern, plain)},
+pc AS (SELECT doc_id, regexp_extract_all({pieces_of}, '{pattern}', 0) AS pieces, regexp_extract_all({pieces_of}, '{pattern}', 1) AS toks FROM src),
 px AS (SELECT doc_id, unnest(pieces) AS piece, unnest(toks) AS tok, unnest(range(len(pieces))) AS pos FROM pc),
 tk AS (SELECT doc_id, pos, length(tok) AS n, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM px),
@@ -75,15 +78,18 @@ squad AS (SELECT ex.doc_id, rejected, CASE WHEN NOT rejected THEN cs END AS cont
   text FROM ex LEFT JOIN lb ON lb.doc_id = ex.doc_id)"""
 
 
-@register(
-    "u1_squad",
-    f"""WITH {_SQUAD_CTES}
-SELECT doc_id, array_to_string(input_ids, ' ') AS input_ids, array_to_string(attention_mask, ' ') AS attention_mask,
+_SQUAD_CTES = _squad_ctes(P, "lower({})", "text")
+_SQUAD_COLUMNS = """SELECT doc_id, array_to_string(input_ids, ' ') AS input_ids, array_to_string(attention_mask, ' ') AS attention_mask,
   array_to_string(offs, ' ') AS offset_mapping, CAST(context_start AS INTEGER) AS context_start, CAST(context_len AS INTEGER) AS context_len,
-  start_positions, end_positions, md5(text) AS context_md5, CASE WHEN rejected THEN '{registry.NO_ROOM}' END AS reject_reason FROM squad""",
-)
+  start_positions, end_positions, md5(text) AS context_md5"""
+
+
+@register("u1_squad", f"WITH {_SQUAD_CTES}\n{_SQUAD_COLUMNS}, CASE WHEN rejected THEN '{registry.NO_ROOM}' END AS reject_reason FROM squad")
 def q_squad(spark, sf_dir):
-    x = _squad(spark, sf_dir)
+    return _squad_shown(_squad(spark, sf_dir))
+
+
+def _squad_shown(x):
     offsets = F.transform("offset_mapping", lambda o: F.coalesce(
         F.concat(o["start"].cast("string"), F.lit(":"), o["end"].cast("string")), F.lit("-")))
     return x.select(
@@ -93,6 +99,24 @@ def q_squad(spark, sf_dir):
     )
 
 
+# Tokens without case and accents; the tables' accented letters are single characters, so offsets are those of the plain text.
+_UNCASED_P = f"{o.S}*([\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}{o.U_SPACE}])"
+_UNCASED_PLAIN = "lower(strip_accents({}))"
+
+
+@register(
+    "u5_uncased_squad",
+    f"WITH {_squad_ctes(_UNCASED_P, _UNCASED_PLAIN, _UNCASED_PLAIN.format('text'))}\n"
+    f"{_SQUAD_COLUMNS}, CASE WHEN rejected THEN '{registry.NO_ROOM}' END AS reject_reason FROM squad",
+)
+def q_uncased_squad(spark, sf_dir):
+    """Span QA with a user's tokenizer that normalises the text: its offsets are those of the original characters."""
+    tokenizer = tk.uncased_tokenizer()
+    vocab = tk.build_vocab(table(spark, sf_dir, "documents").select(tokenizer(F.col("text")).alias("tokens")))
+    return _squad_shown(registry.preprocess("squad", _squad_input(spark, sf_dir), vocab=vocab, max_length=SQUAD_MAX_LENGTH,
+                                            id_col="doc_id", tokenizer=tokenizer))
+
+
 @register(
     "r8_first_special_positions",
     f"""WITH {_SQUAD_CTES}
@@ -147,9 +171,9 @@ def q_squad_report(spark, sf_dir):
     x = _squad(spark, sf_dir).where("reject_reason IS NULL")
     logits = lambda l: F.expr(f"transform(sequence(0, {SQUAD_MAX_LENGTH - 1}), i -> {_logit(*l, 'i')})")
     label = lambda c: F.coalesce(c, F.lit(0))
-    scored = x.select("doc_id", logits(_START).alias("start_logits"), logits(_END).alias("end_logits"),
+    scored = x.select("doc_id", "offset_mapping", logits(_START).alias("start_logits"), logits(_END).alias("end_logits"),
                       label("start_positions").alias("start_label"), label("end_positions").alias("end_label"))
-    decoded = sq.decode_spans(scored, x.select("doc_id", "offset_mapping"), "doc_id")
+    decoded = sq.decode_spans(scored, None, "doc_id")
     return sq.span_qa_report(decoded.withColumn("fell_back", ~F.col("from_candidates")), ["fell_back"])
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maieutic.operators import span_qa as sq
+from maieutic.operators.metrics import SPAN_QA_RESULT, RowSums, metric_report, span_qa_metric
 from maieutic.operators import tokens as tk
 from maieutic.operators.behavior import behavior_metrics
 from maieutic.operators.lm_metrics import prediction_texts
@@ -111,19 +112,42 @@ def q_best_span(spark, sf_dir):
     return d.select("example_id", "pred_start", "pred_end", "score", "from_candidates", f1.alias("f1"))
 
 
-@register(
-    "a14_span_qa_report",
-    f"""{_DECODE_SQL} SELECT count(*) AS n_examples,
+_REPORT_SQL = f"""{_DECODE_SQL} SELECT count(*) AS n_examples,
   CAST(sum(CAST(pred_start = start_label AS BIGINT)) AS DOUBLE) / count(*) AS start_accuracy,
   CAST(sum(CAST(pred_end = end_label AS BIGINT)) AS DOUBLE) / count(*) AS end_accuracy,
   CAST(sum(CAST(pred_start = start_label AND pred_end = end_label AS BIGINT)) AS DOUBLE) / count(*) AS exact_match,
   CAST(sum(CAST(pred_start <= pred_end AS BIGINT)) AS DOUBLE) / count(*) AS valid_span_ratio,
-  round(sum(f1) / count(*), 9) AS f1 FROM h HAVING count(*) > 0""",
-)
+  round(sum(f1) / count(*), 9) AS f1 FROM h HAVING count(*) > 0"""
+
+
+@register("a14_span_qa_report", _REPORT_SQL)
 def q_span_report(spark, sf_dir):
     return sq.span_qa_report(_decoded(spark, sf_dir))
 
 
+@register("u4_user_metric_report", _REPORT_SQL)
+def q_user_metric(spark, sf_dir):
+    """The same report by a metric of the user's: states per task, merged per group."""
+    return metric_report(_decoded(spark, sf_dir), span_qa_metric(), SPAN_QA_RESULT, columns=["pred_start", "pred_end", "start_label", "end_label"])
+
+
+def _spread(frame):
+    """Per document: its length, the square of it, and whether it is long."""
+    n = frame["n_chars"].astype("int64")
+    return frame.assign(n=1, chars=n, long=(n > 2000).astype("int64"))[["n", "chars", "long"]]
+
+
+@register(
+    "u4_user_metric_by_group",
+    """SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS DOUBLE) / count(*) AS mean_chars,
+  CAST(sum(CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS long_share FROM documents GROUP BY lang, source""",
+)
+def q_user_metric_by_group(spark, sf_dir):
+    """A user's metric per group of whole ``documents``."""
+    metric = RowSums(_spread, lambda s: {"n": int(s["n"]), "mean_chars": s["chars"] / s["n"], "long_share": s["long"] / s["n"]})
+    return metric_report(table(spark, sf_dir, "documents"), metric, "n bigint, mean_chars double, long_share double", ["lang", "source"], ["n_chars"])
+
+
 # --- W6-W8: answer token labels on documents ---------------------------------------------------
 def _doc_qa(spark, sf_dir):
     """Examples with a three-token answer, found in-row from the text's token pieces."""

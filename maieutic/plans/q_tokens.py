@@ -30,7 +30,7 @@ def arr_str(c):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
 
 
-def vocab_sql(texts_sql: str) -> str:
+def vocab_sql(texts_sql: str, pattern: str = P, plain: str = "lower({})") -> str:
     specials = " UNION ALL ".join(
         f"SELECT '{t}' AS token, {i} AS id, true AS is_special" for i, t in enumerate(tk.SPECIAL_TOKENS)
     )
@@ -39,16 +39,16 @@ def vocab_sql(texts_sql: str) -> str:
 UNION ALL SELECT token, CAST(id AS INTEGER) AS id, false AS is_special FROM (
   SELECT token, row_number() OVER (ORDER BY cnt DESC, md5(token), token) + {n - 1} AS id FROM (
     SELECT token, count(*) AS cnt FROM (
-      SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '{P}', 1)) AS token FROM ({texts_sql}) s0) s1
+      SELECT unnest(regexp_extract_all({plain.format("coalesce(text, '')")}, '{pattern}', 1)) AS token FROM ({texts_sql}) s0) s1
     GROUP BY token) c) t"""
 
 
-def id_lists_sql(src: str, keys: str, text_expr: str, vocab: str, name: str) -> str:
+def id_lists_sql(src: str, keys: str, text_expr: str, vocab: str, name: str, pattern: str = P, plain: str = "lower({})") -> str:
     """CTEs ending in ``{name}(keys..., ids)``; every source row appears (empty list if no token)."""
     kl = [k.strip() for k in keys.split(",")]
     on = " AND ".join(f"s.{k} = l.{k}" for k in kl)
     return f"""{name}_t AS (SELECT {keys}, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM (
-    SELECT {keys}, regexp_extract_all(lower(coalesce({text_expr}, '')), '{P}', 1) AS toks FROM ({src}) s0) s1),
+    SELECT {keys}, regexp_extract_all({plain.format(f"coalesce({text_expr}, '')")}, '{pattern}', 1) AS toks FROM ({src}) s0) s1),
 {name}_e AS (SELECT {', '.join('t.' + k for k in kl)}, t.pos, coalesce(v.id, {tk.UNK_ID}) AS tid
     FROM {name}_t t LEFT JOIN {vocab} v ON t.token = v.token AND NOT v.is_special),
 {name}_l AS (SELECT {keys}, list(tid ORDER BY pos) AS ids FROM {name}_e GROUP BY {keys}),

@@ -58,7 +58,7 @@ NO_ROOM = "the question leaves no room for context"
 
 
 def squad(df: DataFrame, vocab: DataFrame, max_length: int = 384, id_col: str = "id",
-          tokenizer: Tokenizer = tk.word_tokens) -> DataFrame:
+          tokenizer: Tokenizer | tk.Tokenizer = tk.word_tokens) -> DataFrame:
     """Span-QA encoding with answer token labels (R8, R10, R11, W5-W8, P6, P7), one row per input row.
 
     Output: ``input_ids, attention_mask, context, context_start, context_len,
@@ -66,18 +66,17 @@ def squad(df: DataFrame, vocab: DataFrame, max_length: int = 384, id_col: str =
     ``offset_mapping`` has a ``(start, end)`` for the positions of context tokens and NULL elsewhere.
     Labels are NULL without an answer and 0 (CLS) if the answer was cut off.  A row whose question leaves no room for
     context has a ``reject_reason`` and NULL in the encoded columns; it is not dropped.
-    Context tokens come from the built-in tokenizer, which knows their offsets; ``tokenizer`` cuts the question.
+    ``tokenizer`` cuts question and context if it is a ``Tokenizer``, whose offsets the labels then follow; a plain
+    function knows no offsets and cuts the question alone.  Each text is cut once, for ids and offsets.
     """
-    rows = df.select(id_col, tokenizer(F.col("question")).alias("_q"), tk.word_tokens(F.col("context")).alias("_c"))
-    ids = tk.encode(rows, id_col, ["_q", "_c"], vocab, ["_qi", "_ci"])
-    spans = tk.token_offsets(df.select(id_col, F.col("context").alias("text")), id_col)
-    spans = spans.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end"))).alias("_o"))
     answer = F.when(sq.has_answers(F.col("answers")), sq.first_answer(F.col("answers")))
     source = df.select(id_col, "context", answer.alias("_a"))
-    x = ids.join(source, id_col).join(spans, id_col, "left").withColumn("_e", tk.encode_pair(F.col("_qi"), F.col("_ci"), max_length))
+    both = tk.encode_with_offsets(df, id_col, "question", "context", vocab, tokenizer)
+    x = both.select(id_col, F.col("lead").alias("_qi"), F.col("context").alias("_o")).join(source, id_col)
+    x = x.withColumn("_e", tk.encode_pair(F.col("_qi"), F.transform("_o", lambda o: o["id"]), max_length))
     # Positions ascend in both ends, so the last start at or before the answer's and the first end at or behind
     # its end are counts.
-    x = x.withColumn("_kept", F.slice(F.coalesce("_o", F.array()), F.lit(1), F.coalesce("_e.context_len", F.lit(0))))
+    x = x.withColumn("_kept", F.slice("_o", F.lit(1), F.coalesce("_e.context_len", F.lit(0))))
     start, stop = F.col("_a.start"), F.col("_a.start") + F.length("_a.text")
     first = F.size(F.filter("_kept", lambda o: o["start"] <= start)) - 1
     last = F.size("_kept") - F.size(F.filter("_kept", lambda o: o["end"] >= stop))
