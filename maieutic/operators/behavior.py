@@ -76,11 +76,30 @@ def behavior_features(df: DataFrame, text_col: str = "text", tokenizer: str | Ca
     )
 
 
+#: Size of the rank summary of ``percentile="sketch"``: some 25 KB a group. Its answer's rank is off by at most
+#: ``2.296 / SKETCH_SIZE ** 0.9723`` of the group (0.27 %) with 99 % probability.
+SKETCH_SIZE = 1024
+
+
+def p95_length(percentile: str = "exact", col: str = "n_tokens") -> Column:
+    """The 95th percentile of a column of whole numbers.
+
+    ``exact``: nearest rank ceil(0.95 n); Spark keeps a value -> count map, whose size is bounded by the number of distinct
+    lengths, not by the number of rows.  ``sketch``: a mergeable rank summary of bounded size (KLL) for streams that
+    run for long or groups with very many lengths; up to ``SKETCH_SIZE`` rows it is exact.
+    """
+    if percentile == "exact":
+        return F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {col})").cast("bigint")
+    if percentile == "sketch":
+        return F.kll_sketch_get_quantile_bigint(F.kll_sketch_agg_bigint(col, F.lit(SKETCH_SIZE)), F.lit(0.95).cast("double"))
+    raise ValueError(f"unknown percentile {percentile!r}; use 'exact' or 'sketch'")
+
+
 def _rate(flag: str) -> Column:
     return F.sum(F.col(flag).cast("bigint")).cast("double") / F.count(F.lit(1))
 
 
-def metric_aggregates(round_digits: int | None = 9) -> list[Column]:
+def metric_aggregates(round_digits: int | None = 9, percentile: str = "exact") -> list[Column]:
     """The ten aggregate expressions over ``behavior_features`` columns (A1-A10).
 
     Only the interrogative mean sums doubles, whose result depends on the
@@ -99,11 +118,7 @@ def metric_aggregates(round_digits: int | None = 9) -> list[Column]:
         ratio_mean.alias("avg_interrogative_ratio"),
         (F.sum("n_chars").cast("double") / n).alias("avg_response_length_chars"),
         (F.sum("n_tokens").cast("double") / n).alias("avg_response_length_tokens"),
-        # Nearest rank ceil(0.95 n): Spark keeps a value -> count map, whose size is
-        # bounded by the number of distinct lengths, not by the number of rows.
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY n_tokens)").cast("bigint").alias(
-            "p95_response_length_tokens"
-        ),
+        p95_length(percentile).alias("p95_response_length_tokens"),
         _rate("step_list").alias("step_list_rate"),
         _rate("contains_imperative").alias("contains_imperative_rate"),
     ]
@@ -115,19 +130,20 @@ def behavior_metrics(
     group_cols: Sequence[str] = (),
     tokenizer: str | Callable[[Column], Column] = "whitespace",
     round_digits: int | None = 9,
+    percentile: str = "exact",
 ) -> DataFrame:
     """All ten behaviour metrics in one pass (A11), per group when ``group_cols`` is given.
 
     Empty input yields no row (the reference returns an empty map), also for
-    the ungrouped form.  ``n_responses`` is the group size.
+    the ungrouped form.  ``n_responses`` is the group size; ``percentile`` as in ``p95_length``.
     """
     feats = behavior_features(df.select(*group_cols, text_col), text_col, tokenizer)
-    return feature_metrics(feats, group_cols, round_digits)
+    return feature_metrics(feats, group_cols, round_digits, percentile)
 
 
-def feature_metrics(feats: DataFrame, group_cols: Sequence[str] = (), round_digits: int | None = 9) -> DataFrame:
+def feature_metrics(feats: DataFrame, group_cols: Sequence[str] = (), round_digits: int | None = 9, percentile: str = "exact") -> DataFrame:
     """The aggregate of ``behavior_metrics`` over rows that already have their features."""
-    out = feats.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n_responses"), *metric_aggregates(round_digits))
+    out = feats.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n_responses"), *metric_aggregates(round_digits, percentile))
     if not group_cols:
         out = out.where(F.col("n_responses") > 0)
     return out

@@ -24,16 +24,19 @@ Scale notes
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maieutic.functions.text_rules import BLANKS, java_regex
+from maieutic.session import scratch_table
 
 # ---------------------------------------------------------------------------
 # Label sentinel and block size of the causal-LM chunking.
@@ -191,12 +194,65 @@ _LIBRARY: dict = {}
 
 
 # --- J6: vocabulary and ids ---------------------------------------------------
+def _counter(batches, capacity: int):
+    """Misra-Gries counts of one task: ``(token, count)`` of at most ``capacity`` tokens, and ``(null, loss)``.
+
+    A token's count is too small by at most the loss, and a token that is missing has at most that many.
+    """
+    counts: dict[str, int] = {}
+    loss = 0
+    for batch in batches:
+        values = batch.column(0).flatten().value_counts()
+        for token, n in zip(values.field("values").to_pylist(), values.field("counts").to_pylist()):
+            if token is not None:
+                counts[token] = counts.get(token, 0) + n
+        if len(counts) > 2 * capacity:
+            # Everything above the capacity-th count stays, less that count.
+            cut = heapq.nlargest(capacity + 1, counts.values())[-1]
+            loss += cut
+            counts = {t: n - cut for t, n in counts.items() if n > cut}
+    yield pa.record_batch(
+        [pa.array([*counts, None], pa.string()), pa.array([*counts.values(), loss], pa.int64())], names=["token", "count"]
+    )
+
+
+def frequent_tokens(token_arrays: DataFrame, size: int, tokens_col: str = "tokens", capacity: int | None = None) -> DataFrame:
+    """``(token, count)``: candidates that hold the ``size`` most frequent tokens, with exact counts.
+
+    One pass keeps a bounded summary per task (heavy hitters), so not all distinct tokens are shuffled; the second counts the candidates
+    alone.  It is proved on the way: no token outside of them has more than the summed loss of the tasks, and the ``size``-th
+    candidate must have more than that, so that ties are complete, too.  If not, the summaries are taken again four times as large; a
+    summary that lost nothing is the whole count.
+    """
+    capacity = capacity or max(4 * size, 50_000)
+    lists = token_arrays.select(tokens_col)
+    while True:
+        keep = capacity
+        summary = lists.mapInArrow(lambda batches: _counter(batches, keep), "token string, count bigint")
+        merged = scratch_table(summary.groupBy("token").agg(F.sum("count").alias("count")), "frequent")
+        loss = merged.where("token IS NULL").agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+        held = merged.where("token IS NOT NULL")
+        if not loss:
+            return held
+        candidates = held.select("token")
+        words = lists.select(F.explode(tokens_col).alias("token"))
+        counted = scratch_table(words.join(candidates, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("count")), "counted")
+        last = counted.orderBy(F.desc("count")).limit(size).agg(F.count(F.lit(1)).alias("n"), F.min("count").alias("least")).first()
+        if last["n"] == size and last["least"] > loss:
+            return counted
+        capacity *= 4
+
+
 def build_vocab(token_arrays: DataFrame, tokens_col: str = "tokens", size: int | None = None) -> DataFrame:
     """``(token, id, is_special)``: specials first, then all tokens, or the ``size`` most frequent ones.
 
-    Tokens are ordered by count (descending), then md5, then token.
+    Tokens are ordered by count (descending), then md5, then token.  With ``size`` only candidates are
+    counted (``frequent_tokens``), which runs at once; the result is that of the full count.
     """
-    counts = token_arrays.select(F.explode(tokens_col).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+    if size is not None:
+        counts = frequent_tokens(token_arrays, size, tokens_col)
+    else:
+        counts = token_arrays.select(F.explode(tokens_col).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
     counts = counts.select("token", "count", F.md5("token").alias("_h")).withColumn("_b", F.substring("_h", 1, 3))
     per_bucket = counts.groupBy("count", "_b").agg(F.count(F.lit(1)).alias("n"))
     per_count = per_bucket.groupBy("count").agg(F.sum("n").alias("n"))

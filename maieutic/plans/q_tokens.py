@@ -84,6 +84,16 @@ def q_vocab(spark, sf_dir):
     return _doc_vocab(spark, sf_dir)
 
 
+TOP_TOKENS = 2000
+
+
+@register("j6_top_vocabulary", f"SELECT * FROM ({_DOC_VOCAB_SQL}) v WHERE id < {TOP_TOKENS + len(tk.SPECIAL_TOKENS)}")
+def q_top_vocab(spark, sf_dir):
+    """The most frequent tokens by bounded summaries and a second pass over the candidates."""
+    d = table(spark, sf_dir, "documents")
+    return tk.build_vocab(d.select(tk.word_tokens(F.col("text")).alias("tokens")), size=TOP_TOKENS)
+
+
 def _doc_ids(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     toks = d.select("doc_id", tk.word_tokens(F.col("text")).alias("tokens"))

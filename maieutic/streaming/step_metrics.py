@@ -12,7 +12,8 @@ events ``(run_id, step, prompt_id, response_id, text[, ts])``:
   micro-batches, no cache), applied as a left-semi join.
 * X5 metric rows under a ``custom/`` prefix, written by ``foreachBatch``: each (run, step) that
   a trigger touched replaces its own partition, so other steps stay readable and a
-  replayed batch leaves the same table.
+  replayed batch leaves the same table.  ``start_metric_log_stream`` writes them to a log with a commit per batch instead
+  (``metric_sink``): readers never see half a batch, and nothing is overwritten.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from maieutic.operators.behavior import behavior_features, behavior_metrics_long, feature_metrics
 from maieutic.operators.sampling import sample_n
+from maieutic.streaming import metric_sink
 
 METRIC_PREFIX = "custom/"
 
@@ -55,14 +57,17 @@ def step_metrics(df: DataFrame, every: int, text_col: str = "text",
                  group_cols: Sequence[str] = ("run_id", "step"),
                  dedupe_keys: Sequence[str] = ("run_id", "step", "response_id"),
                  subset_ids: DataFrame | None = None, subset_key: str = "prompt_id",
-                 watermark_col: str | None = None, delay: str = "10 minutes") -> DataFrame:
-    """X1 + X2 + X3 (and X4 with ``subset_ids``) on a static or streaming DataFrame."""
+                 watermark_col: str | None = None, delay: str = "10 minutes", percentile: str = "exact") -> DataFrame:
+    """X1 + X2 + X3 (and X4 with ``subset_ids``) on a static or streaming DataFrame.
+
+    ``percentile="sketch"`` bounds the state that the 95th percentile of a step needs (see ``behavior.p95_length``).
+    """
     rows = eval_steps(df, every)
     if subset_ids is not None:
         rows = restrict_to_subset(rows, subset_ids, subset_key)
     keys = list(dict.fromkeys([*group_cols, *dedupe_keys, *([watermark_col] if watermark_col else [])]))
     features = behavior_features(rows.select(*keys, text_col), text_col).drop(text_col)
-    return feature_metrics(dedupe_steps(features, dedupe_keys, watermark_col, delay), list(group_cols))
+    return feature_metrics(dedupe_steps(features, dedupe_keys, watermark_col, delay), list(group_cols), percentile=percentile)
 
 
 def prefixed_metric_rows(metrics: DataFrame, id_cols: Sequence[str] = ("run_id", "step"),
@@ -93,3 +98,17 @@ def start_step_metrics_stream(events: DataFrame, every: int, sink_path: str, che
     if trigger_once:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def start_metric_log_stream(events: DataFrame, every: int, log_path: str, checkpoint_path: str, trigger_once: bool = False, **options):
+    """Run ``step_metrics`` on a stream into an exactly-once metric log; ``options`` are those of ``step_metrics``."""
+    metric_sink.register(events.sparkSession)
+
+    def append(batch_df: DataFrame, batch: int) -> None:
+        metric_sink.append_batch(prefixed_metric_rows(batch_df), log_path, batch)
+
+    writer = step_metrics(events, every, **options).writeStream.outputMode("update").foreachBatch(append)
+    writer = writer.option("checkpointLocation", checkpoint_path)
+    if trigger_once:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
