@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from maieutic.llm.common import written
 
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2  # sketch base b, rate a and largest register q
-TILE = 256
+TILE = 256  # rows of a side of a tile,
+TILE_VALUES = 1 << 20  # and what their sets or lines may weigh together: members of heavier ones are spread over more tiles
 
 
 def _p(x: np.ndarray) -> np.ndarray:
@@ -105,6 +106,22 @@ class Jaccard:
         both = int((b[at] == a).sum())
         return 100 * both >= self.threshold_pct * (len(a) + len(b) - both)
 
+    def index(self, bodies: list[np.ndarray]):
+        """All sets of a tile by value, so that one set meets them all at once."""
+        sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
+        values = np.concatenate(bodies)
+        order = np.argsort(values, kind="stable")
+        return values[order], np.repeat(np.arange(len(bodies)), sizes)[order], sizes
+
+    def linked_to(self, index, body: np.ndarray) -> np.ndarray:
+        """Which sets of the tile ``body`` links to."""
+        values, owner, sizes = index
+        low, high = np.searchsorted(values, body, "left"), np.searchsorted(values, body, "right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(sizes))
+        return 100 * both >= self.threshold_pct * (len(body) + sizes - both)
+
 
 def _tile_links(test, registers: int):
     """Rows of one tile lie together (sorted); links that connect something new come out."""
@@ -128,9 +145,16 @@ def _tile_links(test, registers: int):
         bodies = [r[5] for r in rows]
         if registers:
             regs = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(-1, registers)
+        index = test.index(bodies) if not registers and hasattr(test, "index") else None
         for i, (is_left, *_) in enumerate(rows):
             if not is_left:
                 continue
+            if index is not None:
+                for j in np.flatnonzero(test.linked_to(index, bodies[i])).tolist():
+                    if find(names[i]) != find(names[j]):
+                        root[find(names[i])] = find(names[j])
+                        yield names[i], names[j]
+                continue
             maybe = np.flatnonzero(test.near_sizes(sizes, sizes[i]))
             if registers:
                 less, more = (regs[i] < regs[maybe]).sum(1), (regs[i] > regs[maybe]).sum(1)
@@ -193,13 +217,16 @@ def link_buckets(members: DataFrame, by: list[str], items: DataFrame, test, regi
     verified = test.verified(pairs.where("maybe").join(own, "cls").join(of_hub, "hub"))
     star = written(verified.unionByName(pairs.where("NOT maybe").select("cls", "hub", F.lit(False).alias("linked"))), "link-star")
 
-    # Leftovers of a hub's cluster against the cluster, in tiles of about TILE rows a side.
-    clusters = star.groupBy("hub").agg(
-        F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"),
-        F.ceil(F.count_if(~F.col("linked")) / TILE).cast("int").alias("left_blocks"),
+    # Leftovers of a hub's cluster against the cluster, in tiles of about TILE rows a side, or fewer where they weigh more.  The
+    # sums are written first: beside a scan Spark can split the members of one hub over several tasks.
+    weighed = star.join(items.select("cls", "n"), "cls")
+    left_over = F.when(~F.col("linked"), F.col("n"))
+    blocks = lambda rows, weight: F.greatest(F.ceil(rows / TILE), F.ceil(F.coalesce(weight, F.lit(0)) / TILE_VALUES)).cast("int")
+    clusters = weighed.groupBy("hub").agg(
+        blocks(F.count(F.lit(1)), F.sum("n")).alias("blocks"), blocks(F.count(left_over), F.sum(left_over)).alias("left_blocks"),
         F.count(F.lit(1)).alias("size"),
     ).where("left_blocks > 0 AND size > 1")
-    cluster = star.join(clusters, "hub")
+    cluster = star.join(written(clusters, "link-clusters"), "hub")
     block = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = cluster.where("NOT linked").select(

@@ -365,3 +365,12 @@ def test_tuned_bands():
     assert paragraph_dedup.tune_bands(0.8, 0.99, 4) == (3, 1)
     bands, rows = paragraph_dedup.tune_bands(0.8, 0.9999, 20)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands <= 20
+
+
+def test_a_tile_at_once_equals_pair_by_pair():
+    rng = np.random.default_rng(4)
+    test = linking.Jaccard(80)
+    bodies = [np.unique(rng.integers(0, 40, rng.integers(1, 30))) for _ in range(60)] + [np.arange(20), np.arange(20), np.arange(1, 21)]
+    index = test.index(bodies)
+    for a in bodies:
+        assert test.linked_to(index, a).tolist() == [test.linked(a, b) for b in bodies]
