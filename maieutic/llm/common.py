@@ -26,6 +26,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores in front as long as an input column is called so (Spark does not tell cases apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 #: Keys (64-bit numbers) that are broadcast at most; 8 MB of them.
 BROADCAST_KEYS = 1_000_000
 

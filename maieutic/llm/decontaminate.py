@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maieutic.llm.common import BROADCAST_KEYS, written
+from maieutic.llm.common import BROADCAST_KEYS, free_name, written
 from maieutic.llm.cutting import keyed_texts, row_key
 from maieutic.llm.url_rules import ascii_lower
 
@@ -156,5 +156,6 @@ def drop_contaminated(
     """The rows of ``docs``, all columns, that hold no window of any item (edge cases as in ``decontaminate``)."""
     _, found = _hits(docs, benchmark, window, id_col, text_col, "item_id", "text", unnamed)
     key = row_key(F.col(id_col), F.col(text_col))
-    found = found.select(F.col("row").alias("__row"))
-    return docs.join(found, key == F.col("__row"), "left_anti")
+    row = free_name(docs.columns, "row_hit")
+    found = found.select(F.col("row").alias(row))
+    return docs.join(found, key == F.col(row), "left_anti")

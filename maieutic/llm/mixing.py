@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maieutic.llm.common import written
+from maieutic.llm.common import free_name, written
 from maieutic.llm.cutting import row_key
 
 RANGES = 1024
@@ -164,8 +164,9 @@ def mixed_documents(
     """
     plan = mix(docs, max_epochs=max_epochs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col)
     half = (F.col("part") > 0) & (F.col("part") * 2 >= F.col("size"))
-    times = plan.groupBy("row_key").agg(F.sum(F.col("passes") + F.when(half, 1).otherwise(0)).alias("__times"))
-    times = times.where("__times > 0").withColumnRenamed("row_key", "__row")
-    keyed = docs.withColumn("__key", row_key(F.col(id_col), F.col(text_col))).dropDuplicates(["__key"])
-    taken = keyed.join(times, F.col("__key") == F.col("__row"))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*[taken[c] for c in docs.columns])
+    key, row, times, copy = (free_name(docs.columns, n) for n in ("key", "row_key", "times", "copy"))
+    often = plan.groupBy(F.col("row_key").alias(row)).agg(F.sum(F.col("passes") + F.when(half, 1).otherwise(0)).cast("int").alias(times))
+    keyed = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col))).dropDuplicates([key])
+    taken = keyed.join(often.where(F.col(times) > 0), F.col(key) == F.col(row))
+    repeated = taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -22,6 +22,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from maieutic.llm.common import text_slices
 
@@ -145,6 +146,7 @@ def judge_quality(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep_columns: bool = False,
+    verdict_col: str = "kept",
 ) -> DataFrame:
     """One row per input row: ``(<id_col>, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     longest_repeat, base_failed, kept)``.
@@ -154,28 +156,31 @@ def judge_quality(
     repeats cover at most ``max_covered_pct`` percent of the words, and the longest one
     spans at most ``max_longest_pct`` percent.  A null or empty text has no words
     and fails.  Null and repeated ids keep their rows.  With ``keep_columns`` the rows are the
-    input's own columns plus ``kept`` (which replaces an input column of that name).
+    input's own columns plus the verdict under ``verdict_col`` (which replaces an input column of that name).
     """
-    columns = [c for c in docs.columns if c != "kept"] if keep_columns else [id_col]
+    columns = [c for c in docs.columns if c != verdict_col] if keep_columns else [id_col]
     counted = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat"]
 
+    plain = [f"c{i}" for i in range(len(columns))]  # Arrow functions take no names with dots
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_slices(batch, "__text", SLICE_BYTES):
+            for part, texts in text_slices(batch, "text", SLICE_BYTES):
                 m = measure(texts, min_repeat)
                 n, repeats = m["n_words"], m["n_repeat_words"] * 100
                 failed = (n < min_words) | (repeats > max_repeat_pct * n)
                 kept = ~failed & (repeats <= max_covered_pct * n) & (m["longest_repeat"] * 100 <= max_longest_pct * n)
                 own = [part.column(i) for i in range(len(columns))]
                 if keep_columns:
-                    yield pa.record_batch([*own, pa.array(kept)], names=[*columns, "kept"])
+                    yield pa.record_batch([*own, pa.array(kept)], names=[*plain, "kept"])
                 else:
                     found = [pa.array(m[c], pa.int64()) for c in counted]
-                    yield pa.record_batch([*own, *found, pa.array(failed), pa.array(kept)],
-                                          names=[*columns, *counted, "base_failed", "kept"])
+                    yield pa.record_batch([*own, *found, pa.array(failed), pa.array(kept)], names=[*plain, *counted, "base_failed", "kept"])
 
-    rows = docs.select(*[docs[c] for c in columns], docs[text_col].alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema]
+    own = docs.select(*[F.col(f"`{c}`") for c in columns])
+    rows = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(columns, plain)], F.col(f"`{text_col}`").alias("text"))
+    fields = [f"{p} {f.dataType.simpleString()}" for p, f in zip(plain, own.schema)]
     if not keep_columns:
         fields += [f"{c} bigint" for c in counted] + ["base_failed boolean"]
-    return rows.mapInArrow(run, ", ".join([*fields, "kept boolean"]))
+    found = rows.mapInArrow(run, ", ".join([*fields, "kept boolean"]))
+    return found.toDF(*columns, *([] if keep_columns else [*counted, "base_failed"]), verdict_col)

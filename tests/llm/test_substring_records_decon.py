@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from maieutic.llm import binary_records, decontaminate, substring_dedup
@@ -219,3 +220,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert Counter(r.doc_id for r in full.collect()) == times
     ends = sorted((r.start, r.n_tokens) for r in full.collect())
     assert all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:]))
+
+
+def test_pipeline_stages_keep_any_column(spark, tmp_path):
+    """Columns called like those that the stages use inside come out as they went in."""
+    import corpus_pipeline
+
+    names = ["kept", "verdict", "_verdict", "key", "stays", "row", "row_hit", "row_key", "times", "copy", "__key", "__row", "__times", "__copy",
+             "__stays", "__text", "size", "id", "k", "a.b", "Source_Size"]
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(40)), "en", "s", 1) for i in range(20)] + [(None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "nothing that occurs anywhere")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, out, str(tmp_path))
+        assert out.columns == docs.columns and out.schema == docs.schema
+        found = out.collect()
+        assert {r["doc_id"] for r in found} == set(range(20))
+        assert all(r[n] == f"{n}:{r['doc_id']}" for r in found for n in names)
