@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maieutic.llm.binary_records import write_index, write_records
-from maieutic.llm.common import fresh_path, written
+from maieutic.llm.common import free_name, fresh_path, written
 from maieutic.llm.cutting import row_key
 from maieutic.llm.decontaminate import drop_contaminated
 from maieutic.llm.mixing import mixed_documents
@@ -22,20 +22,27 @@ from maieutic.llm.quality_rules import judge_quality
 from maieutic.llm.queries import VOCABULARY, table, tokenizer_path
 
 
+def own_columns(docs: DataFrame) -> list:
+    """The input's columns, whatever their names."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = judge_quality(docs, keep_columns=True)
-    return judged.where("kept").select(*docs.columns)
+    verdict = free_name(docs.columns, "verdict")
+    judged = judge_quality(docs, keep_columns=True, verdict_col=verdict)
+    return judged.where(F.col(verdict)).select(*own_columns(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
     found = near_duplicates(docs, shingle=5, threshold_pct=80)
-    stays = found.where("stays").select(F.col("row_key").alias("__stays"))
-    keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
+    key, stays = free_name(docs.columns, "key"), free_name(docs.columns, "stays")
+    staying = found.where("stays").select(F.col("row_key").alias(stays))
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
     # Rows that repeat id and text share a key; one of them is enough.
-    left = keyed.join(stays, F.col("__key") == F.col("__stays"), "left_semi").dropDuplicates(["__key"])
-    return left.select(*docs.columns)
+    left = keyed.join(staying, F.col(key) == F.col(stays), "left_semi").dropDuplicates([key])
+    return left.select(*own_columns(docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
