@@ -132,6 +132,21 @@ def span_qa_report(decoded: DataFrame, group_cols=(), round_digits: int = 9) ->
     ).where(F.col("n_examples") > 0)
 
 
+def answer_labels(kept: Column, start: Column, stop: Column, offset: Column) -> tuple[Column, Column]:
+    """Start and end token labels of an answer among the kept context tokens, in-row.
+
+    ``kept``: array of structs with ``start`` and ``end`` in characters, in text order; ``start`` and ``stop``: the answer's
+    characters; ``offset``: position of the first context token.  The start is the last token that starts at or before the answer, the end
+    the first one that ends at or behind it.  Both ends ascend with the position, so these are counts.  If either is
+    missing the answer was cut off and both labels are 0, the CLS position; without an answer both are NULL.
+    """
+    first = F.size(F.filter(kept, lambda o: o["start"] <= start)) - 1
+    last = F.size(kept) - F.size(F.filter(kept, lambda o: o["end"] >= stop))
+    inside = (first >= 0) & (last < F.size(kept))
+    label = lambda p: F.when(start.isNotNull(), F.when(inside, p + offset).otherwise(F.lit(0))).cast("int")
+    return label(first), label(last)
+
+
 def answer_positions(
     tokens: DataFrame,
     examples: DataFrame,
@@ -139,25 +154,15 @@ def answer_positions(
     kept_col: str = "context_len",
     offset_col: str = "context_start",
 ) -> DataFrame:
-    """Start/end token labels of the first answer.
+    """``answer_labels`` for tokens that come as rows.
 
     ``tokens``: ``(id, pos, start, end)`` character offsets of the context
     tokens; ``examples``: ``(id, answer_start, answer_text, context_start,
-    context_len)``.  Only context tokens kept after truncation are searched:
-    the start is the last token starting at or before the answer start, the
-    end the first token ending at or after the answer end.  If either is
-    missing the answer was truncated away and both labels are the CLS index
-    0.  Examples without an answer keep NULL labels.
+    context_len)``.  Only context tokens kept after truncation are searched.  The tokens of an example are gathered
+    (``token_offsets`` leaves them together) and joined once, as an array.
     """
-    ex = examples.withColumn("_ae", F.col("answer_start") + F.length("answer_text"))
-    j = tokens.join(ex.select(id_col, "answer_start", "_ae", kept_col), id_col).where(F.col("pos") < F.col(kept_col))
-    found = j.groupBy(id_col).agg(
-        F.max(F.when(F.col("start") <= F.col("answer_start"), F.col("pos"))).alias("_s"),
-        F.min(F.when(F.col("end") >= F.col("_ae"), F.col("pos"))).alias("_e"),
-    )
-    out = ex.join(found, id_col, "left")
-    ok = F.col("_s").isNotNull() & F.col("_e").isNotNull()
-    has = F.col("answer_start").isNotNull()
-    start = F.when(has, F.when(ok, F.col("_s") + F.col(offset_col)).otherwise(F.lit(0)))
-    end = F.when(has, F.when(ok, F.col("_e") + F.col(offset_col)).otherwise(F.lit(0)))
-    return out.select(id_col, start.cast("int").alias("start_positions"), end.cast("int").alias("end_positions"))
+    spans = tokens.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end"))).alias("_o"))
+    x = examples.join(spans, id_col, "left").withColumn("_kept", F.slice(F.coalesce("_o", F.array()), F.lit(1), F.col(kept_col)))
+    stop = F.col("answer_start") + F.length("answer_text")
+    start, end = answer_labels(F.col("_kept"), F.col("answer_start"), stop, F.col(offset_col))
+    return x.select(id_col, start.alias("start_positions"), end.alias("end_positions"))

@@ -74,16 +74,9 @@ def squad(df: DataFrame, vocab: DataFrame, max_length: int = 384, id_col: str =
     both = tk.encode_with_offsets(df, id_col, "question", "context", vocab, tokenizer)
     x = both.select(id_col, F.col("lead").alias("_qi"), F.col("context").alias("_o")).join(source, id_col)
     x = x.withColumn("_e", tk.encode_pair(F.col("_qi"), F.transform("_o", lambda o: o["id"]), max_length))
-    # Positions ascend in both ends, so the last start at or before the answer's and the first end at or behind
-    # its end are counts.
     x = x.withColumn("_kept", F.slice("_o", F.lit(1), F.coalesce("_e.context_len", F.lit(0))))
-    start, stop = F.col("_a.start"), F.col("_a.start") + F.length("_a.text")
-    first = F.size(F.filter("_kept", lambda o: o["start"] <= start)) - 1
-    last = F.size("_kept") - F.size(F.filter("_kept", lambda o: o["end"] >= stop))
-    inside = (first >= 0) & (last < F.size("_kept"))
-    label = lambda p: F.when(
-        F.col("_a").isNotNull() & F.col("_e").isNotNull(), F.when(inside, p + F.col("_e.context_start")).otherwise(F.lit(0))
-    ).cast("int")
+    start = F.when(F.col("_e").isNotNull(), F.col("_a.start"))
+    first, last = sq.answer_labels(F.col("_kept"), start, F.col("_a.start") + F.length("_a.text"), F.col("_e.context_start"))
     blank = F.lit(None).cast("struct<start:int,end:int>")
     mapping = F.concat(
         F.array_repeat(blank, F.col("_e.context_start")),
@@ -93,7 +86,7 @@ def squad(df: DataFrame, vocab: DataFrame, max_length: int = 384, id_col: str =
     return x.select(
         id_col, "_e.input_ids", "_e.attention_mask", "context", "_e.context_start", "_e.context_len",
         F.when(F.col("_e").isNotNull(), mapping).alias("offset_mapping"),
-        label(first).alias("start_positions"), label(last).alias("end_positions"),
+        first.alias("start_positions"), last.alias("end_positions"),
         F.when(tk.no_room(F.col("_qi"), max_length), F.lit(NO_ROOM)).alias("reject_reason"),
     )
 
