@@ -117,6 +117,25 @@ def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Bytes as pairs of hex digits: windows of 400 bytes that start at more than one place, their union, and what lies between.
+OP6_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d WHERE length(h) >= 800)),
+s AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+g AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS n
+  FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM s)),
+spans AS (SELECT r, n, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY r, n),
+gaps AS (SELECT r, b AS a, lead(a) OVER (PARTITION BY r ORDER BY a) AS b FROM spans
+  UNION ALL SELECT r, 0, min(a) FROM spans GROUP BY r),
+kept AS (SELECT d.r, string_agg(substr(h, 2 * gaps.a + 1, 2 * (coalesce(gaps.b, length(h) // 2) - gaps.a)), '' ORDER BY gaps.a) AS kept
+  FROM gaps JOIN d ON d.r = gaps.r GROUP BY d.r),
+cut AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut ON cut.r = d.r LEFT JOIN kept ON kept.r = d.r
+"""
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), max_epochs=3, seed=17)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "passes", "part")
@@ -230,7 +249,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_quality_classifier": op13_quality_classifier,
 }
-ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL, "op4_quality_rules": OP4_SQL, "op7_source_mix": OP7_SQL, "op8_near_duplicates": OP8_SQL, "op9_decontamination": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filters": OP1_SQL, "op4_quality_rules": OP4_SQL, "op6_repeated_substrings": OP6_SQL, "op7_source_mix": OP7_SQL, "op8_near_duplicates": OP8_SQL, "op9_decontamination": OP9_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
