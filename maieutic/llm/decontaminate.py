@@ -51,7 +51,8 @@ def _hits(
 ) -> tuple[DataFrame, DataFrame]:
     """(rows: id, row, words; found: row, n_hit, items of the rows with a hit)."""
     # A row is found again by id and text, so equal ids with other texts stay apart.
-    split = keyed_texts(docs, id_col, text_col).select("id", F.col("k").alias("row"), words_of(F.col("text")).alias("words"))
+    keyed = keyed_texts(docs, id_col, text_col).select("id", F.col("k").alias("row"), "text")
+    split = keyed.select("id", "row", words_of(F.col("text")).alias("words"))
     windows = item_windows(benchmark, window, item_col, item_text_col, unnamed)
 
     # Number of each benchmark word in the documents; words that no document has are rarest.  Words are counted by hash:
@@ -88,8 +89,9 @@ def _hits(
     ).where("start >= 0 AND start + length <= n")
     per_row = candidates.groupBy("row").agg(F.collect_set(F.struct("start", "length", "word", "at")).alias("places"))
 
-    # Exact comparison: the words at each place, as a key into the windows.
-    texts = split.join(per_row, "row").dropDuplicates(["row"])
+    # Exact comparison: the words at each place, as a key into the windows.  Texts are shuffled as they are and split behind the join:
+    # an array of words takes twice their bytes.
+    texts = keyed.select("row", "text").join(per_row, "row").dropDuplicates(["row"]).select("row", "places", words_of(F.col("text")).alias("words"))
     at_place = texts.select(
         "row", F.explode(F.transform("places", lambda p: F.struct(
             p["start"].alias("start"), p["at"].alias("at"), F.slice("words", p["start"] + 1, p["length"]).alias("found")
