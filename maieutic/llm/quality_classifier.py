@@ -227,11 +227,13 @@ def score_quality(
     _, mean, spread = _moments(fitting)
     features = Features(mean, spread, n_features, width, seed)
     weights = fit_ridge(fitting, features, n_features, penalty)
-    held = spark.sparkContext.broadcast((features, weights))
+    # Weights as whole numbers too, as large as keeps 64-bit sums exact: a score does not depend on its neighbours in a batch.
+    bits = 61 - _Z.bit_length() - len(weights).bit_length() - int(np.ceil(np.log2(np.abs(weights).max() + 1)))
+    held = spark.sparkContext.broadcast((features, np.rint(weights * 2.0**bits).astype(np.int64)))
 
     def ridge(s: np.ndarray) -> np.ndarray:
         features, weights = held.value
-        return features(s) @ weights / _Z
+        return (features(s).astype(np.int64) @ weights) / (_Z * 2.0**bits)
 
     def place(raw: np.ndarray) -> np.ndarray:
         """Bin of a raw score; the outer bins take what lies beyond -0.5 and 1.5."""

@@ -38,18 +38,17 @@ def _rows_of(batch: pa.RecordBatch, column: int, dim: int) -> np.ndarray:
     return np.asarray(batch.column(column).flatten()).reshape(-1, dim)
 
 
-def integer_vectors(rows: DataFrame, vector_col: str, keep: list[str], scale: int, dim: int | None) -> DataFrame:
-    """``(<keep>..., x)`` of the rows whose vector holds ``dim`` finite numbers; ``x`` = floor(scale * c) as longs.
+def integer_vectors(rows: DataFrame, vector_col: str, scale: int, dim: int, id_col: str | None = None) -> DataFrame:
+    """``([id,] x)`` of the rows whose vector holds ``dim`` finite numbers; ``x`` = floor(scale * c) as longs.
 
     The components do not depend on a common offset of the entries, so none is added here.
     """
-    c = F.col(vector_col)
+    own = [F.col(f"`{id_col}`").alias("id")] if id_col else []
+    rows = rows.select(*own, F.col(f"`{vector_col}`").alias("c"))
     real = lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf"))
-    whole = c.isNotNull() & (F.size(c) > 0) & F.forall(c, lambda v: F.coalesce(real(v), F.lit(False)))
-    if dim is not None:
-        whole = whole & (F.size(c) == dim)
-    x = F.transform(c, lambda v: F.floor(v.cast("double") * scale).cast("long"))
-    return rows.where(whole).select(*keep, x.alias("x"))
+    whole = F.col("c").isNotNull() & (F.size("c") == dim) & F.forall("c", lambda v: F.coalesce(real(v), F.lit(False)))
+    x = F.transform("c", lambda v: F.floor(v.cast("double") * scale).cast("long"))
+    return rows.where(whole).select(*(["id"] if id_col else []), x.alias("x"))
 
 
 def _products(x: np.ndarray, whole: list[int]) -> list[int]:
@@ -325,7 +324,8 @@ def null_vectors(matrix: list[list[int]], roots: list[tuple[int, int]], bits: in
 
 # --- the operator ----------------------------------------------------------------------------
 def _usual_dimension(rows: DataFrame, vector_col: str) -> int | None:
-    sizes = rows.where(F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).groupBy(F.size(vector_col).alias("d")).count()
+    size = F.size(F.col(f"`{vector_col}`"))
+    sizes = rows.where(size > 0).groupBy(size.alias("d")).count()
     best = sizes.orderBy(F.col("count").desc(), F.col("d").desc()).first()
     return best["d"] if best else None
 
@@ -354,11 +354,11 @@ def whiten(
     variance has none, and a table of no row, of one, or of equal rows gives no rows.
     """
     spark = rows.sparkSession
-    dim = dim or _usual_dimension(rows.select(vector_col), vector_col)
+    dim = dim or _usual_dimension(rows, vector_col)
     empty = f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, component int, n bigint, deviation decimal(38,0), whitened double, explained double, identity_error double"
     if dim is None:
         return spark.createDataFrame([], empty)
-    n, sums, products = scatter_sums(integer_vectors(rows, vector_col, [], scale, dim), dim)
+    n, sums, products = scatter_sums(integer_vectors(rows, vector_col, scale, dim), dim)
     # n**2 times the covariance, centred: sum of (n x - S)(n x - S)' / n.
     matrix = [[n * products[i][j] - sums[i] * sums[j] for j in range(dim)] for i in range(dim)]
     trace = sum(matrix[i][i] for i in range(dim))
@@ -392,7 +392,7 @@ def whiten(
              pa.array([*total.ravel().tolist(), *first.tolist()])], names=["i", "j", "v"],
         )
 
-    vectors_only = integer_vectors(rows, vector_col, [], scale, dim)
+    vectors_only = integer_vectors(rows, vector_col, scale, dim)
     found = vectors_only.mapInArrow(covariance, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
     first = {r["i"]: r["v"] / n for r in found if r["j"] < 0}  # means, zero up to rounding: the values are centred already
     error = max(abs(r["v"] / n - first[r["i"]] * first[r["j"]] - (r["i"] == r["j"])) for r in found if r["j"] >= 0)
@@ -417,6 +417,6 @@ def whiten(
                 names=["id", "n", "deviation", "component", "whitened", "explained"],
             )
 
-    kept = integer_vectors(rows.withColumnRenamed(id_col, "id"), vector_col, ["id"], scale, dim)
+    kept = integer_vectors(rows, vector_col, scale, dim, id_col)
     out = kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, {_OUT}")
     return out.select(F.col("id").alias(id_col), "component", "n", "deviation", "whitened", "explained", F.lit(float(error)).alias("identity_error"))
