@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 DEFAULT_SEED = 42
 BUCKET_HEX = 4
+#: Samples of at most so many rows (of a group) are kept by every task while it scans, so one scan does.
+BOTTOM_K = 100_000
 
 
 def hash_order_key(key_cols: Sequence[str], seed: int = DEFAULT_SEED) -> Column:
@@ -68,7 +70,9 @@ def hash_rank(
     """Add the 1-based position of each row in hash order (per ``partition_cols`` group)."""
     hist = _histogram(df, key_cols, seed, partition_cols, bucket_hex)
     x = df.withColumn("_o", order_key(df, key_cols, seed)).withColumn("_b", _bucket(F.col("_o.h"), bucket_hex))
-    x = x.join(hist.select(*partition_cols, "_b", "_before"), [*partition_cols, "_b"])
+    hist = hist.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(partition_cols)], F.col("_b").alias("_at"), "_before")
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(partition_cols)]  # a null group is a group
+    x = x.join(hist, _all([F.col("_b") == F.col("_at"), *same]))
     place = F.row_number().over(Window.partitionBy(*partition_cols, "_b").orderBy("_o"))
     return x.withColumn(rank_col, F.col("_before") + place).select(*df.columns, rank_col)
 
@@ -95,7 +99,9 @@ def first_k_threshold(
     at = hist.where((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_n")))
     keys = df.select(*partition_cols, order_key(df, key_cols, seed).alias("limit"))
     keys = keys.withColumn("_b", _bucket(F.col("limit.h"), bucket_hex))
-    inside = keys.join(at.select(*partition_cols, "_b", "_before", "_k"), [*partition_cols, "_b"])
+    at = at.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(partition_cols)], F.col("_b").alias("_at"), "_before", "_k")
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(partition_cols)]  # a null group is a group
+    inside = keys.join(at, _all([F.col("_b") == F.col("_at"), *same]))
     place = F.row_number().over(Window.partitionBy(*partition_cols).orderBy("limit"))
     return inside.withColumn("_p", F.col("_before") + place).where("_p = _k").select(*partition_cols, "limit")
 
@@ -108,7 +114,17 @@ def sample_n(
     partition_cols: Sequence[str] = (),
     bucket_hex: int = BUCKET_HEX,
 ) -> DataFrame:
-    """Exactly ``min(n, count)`` rows per group, chosen by hash order (K2 shuffled, K4)."""
+    """Exactly ``min(n, count)`` rows per group, chosen by hash order (K2 shuffled, K4).
+
+    Up to ``BOTTOM_K`` rows every task keeps its first ``n`` of each group and only these are merged: one scan, nothing else is
+    moved.  A larger sample is a comparison with the ``n``-th order key (rows equal in every column are then taken or left together).
+    """
+    if n <= BOTTOM_K:
+        ordered = df.withColumn("_own", order_key(df, key_cols, seed))
+        if not partition_cols:
+            return ordered.orderBy("_own").limit(max(n, 0)).select(*[F.col(f"`{c}`") for c in df.columns])
+        place = F.row_number().over(Window.partitionBy(*partition_cols).orderBy("_own"))
+        return ordered.withColumn("_place", place).where(F.col("_place") <= n).select(*[F.col(f"`{c}`") for c in df.columns])
     limit = first_k_threshold(df, F.lit(n), key_cols, seed, partition_cols, bucket_hex)
     own = order_key(df, key_cols, seed)
     if not partition_cols:

@@ -238,3 +238,28 @@ def test_pairwise_f1_cuts_each_text_once(spark):
     got = {r["id"]: (r["precision"], r["recall"], r["f1"], r["raw_f1"]) for r in scored.collect()}
     assert got == {1: (0.6667, 0.5, 0.5714, 4 / 7), 2: (1.0, 1.0, 1.0, 1.0), 3: (0.0, 0.0, 0.0, 0.0), 4: (0.5, 0.3333, 0.4, 0.4)}
     assert scored.columns == [*df.columns, "f1_metrics", "precision", "recall", "f1", "raw_precision", "raw_recall", "raw_f1"]
+
+
+# --- K4 ------------------------------------------------------------------------------------
+def test_small_samples_take_one_scan_and_equal_large_ones(spark, tmp_path, monkeypatch):
+    spark.range(2000).selectExpr("id", "id % 3 AS g", "CAST(NULL AS STRING) AS n").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    rows = lambda x: sorted((r["id"], r["g"]) for r in x.collect())
+    calls = [(n, groups) for n in (0, 1, 37, 5000) for groups in ([], ["g"], ["n"])]
+    small = {}
+    for n, groups in calls:
+        sample = sampling.sample_n(df, n, ["id"], partition_cols=groups)
+        if n == 37:
+            plan = sample._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("FileScan") == 1 and ("TakeOrderedAndProject" in plan or "WindowGroupLimit" in plan)
+        small[n, tuple(groups)] = rows(sample)
+    monkeypatch.setattr(sampling, "BOTTOM_K", -1)
+    for n, groups in calls:
+        assert small[n, tuple(groups)] == rows(sampling.sample_n(df, n, ["id"], partition_cols=groups))
+        assert len(small[n, tuple(groups)]) == (min(n, 2000) if groups != ["g"] else sum(min(n, k) for k in (667, 667, 666)))
+
+
+def test_ranks_and_batches_of_a_null_group(spark):
+    df = spark.range(60).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 'a' END AS g")
+    ranked = sampling.hash_rank(df, ["id"], partition_cols=["g"]).collect()
+    assert sorted((r["g"] or "", r["rank"]) for r in ranked) == sorted((g, i) for g in ("", "a") for i in range(1, 31))
