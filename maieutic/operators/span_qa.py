@@ -54,36 +54,42 @@ def best_span(
     ``end >= start`` and at most ``max_answer_length`` tokens.  Returns
     ``struct(start, end, score, from_candidates)``; ``score`` is NULL on fallback.
     """
-    starts = top_positions(start_logits, n_best)
-    ends = top_positions(end_logits, n_best)
     n_off = F.size(offsets)
-    cands = F.flatten(
-        F.transform(
-            starts,
-            lambda s, si: F.transform(
-                ends,
-                lambda e, ei: F.struct(
-                    (-(F.get(start_logits, s) + F.get(end_logits, e))).alias("nscore"),
-                    si.alias("si"), ei.alias("ei"), s.alias("s"), e.alias("e"),
+
+    def valid_pairs(top):
+        pairs = F.flatten(
+            F.transform(
+                top["starts"],
+                lambda s, si: F.transform(
+                    top["ends"],
+                    lambda e, ei: F.struct(
+                        (-(F.get(start_logits, s) + F.get(end_logits, e))).alias("nscore"),
+                        si.alias("si"), ei.alias("ei"), s.alias("s"), e.alias("e"),
+                    ),
                 ),
-            ),
+            )
+        )
+        return F.filter(
+            pairs,
+            lambda c: (c["e"] >= c["s"]) & (c["e"] - c["s"] + 1 <= max_answer_length) & (c["s"] < n_off) & (c["e"] < n_off)
+            & F.get(offsets, c["s"]).isNotNull() & F.get(offsets, c["e"]).isNotNull(),
         )
-    )
-    valid = F.filter(
-        cands,
-        lambda c: (c["s"] < n_off) & (c["e"] < n_off)
-        & F.get(offsets, c["s"]).isNotNull() & F.get(offsets, c["e"]).isNotNull()
-        & (c["e"] >= c["s"]) & (c["e"] - c["s"] + 1 <= max_answer_length),
-    )
-    best = F.get(F.sort_array(valid), 0)
-    return F.when(
-        F.size(valid) > 0,
-        F.struct(best["s"].cast("int").alias("start"), best["e"].cast("int").alias("end"),
-                 (-best["nscore"]).alias("score"), F.lit(True).alias("from_candidates")),
+
+    top = F.struct(top_positions(start_logits, n_best).alias("starts"), top_positions(end_logits, n_best).alias("ends"))
+    best = _bound(top, lambda t: F.array_min(valid_pairs(t)))
+    return _bound(best, lambda b: F.when(
+        b.isNotNull(),
+        F.struct(b["s"].cast("int").alias("start"), b["e"].cast("int").alias("end"),
+                 (-b["nscore"]).alias("score"), F.lit(True).alias("from_candidates")),
     ).otherwise(
         F.struct(argmax(start_logits).alias("start"), argmax(end_logits).alias("end"),
                  F.lit(None).cast("double").alias("score"), F.lit(False).alias("from_candidates"))
-    )
+    ))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used (an expression inside of a lambda is computed at every call)."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def span_f1(ps: Column, pe: Column, ts: Column, te: Column) -> Column:

@@ -8,14 +8,15 @@ stands and how tokens become text again.  A user's own one (for example a subwor
 tokenizer) is wrapped by ``pandas_tokenizer`` or ``offset_tokenizer`` as an Arrow-batched UDF.
 
 Scale notes
-* Token streams are exploded after the raw rows were dealt out by their id, so
+* Token streams with offsets (``token_offsets``) are exploded after the raw rows were dealt out by their id, so
   the exchange carries each text once and the regrouping needs no further one.
 * The vocabulary is a map-side combined count of all tokens.  Ids follow (count
   descending, md5, token): places come from sums per count and hash bucket, so no task
   orders the whole vocabulary.
 * Lookups split by frequency: a vocabulary's ids begin with its most frequent tokens, so the entries of the first
-  ``HOT_ENTRIES`` ids are broadcast (a bounded table) and only the rare rest of the tokens is joined by shuffle,
-  where no key is hot any more.
+  ``HOT_ENTRIES`` ids are met array by array in Arrow batches, without a row per token.  Only the others are exploded: the next
+  ``WARM_ENTRIES`` entries are broadcast (bounded tables, both), the rare rest is joined by shuffle, where no key is hot any more.
+* User tokenizers get a batch in slices of ``SLICE_CHARS`` characters, so a worker holds the tokens of one slice, not of a batch.
 * Everything after ids (labels, padding, masks, spans, checks) is in-row
   array work with higher-order functions: no shuffle.
 * Row ids must be unique where tokens are regrouped by them; a repeated id stops the query with an error
@@ -27,11 +28,13 @@ from __future__ import annotations
 import heapq
 import re
 import unicodedata
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,8 +55,11 @@ PAD, UNK, CLS, SEP, EOS = "[PAD]", "[UNK]", "[CLS]", "[SEP]", "[EOS]"
 ROLE_TAGS = {"system": "<|system|>", "user": "<|user|>", "assistant": "<|assistant|>"}
 SPECIAL_TOKENS = [PAD, UNK, CLS, SEP, EOS, *ROLE_TAGS.values()]
 PAD_ID, UNK_ID, CLS_ID, SEP_ID, EOS_ID = range(5)
-#: Vocabulary entries that are broadcast in a lookup; all others are joined by shuffle.
+#: Vocabulary entries that tasks hold in a lookup, and entries behind them that a broadcast join meets; all others are joined by shuffle.
 HOT_ENTRIES = 10_000
+WARM_ENTRIES = 100_000
+#: Characters that a user's tokenizer gets at once (one longer text is a slice of its own).
+SLICE_CHARS = 1 << 20
 ROLE_TAG_IDS = {role: SPECIAL_TOKENS.index(tag) for role, tag in ROLE_TAGS.items()}
 
 
@@ -120,19 +126,45 @@ class Tokenizer:
         return F.transform(self.spans(text), lambda s: s["token"])
 
 
+def _slices(sizes: Sequence[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``SLICE_CHARS`` characters together."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > SLICE_CHARS:
+            yield start, i
+            start, held = i, 0
+        held += n
+    yield start, len(sizes)
+
+
 def pandas_tokenizer(fn) -> Callable[[Column], Column]:
     """A user tokenizer (``pandas.Series`` of texts -> ``Series`` of token lists) for the ``tokenizer`` arguments."""
-    return F.pandas_udf(fn, "array<string>")
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            for i, j in _slices([len(t) if t else 0 for t in texts]):
+                yield fn(texts.iloc[i:j].reset_index(drop=True))
+
+    return F.pandas_udf(run, "array<string>")
 
 
 def offset_tokenizer(fn, join: Callable[[Column], Column] = space_joined) -> Tokenizer:
     """A ``Tokenizer`` from a user's function of one text -> list of ``(token, start, end)``, run on Arrow batches."""
 
-    def spans(texts: pd.Series) -> pd.Series:
-        names = ("token", "start", "end")
-        return pd.Series([[dict(zip(names, t)) for t in fn(x)] if x else [] for x in texts])
+    def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            texts = batch.to_pylist()
+            for i, j in _slices([len(t) if t else 0 for t in texts]):
+                yield _span_lists([fn(t) if t else [] for t in texts[i:j]])
+
+    return Tokenizer(F.arrow_udf(spans, _SPANS), join)
 
-    return Tokenizer(F.pandas_udf(spans, _SPANS), join)
+
+def _span_lists(found: list[list[tuple[str, int, int]]]) -> pa.Array:
+    """Lists of ``(token, start, end)`` as one Arrow array of lists of structs."""
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+    columns = [pa.array([t[k] for x in found for t in x], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int32()))]
+    return pa.ListArray.from_arrays(edges, pa.StructArray.from_arrays(columns, ["token", "start", "end"]))
 
 
 def aligned(text: str, normalise: Callable[[str], str]) -> tuple[str, list[int]]:
@@ -153,8 +185,21 @@ def _without_accents(c: str) -> str:
 _UNCASED = re.compile(r"[^\W_]+|[^\w\s]|_")
 
 
+class _Plain(dict):
+    """Normal forms by code point, found when they are first asked for (as many as there are characters at most)."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = _without_accents(chr(code))
+        return self[code]
+
+
+_PLAIN = _Plain()
+
+
 def uncased_spans(text: str) -> list[tuple[str, int, int]]:
     """Tokens without case and accents, punctuation apart; ``start`` and ``end`` count characters of the text itself."""
+    if all(len(_PLAIN[ord(c)]) == 1 for c in set(text)):  # every character stays one: places are those of the text
+        return [(m[0], *m.span()) for m in _UNCASED.finditer(text.translate(_PLAIN))]
     plain, origin = aligned(text, _without_accents)
     origin.append(len(text))
     # What comes to nothing, such as a combining accent, belongs to the character before it.
@@ -247,12 +292,13 @@ def build_vocab(token_arrays: DataFrame, tokens_col: str = "tokens", size: int |
     """``(token, id, is_special)``: specials first, then all tokens, or the ``size`` most frequent ones.
 
     Tokens are ordered by count (descending), then md5, then token.  With ``size`` only candidates are
-    counted (``frequent_tokens``), which runs at once; the result is that of the full count.
+    counted (``frequent_tokens``); the result is that of the full count.  It is written at once and read back.
     """
     if size is not None:
         counts = frequent_tokens(token_arrays, size, tokens_col)
     else:
         counts = token_arrays.select(F.explode(tokens_col).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+        counts = scratch_table(counts, "token-counts")  # read twice below, made once
     counts = counts.select("token", "count", F.md5("token").alias("_h")).withColumn("_b", F.substring("_h", 1, 3))
     per_bucket = counts.groupBy("count", "_b").agg(F.count(F.lit(1)).alias("n"))
     per_count = per_bucket.groupBy("count").agg(F.sum("n").alias("n"))
@@ -268,50 +314,83 @@ def build_vocab(token_arrays: DataFrame, tokens_col: str = "tokens", size: int |
         ranked = ranked.where(F.col("id") < size + len(SPECIAL_TOKENS))
     spark = token_arrays.sparkSession
     specials = spark.createDataFrame([(t, i, True) for i, t in enumerate(SPECIAL_TOKENS)], "token string, id int, is_special boolean")
-    return specials.unionByName(ranked.select("token", "id", F.lit(False).alias("is_special")))
+    # Lookups read it several times.
+    return scratch_table(specials.unionByName(ranked.select("token", "id", F.lit(False).alias("is_special"))), "vocabulary")
 
 
-def _looked_up(exploded: DataFrame, keys: Sequence[str], carry: Sequence[str], by: str, table: DataFrame, hot: Column,
-               extra: Sequence[str] = ()) -> DataFrame:
-    """Look ``by`` up in ``table`` and gather each row's entries in order: ``(keys, carry, _v)``.
+def _known_and_rare(lists: pa.Array, flat: pa.Array, found: np.ndarray) -> pa.Array:
+    """Per row its ``slots`` (the number found, or -k for the k-th item without one) and its ``rare`` items, those without one.
 
-    ``exploded``: ``(keys, carry, _pos, by, extra)``, dealt by ``keys``; ``_v`` is an array of structs of the table's other columns (null
-    where it lacks the entry) and of ``extra``.  Entries of the table for which ``hot`` holds are broadcast and met where the row is;
-    what is left of a row is exploded again and joined by shuffle, and its first piece takes the finished
-    part along, so every text is cut once.
+    ``flat``: the items of all rows, ``found``: a number of each, negative where there is none.
+    """
+    edges = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+    rare = found < 0
+    seen = np.concatenate([[0], np.cumsum(rare)])
+    place = seen[1:] - np.repeat(seen[edges[:-1]], np.diff(edges))
+    slots = pa.array(np.where(rare, -place, found), pa.int32())
+    return pa.StructArray.from_arrays(
+        [pa.ListArray.from_arrays(edges.astype(np.int32), slots),
+         pa.ListArray.from_arrays(seen[edges].astype(np.int32), flat.filter(pa.array(rare)))], ["slots", "rare"])
+
+
+def _tiers(number: Column) -> tuple[Column, Column]:
+    """Which entries are hot (held by the tasks) and which warm (broadcast); ids begin with the frequent tokens."""
+    edge = len(SPECIAL_TOKENS) + HOT_ENTRIES
+    return (number >= 0) & (number < edge), (number >= edge) & (number < edge + WARM_ENTRIES)
+
+
+def _late_entries(rows: DataFrame, keys: Sequence[str], rare: str, by: str, table: DataFrame, carry: Sequence[str]) -> DataFrame:
+    """Meet each row's ``rare`` items with ``table`` (without its hot entries): ``(keys, carry, _late)``.
+
+    ``_late`` is an array of ``struct<_i, _v>``, one for each item; ``_v`` holds the table's other columns, null where it lacks the item.  The
+    first piece of a row takes what it carries along, so the rows are made once.  A key that two rows share is an error.
     """
     values = [c for c in table.columns if c != by]
-    known = exploded.join(F.broadcast(table.where(hot).withColumn("_known", F.lit(True))), by, "left")
-    there, met = F.col("_pos").isNotNull(), F.col("_known").isNotNull()
-    rows = known.groupBy(*keys).agg(
-        F.collect_list(F.when(there & met, F.struct("_pos", *values, *extra))).alias("_hot"),
-        F.collect_list(F.when(there & ~met, F.struct("_pos", by, *extra))).alias("_rare"),
-        F.max("_pos").alias("_last"), F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in carry],
-    )
-    whole = F.col("_n") == F.coalesce(F.col("_last") + 1, F.lit(1))
-    rows = rows.withColumn("_hot", F.when(whole, F.col("_hot")).otherwise(_repeated_id(*keys).cast(rows.schema["_hot"].dataType)))
-    pieces = rows.select(*keys, *carry, "_hot", F.posexplode_outer("_rare").alias("_i", "_r"))
+    _, warm = _tiers(F.col("_id"))
+    hot, _ = _tiers(F.col("_id"))
+    pieces = rows.select(*keys, F.struct(*carry).alias("_done"), F.posexplode_outer(rare).alias("_i", "_by"))
     first = F.coalesce(F.col("_i"), F.lit(0)) == 0
-    # A row without a rare entry meets nothing; a number of its own keeps such rows from sharing one key.
-    meeting = F.when(F.col("_r").isNotNull(), F.xxhash64(f"_r.{by}")).otherwise(F.xxhash64(*keys))
-    pieces = pieces.select(
-        *keys, F.when(first, F.struct("_hot", *carry)).alias("_done"), F.col("_r"), F.col(f"_r.{by}").alias("_by"), meeting.alias("_h")
-    )
-    rest = table.where(~hot).withColumn("_h", F.xxhash64(by)).withColumnRenamed(by, "_key")
-    met_late = pieces.join(rest, (pieces["_h"] == rest["_h"]) & (pieces["_by"] == rest["_key"]), "left")
-    late = F.struct(F.col("_r._pos").alias("_pos"), *values, *(F.col(f"_r.{c}").alias(c) for c in extra))
-    out = met_late.groupBy(*keys).agg(
-        F.first("_done", ignorenulls=True).alias("_done"),  # one piece of a row has it
-        F.collect_list(F.when(F.col("_r").isNotNull(), late)).alias("_late"),
+    pieces = pieces.select(*keys, F.when(first, F.col("_done")).alias("_done"), "_i", "_by")
+    near = table.where(warm).select(F.col(by).alias("_by"), F.struct(*values).alias("_near"))
+    pieces = pieces.join(F.broadcast(near), "_by", "left")
+    # What is met already, and a row without a rare item, meets nothing; a number of its own keeps such pieces from sharing one key.
+    open_ = F.col("_near").isNull() & F.col("_by").isNotNull()
+    pieces = pieces.withColumn("_h", F.when(open_, F.xxhash64("_by")).otherwise(F.xxhash64(*keys, "_i")))
+    far = table.where(~hot & ~warm).select(F.xxhash64(by).alias("_g"), F.col(by).alias("_key"), F.struct(*values).alias("_far"))
+    met = pieces.join(far, (F.col("_h") == F.col("_g")) & (F.col("_by") == F.col("_key")), "left")
+    entry = F.struct("_i", F.coalesce("_near", "_far").alias("_v"))
+    # One piece of a row has what is done; a list takes it as it is, where ``first`` would copy it for every piece.
+    out = met.groupBy(*keys).agg(
+        F.collect_list("_done").alias("_done"),
+        F.array_sort(F.collect_list(F.when(F.col("_i").isNotNull(), entry))).alias("_late"),
     )
-    entries = F.array_sort(F.concat("_done._hot", "_late"))
-    in_order = F.transform(entries, lambda x: F.struct(*(x[c].alias(c) for c in [*values, *extra])))
-    return out.select(*keys, *(F.col(f"_done.{c}").alias(c) for c in carry), in_order.alias("_v"))
-
-
-def _word_lookup(vocab: DataFrame) -> tuple[DataFrame, Column]:
-    """Ids of plain tokens, and which of them are frequent: a vocabulary's ids begin with its frequent tokens."""
-    return vocab.where(~F.col("is_special")).select("token", F.col("id").alias("_id")), F.col("_id") < len(SPECIAL_TOKENS) + HOT_ENTRIES
+    done = F.get("_done", 0)
+    once = F.when(F.size("_done") == 1, done).otherwise(_repeated_id(*keys).cast(out.select(done).schema[0].dataType))
+    out = out.select(*keys, once.alias("_done"), "_late")
+    return out.select(*keys, *(F.col(f"_done.{c}").alias(c) for c in carry), "_late")
+
+
+def _looked_up(rows: DataFrame, keys: Sequence[str], carry: Sequence[str], tokens: str, vocab: DataFrame) -> DataFrame:
+    """Ids of each row's array of ``tokens``: ``(keys, carry, _ids)``; UNK where the vocabulary lacks one."""
+    table = vocab.where(~F.col("is_special")).select("token", F.col("id").alias("_id"))
+    hot, _ = _tiers(F.col("_id"))
+    top = table.where(hot).toPandas()  # bounded by HOT_ENTRIES
+    held = rows.sparkSession.sparkContext.broadcast((top["token"].tolist(), top["_id"].tolist()))
+
+    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names, ids = held.value
+        names, ids = pa.array(names, pa.string()), np.array([*ids, -1], np.int64)
+        for lists in batches:
+            flat = lists.flatten().cast(pa.string())
+            at = pc.fill_null(pc.index_in(flat, value_set=names, skip_nulls=True), len(names)).to_numpy(zero_copy_only=False)
+            yield _known_and_rare(lists, flat, ids[at])
+
+    split = F.arrow_udf(known, "struct<slots:array<int>,rare:array<string>>")
+    rows = rows.select(*keys, *carry, split(tokens).alias("_k")).select(*keys, *carry, F.col("_k.slots").alias("_slots"), F.col("_k.rare").alias("_rare"))
+    met = _late_entries(rows, keys, "_rare", "token", table, [*carry, "_slots"])
+    late = lambda x: F.get(F.col("_late"), -x - 1)["_v"]["_id"]
+    ids = F.transform("_slots", lambda x: F.when(x >= 0, x).otherwise(F.coalesce(late(x), F.lit(UNK_ID))))
+    return met.select(*keys, *carry, ids.alias("_ids"))
 
 
 def encode(df: DataFrame, id_col, tokens_col, vocab: DataFrame, out_col="ids") -> DataFrame:
@@ -319,56 +398,58 @@ def encode(df: DataFrame, id_col, tokens_col, vocab: DataFrame, out_col="ids") -
 
     ``tokens_col`` and ``out_col`` may be lists of the same length: all parts of an
     example are then encoded in one pass.  Rows with no token get empty arrays.
+    The vocabulary's hot entries are fetched at once, so it should be a written table (as ``build_vocab`` gives it).
     """
     keys = [id_col] if isinstance(id_col, str) else list(id_col)
     parts = [tokens_col] if isinstance(tokens_col, str) else list(tokens_col)
     outs = [out_col] if isinstance(out_col, str) else list(out_col)
-    sizes = [F.size(p).alias(f"_s{i}") for i, p in enumerate(parts)]
-    rows = _dealt(df.select(*keys, *parts), keys).select(*keys, F.array(*sizes).alias("_sizes"), F.concat(*parts).alias("_t"))
-    ex = rows.select(*keys, "_sizes", F.posexplode_outer("_t").alias("_pos", "token"))
-    looked = _looked_up(ex, keys, ["_sizes"], "token", *_word_lookup(vocab))
-    ids = F.transform("_v", lambda x: F.coalesce(x["_id"], F.lit(UNK_ID)))
+    rows = df.select(*keys, F.array(*map(F.size, parts)).alias("_sizes"), F.concat(*parts).alias("_t"))
+    looked = _looked_up(rows, keys, ["_sizes"], "_t", vocab)
     cuts, before = [], F.lit(0)
     for i, name in enumerate(outs):
         cuts.append(F.slice("_ids", before + 1, F.col("_sizes")[i]).alias(name))
         before = before + F.col("_sizes")[i]
-    return looked.select(*keys, "_sizes", ids.alias("_ids")).select(*keys, *cuts)
+    return looked.select(*keys, *cuts)
+
+
+def _ends(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Running sums of each row's numbers."""
+    for lists in batches:
+        edges = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+        sums = np.concatenate([[0], np.cumsum(lists.flatten().to_numpy(zero_copy_only=False), dtype=np.int64)])
+        ends = sums[1:] - np.repeat(sums[edges[:-1]], np.diff(edges))
+        yield pa.ListArray.from_arrays(edges.astype(np.int32), pa.array(ends, pa.int32()))
 
 
 def encode_with_offsets(df: DataFrame, id_col: str, lead_col: str, text_col: str, vocab: DataFrame,
-                        tokenizer: Callable[[Column], Column] | None = None) -> DataFrame:
+                        tokenizer: Callable[[Column], Column] | None = None, keep: int | None = None) -> DataFrame:
     """``(id, lead, context)`` from one cut of each text: ids of ``lead_col`` and ``array<struct<id, start, end>>`` of ``text_col``.
 
     The built-in tokenizer cuts both (offsets are running sums over its pieces, which hold the blanks before a token);
     a ``Tokenizer`` gives its own offsets.  A plain function knows none: it cuts the lead, the built-in one the text.
+    Texts are cut whole; with ``keep`` only the first so many tokens of the context are looked up and come out.
     """
     lead = (tokenizer or word_tokens)(F.col(lead_col))
-    blank = F.lit(None).cast("int")
-    entry = lambda token, n, start, end: F.struct(token.alias("token"), n.alias("n"), start.alias("start"), end.alias("end"))
+    first = lambda c: c if keep is None else F.slice(c, 1, keep)
     own = isinstance(tokenizer, Tokenizer)
     if own:
-        spans = F.coalesce(tokenizer.spans(F.col(text_col)), F.array().cast(_SPANS))
-        context = F.transform(spans, lambda s: entry(s["token"], F.lit(0), s["start"], s["end"]))
+        context = first(F.coalesce(tokenizer.spans(F.col(text_col)), F.array().cast(_SPANS)))
     else:
-        pieces = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD_TOKEN_REGEX), 0)
+        pieces = first(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD_TOKEN_REGEX), 0))
         bare = lambda p: F.ltrim(p, F.lit(BLANKS))
-        context = F.transform(pieces, lambda p: entry(F.lower(bare(p)), F.length(p), F.length(bare(p)), blank))
+        context = F.transform(pieces, lambda p: F.struct(F.lower(bare(p)).alias("token"), F.length(bare(p)).alias("start"), F.length(p).alias("end")))
     rows = _dealt(df.select(id_col, lead_col, text_col), [id_col]).select(
         id_col, F.coalesce(lead, F.array().cast("array<string>")).alias("_l"), context.alias("_c")
     )
-    both = F.concat(F.transform("_l", lambda t: entry(t, F.lit(0), blank, blank)), "_c")
-    ex = rows.select(id_col, F.size("_l").alias("_lead"), F.posexplode_outer(both).alias("_pos", "_x"))
-    ex = ex.select(id_col, "_lead", "_pos", "_x.*")
-    if not own:
-        upto = F.sum("n").over(Window.partitionBy(id_col).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        ex = ex.withColumn("end", upto.cast("int")).withColumn("start", F.col("end") - F.col("start"))
-    looked = _looked_up(ex.drop("n"), [id_col], ["_lead"], "token", *_word_lookup(vocab), ["start", "end"])
-    known = F.transform("_v", lambda x: F.struct(F.coalesce(x["_id"], F.lit(UNK_ID)).alias("id"), x["start"].alias("start"), x["end"].alias("end")))
-    cut = looked.select(id_col, "_lead", known.alias("_v"))
-    return cut.select(
-        id_col, F.transform(F.slice("_v", F.lit(1), F.col("_lead")), lambda x: x["id"]).alias("lead"),
-        F.slice("_v", F.col("_lead") + 1, F.size("_v")).alias("context"),
+    ends = F.col("_c.end") if own else F.arrow_udf(_ends, "array<int>")(F.col("_c.end"))
+    rows = rows.select(
+        id_col, F.size("_l").alias("_lead"), F.concat("_l", "_c.token").alias("_t"), F.col("_c.start").alias("_start"), ends.alias("_end")
     )
+    looked = _looked_up(rows, [id_col], ["_lead", "_start", "_end"], "_t", vocab)
+    # Without offsets of its own, ``_start`` is a token's length so far.
+    start = F.col("_start") if own else F.zip_with("_end", "_start", lambda e, n: e - n)
+    known = F.arrays_zip(F.slice("_ids", F.col("_lead") + 1, F.size("_ids")).alias("id"), start.alias("start"), F.col("_end").alias("end"))
+    return looked.select(id_col, F.slice("_ids", F.lit(1), F.col("_lead")).alias("lead"), known.alias("context"))
 
 
 def decode(df: DataFrame, id_col: str, ids_col: str, vocab: DataFrame, out_col: str = "text",
@@ -378,12 +459,41 @@ def decode(df: DataFrame, id_col: str, ids_col: str, vocab: DataFrame, out_col:
     An id that the vocabulary lacks reads as UNK; special tokens (UNK too) are dropped when asked.
     """
     table = vocab.select(F.col("id").alias("_id"), F.col("token").alias("_token"), "is_special")
-    ex = _dealt(df.select(id_col, ids_col), [id_col]).select(id_col, F.posexplode_outer(ids_col).alias("_pos", "_id"))
-    looked = _looked_up(ex, [id_col], [], "_id", table, F.col("_id") < len(SPECIAL_TOKENS) + HOT_ENTRIES)
-    kept = F.filter("_v", lambda x: ~F.coalesce(x["is_special"], F.lit(True))) if skip_special else F.col("_v")
-    tokens = F.transform(kept, lambda x: F.coalesce(x["_token"], F.lit(UNK)))
+    hot, _ = _tiers(F.col("_id"))
+    top = table.where(hot).orderBy("_id").toPandas()  # bounded by HOT_ENTRIES
+    held = df.sparkSession.sparkContext.broadcast((top["_id"].tolist(), top["_token"].tolist(), top["is_special"].tolist()))
+
+    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ids = np.array(held.value[0], np.int64)
+        for lists in batches:
+            flat = lists.flatten().cast(pa.int32())
+            plain = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False)
+            yield _known_and_rare(lists, flat, np.where(np.isin(plain, ids), plain, -1))
+
+    def tokens(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        ids, names, special = held.value
+        ids, names, special = np.array(ids, np.int64), pa.array(names, pa.string()), np.array(special, bool)
+        for slots, late in batches:
+            # Entries of the vocabulary, then the late ones of all rows: an entry that is missing counts as special and reads as UNK.
+            more = late.flatten()
+            every = pa.concat_arrays([names, pc.fill_null(pc.struct_field(more, "_token").cast(pa.string()), UNK)])
+            drop = np.concatenate([special, pc.fill_null(pc.struct_field(more, "is_special"), True).to_numpy(zero_copy_only=False)])
+            sizes = slots.value_lengths().to_numpy(zero_copy_only=False)
+            late_sizes = late.value_lengths().to_numpy(zero_copy_only=False)
+            at = slots.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            base = np.repeat(len(ids) + np.cumsum(late_sizes) - late_sizes, sizes)
+            at = np.where(at >= 0, np.searchsorted(ids, at), base - at - 1)
+            stays = ~drop[at] if skip_special else np.ones(len(at), bool)
+            count = np.concatenate([[0], np.cumsum(stays)])
+            edges = count[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
+            yield pa.ListArray.from_arrays(edges, every.take(pa.array(at[stays])))
+
+    split = F.arrow_udf(known, "struct<slots:array<int>,rare:array<int>>")
+    rows = df.select(id_col, split(F.coalesce(ids_col, F.array().cast("array<int>"))).alias("_k"))
+    rows = rows.select(id_col, F.col("_k.slots").alias("_slots"), F.col("_k.rare").alias("_rare"))
+    met = _late_entries(rows, [id_col], "_rare", "_id", table.select("_id", "_token", "is_special"), ["_slots"])
     join = tokenizer.join if tokenizer is not None else space_joined
-    return looked.select(id_col, join(tokens).alias(out_col))
+    return met.select(id_col, join(F.arrow_udf(tokens, "array<string>")("_slots", F.transform("_late", lambda x: x["_v"]))).alias(out_col))
 
 
 # --- R1-R7: labels, truncation, padding, masks ---------------------------------

@@ -112,7 +112,7 @@ _UNCASED_PLAIN = "lower(strip_accents({}))"
 def q_uncased_squad(spark, sf_dir):
     """Span QA with a user's tokenizer that normalises the text: its offsets are those of the original characters."""
     tokenizer = tk.uncased_tokenizer()
-    vocab = tk.build_vocab(table(spark, sf_dir, "documents").select(tokenizer(F.col("text")).alias("tokens")))
+    vocab = tk.build_vocab(table(spark, sf_dir, "documents", spread="doc_id").select(tokenizer(F.col("text")).alias("tokens")))
     return _squad_shown(registry.preprocess("squad", _squad_input(spark, sf_dir), vocab=vocab, max_length=SQUAD_MAX_LENGTH,
                                             id_col="doc_id", tokenizer=tokenizer))
 
@@ -180,7 +180,7 @@ def q_squad_report(spark, sf_dir):
 # --- long-form QA: title = source, first answer = text (none for every fourth document) ----------------
 def _long_qa(spark, sf_dir):
     answers = F.expr("CASE WHEN doc_id % 4 = 3 THEN named_struct('text', CAST(array() AS array<string>)) ELSE named_struct('text', array(text, source)) END")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), answers.alias("answers"))
+    return table(spark, sf_dir, "documents", spread="doc_id").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), answers.alias("answers"))
 
 
 _LONG_SRC = "SELECT doc_id, 'Question: ' || source || chr(10) || 'Answer:' AS q, source AS t, CASE WHEN doc_id % 4 = 3 THEN '' ELSE coalesce(text, '') END AS a FROM documents"

@@ -72,7 +72,7 @@ def q_token_offsets(spark, sf_dir):
 
 
 def _doc_vocab(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread="doc_id")
     return tk.build_vocab(d.select(tk.word_tokens(F.col("text")).alias("tokens")))
 
 
@@ -94,10 +94,10 @@ def q_top_vocab(spark, sf_dir):
     return tk.build_vocab(d.select(tk.word_tokens(F.col("text")).alias("tokens")), size=TOP_TOKENS)
 
 
-def _doc_ids(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+def _doc_ids(spark, sf_dir, vocab):
+    d = table(spark, sf_dir, "documents", spread="doc_id")
     toks = d.select("doc_id", tk.word_tokens(F.col("text")).alias("tokens"))
-    return tk.encode(toks, "doc_id", "tokens", _doc_vocab(spark, sf_dir), "ids")
+    return tk.encode(toks, "doc_id", "tokens", vocab, "ids")
 
 
 _DOC_IDS_CTES = f"""vocab AS ({_DOC_VOCAB_SQL}),
@@ -111,7 +111,7 @@ SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_ids, CAST(len(list_filter(ids, lamb
   array_to_string(ids, ' ') AS ids FROM dids""",
 )
 def q_encode(spark, sf_dir):
-    e = _doc_ids(spark, sf_dir)
+    e = _doc_ids(spark, sf_dir, _doc_vocab(spark, sf_dir))
     return e.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_ids"),
@@ -129,7 +129,8 @@ s AS (SELECT doc_id, string_agg(token, ' ' ORDER BY pos) AS text FROM j GROUP BY
 SELECT d.doc_id, coalesce(s.text, '') AS text FROM dids d LEFT JOIN s ON d.doc_id = s.doc_id""",
 )
 def q_decode(spark, sf_dir):
-    return tk.decode(_doc_ids(spark, sf_dir), "doc_id", "ids", _doc_vocab(spark, sf_dir), "text")
+    vocab = _doc_vocab(spark, sf_dir)
+    return tk.decode(_doc_ids(spark, sf_dir, vocab), "doc_id", "ids", vocab, "text")
 
 
 # --- QA examples over all adjacent messages of every conversation ---------------------------
@@ -255,7 +256,7 @@ SELECT doc_id, CAST(block AS INTEGER) AS block,
 FROM b""",
 )
 def q_clm_blocks(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread="doc_id")
     rows = d.select("doc_id", tk.word_tokens(F.col("source")).alias("s"), tk.word_tokens(F.col("text")).alias("t"))
     ids = tk.encode(rows.select("doc_id", F.concat("s", "t").alias("t")), "doc_id", "t", _doc_vocab(spark, sf_dir), "ids")
     blocks = ids.select("doc_id", F.posexplode(tk.clm_blocks(F.col("ids"))).alias("block", "b"))

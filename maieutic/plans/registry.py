@@ -67,11 +67,12 @@ def squad(df: DataFrame, vocab: DataFrame, max_length: int = 384, id_col: str =
     Labels are NULL without an answer and 0 (CLS) if the answer was cut off.  A row whose question leaves no room for
     context has a ``reject_reason`` and NULL in the encoded columns; it is not dropped.
     ``tokenizer`` cuts question and context if it is a ``Tokenizer``, whose offsets the labels then follow; a plain
-    function knows no offsets and cuts the question alone.  Each text is cut once, for ids and offsets.
+    function knows no offsets and cuts the question alone.  Each text is cut once, for ids and offsets; context tokens that no
+    example of ``max_length`` has room for are not looked up.
     """
     answer = F.when(sq.has_answers(F.col("answers")), sq.first_answer(F.col("answers")))
     source = df.select(id_col, "context", answer.alias("_a"))
-    both = tk.encode_with_offsets(df, id_col, "question", "context", vocab, tokenizer)
+    both = tk.encode_with_offsets(df, id_col, "question", "context", vocab, tokenizer, keep=max_length)
     x = both.select(id_col, F.col("lead").alias("_qi"), F.col("context").alias("_o")).join(source, id_col)
     x = x.withColumn("_e", tk.encode_pair(F.col("_qi"), F.transform("_o", lambda o: o["id"]), max_length))
     x = x.withColumn("_kept", F.slice("_o", F.lit(1), F.coalesce("_e.context_len", F.lit(0))))
