@@ -115,11 +115,17 @@ def q_text_prompts(spark, sf_dir):
     return io.read_prompts(spark, path, "txt").select("prompt")
 
 
+ARRAY_ROWS = 4096
+
+
 @register("s3_json_array_roundtrip", "SELECT conv_id, turn, role, text FROM conversations")
 def q_json_array(spark, sf_dir):
     path = scratch_path(spark, "conversations-json")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("j"))
-    arrays = rows.groupBy("conv_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value"))
+    turns = table(spark, sf_dir, "conversations")
+    # Files of at most ARRAY_ROWS elements, whatever the length of a conversation: their number grows with the rows alone.
+    file = F.floor(F.monotonically_increasing_id() / ARRAY_ROWS).alias("_file")
+    rows = turns.select(file, F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("j"))
+    arrays = rows.groupBy("_file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value"))
     arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return io.read_json_records(spark, path, "auto", "conv_id bigint, turn bigint, role string, text string")
 
