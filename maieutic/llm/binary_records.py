@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from maieutic.llm.token_count import PieceTokenizer, id_width, prove_whole_tokens
+from maieutic.llm.token_count import PieceTokenizer, id_width, prove_whole_tokens, text_slices
 
 # The checksum mask and the file mark.
 _MASK = 0xA282EAD8
@@ -109,8 +109,9 @@ def write_records(
 
         try:
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    parts.append(frame(doc_id, (encoder.encode_packed(text) if text else b"") + last, width))
+                encoded = (ids for texts in text_slices(batch.column(1)) for ids in encoder.encode_many(texts))
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encoded):
+                    parts.append(frame(doc_id, ids + last, width))
                     size += len(parts[-1])
                     if size >= chunk_bytes:
                         yield flush()

@@ -5,7 +5,7 @@ answers with exactly one token.  Which strings are whole is proved once on the
 driver by encoding every vocabulary entry (``prove_whole_tokens``); the proof is
 bounded by the vocabulary.  A text is cut into pre-tokens; a whole pre-token
 counts as one, and only the remaining pre-tokens go through the merges of the
-tokenizer, each distinct one once per task while its memo lasts.
+tokenizer, each distinct word once per slice of texts, repeated ones once per task while its memo lasts.
 
 Pre-tokens are cut here only for texts made of code points below U+0250 whose
 small letters lie there, too (not so U+0130 and 23 other capitals), where normal
@@ -21,9 +21,13 @@ import json
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import compress
+from operator import attrgetter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 # The splitting pattern of the public vocabulary file, with its
@@ -39,9 +43,13 @@ _PLAIN = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x250)) i
 _EXPECTED_SPLIT = _CONTRACTIONS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _EXPECTED_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
+_ID = attrgetter("id")
+
 # Distinct blank-separated words a worker remembers within a task, and their characters; memory bounds only.
 WORD_CACHE = 100_000
 WORD_CACHE_CHARS = 4 << 20
+# Bytes of text whose words are told apart at once; a memory bound only.
+SLICE_BYTES = 8 << 20
 
 
 def load_tokenizer(path: str):
@@ -86,8 +94,8 @@ def prove_whole_tokens(path: str) -> dict[str, int]:
 class PieceTokenizer:
     """Ids of texts by pre-token; one per Python worker and vocabulary file.
 
-    No pre-token crosses a blank, so the memo is kept per blank-separated word
-    and the splitting pattern runs once per distinct word.
+    No pre-token crosses a blank, so texts are cut into blank-separated words, and the splitting pattern and the
+    merges run once per distinct word of a slice of texts.  The memo keeps words that repeat for later slices.
     """
 
     _instances: dict[tuple[str, int], "PieceTokenizer"] = {}
@@ -119,18 +127,17 @@ class PieceTokenizer:
         """Ids as little-endian numbers of ``width`` bytes."""
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
-    def words(self, text: str) -> list[str] | None:
-        """Lower-cased blank-separated words of a text, or None if only the library may cut it."""
-        if not _PLAIN.fullmatch(text) or (self.added and self.added.search(text)):
-            return None
-        return text.lower().split()
+    def plain(self, text: str) -> bool:
+        """Whether a text may be cut here; any other goes to the library."""
+        return _PLAIN.fullmatch(text) is not None and not (self.added and self.added.search(text))
 
     def encode_whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode_word(self, word: str) -> list[int]:
         """Whole pre-tokens by the shortcut, the rest by the model's merges."""
-        pieces = [word] if word.isascii() and word.isalpha() else _PIECES.findall(word)
+        # Below U+0250 the letters of Python and of the pattern are the same.
+        pieces = [word] if word.isalpha() else _PIECES.findall(word)
         ids: list[int] = []
         for piece in pieces:
             one = self.whole.get(piece)
@@ -139,35 +146,63 @@ class PieceTokenizer:
                 continue
             if not (piece.isascii() and piece.isprintable()):  # printable ASCII stands for itself
                 piece = "".join(map(self.shown.__getitem__, piece.encode()))
-            ids += [t.id for t in self.model.tokenize(piece)]
+            ids += map(_ID, self.model.tokenize(piece))
         return ids
 
-    def _packed(self, words: list[str]) -> list[bytes]:
-        memo = self.memo
-        try:
-            return list(map(memo.__getitem__, words))
-        except KeyError:
-            if len(memo) > WORD_CACHE or self.held > WORD_CACHE_CHARS:
-                self.forget()
-                memo = self.memo
-            fresh = set(words).difference(memo)
-            self.held += sum(map(len, fresh))
-            for word in fresh:
-                memo[word] = self.pack(self.encode_word(word))
-            return list(map(memo.__getitem__, words))
+    def encode_many(self, texts: Sequence[str | None]) -> list[bytes]:
+        """Packed ids of each text, none of a null one."""
+        plain = [bool(text) and self.plain(text) for text in texts]
+        distinct, places, ends = _numbered_words(compress(texts, plain))
+        found = list(map(self.memo.get, distinct))
+        for i, ids in enumerate(found):
+            if ids is None:
+                found[i] = self.pack(self.encode_word(distinct[i]))
+        self._remember(distinct, found, np.bincount(places.to_numpy(), minlength=len(distinct)) > 1)
+        each = pa.array(found, pa.large_binary()).take(places)
+        del distinct, found, places
+        _, upto, data = each.buffers()
+        upto, data = np.frombuffer(upto, np.int64)[each.offset :][ends].tolist(), memoryview(data or b"")
+        cut = (bytes(data[start:end]) for start, end in zip(upto, upto[1:]))
+        return [next(cut) if easy else self.pack(self.encode_whole(text)) if text else b"" for text, easy in zip(texts, plain)]
+
+    def _remember(self, words: list[str], packed: list[bytes], repeated: np.ndarray) -> None:
+        """Keep the words that repeat, as far as there is room; a full memo begins anew with them."""
+        if len(self.memo) >= WORD_CACHE or self.held >= WORD_CACHE_CHARS:
+            self.forget()
+        for word, ids in compress(zip(words, packed), repeated.tolist()):
+            if len(self.memo) >= WORD_CACHE or self.held >= WORD_CACHE_CHARS:
+                break
+            if word not in self.memo:
+                self.memo[word] = ids
+                self.held += len(word)
 
     def encode_packed(self, text: str) -> bytes:
-        """Packed ids of a text; a long one is encoded a stretch of words at a time."""
-        words = self.words(text)
-        if words is None:
-            return self.pack(self.encode_whole(text))
-        return b"".join(x for i in range(0, len(words), WORD_CACHE) for x in self._packed(words[i : i + WORD_CACHE]))
+        """Packed ids of a text."""
+        return self.encode_many([text])[0]
+
+    def count_many(self, texts: Sequence[str | None]) -> list[int]:
+        return [len(ids) // self.width for ids in self.encode_many(texts)]
 
     def count(self, text: str) -> int:
-        words = self.words(text)
-        if words is None:
-            return len(self.encode_whole(text))
-        return sum(sum(map(len, self._packed(words[i : i + WORD_CACHE]))) for i in range(0, len(words), WORD_CACHE)) // self.width
+        return self.count_many([text])[0]
+
+
+def _numbered_words(texts: Iterable[str]) -> tuple[list[str], pa.Array, np.ndarray]:
+    """The distinct lower-cased blank-separated words of texts, the number of each word in turn, and how many words each text ends at.
+
+    Blanks are those of ``str.split`` below U+0250; one at an end of a text gives an empty word, which has no ids.
+    """
+    words = pc.utf8_split_whitespace(pa.array([text.lower() for text in texts], pa.large_string()))
+    numbered = words.values.dictionary_encode()
+    return numbered.dictionary.to_pylist(), numbered.indices, words.offsets.to_numpy()
+
+
+def text_slices(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of a batch in order, some ``SLICE_BYTES`` at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(ends // SLICE_BYTES)) + 1
+    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)]):
+        yield texts.slice(start, end - start).to_pylist()
 
 
 def id_width(path: str, *more_ids: int) -> int:
@@ -198,12 +233,10 @@ def count_tokens(
         counter = PieceTokenizer.of(tokenizer_path, whole.value, width)
         try:
             for batch in batches:
-                texts = batch.column(1).to_pylist()
-                tokens = [counter.count(t) if t else 0 for t in texts]
-                sizes = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]
+                tokens = [n for texts in text_slices(batch.column(1)) for n in counter.count_many(texts)]
+                sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
                 yield pa.record_batch(
-                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()),
-                     pa.array([n > limit for n in tokens], pa.bool_())],
+                    [batch.column(0), sizes, pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
                     names=["id", "n_bytes", "n_tokens", "over_limit"],
                 )
         finally:

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from maieutic.llm import token_count, url_rules
@@ -103,6 +104,27 @@ def test_memo_is_bounded_and_forgotten(vocabulary, monkeypatch):
     assert not pieces.memo and pieces.count(text) == len(want)
 
 
+def test_words_of_many_texts_are_encoded_once(vocabulary, monkeypatch):
+    """A slice of texts needs one encoding per distinct word, however many words the memo holds; slices are cut in order."""
+    library = Tokenizer.from_file(vocabulary)
+    monkeypatch.setattr(token_count, "WORD_CACHE", 10)
+    monkeypatch.setattr(token_count, "SLICE_BYTES", 3000)
+    rng = random.Random(8)
+    vocabulary_words = [f"wórd{i}," for i in range(40)]
+    texts = TEXTS + [None] + [" ".join(rng.choices(vocabulary_words, k=30)) for _ in range(60)]
+    pieces = token_count.PieceTokenizer(vocabulary, token_count.prove_whole_tokens(vocabulary), 2)
+    encoded, encode = [], pieces.encode_word
+    monkeypatch.setattr(pieces, "encode_word", lambda word: encoded.append(word) or encode(word))
+    slices = list(token_count.text_slices(pa.array(texts)))
+    assert [t for part in slices for t in part] == texts and len(slices) > 3
+    for part in slices:
+        encoded.clear()
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in part]
+        assert pieces.encode_many(part) == [b"".join(i.to_bytes(2, "little") for i in ids) for ids in want]
+        assert len(encoded) == len(set(encoded)) and len(pieces.memo) <= 10
+    assert list(token_count.text_slices(pa.array([], pa.string()))) == [[]] and pieces.encode_many([]) == []
+
+
 def test_token_counts_repeats_and_empty(documents, vocabulary):
     got = token_count.count_tokens(documents([(1, "a b"), (1, "a b"), (1, "c")]), vocabulary).collect()
     assert sorted(r.n_tokens for r in got) == [1, 2, 2]
