@@ -15,6 +15,7 @@ ends a line.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -155,7 +156,11 @@ PRESCRIPTION_REGEX = java_regex(
 )
 IMPERATIVE_REGEX = java_regex(rf"(?i)(?:^|[.!?]\s++)(?:{_words_of_rule(IMPERATIVE_PATTERN)})(?!\w)")
 WORD_REGEX = java_regex(r"\w+")
-NON_SPACE_RUN_REGEX = java_regex(r"\S+")
+# ``\S+`` with the same members: Java asks the parts of a class one by one, so the frequent characters come first, and
+# the list of blanks is gone through only within the range that holds the rare ones.
+NON_SPACE_RUN_REGEX = (
+    r"[!-~[\x{a1}-\x{167f}\x{3001}-\x{10ffff}[\x{0}-\x{8}\x{e}-\x{1b}[\x{7f}-\x{3000}&&[^" + _BLANK_MEMBERS + "]]]]]+"
+)
 NON_SPACE_REGEX = java_regex(r"\S")
 
 
@@ -164,8 +169,10 @@ def _c(text) -> Column:
 
 
 def _char_count(text: Column, chars: str) -> Column:
-    """How many characters of ``chars`` occur in ``text`` (no regex needed)."""
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("bigint")
+    """How many of the ASCII characters ``chars`` occur in ``text`` (no regex needed): the bytes that leaving each out saves."""
+    size = F.octet_length(text)
+    counts = [size - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in chars]
+    return reduce(Column.__add__, counts).cast("bigint")
 
 
 # T17 -----------------------------------------------------------------------

@@ -163,6 +163,35 @@ def test_rules_are_linear(spark, rule):
         assert time.perf_counter() - start < 2, kind
 
 
+def test_tokens_and_marks_of_every_code_point(spark):
+    """Blanks are those of ``str.split``, in the basic plane and beyond, alone and in runs."""
+    codes = [*range(0xD800), *range(0xE000, 0x10000), 0x10000, 0x1F600, 0x10FFFF]
+    texts = [f"a{chr(c)}b?{chr(c)}{chr(c)} !{chr(c)}." for c in codes] + [None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").repartition(8)
+    t = F.col("text")
+    got = df.select("id", tr.whitespace_token_count(t).alias("tok"), tr.count_questions(t).alias("q"), tr.count_sentence_marks(t).alias("m")).collect()
+    want = {i: (len(t.split()), t.count("?"), sum(map(t.count, ".!?"))) if t else (None, None, None) for i, t in enumerate(texts)}
+    assert {r.id: (r.tok, r.q, r.m) for r in got} == want
+
+
+def test_token_count_costs_what_a_word_count_costs(spark):
+    """The blanks of the rule are many ranges; asking all of them at every character took 15 times as long."""
+    text = "Some prose goes here, où les mots sont courts and runs on. " * 400
+    df = spark.range(400).select(F.concat(F.lit(text), F.col("id").cast("string")).alias("text")).repartition(4).cache()
+    assert df.count() == 400
+
+    def seconds(column):
+        took = []
+        for _ in range(3):
+            start = time.time()
+            df.select(F.sum(column)).collect()
+            took.append(time.time() - start)
+        return min(took)
+
+    assert seconds(tr.whitespace_token_count("text")) < 5 * seconds(tr.word_count("text")) + 0.1
+    df.unpersist()
+
+
 def test_interrogative_ratio_counts_numbers_as_words(spark):
     got = features(spark, ["why ½", "½ cup x²", "①②", "do\u2003you", "a\u200db"])
     assert [got[i]["ratio"] for i in range(5)] == [0.5, 0.0, 0.0, 0.5, 0.0]
