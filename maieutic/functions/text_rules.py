@@ -119,6 +119,11 @@ def _words_of_rule(pattern: str) -> str:
     return re.search(r"\(([a-z|]+)\)", pattern)[1]
 
 
+def _initials(pattern: str) -> str:
+    """The letters that the words of a rule begin with."""
+    return "".join(sorted({word[0] for word in _words_of_rule(pattern).split("|")}))
+
+
 def _phrase_alternation(patterns: list[str]) -> str:
     r"""One search instead of fifteen, with the shared leading ``\b`` tested once.
 
@@ -139,6 +144,7 @@ def _phrase_alternation(patterns: list[str]) -> str:
 # ones above but try no start twice, so a search is linear in the text:
 # * A rule at a line start takes the blanks of its own line only; blank lines before it add nothing.
 # * Runs of digits and blanks are possessive: what follows them cannot begin inside of them.
+# * What a match begins with is asked before the character behind it, which costs more.
 # * A range needs no more than the second number's end or a unit right after it: any other rest holds that end.
 # * A prescription looks for the first verb of a segment (up to a full stop) once, atomically, then for a whole
 #   number; later verbs of the segment add nothing, and a decimal's whole part is a number.
@@ -147,12 +153,13 @@ _UNITS = f"(?:{UNITS_PATTERN})"
 WITHHOLD_PHRASES_REGEX = java_regex(_phrase_alternation(WITHHOLD_PHRASE_PATTERNS))
 FINAL_FORMAT_REGEX = java_regex(rf"(?im)^@*+(?:{_words_of_rule(FINAL_FORMAT_PATTERN)})\s*+[:\-]").replace("@", _SAME_LINE)
 STEP_LINE_REGEX = java_regex(r"(?m)^@*+(?:\d++\.|[-*])\s++").replace("@", _SAME_LINE)
-NUMBER_WITH_UNIT_REGEX = java_regex(rf"(?i)(?<!\w)\d++(?:\.\d++)?+\s*+{_UNITS}\b")
-RANGE_REGEX = java_regex(rf"(?i)(?<!\w)\d++(?:\.\d++)?+(?:\s*+-\s*+|\s++to\s++)\d++(?:(?!\w)|{_UNITS}\b)")
+NUMBER_WITH_UNIT_REGEX = java_regex(rf"(?i)(?=\d)(?<!\w)\d++(?:\.\d++)?+\s*+{_UNITS}\b")
+RANGE_REGEX = java_regex(rf"(?i)(?=\d)(?<!\w)\d++(?:\.\d++)?+(?:\s*+-\s*+|\s++to\s++)\d++(?:(?!\w)|{_UNITS}\b)")
 COMPARISON_REGEX = java_regex(r"[<>]=?+\s*+\d")
 UNIT_ANYWHERE_REGEX = java_regex("(?i)" + _UNITS)
 PRESCRIPTION_REGEX = java_regex(
-    rf"(?i)(?:\A|\.)(?>[^.]*?(?<!\w)(?:{_words_of_rule(PRESCRIPTION_PATTERN)})(?!\w))[^.]*?(?<!\w)\d++(?!\w)"
+    rf"(?i)(?:\A|\.)(?>[^.]*?(?=[{_initials(PRESCRIPTION_PATTERN)}])(?<!\w)(?:{_words_of_rule(PRESCRIPTION_PATTERN)})(?!\w))"
+    r"[^.]*?(?=\d)(?<!\w)\d++(?!\w)"
 )
 IMPERATIVE_REGEX = java_regex(rf"(?i)(?:^|[.!?]\s++)(?:{_words_of_rule(IMPERATIVE_PATTERN)})(?!\w)")
 WORD_REGEX = java_regex(r"\w+")

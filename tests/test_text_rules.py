@@ -174,6 +174,18 @@ def test_tokens_and_marks_of_every_code_point(spark):
     assert {r.id: (r.tok, r.q, r.m) for r in got} == want
 
 
+def test_first_characters_of_number_rules_are_those_of_python(spark):
+    """Each verb in any case (also the long s), digits of any script, and what may stand before them."""
+    verbs = re.search(r"\(([a-z|]+)\)", tr.PRESCRIPTION_PATTERN)[1].split("|")
+    heads = [w for verb in verbs for w in (verb, verb.upper(), verb.title(), verb.replace("s", "\u017f"), "x" + verb, "." + verb, "²" + verb)]
+    numbers = ["5", "\u0663", "x5", "_5", "²5", "5.5", "é5", "-5", "5 V", "\u0663mm", "5-\u0663", "a5-7", "5 to 7 v", ".5-7", ""]
+    texts = [f"{head} it {number}" for head in heads for number in numbers]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    rules = [(tr.has_number_with_unit, tr.NUMBER_WITH_UNIT_PATTERN), (tr.has_numeric_range, tr.RANGE_PATTERN), (tr.has_prescription, tr.PRESCRIPTION_PATTERN)]
+    got = {r[0]: tuple(r[1:]) for r in df.select("id", *[rule("text").alias(f"r{i}") for i, (rule, _) in enumerate(rules)]).collect()}
+    assert got == {i: tuple(re.search(p, t) is not None for _, p in rules) for i, t in enumerate(texts)}
+
+
 def test_token_count_costs_what_a_word_count_costs(spark):
     """The blanks of the rule are many ranges; asking all of them at every character took 15 times as long."""
     text = "Some prose goes here, où les mots sont courts and runs on. " * 400
