@@ -68,6 +68,57 @@ def test_long_texts_are_cut_into_pieces(documents, monkeypatch):
     assert sorted((r.doc_id, r.n_bytes, tuple((s.start, s.end) for s in r.spans), bytes(r.kept)) for r in got) == plain_cut(rows, 60)
 
 
+@pytest.fixture
+def as_if_large(spark):
+    """Small partitions of a shuffle are not put together, small tables not broadcast."""
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_rows_of_a_very_common_string_stay_dealt_out(documents, as_if_large, monkeypatch):
+    tables = {}
+
+    def kept(df, name, write=substring_dedup.written):
+        tables[name] = write(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(substring_dedup, "written", kept)
+    rng = random.Random(11)
+    common = "".join(rng.choices("abcdefgh ", k=45))
+    rows = [(i, "".join(rng.choices("abcdefgh ", k=40)) + common + "".join(rng.choices("abcdefgh ", k=40))) for i in range(1200)]
+    rows += [(1200 + i, rows[i][1][:60]) for i in range(300)] + [(2000, None), (None, common), (3, rows[3][1])]
+    got = substring_dedup.remove_repeats(documents(rows, parts=16), length=30, gram=8, block_runs=50).collect()
+    found = sorted(
+        ((r.doc_id, r.n_bytes, tuple((s.start, s.end) for s in r.spans), bytes(r.kept)) for r in got),
+        key=lambda r: (r[0] is None, r[0] or 0, r[1:]),
+    )
+    assert found == plain_cut(rows, 30)
+    for name in ("sub-shared", "sub-open"):
+        hot = tables[name].groupBy("fp").count().orderBy(F.desc("count")).first()
+        files = tables[name].where(F.col("fp") == hot["fp"]).groupBy(F.input_file_name()).count().collect()
+        assert hot["count"] > 900 and max(r["count"] for r in files) < 0.7 * hot["count"], (name, hot, files)
+
+
+@pytest.mark.parametrize("hot_keys", [1, 30, 1 << 40])  # no key, some keys, all keys are broadcast
+def test_repeats_with_keys_of_many_rows(documents, monkeypatch, hot_keys):
+    monkeypatch.setattr(substring_dedup, "HOT_KEYS", hot_keys)
+    rng = random.Random(13)
+    passages = ["".join(rng.choices("abcd ", k=rng.randint(25, 90))) for _ in range(9)]
+    rows = [(i, "".join(rng.choice(passages[: rng.randint(1, 9)]) + "".join(rng.choices("abcd ", k=9)) for _ in range(rng.randint(0, 4)))) for i in range(90)]
+    rows += [(200, None), (None, rows[3][1]), (5, rows[5][1]), (202, "a" * 2000), (203, "ab" * 500)]
+    got = substring_dedup.remove_repeats(documents(rows), length=30, gram=8, block_runs=5, block_bytes=3000).collect()
+    found = sorted(
+        ((r.doc_id, r.n_bytes, tuple((s.start, s.end) for s in r.spans), bytes(r.kept)) for r in got),
+        key=lambda r: (r[0] is None, r[0] or 0, r[1:]),
+    )
+    assert found == plain_cut(rows, 30)
+
+
 def plain_words(text):
     import re
 
