@@ -16,6 +16,8 @@ Scale notes
 * Lookups split by frequency: a vocabulary's ids begin with its most frequent tokens, so the entries of the first
   ``HOT_ENTRIES`` ids are met array by array in Arrow batches, without a row per token.  Only the others are exploded: the next
   ``WARM_ENTRIES`` entries are broadcast (bounded tables, both), the rare rest is joined by shuffle, where no key is hot any more.
+* ``in_place`` keeps what is shuffled small: rows are dealt by their id once, the tasks hold the warm entries as well, and only the
+  items behind them travel to the vocabulary and back.
 * User tokenizers get a batch in slices of ``SLICE_CHARS`` characters, so a worker holds the tokens of one slice, not of a batch.
 * Everything after ids (labels, padding, masks, spans, checks) is in-row
   array work with higher-order functions: no shuffle.
@@ -30,6 +32,8 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -298,14 +302,14 @@ def build_vocab(token_arrays: DataFrame, tokens_col: str = "tokens", size: int |
         counts = frequent_tokens(token_arrays, size, tokens_col)
     else:
         counts = token_arrays.select(F.explode(tokens_col).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
-        counts = scratch_table(counts, "token-counts")  # read twice below, made once
-    counts = counts.select("token", "count", F.md5("token").alias("_h")).withColumn("_b", F.substring("_h", 1, 3))
+        counts = scratch_table(counts, "token-counts", drop_shuffles=True)  # read twice below, made once
+    counts = counts.select("token", "count", F.substring(F.md5("token"), 1, 3).alias("_b"))
     per_bucket = counts.groupBy("count", "_b").agg(F.count(F.lit(1)).alias("n"))
     per_count = per_bucket.groupBy("count").agg(F.sum("n").alias("n"))
     so_far = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per_count = per_count.select("count", so_far(Window.orderBy(F.desc("count"))).alias("_above"))
     per_bucket = per_bucket.select("count", "_b", so_far(Window.partitionBy("count").orderBy("_b")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("count", "_b").orderBy("_h", "token"))
+    place = F.row_number().over(Window.partitionBy("count", "_b").orderBy(F.md5("token"), "token"))
     ranked = (
         counts.join(per_bucket.join(per_count, "count"), ["count", "_b"])
         .select("token", (F.col("_above") + F.col("_before") + place - 1 + len(SPECIAL_TOKENS)).cast("int").alias("id"))
@@ -315,7 +319,14 @@ def build_vocab(token_arrays: DataFrame, tokens_col: str = "tokens", size: int |
     spark = token_arrays.sparkSession
     specials = spark.createDataFrame([(t, i, True) for i, t in enumerate(SPECIAL_TOKENS)], "token string, id int, is_special boolean")
     # Lookups read it several times.
-    return scratch_table(specials.unionByName(ranked.select("token", "id", F.lit(False).alias("is_special"))), "vocabulary")
+    return scratch_table(specials.unionByName(ranked.select("token", "id", F.lit(False).alias("is_special"))), "vocabulary", drop_shuffles=True)
+
+
+def _list_slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Batches of lists in slices of about ``SLICE_CHARS`` items, which bounds what a worker holds besides a batch."""
+    for lists in batches:
+        for i, j in _slices(pc.fill_null(pc.list_value_length(lists), 0).to_pylist()):
+            yield lists.slice(i, j - i)
 
 
 def _known_and_rare(lists: pa.Array, flat: pa.Array, found: np.ndarray) -> pa.Array:
@@ -339,6 +350,20 @@ def _tiers(number: Column) -> tuple[Column, Column]:
     return (number >= 0) & (number < edge), (number >= edge) & (number < edge + WARM_ENTRIES)
 
 
+def _held(number: Column, in_place: bool) -> Column:
+    """Which entries the tasks hold."""
+    hot, warm = _tiers(number)
+    return hot | warm if in_place else hot
+
+
+def _regrouped(out: DataFrame, keys: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    """``(keys, carry, _late)`` of groups with the list ``_done`` of what their rows carry; a key that two rows share is an error."""
+    done = F.get("_done", 0)
+    once = F.when(F.size("_done") == 1, done).otherwise(_repeated_id(*keys).cast(out.select(done).schema[0].dataType))
+    out = out.select(*keys, once.alias("_done"), "_late")
+    return out.select(*keys, *(F.col(f"_done.{c}").alias(c) for c in carry), "_late")
+
+
 def _late_entries(rows: DataFrame, keys: Sequence[str], rare: str, by: str, table: DataFrame, carry: Sequence[str]) -> DataFrame:
     """Meet each row's ``rare`` items with ``table`` (without its hot entries): ``(keys, carry, _late)``.
 
@@ -364,47 +389,72 @@ def _late_entries(rows: DataFrame, keys: Sequence[str], rare: str, by: str, tabl
         F.collect_list("_done").alias("_done"),
         F.array_sort(F.collect_list(F.when(F.col("_i").isNotNull(), entry))).alias("_late"),
     )
-    done = F.get("_done", 0)
-    once = F.when(F.size("_done") == 1, done).otherwise(_repeated_id(*keys).cast(out.select(done).schema[0].dataType))
-    out = out.select(*keys, once.alias("_done"), "_late")
-    return out.select(*keys, *(F.col(f"_done.{c}").alias(c) for c in carry), "_late")
+    return _regrouped(out, keys, carry)
+
 
+def _late_in_place(rows: DataFrame, keys: Sequence[str], rare: str, by: str, table: DataFrame, carry: Sequence[str]) -> DataFrame:
+    """What ``_late_entries`` gives for ``rows`` that are dealt by their keys: they wait there, and only their ``rare`` items travel.
 
-def _looked_up(rows: DataFrame, keys: Sequence[str], carry: Sequence[str], tokens: str, vocab: DataFrame) -> DataFrame:
+    The tasks hold the warm entries, too; what is behind them goes to the table by hash and back to its row by the keys.  ``carry`` are
+    arrays, no rare item is null.  Both readings of the rows use all columns, so Spark finds the same exchange in them and makes it once.
+    """
+    values = [c for c in table.columns if c != by]
+    whole = reduce(and_, (F.size(c) >= 0 for c in carry))
+    # Outer, as Spark would otherwise ask first which rows have items.
+    pieces = rows.select(*keys, F.posexplode_outer(F.when(whole, F.col(rare))).alias("_i", "_by")).where(F.col("_i").isNotNull())
+    far = table.where(~_held(F.col("_id"), True)).select(F.col(by).alias("_key"), *(F.col(c).alias(f"_v{c}") for c in values))
+    met = pieces.join(far, F.col("_by") == F.col("_key"), "left")
+    # Plain columns take less room in an exchange than structs.
+    met = _dealt(met.select(*keys, "_i", *(f"_v{c}" for c in values)), keys)
+    met = met.select(*keys, F.struct("_i", F.struct(*(F.col(f"_v{c}").alias(c) for c in values)).alias("_v")).alias("_late"))
+    # Both sides are dealt alike, so their union is grouped where it is.
+    both = rows.select(*keys, F.struct(*carry, rare).alias("_done")).unionByName(met, allowMissingColumns=True)
+    out = both.groupBy(*keys).agg(F.collect_list("_done").alias("_done"), F.array_sort(F.collect_list("_late")).alias("_late"))
+    return _regrouped(out, keys, carry)
+
+
+def _looked_up(rows: DataFrame, keys: Sequence[str], carry: Sequence[str], tokens: str, vocab: DataFrame, in_place: bool = False) -> DataFrame:
     """Ids of each row's array of ``tokens``: ``(keys, carry, _ids)``; UNK where the vocabulary lacks one."""
     table = vocab.where(~F.col("is_special")).select("token", F.col("id").alias("_id"))
-    hot, _ = _tiers(F.col("_id"))
-    top = table.where(hot).toPandas()  # bounded by HOT_ENTRIES
+    top = table.where(_held(F.col("_id"), in_place)).toPandas()  # bounded by HOT_ENTRIES, and WARM_ENTRIES in place
     held = rows.sparkSession.sparkContext.broadcast((top["token"].tolist(), top["_id"].tolist()))
 
     def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names, ids = held.value
         names, ids = pa.array(names, pa.string()), np.array([*ids, -1], np.int64)
-        for lists in batches:
+        for lists in _list_slices(batches):
             flat = lists.flatten().cast(pa.string())
             at = pc.fill_null(pc.index_in(flat, value_set=names, skip_nulls=True), len(names)).to_numpy(zero_copy_only=False)
-            yield _known_and_rare(lists, flat, ids[at])
+            found = ids[at]
+            if in_place:
+                found = np.where(flat.is_null().to_numpy(zero_copy_only=False), UNK_ID, found)
+            yield _known_and_rare(lists, flat, found)
 
     split = F.arrow_udf(known, "struct<slots:array<int>,rare:array<string>>")
     rows = rows.select(*keys, *carry, split(tokens).alias("_k")).select(*keys, *carry, F.col("_k.slots").alias("_slots"), F.col("_k.rare").alias("_rare"))
-    met = _late_entries(rows, keys, "_rare", "token", table, [*carry, "_slots"])
+    carry = [*carry, "_slots"]
+    if in_place:
+        met = _late_in_place(_dealt(rows, keys), keys, "_rare", "token", table, carry)
+    else:
+        met = _late_entries(rows, keys, "_rare", "token", table, carry)
     late = lambda x: F.get(F.col("_late"), -x - 1)["_v"]["_id"]
     ids = F.transform("_slots", lambda x: F.when(x >= 0, x).otherwise(F.coalesce(late(x), F.lit(UNK_ID))))
-    return met.select(*keys, *carry, ids.alias("_ids"))
+    return met.select(*keys, *carry[:-1], ids.alias("_ids"))
 
 
-def encode(df: DataFrame, id_col, tokens_col, vocab: DataFrame, out_col="ids") -> DataFrame:
+def encode(df: DataFrame, id_col, tokens_col, vocab: DataFrame, out_col="ids", in_place: bool = False) -> DataFrame:
     """Token arrays to id arrays with UNK fallback.
 
     ``tokens_col`` and ``out_col`` may be lists of the same length: all parts of an
     example are then encoded in one pass.  Rows with no token get empty arrays.
     The vocabulary's hot entries are fetched at once, so it should be a written table (as ``build_vocab`` gives it).
+    ``in_place`` deals the rows by their id, once, and leaves them there (``_late_in_place``): less disk than to carry them through the joins.
     """
     keys = [id_col] if isinstance(id_col, str) else list(id_col)
     parts = [tokens_col] if isinstance(tokens_col, str) else list(tokens_col)
     outs = [out_col] if isinstance(out_col, str) else list(out_col)
     rows = df.select(*keys, F.array(*map(F.size, parts)).alias("_sizes"), F.concat(*parts).alias("_t"))
-    looked = _looked_up(rows, keys, ["_sizes"], "_t", vocab)
+    looked = _looked_up(rows, keys, ["_sizes"], "_t", vocab, in_place)
     cuts, before = [], F.lit(0)
     for i, name in enumerate(outs):
         cuts.append(F.slice("_ids", before + 1, F.col("_sizes")[i]).alias(name))
@@ -453,26 +503,28 @@ def encode_with_offsets(df: DataFrame, id_col: str, lead_col: str, text_col: str
 
 
 def decode(df: DataFrame, id_col: str, ids_col: str, vocab: DataFrame, out_col: str = "text",
-           skip_special: bool = True, tokenizer: Tokenizer | None = None) -> DataFrame:
+           skip_special: bool = True, tokenizer: Tokenizer | None = None, in_place: bool = False) -> DataFrame:
     """Id arrays back to text (J5): joined by spaces, or by the ``join`` of a ``Tokenizer``.
 
     An id that the vocabulary lacks reads as UNK; special tokens (UNK too) are dropped when asked.
+    ``in_place`` is for rows that ``encode`` has dealt by their id: they are not shuffled again.
     """
     table = vocab.select(F.col("id").alias("_id"), F.col("token").alias("_token"), "is_special")
-    hot, _ = _tiers(F.col("_id"))
-    top = table.where(hot).orderBy("_id").toPandas()  # bounded by HOT_ENTRIES
+    top = table.where(_held(F.col("_id"), in_place)).orderBy("_id").toPandas()  # bounded by HOT_ENTRIES, and WARM_ENTRIES in place
     held = df.sparkSession.sparkContext.broadcast((top["_id"].tolist(), top["_token"].tolist(), top["is_special"].tolist()))
+    edge = len(SPECIAL_TOKENS) + HOT_ENTRIES + WARM_ENTRIES
 
     def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ids = np.array(held.value[0], np.int64)
-        for lists in batches:
+        for lists in _list_slices(batches):
             flat = lists.flatten().cast(pa.int32())
             plain = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False)
             yield _known_and_rare(lists, flat, np.where(np.isin(plain, ids), plain, -1))
 
     def tokens(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         ids, names, special = held.value
-        ids, names, special = np.array(ids, np.int64), pa.array(names, pa.string()), np.array(special, bool)
+        # Behind them one for the numbers that the held part lacks.
+        ids, names, special = np.array([*ids, edge], np.int64), pa.array([*names, UNK], pa.string()), np.array([*special, True], bool)
         for slots, late in batches:
             # Entries of the vocabulary, then the late ones of all rows: an entry that is missing counts as special and reads as UNK.
             more = late.flatten()
@@ -488,12 +540,35 @@ def decode(df: DataFrame, id_col: str, ids_col: str, vocab: DataFrame, out_col:
             edges = count[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
             yield pa.ListArray.from_arrays(edges, every.take(pa.array(at[stays])))
 
-    split = F.arrow_udf(known, "struct<slots:array<int>,rare:array<int>>")
-    rows = df.select(id_col, split(F.coalesce(ids_col, F.array().cast("array<int>"))).alias("_k"))
-    rows = rows.select(id_col, F.col("_k.slots").alias("_slots"), F.col("_k.rare").alias("_rare"))
-    met = _late_entries(rows, [id_col], "_rare", "_id", table.select("_id", "_token", "is_special"), ["_slots"])
+    def tokens_in_place(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        ids = np.array(held.value[0], np.int64)
+
+        def slotted(lists: pa.Array) -> pa.Array:
+            flat = lists.flatten().cast(pa.int32())
+            plain = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False)
+            late = (plain < 0) | (plain >= edge)
+            # A null is no late item; it reads like a number that the held part lacks.
+            lacking = flat.is_null().to_numpy(zero_copy_only=False) | ~(late | np.isin(plain, ids))
+            return _known_and_rare(lists, flat, np.where(lacking, edge, np.where(late, -1, plain))).field("slots")
+
+        for lists, late in batches:
+            slices = _slices(lists.value_lengths().to_pylist())
+            yield from tokens((slotted(lists.slice(i, j - i)), late.slice(i, j - i)) for i, j in slices)
+
+    ids = F.coalesce(ids_col, F.array().cast("array<int>"))
+    entries = table.select("_id", "_token", "is_special")
+    if in_place:
+        # Told apart without Python, behind which rows that are dealt by their id would count as dealt no more.
+        rows = df.select(id_col, ids.alias("_slots"))
+        rows = rows.select(id_col, "_slots", F.filter("_slots", lambda x: ~_held(x, True)).alias("_rare"))
+        met = _late_in_place(rows, [id_col], "_rare", "_id", entries, ["_slots"])
+    else:
+        rows = df.select(id_col, F.arrow_udf(known, "struct<slots:array<int>,rare:array<int>>")(ids).alias("_k"))
+        rows = rows.select(id_col, F.col("_k.slots").alias("_slots"), F.col("_k.rare").alias("_rare"))
+        met = _late_entries(rows, [id_col], "_rare", "_id", entries, ["_slots"])
     join = tokenizer.join if tokenizer is not None else space_joined
-    return met.select(id_col, join(F.arrow_udf(tokens, "array<string>")("_slots", F.transform("_late", lambda x: x["_v"]))).alias(out_col))
+    found = F.arrow_udf(tokens_in_place if in_place else tokens, "array<string>")("_slots", F.transform("_late", lambda x: x["_v"]))
+    return met.select(id_col, join(found).alias(out_col))
 
 
 # --- R1-R7: labels, truncation, padding, masks ---------------------------------

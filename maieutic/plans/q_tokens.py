@@ -16,7 +16,7 @@ from maieutic.operators import dialogue as dl
 from maieutic.operators import tokens as tk
 from maieutic.plans import oracle as o
 from maieutic.plans.catalog import register
-from maieutic.plans.inputs import table
+from maieutic.plans.inputs import spread_if_few, table
 
 QA_MAX_LENGTH, DIALOGUE_MAX_LENGTH = 256, 4096
 # Fixed value: the long-form QA prompt format.
@@ -129,8 +129,11 @@ s AS (SELECT doc_id, string_agg(token, ' ' ORDER BY pos) AS text FROM j GROUP BY
 SELECT d.doc_id, coalesce(s.text, '') AS text FROM dids d LEFT JOIN s ON d.doc_id = s.doc_id""",
 )
 def q_decode(spark, sf_dir):
-    vocab = _doc_vocab(spark, sf_dir)
-    return tk.decode(_doc_ids(spark, sf_dir, vocab), "doc_id", "ids", vocab, "text")
+    d = spread_if_few(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    toks = d.select("doc_id", tk.word_tokens(F.col("text")).alias("tokens"))
+    vocab = tk.build_vocab(toks.select("tokens"))
+    ids = tk.encode(toks, "doc_id", "tokens", vocab, "ids", in_place=True)
+    return tk.decode(ids, "doc_id", "ids", vocab, "text", in_place=True)
 
 
 # --- QA examples over all adjacent messages of every conversation ---------------------------
